@@ -89,3 +89,185 @@ WITH b AS ({BALLOTS_SQL})
 SELECT DISTINCT voter_uuid, vote, scrutiny_uuid FROM b
 WHERE voter_uuid IN (SELECT s_suppkey FROM supplier)
 """
+
+
+# ---------------------------------------------------------------- hierarchy
+
+TREE_ADJ_SQL = """
+  SELECT 1::BIGINT AS id, 0::BIGINT AS parent_id, 0::BIGINT AS position, 'ROOT' AS title, 'root' AS type
+  UNION ALL
+  SELECT (r_regionkey + 2)::BIGINT, 1::BIGINT, (row_number() OVER (ORDER BY r_regionkey) - 1)::BIGINT,
+         r_name, 'region' FROM region
+  UNION ALL
+  SELECT (n_nationkey + 10)::BIGINT, (n_regionkey + 2)::BIGINT,
+         (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::BIGINT, n_name, 'nation'
+  FROM nation
+  UNION ALL
+  SELECT (c_custkey + 100)::BIGINT, (c_nationkey + 10)::BIGINT,
+         (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::BIGINT, c_name, 'customer'
+  FROM customer
+"""
+
+
+def numbering_ctes(adj: str, out: str) -> str:
+    """CTEs numbering adjacency view ``adj`` into nested-set view ``out`` (needs WITH RECURSIVE)."""
+    return f"""
+{out}_walk(id, depth, path, anc) AS (
+  SELECT id, 0, [{{'p': position, 'i': id}}], [id] FROM {adj} WHERE parent_id = 0
+  UNION ALL
+  SELECT a.id, w.depth + 1, list_append(w.path, {{'p': a.position, 'i': a.id}}), list_append(w.anc, a.id)
+  FROM {adj} a JOIN {out}_walk w ON a.parent_id = w.id),
+{out}_rank AS (SELECT id, depth, row_number() OVER (ORDER BY path) AS r FROM {out}_walk),
+{out}_size AS (SELECT u.a AS id, count(*) AS n FROM (SELECT unnest(anc) AS a FROM {out}_walk) u GROUP BY u.a),
+{out} AS (
+  SELECT t.id, t.parent_id, t.position, (2 * r - 1 - depth)::BIGINT AS lft,
+         (2 * r - 1 - depth + 2 * n - 1)::BIGINT AS rgt, depth::BIGINT AS level, t.title, t.type
+  FROM {adj} t JOIN {out}_rank USING (id) JOIN {out}_size USING (id))
+"""
+
+
+TREE_BASE = f"WITH RECURSIVE adj0 AS ({TREE_ADJ_SQL}),{numbering_ctes('adj0', 'tree0')}"
+
+ORACLE["tree_numbering"] = TREE_BASE + "SELECT * FROM tree0"
+
+ORACLE["tree_descendants"] = TREE_BASE + """
+SELECT a.id AS ancestor_id, d.id AS id, (d.level - a.level)::BIGINT AS distance
+FROM tree0 a JOIN tree0 d ON d.lft >= a.lft AND d.rgt <= a.rgt
+"""
+
+ORACLE["tree_path"] = TREE_BASE + """
+SELECT d.id, d.level,
+       string_agg(a.id::VARCHAR, '/' ORDER BY a.level) AS path_ids,
+       string_agg(a.title, '/' ORDER BY a.level) AS path_titles
+FROM tree0 a JOIN tree0 d ON d.lft >= a.lft AND d.rgt <= a.rgt
+GROUP BY d.id, d.level
+"""
+
+ORACLE["tree_search"] = TREE_BASE + """
+, hits AS (SELECT lft, rgt FROM tree0 WHERE contains(lower(strip_accents(title)), 'customer#00000012'))
+SELECT DISTINCT t.id, t.title FROM tree0 t JOIN hits h ON t.lft < h.lft AND t.rgt > h.rgt
+"""
+
+ORACLE["tree_analyze"] = TREE_BASE + """
+, s AS (SELECT count(*) FILTER (WHERE parent_id = 0) AS roots,
+               min(lft) FILTER (WHERE parent_id = 0) AS root_lft, max(rgt) AS max_rgt, count(*) AS n FROM tree0),
+m AS (SELECT count(*) AS missing FROM tree0 c WHERE parent_id <> 0
+      AND NOT EXISTS (SELECT 1 FROM tree0 p WHERE p.id = c.parent_id)),
+ns AS (SELECT a.id, count(*) AS ns FROM tree0 a JOIN tree0 d
+       ON d.lft > a.lft AND d.rgt < a.rgt AND d.level = a.level + 1 GROUP BY a.id),
+aj AS (SELECT parent_id AS id, count(*) AS aj FROM tree0 GROUP BY parent_id),
+mm AS (SELECT count(*) AS mismatch FROM tree0 t LEFT JOIN ns USING (id) LEFT JOIN aj USING (id)
+       WHERE coalesce(ns, 0) <> coalesce(aj, 0))
+SELECT * FROM (
+  SELECT 1 AS check_no, CASE WHEN roots = 1 THEN 'OK' ELSE 'FAIL' END AS status,
+         CASE WHEN roots = 0 THEN 'No root node.' WHEN roots > 1 THEN 'More than one root node.'
+              ELSE 'Just one root node.' END AS message FROM s
+  UNION ALL SELECT 2, CASE WHEN coalesce(root_lft = 1, false) THEN 'OK' ELSE 'FAIL' END,
+         CASE WHEN coalesce(root_lft = 1, false) THEN 'Root node''s left index is 1.'
+              ELSE 'Root node''s left index is not 1.' END FROM s
+  UNION ALL SELECT 3, CASE WHEN missing > 0 THEN 'FAIL' ELSE 'OK' END,
+         CASE WHEN missing > 0 THEN 'Missing parents.' ELSE 'No missing parents.' END FROM m
+  UNION ALL SELECT 4, CASE WHEN max_rgt / 2 = n THEN 'OK' ELSE 'FAIL' END,
+         CASE WHEN max_rgt / 2 = n THEN 'Right index matches count.'
+              ELSE 'Right index does not match node count.' END FROM s
+  UNION ALL SELECT 5, CASE WHEN mismatch > 0 THEN 'FAIL' ELSE 'OK' END,
+         CASE WHEN mismatch > 0 THEN 'Adjacency and nested set do not match.' ELSE 'NS and AJ match' END FROM mm)
+"""
+
+
+def _reseat_sql(adj: str, node: int, ref: int, position: int, old_parent: str) -> str:
+    """Adjacency after making ``node`` the ``position``-th child of ``ref`` (compacting siblings)."""
+    return f"""
+  SELECT * FROM (
+    SELECT id, parent_id,
+           CASE WHEN touched THEN (idx + CASE WHEN parent_id = {ref} AND idx >= p THEN 1 ELSE 0 END)::BIGINT
+                ELSE position END AS position, title, type
+    FROM (SELECT x.*, parent_id IN ({ref}, {old_parent}) AS touched,
+                 row_number() OVER (PARTITION BY parent_id IN ({ref}, {old_parent}), parent_id
+                                    ORDER BY position, id) - 1 AS idx,
+                 (SELECT least({position}, count(*)) FROM {adj}
+                  WHERE parent_id = {ref} AND id <> {node}) AS p
+          FROM {adj} x WHERE id <> {node})
+    UNION ALL
+    SELECT id, {ref}::BIGINT, (SELECT least({position}, count(*)) FROM {adj}
+                              WHERE parent_id = {ref} AND id <> {node})::BIGINT, title, type
+    FROM {adj} WHERE id = {node})
+"""
+
+
+ORACLE["tree_remove"] = TREE_BASE + """,
+gone AS (SELECT d.id FROM tree0 n JOIN tree0 d ON n.id = 2 AND d.lft >= n.lft AND d.rgt <= n.rgt),
+kept AS (SELECT * FROM tree0 WHERE id NOT IN (SELECT id FROM gone)),
+adj1 AS (SELECT id, parent_id,
+                CASE WHEN parent_id = (SELECT parent_id FROM tree0 WHERE id = 2)
+                     THEN (row_number() OVER (PARTITION BY parent_id ORDER BY position, id) - 1)::BIGINT
+                     ELSE position END AS position, title, type FROM kept),
+""" + numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
+
+ORACLE["tree_move"] = TREE_BASE + """,
+adj1 AS (""" + _reseat_sql("(SELECT id, parent_id, position, title, type FROM tree0)", 10, 5, 1,
+                           "(SELECT parent_id FROM tree0 WHERE id = 10)") + "),\n" + \
+    numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
+
+ORACLE["tree_copy"] = TREE_BASE + """,
+src AS (SELECT d.*, row_number() OVER (ORDER BY d.level, d.id) AS r
+        FROM tree0 n JOIN tree0 d ON n.id = 11 AND d.lft >= n.lft AND d.rgt <= n.rgt),
+mx AS (SELECT max(id) AS m FROM tree0),
+copies AS (SELECT (mx.m + s.r)::BIGINT AS id,
+                  CASE WHEN s.id = 11 THEN 2::BIGINT ELSE (mx.m + p.r)::BIGINT END AS parent_id,
+                  s.position, s.title, s.type
+           FROM src s CROSS JOIN mx LEFT JOIN src p ON p.id = s.parent_id),
+adj_c AS (SELECT id, parent_id, position, title, type FROM tree0 UNION ALL SELECT * FROM copies),
+adj1 AS (""" + _reseat_sql("adj_c", "(SELECT m + 1 FROM mx)", 2, 0, "-1") + "),\n" + \
+    numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
+
+ORACLE["tree_rules"] = TREE_BASE + """,
+rules(type, max_children, max_depth, valid_children) AS (VALUES
+  ('root', 5, -1, ['region']), ('region', 4, 1, ['nation']),
+  ('nation', -1, -1, ['customer']), ('customer', 0, 0, ['none'])),
+nc AS (SELECT parent_id AS id, count(*) AS nc FROM tree0 GROUP BY parent_id),
+ht AS (SELECT a.id, max(d.level - a.level) AS h FROM tree0 a JOIN tree0 d
+       ON d.lft >= a.lft AND d.rgt <= a.rgt GROUP BY a.id),
+base AS (SELECT t.id, r.*, coalesce(nc, 0) AS nc, coalesce(h, 0) AS h
+         FROM tree0 t JOIN rules r USING (type) LEFT JOIN nc USING (id) LEFT JOIN ht USING (id))
+SELECT id, 'max_children' AS rule, nc::BIGINT AS value, max_children::BIGINT AS "limit"
+FROM base WHERE max_children >= 0 AND nc > max_children
+UNION ALL
+SELECT id, 'max_depth', h::BIGINT, max_depth::BIGINT FROM base WHERE max_depth >= 0 AND h > max_depth
+UNION ALL
+SELECT k.parent_id, 'valid_children', k.id, NULL::BIGINT
+FROM tree0 k JOIN tree0 p ON k.parent_id = p.id JOIN rules r ON r.type = p.type
+WHERE NOT (r.valid_children IS NULL OR list_contains(r.valid_children, 'all')
+           OR (NOT list_contains(r.valid_children, 'none') AND list_contains(r.valid_children, k.type)))
+"""
+
+ORACLE["tree_dupes"] = TREE_BASE + """
+SELECT parent_id, lower(title) AS title_key, count(*)::BIGINT AS n,
+       string_agg(id::VARCHAR, ',' ORDER BY id) AS ids
+FROM tree0 GROUP BY parent_id, lower(title) HAVING count(*) > 1
+"""
+
+ORACLE["tree_rollup"] = TREE_BASE + """,
+leaves AS (SELECT t.id, coalesce(c.c_acctbal > 0, false) AS c FROM tree0 t
+           LEFT JOIN customer c ON c.c_custkey + 100 = t.id WHERE t.rgt - t.lft = 1),
+agg AS (SELECT a.id, bool_and(l.c) AS al, bool_or(l.c) AS an FROM tree0 a
+        JOIN tree0 d ON d.lft >= a.lft AND d.rgt <= a.rgt JOIN leaves l ON l.id = d.id GROUP BY a.id),
+st AS (SELECT t.id, t.parent_id, CASE WHEN al THEN 'checked' WHEN an THEN 'undetermined'
+                                      ELSE 'unchecked' END AS state
+       FROM tree0 t LEFT JOIN agg USING (id))
+SELECT s.id, s.state, (s.state = 'checked' AND coalesce(p.state <> 'checked', true)) AS top_checked
+FROM st s LEFT JOIN st p ON p.id = s.parent_id
+"""
+
+ORACLE["tree_sorted"] = TREE_BASE + """,
+adj1 AS (SELECT id, parent_id,
+                (row_number() OVER (PARTITION BY parent_id ORDER BY title, id) - 1)::BIGINT AS position,
+                title, type FROM tree0),
+""" + numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
+
+ORACLE["tree_json"] = TREE_BASE + """
+SELECT id, parent_id,
+       to_json({'attr': {'id': 'node_' || id::VARCHAR, 'rel': type}, 'data': title,
+                'state': CASE WHEN rgt - lft > 1 THEN 'closed' ELSE '' END})::VARCHAR AS json
+FROM tree0
+"""

@@ -85,3 +85,105 @@ def term_filter_nested(spark, sf_dir):
 @register("random_pick")
 def random_pick(spark, sf_dir):
     return B.random_pick(T.deputies(spark, sf_dir), seed=20)
+
+
+# ---------------------------------------------------------------- hierarchy
+
+from hemicycle.operators import tree as H  # noqa: E402
+
+TREE_SEARCH = "customer#00000012"          # F9 needle (case / accent-insensitive)
+TREE_REMOVE_ID = 2                          # region 0 and its subtree
+TREE_MOVE = (10, 5, 1)                      # nation 0 -> region 3, position 1
+TREE_COPY = (11, 2, 0)                      # nation 1 copied under region 0, position 0
+TREE_EDITS = [
+    {"op": "create", "ref_id": 3, "position": 0, "title": "new node", "type": "nation"},
+    {"op": "rename", "id": 10, "title": "Renamed"},
+    {"op": "move", "id": 12, "ref_id": 2, "position": 99},
+    {"op": "copy", "id": 13, "ref_id": 4, "position": 1},
+    {"op": "remove", "id": 14},
+    {"op": "remove", "id": 1},               # refused: the root
+]
+# Type rules of the demo hierarchy (H15): max_children, max_depth (-1 unlimited), valid_children.
+TREE_RULES = [
+    ("root", 5, -1, ["region"]),
+    ("region", 4, 1, ["nation"]),
+    ("nation", -1, -1, ["customer"]),
+    ("customer", 0, 0, ["none"]),
+]
+
+
+def _numbered(spark, sf_dir):
+    return H.number_tree(H.tree_from_tables(spark, sf_dir))
+
+
+@register("tree_numbering")
+def tree_numbering(spark, sf_dir):
+    return _numbered(spark, sf_dir)
+
+
+@register("tree_descendants")
+def tree_descendants(spark, sf_dir):
+    return H.descendants(_numbered(spark, sf_dir))
+
+
+@register("tree_path")
+def tree_path(spark, sf_dir):
+    return H.paths(_numbered(spark, sf_dir))
+
+
+@register("tree_search")
+def tree_search(spark, sf_dir):
+    return H.search_ancestors(_numbered(spark, sf_dir), TREE_SEARCH)
+
+
+@register("tree_analyze")
+def tree_analyze(spark, sf_dir):
+    return H.analyze(_numbered(spark, sf_dir))
+
+
+@register("tree_remove")
+def tree_remove(spark, sf_dir):
+    return H.remove_subtree(_numbered(spark, sf_dir), TREE_REMOVE_ID)
+
+
+@register("tree_move")
+def tree_move(spark, sf_dir):
+    return H.move_subtree(_numbered(spark, sf_dir), *TREE_MOVE)
+
+
+@register("tree_copy")
+def tree_copy(spark, sf_dir):
+    return H.copy_subtree(_numbered(spark, sf_dir), *TREE_COPY)
+
+
+@register("tree_edits")
+def tree_edits(spark, sf_dir):
+    return H.apply_edits(_numbered(spark, sf_dir), TREE_EDITS)
+
+
+@register("tree_rules")
+def tree_rules(spark, sf_dir):
+    rules = spark.createDataFrame(TREE_RULES, H.RULES_SCHEMA)
+    return H.check_rules(_numbered(spark, sf_dir), rules)
+
+
+@register("tree_dupes")
+def tree_dupes(spark, sf_dir):
+    return H.duplicate_siblings(_numbered(spark, sf_dir))
+
+
+@register("tree_rollup")
+def tree_rollup(spark, sf_dir):
+    flags = T.table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 100).cast("long").alias("id"), (F.col("c_acctbal") > 0).alias("checked"))
+    return H.rollup_checked(_numbered(spark, sf_dir), flags)
+
+
+@register("tree_sorted")
+def tree_sorted(spark, sf_dir):
+    return H.sort_siblings(_numbered(spark, sf_dir))
+
+
+@register("tree_json")
+def tree_json(spark, sf_dir):
+    return H.node_json(_numbered(spark, sf_dir))
