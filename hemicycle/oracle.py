@@ -271,3 +271,107 @@ SELECT id, parent_id,
                 'state': CASE WHEN rgt - lft > 1 THEN 'closed' ELSE '' END})::VARCHAR AS json
 FROM tree0
 """
+
+
+# ---------------------------------------------------------------- text analysis
+
+from hemicycle.functions import text as _X  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fold_sql(e: str) -> str:
+    for k, v in _X.FOLD_MANY.items():
+        e = f"replace({e}, {_q(k)}, {_q(v)})"
+    return f"translate({e}, {_q(''.join(_X.FOLD_ONE))}, {_q(''.join(_X.FOLD_ONE.values()))})"
+
+
+def latin1_sql(e: str) -> str:
+    one = {k: v for k, v in _X.LATIN1_TO_ASCII.items() if len(v) == 1}
+    many = {k: v for k, v in _X.LATIN1_TO_ASCII.items() if len(v) > 1}
+    for k, v in many.items():
+        e = f"replace({e}, {_q(chr(k))}, {_q(v)})"
+    e = f"translate({e}, {_q(''.join(chr(k) for k in one))}, {_q(''.join(one.values()))})"
+    return f"regexp_replace({e}, '[^\\x00-\\x7F]', '', 'g')"
+
+
+def soundex_sql(e: str) -> str:
+    u = f"upper(regexp_replace({e}, '[^A-Za-z]', '', 'g'))"
+    c = f"translate({u}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_X.REFINED_SOUNDEX_CODES}')"
+    for d in "0123456789":
+        c = f"regexp_replace({c}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN length({u}) > 0 THEN left({u}, 1) || {c} END"
+
+
+def _stops(name: str) -> str:
+    return ", ".join(_q(w) for w in _X.stop_words(name))
+
+
+def norm_tokens_sql(source: str, analyzer: str) -> str:
+    """SQL twin of analysis.normalized_tokens over ``source(doc_id, text)``."""
+    tok, elide, stops, _, _ = {
+        "french": ("standard", True, "french", None, None),
+        "english": ("standard", False, "english", None, None),
+        "general": ("standard", False, None, None, None),
+        "timestamped_french": ("timestamp", True, "french", None, None),
+    }[analyzer]
+    if tok == "standard":
+        toks = f"regexp_extract_all(text, {_q(_X.WORD_PATTERN)})"
+    else:
+        toks = f"list_filter(string_split_regex(text, {_q(_X.timestamp_split_pattern())}), lambda t: t <> '')"
+    term = "lower(tok)"
+    if elide:
+        term = f"regexp_replace({term}, '^(l|m|t|qu|n|s|j)[''’]', '')"
+    where = f"WHERE term NOT IN ({_stops(stops)})" if stops else ""
+    return f"""
+  SELECT doc_id, {fold_sql('term')} AS term FROM (
+    SELECT doc_id, {term} AS term FROM (SELECT doc_id, unnest({toks}) AS tok FROM {source}) x) y
+  {where}
+"""
+
+
+def _tf_sql(source: str, analyzer: str) -> str:
+    return f"""
+WITH t AS ({norm_tokens_sql(source, analyzer)})
+SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term <> '' GROUP BY doc_id, term
+"""
+
+
+ORACLE["tokens_fr"] = _tf_sql("(SELECT doc_id, text FROM documents WHERE lang = 'fr')", "french")
+ORACLE["tokens_en"] = _tf_sql("(SELECT doc_id, text FROM documents WHERE lang = 'en')", "english")
+ORACLE["tokens_timestamped"] = _tf_sql(
+    "(SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS doc_id, text FROM conversations)",
+    "timestamped_french")
+
+ORACLE["doc_phonetic"] = f"""
+WITH t AS ({norm_tokens_sql("(SELECT doc_id, text FROM documents)", "general")}),
+k AS (SELECT doc_id, term, 'term' AS kind FROM t WHERE term <> ''
+      UNION ALL
+      SELECT doc_id, {soundex_sql('term')} AS term, 'phon' AS kind FROM t WHERE term <> '')
+SELECT doc_id, term, kind, count(*)::BIGINT AS tf FROM k WHERE term IS NOT NULL GROUP BY doc_id, term, kind
+"""
+
+ORACLE["keyword_topk"] = f"""
+WITH t AS ({norm_tokens_sql("(SELECT doc_id, text FROM documents WHERE lang = 'fr')", "french")}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY doc_id, term),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM t WHERE term <> ''),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT tf.doc_id, tf.term, tf.tf, round(tf.tf * ln(n.n / df.df), 6) AS score
+      FROM tf JOIN df USING (term) CROSS JOIN n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s)
+SELECT doc_id, rank::BIGINT AS rank, term, tf::BIGINT AS tf, score FROM r WHERE rank <= 20
+"""
+
+ORACLE["trend_keywords"] = """
+WITH k AS (SELECT DISTINCT doc_id, lower(x) AS keyword
+           FROM (SELECT doc_id, unnest([source, lang, upper(lang)]) AS x FROM documents))
+SELECT keyword, count(*)::BIGINT AS n_docs FROM k GROUP BY keyword
+"""
+
+ORACLE["fold_ascii"] = f"""
+SELECT doc_id, length({latin1_sql('text')})::BIGINT AS x1_len, md5({latin1_sql('text')}) AS x1_md5,
+       length({fold_sql('text')})::BIGINT AS t9_len, md5({fold_sql('text')}) AS t9_md5
+FROM documents
+"""

@@ -187,3 +187,86 @@ def tree_sorted(spark, sf_dir):
 @register("tree_json")
 def tree_json(spark, sf_dir):
     return H.node_json(_numbered(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- text analysis
+
+from hemicycle.functions import text as X  # noqa: E402
+from hemicycle.operators import analysis as A  # noqa: E402
+
+
+def _docs(spark, sf_dir, lang=None):
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return d.where(F.col("lang") == lang) if lang else d
+
+
+@register("tokens_fr")
+def tokens_fr(spark, sf_dir):
+    """T1, T4, T6, T7, T9 over French documents: term frequencies."""
+    t = A.normalized_tokens(_docs(spark, sf_dir, "fr"), "doc_id", "text", "french")
+    return A.term_frequencies(t)
+
+
+@register("tokens_en")
+def tokens_en(spark, sf_dir):
+    """T1, T4, T8, T9 over English documents: term frequencies."""
+    t = A.normalized_tokens(_docs(spark, sf_dir, "en"), "doc_id", "text", "english")
+    return A.term_frequencies(t)
+
+
+@register("tokens_timestamped")
+def tokens_timestamped(spark, sf_dir):
+    """T3 + French filters (no stemmer) over conversation turns."""
+    c = T.table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text")
+    return A.term_frequencies(A.normalized_tokens(c, "doc_id", "text", "timestamped_french"))
+
+
+@register("doc_phonetic")
+def doc_phonetic(spark, sf_dir):
+    """general analyzer (T1, T4, T9, T11 injected): term and code frequencies per document."""
+    t = A.analyze(_docs(spark, sf_dir), "doc_id", "text", "general")
+    return t.groupBy("doc_id", "term", "kind").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@register("stem_vocab")
+def stem_vocab(spark, sf_dir):
+    """The stemming vocabulary of French and English documents."""
+    out = None
+    for lang, analyzer in (("fr", "french"), ("en", "english")):
+        t = A.normalized_tokens(_docs(spark, sf_dir, lang), "doc_id", "text", analyzer)
+        v = A.stem_vocabulary(t, "term", analyzer).withColumn("lang", F.lit(lang))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@register("french_analyzer_tokens")
+def french_analyzer_tokens(spark, sf_dir):
+    """The full french_analyzer (with stemmer and phonetic codes) as a token index."""
+    t = A.analyze(_docs(spark, sf_dir, "fr"), "doc_id", "text", "french")
+    return t.groupBy("doc_id", "term", "kind").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@register("keyword_topk")
+def keyword_topk(spark, sf_dir):
+    t = A.normalized_tokens(_docs(spark, sf_dir, "fr"), "doc_id", "text", "french")
+    return A.keyword_topk(t, 20)
+
+
+@register("trend_keywords")
+def trend_keywords(spark, sf_dir):
+    """T2 + T4 + T5: keyword facet counts (each keyword whole, lower-cased, once per document)."""
+    d = _docs(spark, sf_dir).select("doc_id", X.keyword_terms(
+        F.array("source", "lang", F.upper(F.col("lang")))).alias("kw"))
+    return (d.select("doc_id", F.explode("kw").alias("keyword"))
+             .groupBy("keyword").agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+@register("fold_ascii")
+def fold_ascii(spark, sf_dir):
+    """X1 (fixed Latin-1 table, deletes the rest) and T9 (folding, keeps the rest) over whole texts."""
+    d = _docs(spark, sf_dir)
+    x1 = X.latin1_to_ascii(F.col("text"))
+    t9 = X.ascii_fold(F.col("text"))
+    return d.select("doc_id", F.length(x1).cast("bigint").alias("x1_len"), F.md5(x1).alias("x1_md5"),
+                    F.length(t9).cast("bigint").alias("t9_len"), F.md5(t9).alias("t9_md5"))
