@@ -375,3 +375,115 @@ SELECT doc_id, length({latin1_sql('text')})::BIGINT AS x1_len, md5({latin1_sql('
        length({fold_sql('text')})::BIGINT AS t9_len, md5({fold_sql('text')}) AS t9_md5
 FROM documents
 """
+
+
+# ---------------------------------------------------------------- names
+
+
+def norm_pos_sql(source: str, analyzer: str) -> str:
+    """(doc_id, pos, term) after tokenizer .. folding, pos = 0-based token index."""
+    elide = analyzer == "french"
+    term = "lower(tok)"
+    if elide:
+        term = f"regexp_replace({term}, '^(l|m|t|qu|n|s|j)[''’]', '')"
+    return f"""
+  SELECT doc_id, pos, {fold_sql('term')} AS term FROM (
+    SELECT doc_id, pos, {term} AS term FROM (
+      SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos
+      FROM (SELECT doc_id, regexp_extract_all(text, {_q(_X.WORD_PATTERN)}) AS toks FROM {source}) s) x) y
+  WHERE term NOT IN ({_stops(analyzer)})
+"""
+
+
+def analyzed_sql(source: str) -> str:
+    """french analyzer without the stemmer: terms plus refined-Soundex codes."""
+    return f"""
+  SELECT doc_id, pos, term FROM ({norm_pos_sql(source, 'french')}) a WHERE term <> ''
+  UNION ALL
+  SELECT doc_id, pos, {soundex_sql('term')} FROM ({norm_pos_sql(source, 'french')}) b
+  WHERE term <> '' AND {soundex_sql('term')} IS NOT NULL
+"""
+
+
+NAME_LISTS_SQL = """
+  SELECT p_partkey,
+         CASE WHEN p_size % 2 = 0 THEN 'M. ' ELSE 'MM. ' END || p_name || ' (' || p_brand || '), Mme '
+         || replace(p_name, 'o', 'au') || ' et M. ' || lower(p_type) || '.' AS names_text
+  FROM part
+"""
+
+CLEAN_NAMES_SQL = f"""
+  SELECT p_partkey, ord, name FROM (
+    SELECT p_partkey, ord,
+           regexp_replace(regexp_replace(regexp_extract(raw, {_q(_X.NAME_PATTERN)}, 2),
+                                         '^\\s+|\\s+$', '', 'g'), '\\.$', '') AS name
+    FROM (SELECT p_partkey, unnest(l) AS raw, generate_subscripts(l, 1) AS ord
+          FROM (SELECT p_partkey, string_split_regex(replace(replace(names_text, chr(160), ' '), ' et ', ', '),
+                                                     ',\\s*') AS l FROM ({NAME_LISTS_SQL}) n) s) t) u
+  WHERE name <> ''
+"""
+
+ORACLE["clean_names"] = CLEAN_NAMES_SQL
+
+DIRECTORY_SQL = "(SELECT p_partkey AS doc_id, p_name AS text FROM part)"
+
+ORACLE["name_resolution"] = f"""
+WITH m AS (SELECT DISTINCT name AS mention FROM ({CLEAN_NAMES_SQL}) c),
+mq AS (SELECT DISTINCT doc_id AS mention, pos, term FROM ({analyzed_sql('(SELECT mention AS doc_id, mention AS text FROM m)')}) a),
+npos AS (SELECT mention, count(DISTINCT pos) AS npos FROM mq GROUP BY mention),
+dt AS (SELECT DISTINCT doc_id AS uuid, pos, term FROM ({analyzed_sql(DIRECTORY_SQL)}) b),
+n AS (SELECT count(DISTINCT p_partkey) AS n FROM part),
+df AS (SELECT term, 1 + ln(n.n / (count(DISTINCT uuid) + 1)) AS idf FROM dt CROSS JOIN n GROUP BY term, n.n),
+len AS (SELECT doc_id AS uuid, count(DISTINCT pos) AS len FROM ({norm_pos_sql(DIRECTORY_SQL, 'french')}) c
+        WHERE term <> '' GROUP BY doc_id),
+mt AS (SELECT DISTINCT mq.mention, dt.uuid, mq.pos, mq.term FROM mq JOIN dt ON mq.term = dt.term),
+s AS (SELECT mt.mention, mt.uuid, count(DISTINCT mt.pos) AS hit, sum(idf * idf / sqrt(len)) AS s
+      FROM mt JOIN df USING (term) JOIN len USING (uuid) GROUP BY mt.mention, mt.uuid),
+b AS (SELECT s.mention, uuid, round(s, 9) AS score,
+             row_number() OVER (PARTITION BY s.mention ORDER BY round(s, 9) DESC, uuid) AS rn
+      FROM s JOIN npos USING (mention) WHERE hit = npos)
+SELECT m.mention, b.uuid, round(b.score, 6) AS score FROM m LEFT JOIN b ON b.mention = m.mention AND b.rn = 1
+"""
+
+ORACLE["prefix_search_highlight"] = f"""
+WITH dt AS (SELECT DISTINCT doc_id AS uuid, pos, term FROM ({analyzed_sql(DIRECTORY_SQL)}) b),
+n AS (SELECT count(DISTINCT p_partkey) AS n FROM part),
+df AS (SELECT term, 1 + ln(n.n / (count(DISTINCT uuid) + 1)) AS idf FROM dt CROSS JOIN n GROUP BY term, n.n),
+len AS (SELECT doc_id AS uuid, count(DISTINCT pos) AS len FROM ({norm_pos_sql(DIRECTORY_SQL, 'french')}) c
+        WHERE term <> '' GROUP BY doc_id),
+hq AS (SELECT DISTINCT pos, term FROM ({analyzed_sql("(SELECT 0 AS doc_id, 'red' AS text)")}) q),
+pre AS (SELECT DISTINCT uuid FROM dt WHERE starts_with(term, 'wi')),
+mt AS (SELECT DISTINCT dt.uuid, dt.term, hq.pos FROM dt JOIN hq ON dt.term = hq.term
+       WHERE dt.uuid IN (SELECT uuid FROM pre)),
+hs AS (SELECT mt.uuid, sum(idf * idf) AS w FROM (SELECT DISTINCT uuid, term, pos FROM mt) mt JOIN df USING (term)
+       GROUP BY mt.uuid HAVING count(DISTINCT pos) = (SELECT count(DISTINCT pos) FROM hq)),
+hits AS (SELECT hs.uuid, p.p_name AS name, round((w + 1.0) / sqrt(len), 6) AS score
+         FROM hs JOIN len USING (uuid) JOIN part p ON p.p_partkey = hs.uuid
+         ORDER BY score DESC, uuid LIMIT 1000),
+nt AS (SELECT doc_id AS uuid, pos, term, {soundex_sql('term')} AS code
+       FROM ({norm_pos_sql('(SELECT uuid AS doc_id, name AS text FROM hits)', 'french')}) x WHERE term <> ''),
+fl AS (SELECT nt.uuid, nt.pos,
+              starts_with(nt.term, 'wi') OR coalesce(starts_with(nt.code, 'wi'), false)
+              OR EXISTS (SELECT 1 FROM mt WHERE mt.uuid = nt.uuid AND (mt.term = nt.term OR mt.term = nt.code)) AS f
+       FROM nt),
+tk AS (SELECT h.uuid, h.name, h.score, regexp_extract_all(h.name, {_q(_X.WORD_PATTERN)}) AS toks,
+              string_split_regex(h.name, {_q(_X.WORD_PATTERN)}) AS seps FROM hits h),
+parts AS (SELECT z.uuid, z.i, CASE WHEN coalesce(fl.f, false) THEN '<strong>' || toks[i] || '</strong>'
+                               ELSE toks[i] END || seps[i + 1] AS piece
+          FROM (SELECT uuid, toks, seps, unnest(range(1, len(toks) + 1)) AS i FROM tk) z
+          LEFT JOIN fl ON fl.uuid = z.uuid AND fl.pos = z.i - 1)
+SELECT tk.uuid, tk.name, tk.seps[1] || coalesce((SELECT string_agg(piece, '' ORDER BY i) FROM parts
+                                                 WHERE parts.uuid = tk.uuid), '') AS name_highlight,
+       tk.score, row_number() OVER (ORDER BY tk.score DESC, tk.uuid)::BIGINT AS rank
+FROM tk
+"""
+
+ORACLE["typeahead_rank"] = """
+WITH items AS (SELECT p_name AS item, min(p_partkey) AS input_order FROM part GROUP BY p_name),
+f AS (SELECT *, CASE WHEN starts_with(lower(item), 'ld') THEN 0 WHEN contains(item, 'ld') THEN 1 ELSE 2 END AS bucket
+      FROM items WHERE contains(lower(item), 'ld')),
+t AS (SELECT * FROM f ORDER BY bucket, input_order LIMIT 8)
+SELECT row_number() OVER (ORDER BY bucket, input_order)::BIGINT AS rank, item,
+       regexp_replace(item, '(?i)(ld)', '<strong>\\1</strong>', 'g') AS highlighted
+FROM t
+"""

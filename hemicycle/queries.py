@@ -270,3 +270,50 @@ def fold_ascii(spark, sf_dir):
     t9 = X.ascii_fold(F.col("text"))
     return d.select("doc_id", F.length(x1).cast("bigint").alias("x1_len"), F.md5(x1).alias("x1_md5"),
                     F.length(t9).cast("bigint").alias("t9_len"), F.md5(t9).alias("t9_md5"))
+
+
+# ---------------------------------------------------------------- names
+
+from hemicycle.operators import resolve as R  # noqa: E402
+
+SEARCH_QUERY = "red wi"        # F3 + F4: "red" analyzed, "wi*" as prefix
+TYPEAHEAD_QUERY = "ld"
+
+
+def _name_lists(spark, sf_dir):
+    """Roll-call style name lists built from part rows: honorifics, a (...) suffix,
+    ' et ' and a trailing dot, one misspelt name and one non-member per list."""
+    p = T.table(spark, sf_dir, "part")
+    txt = F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("M. ")).otherwise(F.lit("MM. ")),
+                   F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit("), Mme "),
+                   F.replace(F.col("p_name"), F.lit("o"), F.lit("au")),
+                   F.lit(" et M. "), F.lower(F.col("p_type")), F.lit("."))
+    return p.select("p_partkey", txt.alias("names_text"))
+
+
+@register("clean_names")
+def clean_names(spark, sf_dir):
+    """X7 + X2: split each list and clean each name; empty entries dropped."""
+    lists = _name_lists(spark, sf_dir)
+    ex = lists.select("p_partkey", F.posexplode(X.split_names(F.col("names_text"))).alias("i", "raw"))
+    return (ex.select("p_partkey", (F.col("i") + 1).alias("ord"), X.clean_name(F.col("raw")).alias("name"))
+              .where(F.col("name") != ""))
+
+
+@register("name_resolution")
+def name_resolution(spark, sf_dir):
+    """J1 + W5 + T*: every distinct cleaned name resolved against the name directory."""
+    mentions = clean_names(spark, sf_dir).select(F.col("name").alias("mention"))
+    return R.resolve_names(mentions, T.name_directory(spark, sf_dir))
+
+
+@register("prefix_search_highlight")
+def prefix_search_highlight(spark, sf_dir):
+    return R.search(T.name_directory(spark, sf_dir), SEARCH_QUERY, R.SEARCH_CAP)
+
+
+@register("typeahead_rank")
+def typeahead_rank(spark, sf_dir):
+    items = (T.name_directory(spark, sf_dir).groupBy(F.col("name").alias("item"))
+             .agg(F.min("uuid").alias("input_order")))
+    return R.typeahead(items, TYPEAHEAD_QUERY, R.TYPEAHEAD_ROWS)
