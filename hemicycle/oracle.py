@@ -487,3 +487,20 @@ SELECT row_number() OVER (ORDER BY bucket, input_order)::BIGINT AS rank, item,
        regexp_replace(item, '(?i)(ld)', '<strong>\\1</strong>', 'g') AS highlighted
 FROM t
 """
+
+
+# ---------------------------------------------------------------- keyed tables
+
+ORACLE["upsert_latest"] = """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC,
+                               event_type DESC, value DESC, props DESC) AS rn FROM events) e
+WHERE rn = 1
+"""
+ORACLE["upsert_stream"] = ORACLE["upsert_latest"]
+
+ORACLE["rebuild_snapshot"] = f"""
+SELECT uuid, name, party, jurisdiction, 'img/thumbs/' || uuid::VARCHAR || '.jpg' AS image,
+       replace(lower(name), ' ', '-') AS slug
+FROM ({DEPUTIES_SQL}) d
+"""

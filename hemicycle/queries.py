@@ -317,3 +317,48 @@ def typeahead_rank(spark, sf_dir):
     items = (T.name_directory(spark, sf_dir).groupBy(F.col("name").alias("item"))
              .agg(F.min("uuid").alias("input_order")))
     return R.typeahead(items, TYPEAHEAD_QUERY, R.TYPEAHEAD_ROWS)
+
+
+# ---------------------------------------------------------------- keyed tables
+
+import uuid as _uuid  # noqa: E402
+
+from hemicycle.session import scratch_path  # noqa: E402
+from hemicycle.streaming import upsert as U  # noqa: E402
+
+EVENT_KEY, EVENT_ORDER = ["user_id"], ["ts", "event_id"]
+
+
+@register("upsert_latest")
+def upsert_latest(spark, sf_dir):
+    """K1 + U4: a snapshot from part of the change feed, then the rest applied as one batch."""
+    ev = T.table(spark, sf_dir, "events")
+    first = ev.where(F.col("event_type").isin("view", "click"))
+    rest = ev.where(~F.col("event_type").isin("view", "click") | F.col("event_type").isNull())
+    return U.upsert(U.latest_per_key(first, EVENT_KEY, EVENT_ORDER), rest, EVENT_KEY, EVENT_ORDER)
+
+
+@register("upsert_stream")
+def upsert_stream(spark, sf_dir):
+    """R1 + R2: the change feed read as a stream, applied per micro-batch with foreachBatch."""
+    # a glob, so the file source watches the folder for this table's files
+    path = f"{sf_dir.rstrip('/')}/event[s].parquet"
+    schema = T.table(spark, sf_dir, "events").schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run = scratch_path(spark, f"upsert_stream/{_uuid.uuid4().hex}")
+    table = U.SnapshotTable(spark, f"{run}/table")
+    U.stream_upsert(spark, src, table, EVENT_KEY, EVENT_ORDER, f"{run}/checkpoint")
+    return table.current()
+
+
+def _deputy_card(df):
+    """G1 row callback of the rebuild: derived image path (P19) and profile slug (P20)."""
+    return (df.withColumn("image", B.thumbnail_path(F.col("uuid")))
+              .withColumn("slug", U.slug(F.col("name"))))
+
+
+@register("rebuild_snapshot")
+def rebuild_snapshot(spark, sf_dir):
+    """K6 + G1: versioned rebuild of the deputies table through a row callback."""
+    base = scratch_path(spark, f"rebuild/{_uuid.uuid4().hex}")
+    return U.rebuild(T.deputies(spark, sf_dir), "deputies", _deputy_card, base=base)
