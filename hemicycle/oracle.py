@@ -504,3 +504,57 @@ SELECT uuid, name, party, jurisdiction, 'img/thumbs/' || uuid::VARCHAR || '.jpg'
        replace(lower(name), ' ', '-') AS slug
 FROM ({DEPUTIES_SQL}) d
 """
+
+
+# ---------------------------------------------------------------- pages
+
+
+def _url_join_sql(base: str, href: str) -> str:
+    scheme_re = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    nofrag = f"regexp_replace({base}, '#.*$', '')"
+    pathonly = f"regexp_replace({nofrag}, '\\?.*$', '')"
+    path = f"regexp_extract({pathonly}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)"
+    pdir = f"regexp_extract({path}, '^(.*/)', 1)"
+    bdir = f"{origin} || CASE WHEN {pdir} = '' THEN '/' ELSE {pdir} END"
+    j = (f"CASE WHEN regexp_matches({href}, '{scheme_re}') THEN {href} "
+         f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
+         f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
+         f"WHEN {href} = '' THEN {nofrag} "
+         f"WHEN starts_with({href}, '?') THEN {pathonly} || {href} "
+         f"WHEN starts_with({href}, '#') THEN {nofrag} || {href} "
+         f"ELSE {bdir} || {href} END")
+    j = f"regexp_replace(regexp_replace({j}, '/\\./', '/', 'g'), '/\\.$', '')"
+    j = f"regexp_replace({j}, '/\\.$', '/')"
+    for _ in range(4):
+        j = f"regexp_replace({j}, {_q(_X.DOT_DOT_SEGMENT)}, '/')"
+    return f"regexp_replace({j}, '(://[^/?#]*)/\\.\\./', '\\1/')"
+
+
+ORACLE["page_links"] = f"""
+WITH ex AS (
+  SELECT page_id, url, replace(unnest(l), '&amp;', '&') AS href, generate_subscripts(l, 1) - 1 AS pos
+  FROM (SELECT page_id, url, regexp_extract_all(html, {_q(_X.LINK_PATTERN)}, 1) AS l FROM pages) p),
+j AS (SELECT page_id, pos, href, {_url_join_sql('url', 'href')} AS abs_url FROM ex),
+k AS (SELECT *, lower(regexp_extract(abs_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)) AS host,
+             string_split(regexp_extract(abs_url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '/') AS segs
+      FROM j)
+SELECT page_id, pos::BIGINT AS pos, href, abs_url, host,
+       (host = 'example.com' OR ends_with(host, '.example.com')) AS on_site,
+       segs[2] AS seg1, segs[-1] AS last_seg, split_part(segs[-1], '.', 1) AS stem
+FROM k
+"""
+
+ORACLE["page_meta"] = f"""
+WITH h AS (SELECT page_id, regexp_extract(html, {_q(_X.HEAD_PATTERN)}, 1) AS head FROM pages),
+ex AS (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS pos
+       FROM (SELECT page_id, regexp_extract_all(head, {_q(_X.META_PATTERN)}) AS l FROM h) x),
+kv AS (SELECT page_id, pos, regexp_extract(tag, '(?i)\\bname\\s*=\\s*"([^"]*)"', 1) AS name,
+              regexp_extract(tag, '(?i)\\bcontent\\s*=\\s*"([^"]*)"', 1) AS content FROM ex),
+last AS (SELECT page_id, name, arg_max(content, pos) AS content FROM kv WHERE name <> '' GROUP BY page_id, name),
+per AS (SELECT page_id, to_json(map_from_entries(list({{'k': name, 'v': content}} ORDER BY name)))::VARCHAR AS m,
+               count(*) AS n FROM last GROUP BY page_id)
+SELECT p.page_id, coalesce(per.m, '{{}}') AS meta_json, coalesce(per.n, 0)::BIGINT AS n_meta
+FROM pages p LEFT JOIN per USING (page_id)
+"""

@@ -362,3 +362,70 @@ def rebuild_snapshot(spark, sf_dir):
     """K6 + G1: versioned rebuild of the deputies table through a row callback."""
     base = scratch_path(spark, f"rebuild/{_uuid.uuid4().hex}")
     return U.rebuild(T.deputies(spark, sf_dir), "deputies", _deputy_card, base=base)
+
+
+# ---------------------------------------------------------------- pages
+
+from hemicycle.operators import extract as E  # noqa: E402
+
+ALLOWED_DOMAIN = "example.com"   # S3: off-site links are flagged
+
+
+def _pages(spark, sf_dir):
+    return T.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+@register("page_links")
+def page_links(spark, sf_dir):
+    """P1 link part + X10 + X11 + S3: every anchor of every page, resolved and split."""
+    p = _pages(spark, sf_dir)
+    hrefs = F.regexp_extract_all(F.col("html"), F.lit(X.LINK_PATTERN), 1)
+    ex = p.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    href = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
+    absu = X.url_join(F.col("url"), href)
+    return ex.select("page_id", F.col("pos").cast("bigint").alias("pos"), href.alias("href"),
+                     absu.alias("abs_url"), X.url_host(absu).alias("host"),
+                     X.on_domain(absu, F.lit(ALLOWED_DOMAIN)).alias("on_site"),
+                     X.path_segment(absu, 1).alias("seg1"), X.path_segment(absu, -1).alias("last_seg"),
+                     X.file_stem(absu).alias("stem"))
+
+
+@register("page_meta")
+def page_meta(spark, sf_dir):
+    """<meta name content> of the head as a JSON map per page, last duplicate wins."""
+    p = _pages(spark, sf_dir)
+    head = F.regexp_extract(F.col("html"), X.HEAD_PATTERN, 1)
+    ex = p.select("page_id", F.posexplode(F.regexp_extract_all(head, F.lit(X.META_PATTERN), 0)).alias("pos", "tag"))
+    kv = ex.select("page_id", "pos",
+                   F.regexp_extract("tag", r"""(?i)\bname\s*=\s*"([^"]*)\"""", 1).alias("name"),
+                   F.regexp_extract("tag", r"""(?i)\bcontent\s*=\s*"([^"]*)\"""", 1).alias("content"))
+    last = (kv.where(F.col("name") != "").groupBy("page_id", "name")
+              .agg(F.max_by("content", "pos").alias("content")))
+    per = last.groupBy("page_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "content")))).alias("m"),
+        F.count(F.lit(1)).alias("n_meta"))
+    return (p.select("page_id").join(per, "page_id", "left")
+             .select("page_id", F.coalesce(F.to_json("m"), F.lit("{}")).alias("meta_json"),
+                     F.coalesce("n_meta", F.lit(0)).cast("bigint").alias("n_meta")))
+
+
+@register("page_blocks")
+def page_blocks(spark, sf_dir):
+    """P4 + P9 + D1/D2: paragraphs of every page (class, #analyse flag, text), with the page date."""
+    f = E.facts(_pages(spark, sf_dir))
+    return f.select("page_id", E.page_date(f).alias("page_date"), F.inline("paragraphs")) \
+            .select("page_id", "page_date", "pos", "cls", "in_analyse", "txt")
+
+
+@register("page_join_chain")
+def page_join_chain(spark, sf_dir):
+    """J2 + P1 + P3-P8: roll calls extracted from index -> vote -> info pages."""
+    s, _, _ = E.scrutinies_from_pages(_pages(spark, sf_dir))
+    return s
+
+
+@register("rollcall_extract")
+def rollcall_extract(spark, sf_dir):
+    """W1/W2 + X2/X7 + F6 + F7: named ballots extracted from vote pages."""
+    _, b, _ = E.scrutinies_from_pages(_pages(spark, sf_dir))
+    return b
