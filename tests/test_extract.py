@@ -146,3 +146,31 @@ def test_parser_text_pieces():
     root = Hh.parse("<p>a<b>b</b>c<a href='x'>skip</a>d<br>e</p>")
     p = [n for n in Hh.iter_elements(root) if n.tag == "p"][0]
     assert Hh.text_pieces(p, Hh.INLINE_STRIP_VOTE, direct=True) == ["abc", "d", "e"]
+
+
+def test_deputy_pages(spark):
+    p11 = ("<html><body><p><a name='P-1_0'></a>M. Jean Dupont (Paris)</p>"
+           "<p><b>Circonscription d'élection : Nord (1ère)</b></p></body></html>")
+    p12 = ("<html><body><span class='titre'>M. Jean Dupont</span><table><tr>"
+           "<td>Circonscription </td><td>Rhône (2ème)</td></tr></table></body></html>")
+    p13 = ("<html><body><h1 class='deputy-headline-title'>Mme Anne Petit</h1>"
+           "<img class='deputy-profile-picture' src='/photos/9.jpg'>"
+           "<p class='deputy-healine-sub-title'>Paris (3e)</p><p class='political-party'>Parti A</p>"
+           "</body></html>")
+    lst = "<html><body><a class='dep2' href='/11/tribun/fiches/267.asp'>x</a></body></html>"
+    rows = [(1, "http://www.example.org/11/tribun/fiches/267.asp", p11),
+            (2, "http://www.example.org/12/tribun/fiches/268.asp", p12),
+            (3, "http://www.example.org/13/tribun/fiches/269.asp", p13),
+            (4, "http://www.example.org/99/x/270.asp", p13)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    deps, rej = E.deputies_from_pages(pages)
+    d = {r.uuid: r for r in deps.collect()}
+    assert d["267"].jurisdiction == "Nord (1ère circonscription)" and d["267"].name == "Jean Dupont"
+    assert d["267"].party is None
+    assert d["268"].jurisdiction == "Rhône (2ème circonscription)" and d["268"].name == "Jean Dupont"
+    assert d["269"].name == "Anne Petit" and d["269"].image == "http://www.example.org/photos/9.jpg"
+    assert d["269"].party == "Parti A" and d["269"].jurisdiction == "Paris (3e)"
+    assert [r.page_id for r in rej.collect()] == [4]
+    links = E.deputy_list_links(spark.createDataFrame([(5, "http://www.example.org/qui/l.asp", lst)],
+                                                      "page_id long, url string, html string")).collect()
+    assert links[0].url == "http://www.example.org/11/tribun/fiches/267.asp"
