@@ -429,3 +429,10 @@ def rollcall_extract(spark, sf_dir):
     """W1/W2 + X2/X7 + F6 + F7: named ballots extracted from vote pages."""
     _, b, _ = E.scrutinies_from_pages(_pages(spark, sf_dir))
     return b
+
+
+@register("deputy_profiles")
+def deputy_profiles(spark, sf_dir):
+    """P12-P14 + S4: deputy profiles from member pages, parser chosen by legislature."""
+    deps, _ = E.deputies_from_pages(_pages(spark, sf_dir))
+    return deps
