@@ -45,18 +45,18 @@ def normalized_tokens(df: DataFrame, id_col: str, text_col: str, analyzer: str =
 
 def analyze(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french",
             stem: bool = True, phonetic: bool = True) -> DataFrame:
-    """Full analyzer: (doc_id, pos, term, kind)."""
+    """Full analyzer: (doc_id, pos, term, kind); term and injected code in one pass."""
     _, _, _, lang, phon = ANALYZERS[analyzer]
     t = normalized_tokens(df, id_col, text_col, analyzer)
     if stem and lang:
         vocab = stem_vocabulary(t, "term", lang)
         t = t.join(vocab, "term").select("doc_id", "pos", F.col("stem").alias("term"))
-    out = t.withColumn("kind", F.lit("term"))
+    kinds = [F.struct(F.col("term").alias("term"), F.lit("term").alias("kind"))]
     if phonetic and phon:
-        codes = t.select("doc_id", "pos", X.refined_soundex(F.col("term")).alias("term")) \
-                 .where(F.col("term").isNotNull())
-        out = out.unionByName(codes.withColumn("kind", F.lit("phon")))
-    return out
+        kinds.append(F.struct(X.refined_soundex(F.col("term")).alias("term"), F.lit("phon").alias("kind")))
+    return (t.select("doc_id", "pos", F.explode(F.array(*kinds)).alias("_t"))
+             .select("doc_id", "pos", "_t.term", "_t.kind")
+             .where(F.col("term").isNotNull()))
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:

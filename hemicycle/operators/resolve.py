@@ -23,14 +23,19 @@ from pyspark.sql import functions as F
 from hemicycle.functions import text as X
 from hemicycle.operators.analysis import analyze, normalized_tokens
 from hemicycle.functions.stem import stem_vocabulary
+from hemicycle.plans.ranking import checkpointed
 
 SEARCH_CAP = 1000      # the reference's search result size
 TYPEAHEAD_ROWS = 8     # the widget's visible rows
 
 
 def directory_index(directory: DataFrame, analyzer: str = "french") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tokens(uuid, pos, term, kind), term stats(term, df, idf), entry stats(uuid, len))."""
-    toks = analyze(directory, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid")
+    """(tokens(uuid, pos, term, kind), term stats(term, df, idf), entry stats(uuid, len)).
+
+    The token table is materialized once (checkpoint): it is the index that
+    candidates, verification, statistics and highlighting all read.
+    """
+    toks = checkpointed(analyze(directory, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid"))
     n = directory.select("uuid").distinct().agg(F.count(F.lit(1)).alias("_N"))
     k = F.lit(1).alias("_k")
     dfs = (toks.select("term", "uuid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -49,8 +54,8 @@ def resolve_names(mentions: DataFrame, directory: DataFrame, analyzer: str = "fr
     """
     m = mentions.select(F.col("mention")).where(F.col("mention").isNotNull()).distinct()
     toks, dfs, lens = directory_index(directory, analyzer)
-    mq = (analyze(m.withColumn("_id", F.col("mention")), "_id", "mention", analyzer)
-          .select(F.col("doc_id").alias("mention"), "pos", "term").distinct())
+    mq = checkpointed(analyze(m.withColumn("_id", F.col("mention")), "_id", "mention", analyzer)
+                      .select(F.col("doc_id").alias("mention"), "pos", "term").distinct())
     npos = mq.groupBy("mention").agg(F.count_distinct("pos").alias("_npos"))
     # anchor: the position whose terms are rarest in the directory
     weights = (mq.join(dfs.select("term", "df"), "term", "left")

@@ -139,8 +139,10 @@ def walk(adj: DataFrame, max_depth: int = 10_000) -> DataFrame:
 def number_tree(adj: DataFrame, keep_anc: bool = False) -> DataFrame:
     """(id, parent_id, position, title, type) -> TREE_COLS with lft/rgt/level.
 
-    A forest is numbered consecutively, roots in (position, id) order.
+    A forest is numbered consecutively, roots in (position, id) order. The
+    adjacency is materialized once, since every level of the walk reads it.
     """
+    adj = checkpointed(adj.select(*ADJ_COLS))
     w = walk(adj)
     ranked = global_rank(w, [F.col("path")], "_r")
     sizes = w.select(F.explode("anc").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))

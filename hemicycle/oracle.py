@@ -558,3 +558,5 @@ per AS (SELECT page_id, to_json(map_from_entries(list({{'k': name, 'v': content}
 SELECT p.page_id, coalesce(per.m, '{{}}') AS meta_json, coalesce(per.n, 0)::BIGINT AS n_meta
 FROM pages p LEFT JOIN per USING (page_id)
 """
+
+ORACLE["tree_xml_roundtrip"] = ORACLE["tree_numbering"]

@@ -436,3 +436,12 @@ def deputy_profiles(spark, sf_dir):
     """P12-P14 + S4: deputy profiles from member pages, parser chosen by legislature."""
     deps, _ = E.deputies_from_pages(_pages(spark, sf_dir))
     return deps
+
+
+@register("tree_xml_roundtrip")
+def tree_xml_roundtrip(spark, sf_dir):
+    """K5 + S9: the numbered tree exported as flat XML items, read back and renumbered."""
+    from hemicycle.sources import tree_files as TF
+    path = scratch_path(spark, f"tree_xml/{_uuid.uuid4().hex}")
+    TF.write_flat_xml(_numbered(spark, sf_dir), path)
+    return H.number_tree(TF.read_flat_xml(spark, path))
