@@ -172,15 +172,22 @@ def highlight(hits: DataFrame, prefix: str, qterms: DataFrame | None, analyzer:
 # typeahead
 # --------------------------------------------------------------------------
 
-def typeahead(items: DataFrame, q: str, rows: int = TYPEAHEAD_ROWS) -> DataFrame:
+def typeahead(items: DataFrame, q: str, rows: int = TYPEAHEAD_ROWS, matcher=None, sorter=None,
+              highlighter=None) -> DataFrame:
     """O7 three-bucket rank over (item, input_order): begins-with (case-insensitive),
     contains (case-sensitive), contains (case-insensitive); stable inside a bucket;
-    the first ``rows`` items, highlighted (X19)."""
+    the first ``rows`` items, highlighted (X19).
+
+    G4: ``matcher(item, q) -> Column[bool]``, ``sorter(item, q) -> Column`` (bucket key)
+    and ``highlighter(item, q) -> Column[str]`` replace the defaults.
+    """
     lq = q.lower()
-    it = items.where(F.contains(F.lower(F.col("item")), F.lit(lq)))
-    bucket = (F.when(F.lower(F.col("item")).startswith(lq), F.lit(0))
-               .when(F.contains(F.col("item"), F.lit(q)), F.lit(1)).otherwise(F.lit(2)))
-    top = it.withColumn("bucket", bucket).orderBy("bucket", "input_order").limit(rows)
+    item = F.col("item")
+    match = matcher(item, q) if matcher else F.contains(F.lower(item), F.lit(lq))
+    bucket = sorter(item, q) if sorter else (
+        F.when(F.lower(item).startswith(lq), F.lit(0))
+         .when(F.contains(item, F.lit(q)), F.lit(1)).otherwise(F.lit(2)))
+    hl = highlighter(item, q) if highlighter else X.highlight_substring(item, q)
+    top = items.where(match).withColumn("bucket", bucket).orderBy("bucket", "input_order").limit(rows)
     w = Window.orderBy("bucket", "input_order")  # at most `rows` rows
-    return top.select(F.row_number().over(w).cast("bigint").alias("rank"), "item",
-                      X.highlight_substring(F.col("item"), q).alias("highlighted"))
+    return top.select(F.row_number().over(w).cast("bigint").alias("rank"), "item", hl.alias("highlighted"))

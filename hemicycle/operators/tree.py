@@ -227,6 +227,12 @@ def search_ancestors(tree: DataFrame, needle: str, bin_width: int = 16) -> DataF
     return _strict_ancestors_of(tree, hits, bin_width)
 
 
+def search_with_ancestors(tree: DataFrame, needle: str, bin_width: int = 16) -> DataFrame:
+    """F10 + U2 (``show_only_matches``): the matching nodes and all their ancestors, distinct."""
+    hits = tree.where(title_matches(F.col("title"), needle)).select("id", "title")
+    return hits.unionByName(search_ancestors(tree, needle, bin_width)).distinct()
+
+
 def _strict_ancestors_of(tree: DataFrame, hits: DataFrame, bin_width: int) -> DataFrame:
     B = F.lit(bin_width)
     a = tree.select("id", "title", "lft", "rgt",
@@ -453,17 +459,22 @@ def set_data(tree: DataFrame, updates: DataFrame) -> DataFrame:
                 .select(*tree.columns))
 
 
-def apply_edits(tree: DataFrame, edits: list[dict]) -> DataFrame:
+def apply_edits(tree: DataFrame, edits: list[dict], check=None) -> DataFrame:
     """Apply an ordered edit log (create / rename / move / copy / remove).
 
     Each edit is a dict with ``op`` and its arguments; refused edits are
     skipped and recorded in the returned frame's ``_refused`` attribute.
+    ``check`` (G7) is an optional predicate ``(edit, tree) -> bool`` that can
+    refuse an edit before it is applied. The log itself is a short list of
+    user operations; each edit is a set-based job over the whole tree.
     """
     refused = []
     spark = tree.sparkSession
     for e in edits:
         op = e["op"]
         try:
+            if check is not None and not check(e, tree):
+                raise RefusedEdit("refused by check")
             if op == "create":
                 tree = create_node(tree, e["ref_id"], e.get("position", 0), e.get("title"), e.get("type"))
             elif op == "rename":
