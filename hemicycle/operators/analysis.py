@@ -80,3 +80,12 @@ def keyword_topk(tokens: DataFrame, k: int = 20) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("term"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                   .select("doc_id", F.col("rank").cast("bigint").alias("rank"), "term", "tf", "score"))
+
+
+def index_fields(df: DataFrame, id_col: str, fields: list[str], analyzer: str = "french") -> DataFrame:
+    """One token table over several text fields: (doc_id, field, pos, term, kind)."""
+    out = None
+    for f in fields:
+        t = analyze(df.where(F.col(f).isNotNull()), id_col, f, analyzer).withColumn("field", F.lit(f))
+        out = t if out is None else out.unionByName(t)
+    return out.select("doc_id", "field", "pos", "term", "kind")

@@ -129,31 +129,39 @@ def voter_history(ballots: DataFrame, scrutinies: DataFrame, k: int = HISTORY_CA
 # nested document form
 # --------------------------------------------------------------------------
 
-def nest_votes(ballots_g: DataFrame, list_buckets: int = 1) -> DataFrame:
-    """Flat ballots -> one row per roll call with
-    ``votes: array<struct<name, votes: struct<yea, nay, abs: array<voter>>>>``.
-
-    Lists keep page order (``ord``) and keep unresolved (null) voters. With
-    ``list_buckets > 1`` a group is split over that many entries (by a hash of
-    the ballot) so no single list has to hold a hot group; readers that sum or
-    search over entries (tallies, term filters) see the same result.
+MAX_LIST = 10_000  # voters per nested list; larger groups are spread over document parts
+
+
+def nest_votes(ballots_g: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
+    """Flat ballots -> nested documents
+    ``(scrutiny_uuid, part, votes: array<struct<name, votes: struct<yea, nay, abs: array<voter>>>>)``.
+
+    Lists keep page order (``ord``) and keep unresolved (null) voters. A
+    (roll call, group, vote) with n ballots is spread over ceil(n / max_list)
+    hash buckets; bucket i of every group of a roll call goes to document part
+    i. So no list and no document row grows with the data: a hot roll call
+    becomes more parts. Readers that sum or search over parts and entries
+    (tallies, term filters, flattening) see the same result as with one
+    document per roll call (part 0 only, when every group is small).
     """
-    b = ballots_g.withColumn(
-        "_bucket", F.pmod(F.xxhash64("voter_uuid", "ord"), F.lit(list_buckets))
-        if list_buckets > 1 else F.lit(0))
-    lists = (b.groupBy("scrutiny_uuid", "group_name", "_bucket", "vote")
+    keys = ["scrutiny_uuid", "group_name", "vote"]
+    sizes = ballots_g.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_list)))
+    b = (ballots_g.join(sizes, keys)
+                  .withColumn("part", F.when(nb == 1, F.lit(0).cast("long")).otherwise(
+                      F.pmod(F.xxhash64("voter_uuid", "ord"), nb.cast("long")))))
+    lists = (b.groupBy("scrutiny_uuid", "part", "group_name", "vote")
               .agg(F.array_sort(F.collect_list(F.struct("ord", "voter_uuid"))).alias("_l"))
               .withColumn("_l", F.transform("_l", lambda x: x["voter_uuid"])))
-    per_group = (lists.groupBy("scrutiny_uuid", "group_name", "_bucket")
+    per_group = (lists.groupBy("scrutiny_uuid", "part", "group_name")
                       .agg(*[F.max(F.when(F.col("vote") == v, F.col("_l"))).alias(v)
                              for v in ("yea", "nay", "abs")]))
     entry = F.struct(F.col("group_name").alias("name"),
                      F.struct("yea", "nay", "abs").alias("votes"))
-    return (per_group.groupBy("scrutiny_uuid")
+    return (per_group.groupBy("scrutiny_uuid", "part")
                      .agg(F.array_sort(F.collect_list(
-                         F.struct(F.col("group_name").alias("_k"), F.col("_bucket").alias("_b"),
-                                  entry.alias("_e")))).alias("_v"))
-                     .select("scrutiny_uuid", F.transform("_v", lambda x: x["_e"]).alias("votes")))
+                         F.struct(F.col("group_name").alias("_k"), entry.alias("_e")))).alias("_v"))
+                     .select("scrutiny_uuid", "part", F.transform("_v", lambda x: x["_e"]).alias("votes")))
 
 
 def flatten_votes(nested: DataFrame) -> DataFrame:
@@ -171,11 +179,12 @@ def nested_tallies(nested: DataFrame) -> DataFrame:
     def total(v: str) -> Column:
         return F.aggregate(F.col("votes"), F.lit(0).cast("bigint"),
                            lambda acc, g: acc + list_length(g["votes"][v]))
-    return nested.select("scrutiny_uuid", *[total(v).alias(v) for v in ("yea", "nay", "abs")])
+    per_part = nested.select("scrutiny_uuid", *[total(v).alias(v) for v in ("yea", "nay", "abs")])
+    return per_part.groupBy("scrutiny_uuid").agg(*[F.sum(v).cast("bigint").alias(v) for v in ("yea", "nay", "abs")])
 
 
 def filter_voted(nested: DataFrame, voter_uuid, vote: str) -> DataFrame:
-    """roll calls whose ``vote`` lists contain the deputy, on the nested form.
+    """document parts whose ``vote`` lists contain the deputy, on the nested form.
 
     ``array_contains`` over a list holding nulls yields NULL rather than false;
     the coalesce keeps the predicate two-valued.
@@ -214,3 +223,41 @@ def random_pick(deputies: DataFrame, seed: int = 20, score: Column | None = None
                     .orderBy(F.col("_score"), F.col("uuid")).limit(1)
                     .drop("_score")
                     .withColumn("image", thumbnail_path(F.col("uuid"))))
+
+
+# --------------------------------------------------------------------------
+# documents and point lookups
+# --------------------------------------------------------------------------
+
+# The document fields the reference writes for a roll call.
+SCRUTINY_FIELDS = ("uuid", "title", "date", "url", "leg", "num", "keywords", "file_href", "info",
+                   "amendments")
+
+
+def scrutiny_documents(scrutinies: DataFrame, ballots_g: DataFrame, strict: bool = False,
+                       max_list: int = MAX_LIST) -> DataFrame:
+    """K2: whitelisted roll-call fields plus the nested ``votes`` array.
+
+    ``strict`` keeps only the reference's 10 fields (``summary`` dropped, P15);
+    otherwise ``summary`` and ``law_href`` are kept too. Missing fields are null.
+    """
+    keep = list(SCRUTINY_FIELDS) + ([] if strict else ["summary", "law_href"])
+    cols = [F.col(c) if c in scrutinies.columns else F.lit(None).alias(c) for c in keep]
+    docs = scrutinies.select(*cols)
+    nested = nest_votes(ballots_g, max_list).withColumnRenamed("scrutiny_uuid", "uuid")
+    return docs.join(nested, "uuid", "left")
+
+
+def get_deputy(deputies: DataFrame, uuid) -> DataFrame:
+    """Point lookup by key (pushed into the scan); empty when missing."""
+    return deputies.where(F.col("uuid") == F.lit(uuid)).withColumn("image", thumbnail_path(F.col("uuid")))
+
+
+def deputy_page(deputies: DataFrame, ballots: DataFrame, scrutinies: DataFrame, uuid,
+                k: int = HISTORY_CAP) -> tuple[DataFrame, DataFrame]:
+    """J3 + J4 for one deputy: (profile, history by vote type with tallies, latest first)."""
+    b = ballots.where(F.col("voter_uuid") == F.lit(uuid))
+    roll_calls = b.select("scrutiny_uuid").distinct()
+    all_b = ballots.join(roll_calls, "scrutiny_uuid", "left_semi")
+    hist = voter_history(all_b, scrutinies, k).where(F.col("voter_uuid") == F.lit(uuid))
+    return get_deputy(deputies, uuid), hist

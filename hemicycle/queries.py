@@ -62,7 +62,7 @@ def voter_totals(spark, sf_dir):
 @register("votes_nested_roundtrip")
 def votes_nested_roundtrip(spark, sf_dir):
     bg = B.with_group(T.ballots(spark, sf_dir), T.deputies(spark, sf_dir))
-    flat = B.flatten_votes(B.nest_votes(bg, list_buckets=4))
+    flat = B.flatten_votes(B.nest_votes(bg))
     return (flat.groupBy("scrutiny_uuid", "group_name", "vote")
                 .agg(F.count(F.lit(1)).alias("n_ballots"),
                      F.count("voter_uuid").alias("n_resolved")))
@@ -71,14 +71,14 @@ def votes_nested_roundtrip(spark, sf_dir):
 @register("nested_tallies")
 def nested_tallies(spark, sf_dir):
     bg = B.with_group(T.ballots(spark, sf_dir), T.deputies(spark, sf_dir))
-    t = B.nested_tallies(B.nest_votes(bg, list_buckets=4))
+    t = B.nested_tallies(B.nest_votes(bg))
     return t.withColumn("outcome", B.outcome(F.col("yea"), F.col("nay")))
 
 
 @register("term_filter_nested")
 def term_filter_nested(spark, sf_dir):
     d = T.deputies(spark, sf_dir)
-    nested = B.nest_votes(B.with_group(T.ballots(spark, sf_dir), d), list_buckets=4)
+    nested = B.nest_votes(B.with_group(T.ballots(spark, sf_dir), d))
     return B.voted_pairs(nested, d)
 
 

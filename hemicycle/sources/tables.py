@@ -46,11 +46,12 @@ def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduplicate.
     """
     li = table(spark, sf_dir, "lineitem")
-    return (li.select(F.col("l_orderkey").alias("scrutiny_uuid"),
+    # filter on the raw column so parquet gets an In(...) pushdown
+    return (li.where(F.col("l_returnflag").isin(*VOTE_OF_FLAG))
+              .select(F.col("l_orderkey").alias("scrutiny_uuid"),
                       vote_of_flag(F.col("l_returnflag")).alias("vote"),
                       F.col("l_suppkey").alias("voter_uuid"),
-                      F.col("l_linenumber").alias("ord"))
-              .where(F.col("vote").isNotNull()))
+                      F.col("l_linenumber").alias("ord")))
 
 
 def scrutinies(spark: SparkSession, sf_dir: str) -> DataFrame:

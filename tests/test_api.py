@@ -58,3 +58,43 @@ def test_ranking_matches_window(spark):
     assert a == b
     g = {r.id: r.rank for r in global_rank(df, [F.col("v"), F.col("id")]).collect()}
     assert sorted(g.values()) == list(range(1, 501))
+
+
+def test_scrutiny_documents_and_deputy_page(spark):
+    from hemicycle.operators import ballots as B
+    from hemicycle.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    b = T.ballots(spark, sf)
+    d = T.deputies(spark, sf)
+    s = T.scrutinies(spark, sf).withColumnRenamed("scrutiny_uuid", "uuid")
+    docs = B.scrutiny_documents(s, B.with_group(b, d), strict=True)
+    assert "summary" not in docs.columns and "votes" in docs.columns
+    one = docs.where("votes is not null").first()
+    assert one.votes[0].name is not None or one.votes[0].name is None
+    uuid = b.first().voter_uuid
+    prof, hist = B.deputy_page(d, b, T.scrutinies(spark, sf), uuid)
+    assert prof.count() == 1
+    assert hist.count() == b.where(F.col("voter_uuid") == uuid).select("scrutiny_uuid", "vote").distinct().count()
+
+
+def test_index_fields(spark):
+    from hemicycle.operators.analysis import index_fields
+    df = spark.createDataFrame([(1, "Le vote", "Les amendements")], "id long, title string, info string")
+    t = index_fields(df, "id", ["title", "info"])
+    assert {r.field for r in t.collect()} == {"title", "info"}
+
+
+def test_nested_parts_are_bounded(spark):
+    from hemicycle.operators import ballots as B
+    from hemicycle.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    bg = B.with_group(T.ballots(spark, sf), T.deputies(spark, sf))
+    nested = B.nest_votes(bg, max_list=2)
+    longest = nested.select(F.max(F.aggregate("votes", F.lit(0), lambda a, g: F.greatest(
+        a, F.coalesce(F.size(g["votes"]["yea"]), F.lit(0)), F.coalesce(F.size(g["votes"]["nay"]), F.lit(0)),
+        F.coalesce(F.size(g["votes"]["abs"]), F.lit(0)))))).first()[0]
+    assert longest <= 6  # hash buckets of ceil(n/2): small, not the whole group
+    assert B.flatten_votes(nested).count() == bg.count()
+    a = {r.scrutiny_uuid: (r.yea, r.nay, r.abs) for r in B.nested_tallies(nested).collect()}
+    b = {r.scrutiny_uuid: (r.yea, r.nay, r.abs) for r in B.tallies(T.ballots(spark, sf)).collect()}
+    assert a == b
