@@ -213,12 +213,13 @@ def thumbnail_path(uuid: Column) -> Column:
 def random_pick(deputies: DataFrame, seed: int = 20, score: Column | None = None) -> DataFrame:
     """O2: one deputy by a random score over the whole table.
 
-    The default score is a seeded hash of the key, so the pick is reproducible;
-    any Column can be passed as the score (G6). ``orderBy().limit(1)`` plans as
+    The default score is an MD5 of the key and the seed, so the pick is
+    reproducible (and checkable against any SQL engine); any Column can be
+    passed as the score (G6). ``orderBy().limit(1)`` plans as
     TakeOrderedAndProject: a per-partition top-1, then a merge of one row per
     partition.
     """
-    sc = score if score is not None else F.xxhash64(F.col("uuid"), F.lit(seed))
+    sc = score if score is not None else F.md5(F.concat(F.col("uuid").cast("string"), F.lit(f":{seed}")))
     return (deputies.withColumn("_score", sc)
                     .orderBy(F.col("_score"), F.col("uuid")).limit(1)
                     .drop("_score")

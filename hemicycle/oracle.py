@@ -560,3 +560,8 @@ FROM pages p LEFT JOIN per USING (page_id)
 """
 
 ORACLE["tree_xml_roundtrip"] = ORACLE["tree_numbering"]
+
+ORACLE["random_pick"] = f"""
+SELECT uuid, name, party, jurisdiction, 'img/thumbs/' || uuid::VARCHAR || '.jpg' AS image
+FROM ({DEPUTIES_SQL}) d ORDER BY md5(uuid::VARCHAR || ':20'), uuid LIMIT 1
+"""

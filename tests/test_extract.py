@@ -174,3 +174,74 @@ def test_deputy_pages(spark):
     links = E.deputy_list_links(spark.createDataFrame([(5, "http://www.example.org/qui/l.asp", lst)],
                                                       "page_id long, url string, html string")).collect()
     assert links[0].url == "http://www.example.org/11/tribun/fiches/267.asp"
+
+
+# ---- W1 windows against a sequential model of the reference loop ----
+
+class _Reject(Exception):
+    pass
+
+
+def _model_layout1(paras):
+    import re
+    from hemicycle.functions.text import LATIN1_TO_ASCII
+
+    def latin1(s):
+        return "".join(LATIN1_TO_ASCII.get(ord(c), c if ord(c) < 0x80 else "") for c in s)
+
+    yn = re.compile(r"(\w+)\s*:\s+[\(\)\d]+", re.IGNORECASE | re.ASCII)
+    votes, g, v, asm = {}, None, None, None
+    for cls, txt in paras:
+        t = txt.replace(" ", " ")
+        if cls == "nomassemblee":
+            tt = latin1(t)
+            if re.search("assemblee", tt, re.IGNORECASE):
+                asm = "assemblee"
+            elif re.search("senat", tt, re.IGNORECASE):
+                asm = "senat"
+            g = None
+        if asm != "senat":
+            if cls == "nomgroupe":
+                m = re.findall(r"(.+?) \(\d+\)", txt)
+                if not m:
+                    raise _Reject()
+                g = re.sub("groupe ", "", m[0].lower()).strip()
+                votes[g] = {}
+                v = None
+            elif cls == "typevote":
+                if t and yn.match(t):
+                    tok = yn.search(t).groups()[0].lower().strip()
+                    v = {"pour": "yea", "contre": "nay"}.get(tok, "abs")
+                    if g not in votes:
+                        raise _Reject()
+                    votes[g][v] = None
+            elif cls == "noms" and g and v and not votes[g][v]:
+                votes[g][v] = t
+    return {(gg, vv): tt for gg, d in votes.items() for vv, tt in d.items() if tt}
+
+
+def test_layout1_windows_match_model(spark):
+    pool = [("nomassemblee", "Assemblée nationale"), ("nomassemblee", "Sénat"), ("nomassemblee", "Autre"),
+            ("nomgroupe", "Groupe Alpha (3)"), ("nomgroupe", "Groupe Béta (2)"), ("nomgroupe", "sans effectif"),
+            ("typevote", "Pour : 2"), ("typevote", "Contre : 1"), ("typevote", "Abstention : 0"),
+            ("typevote", "Pour: x"), ("noms", "M. X, M. Y"), ("noms", "Mme Z"), (None, "texte")]
+    weights = [2, 1, 1, 3, 3, 1, 3, 3, 2, 1, 4, 4, 1]
+    rnd = random.Random(11)
+    pages, model, rejected = [], {}, set()
+    for pid in range(60):
+        paras = rnd.choices(pool, weights, k=rnd.randint(1, 14))
+        if not any(c == "nomgroupe" for c, _ in paras):
+            paras.append(("nomgroupe", "Groupe Alpha (3)"))  # keep layout 1
+        body = "".join(f'<p class="{c}">{t}</p>' if c else f"<p>{t}</p>" for c, t in paras)
+        pages.append((pid, f"http://h/{pid}", f'<html><body><div id="analyse">{body}</div></body></html>'))
+        try:
+            for (g, v), t in _model_layout1(paras).items():
+                model[(pid, g, v)] = t
+        except _Reject:
+            rejected.add(pid)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    lists, rej = E.ballot_lists(E.facts(df))
+    got_rej = {r.page_id for r in rej.collect()}
+    assert got_rej == rejected
+    got = {(r.page_id, r.group_name, r.vote): r.names_txt for r in lists.collect() if r.page_id not in got_rej}
+    assert got == {k: v for k, v in model.items() if k[0] not in rejected}
