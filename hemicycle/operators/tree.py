@@ -589,6 +589,13 @@ def check_rules(tree: DataFrame, rules: DataFrame, bin_width: int = 16) -> DataF
     return too_many.unionByName(too_deep).unionByName(bad_child)
 
 
+def localized_titles(tree: DataFrame, titles: DataFrame, lang: str) -> DataFrame:
+    """Show the title in ``lang`` when the (id, lang, title) table has one, else the node's own."""
+    t = titles.where(F.col("lang") == F.lit(lang)).select("id", F.col("title").alias("_lt"))
+    return (tree.join(t, "id", "left").withColumn("title", F.coalesce("_lt", "title"))
+                .select(*tree.columns))
+
+
 def node_json(tree: DataFrame) -> DataFrame:
     """The widget's JSON view of a node."""
     state = F.when(F.col("rgt") - F.col("lft") > 1, F.lit("closed")).otherwise(F.lit(""))

@@ -98,3 +98,16 @@ def test_nested_parts_are_bounded(spark):
     a = {r.scrutiny_uuid: (r.yea, r.nay, r.abs) for r in B.nested_tallies(nested).collect()}
     b = {r.scrutiny_uuid: (r.yea, r.nay, r.abs) for r in B.tallies(T.ballots(spark, sf)).collect()}
     assert a == b
+
+
+def test_route_localized_present(spark):
+    from hemicycle.streaming.upsert import route_by_type
+    recs = spark.createDataFrame([("deputy", 1), ("scrutiny", 2), ("other", 3), (None, 4)], "record_type string, v long")
+    r = route_by_type(recs)
+    assert [x.v for x in r["deputy"].collect()] == [1] and sorted(x.v for x in r["other"].collect()) == [3, 4]
+    demo = H.demo_tree(spark)
+    titles = spark.createDataFrame([(2, "fr", "Disque C"), (6, "en", "Drive D")], "id long, lang string, title string")
+    got = {x.id: x.title for x in H.localized_titles(demo, titles, "fr").collect()}
+    assert got[2] == "Disque C" and got[6] == "D:"
+    df = spark.createDataFrame([(None,), ("",), ("x",)], "s string")
+    assert [x[0] for x in df.select(X.present(F.col("s"))).collect()] == [False, False, True]

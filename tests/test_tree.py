@@ -117,6 +117,14 @@ def test_property_random_trees(spark):
         assert [r.status for r in H.analyze(t).collect()] == ["OK"] * 5
         moved = H.move_subtree(t, 7, 3, 1) if not _inside(model, 7, 3) else t
         assert [r.status for r in H.analyze(moved).collect()] == ["OK"] * 5
+        removed = H.remove_subtree(t, 9)
+        assert [r.status for r in H.analyze(removed).collect()] == ["OK"] * 5
+        size9 = (model[9][1] - model[9][0] + 1) // 2
+        assert removed.count() == 60 - size9
+        if not _inside(model, 5, 2):
+            copied = H.copy_subtree(t, 5, 2, 0)
+            assert [r.status for r in H.analyze(copied).collect()] == ["OK"] * 5
+            assert copied.count() == 60 + (model[5][1] - model[5][0] + 1) // 2
 
 
 def _inside(model, a, b):
