@@ -346,8 +346,8 @@ def upsert_stream(spark, sf_dir):
     schema = T.table(spark, sf_dir, "events").schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     run = scratch_path(spark, f"upsert_stream/{_uuid.uuid4().hex}")
-    table = U.SnapshotTable(spark, f"{run}/table")
-    U.stream_upsert(spark, src, table, EVENT_KEY, EVENT_ORDER, f"{run}/checkpoint")
+    table = U.DeltaKeyedTable(spark, f"{run}/table", EVENT_KEY, EVENT_ORDER)
+    U.stream_upsert(spark, src, table, f"{run}/checkpoint")
     return table.current()
 
 

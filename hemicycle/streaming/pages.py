@@ -4,16 +4,18 @@ Pages arrive in micro-batches (a file source over a landing folder). A roll
 call needs three pages (index, vote, info) that may arrive in different
 batches, so each batch:
 
-1. parses only its own pages and upserts their facts into a facts snapshot
-   keyed by URL (a re-crawled page replaces the old one);
+1. parses only its own pages and appends their facts as a delta keyed by URL
+   (a re-crawled page supersedes the old one: latest batch wins);
 2. finds the index rows touched by the batch: rows of a new index page, or
    rows whose vote or info URL is one of the batch's URLs;
 3. re-runs the page chain and ballot windows for those rows only, over the
-   accumulated facts;
-4. upserts the roll calls by uuid and replaces their ballots.
+   merged facts;
+4. appends the roll calls (keyed by uuid) and their ballots as deltas; the
+   ballots of a roll call are the rows of the newest batch that produced it.
 
-Snapshots are versioned by batch id, so a replayed batch rewrites the same
-versions and the sink stays idempotent.
+Every write is a delta named by the batch id, so a batch costs its own size
+(plus the merged read), a replayed batch rewrites the same deltas, and
+``compact`` folds deltas into a base.
 """
 
 from __future__ import annotations
@@ -23,38 +25,52 @@ from pyspark.sql import functions as F
 
 from hemicycle.operators import extract as E
 from hemicycle.sources.html import page_facts_df
-from hemicycle.streaming.upsert import SnapshotTable, keyed_replace
+from hemicycle.streaming.upsert import DeltaKeyedTable
+
+
+class BallotDeltas:
+    """Ballot rows per roll call; the newest batch that wrote a roll call owns its ballots."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._t = DeltaKeyedTable(spark, self.path, ["scrutiny_uuid"], ["_batch"])
+
+    def append_batch(self, ballots: DataFrame, batch_id: int) -> None:
+        ballots.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            f"{self.path}/d{batch_id:08d}")
+
+    def current(self) -> DataFrame | None:
+        ds = self._t._list("d")
+        if not ds:
+            return None
+        rows = self.spark.read.parquet(*[f"{self.path}/d{d:08d}" for d in ds])
+        newest = rows.groupBy("scrutiny_uuid").agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, ["scrutiny_uuid", "_batch"]).drop("_batch")
 
 
 def stream_extract(spark: SparkSession, pages_stream: DataFrame, base: str, checkpoint: str,
                    available_now: bool = True):
-    facts_t = SnapshotTable(spark, f"{base}/facts")
-    scr_t = SnapshotTable(spark, f"{base}/scrutinies")
-    bal_t = SnapshotTable(spark, f"{base}/ballots")
-
-    def previous(table: SnapshotTable, batch_id: int):
-        prev = [v for v in table._versions() if v < batch_id]
-        return spark.read.parquet(f"{table.path}/v{prev[-1]:08d}") if prev else None
+    facts_t = DeltaKeyedTable(spark, f"{base}/facts", ["url"], ["_batch"])
+    scr_t = DeltaKeyedTable(spark, f"{base}/scrutinies", ["uuid"], ["_batch"])
+    bal_t = BallotDeltas(spark, f"{base}/ballots")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         pages = batch.select("page_id", "url", "html")
-        new_facts = page_facts_df(pages).join(pages.select("page_id", "url"), "page_id")
-        old_facts = previous(facts_t, batch_id)
-        all_facts = new_facts if old_facts is None else keyed_replace(old_facts, new_facts, ["url"])
-        facts_t.write(all_facts, batch_id)
-        f = spark.read.parquet(f"{facts_t.path}/v{batch_id:08d}")
+        new_facts = (page_facts_df(pages).join(pages.select("page_id", "url"), "page_id")
+                     .withColumn("_batch", F.lit(batch_id).cast("long")))
+        facts_t.append_batch(new_facts, batch_id)
+        f = facts_t.current()
+        batch_pages = spark.read.parquet(f"{facts_t.path}/d{batch_id:08d}").select("page_id", "url")
         idx = E.index_rows(f)
-        urls = pages.select(F.col("url").alias("_u")).distinct()
-        touched = (idx.join(new_facts.select(F.col("page_id").alias("index_page_id")), "index_page_id", "left_semi")
+        urls = batch_pages.select(F.col("url").alias("_u")).distinct()
+        touched = (idx.join(batch_pages.select(F.col("page_id").alias("index_page_id")),
+                            "index_page_id", "left_semi")
                    .unionByName(idx.join(urls, F.col("url") == F.col("_u"), "left_semi"))
                    .unionByName(idx.join(urls, F.col("file_href") == F.col("_u"), "left_semi"))
                    .distinct())
-        s, b, _ = E.scrutinies_from_facts(f, touched)
-        old_s, old_b = previous(scr_t, batch_id), previous(bal_t, batch_id)
-        scr_t.write(s if old_s is None else keyed_replace(old_s, s, ["uuid"]), batch_id)
-        keys = s.select(F.col("uuid").alias("scrutiny_uuid"))
-        nb = b if old_b is None else old_b.join(keys, "scrutiny_uuid", "left_anti").unionByName(b)
-        bal_t.write(nb, batch_id)
+        s, b, _ = E.scrutinies_from_facts(f.drop("_batch"), touched)
+        scr_t.append_batch(s.withColumn("_batch", F.lit(batch_id).cast("long")), batch_id)
+        bal_t.append_batch(b, batch_id)
 
     w = pages_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
