@@ -30,7 +30,10 @@ ANALYZERS = {
 
 
 def normalized_tokens(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french") -> DataFrame:
-    """Tokenizer .. ASCII folding: (id, pos, term) before stemming / phonetics."""
+    """Tokenizer .. ASCII folding: (id, pos, term) before stemming / phonetics.
+
+    The ``standard`` token filter of the reference chains (T12) is a no-op.
+    """
     tokenizer, elide, stops, _, _ = ANALYZERS[analyzer]
     toks = X.standard_tokens(F.col(text_col)) if tokenizer == "standard" else X.timestamp_tokens(F.col(text_col))
     t = df.select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "tok"))

@@ -136,7 +136,8 @@ def nest_votes(ballots_g: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     """Flat ballots -> nested documents
     ``(scrutiny_uuid, part, votes: array<struct<name, votes: struct<yea, nay, abs: array<voter>>>>)``.
 
-    Lists keep page order (``ord``) and keep unresolved (null) voters. A
+    Lists keep page order (``ord``, A4: ``array_sort(collect_list(struct(ord, voter)))``)
+    and keep unresolved (null) voters. A
     (roll call, group, vote) with n ballots is spread over ceil(n / max_list)
     hash buckets; bucket i of every group of a roll call goes to document part
     i. So no list and no document row grows with the data: a hot roll call
@@ -211,7 +212,7 @@ def thumbnail_path(uuid: Column) -> Column:
 
 
 def random_pick(deputies: DataFrame, seed: int = 20, score: Column | None = None) -> DataFrame:
-    """O2: one deputy by a random score over the whole table.
+    """O2: one deputy by a random score over the whole table (F2: match all).
 
     The default score is an MD5 of the key and the seed, so the pick is
     reproducible (and checkable against any SQL engine); any Column can be

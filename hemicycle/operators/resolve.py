@@ -131,7 +131,9 @@ def search(directory: DataFrame, q: str, cap: int = SEARCH_CAP, analyzer: str =
 
 
 def highlight(hits: DataFrame, prefix: str, qterms: DataFrame | None, analyzer: str) -> DataFrame:
-    """Wrap each name token whose analyzed term (stem or code) matched in <strong>.
+    """X18 + J13: wrap each name token whose analyzed term (stem or code) matched in
+    <strong>, attached to the same hit row. O4: the whole field is one fragment,
+    so the highlight never reorders hits.
 
     The whole field is one fragment (``number_of_fragments: 0``). Tokens and
     the text between them come from the same word pattern, so the rebuilt

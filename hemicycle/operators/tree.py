@@ -110,6 +110,10 @@ def demo_tree(spark: SparkSession) -> DataFrame:
 def walk(adj: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """Level-by-level walk from the roots (parent_id = 0).
 
+    This replaces the reference's stack machine that joins the stack top with
+    its next child one SQL step at a time (J10, O11): one join per level
+    covers every node of that level.
+
     Returns (id, depth, path, anc): ``path`` is the array of (position, id)
     from the root, whose lexicographic order is preorder; ``anc`` the ids from
     the root down to the node. Each level is checkpointed (lineage stays flat,
@@ -241,7 +245,7 @@ def _strict_ancestors_of(tree: DataFrame, hits: DataFrame, bin_width: int) -> Da
                     F.floor(F.col("lft") / B).alias("_hbin"))
     cond = ((F.col("_bin") == F.col("_hbin")) & (F.col("lft") < F.col("h_lft"))
             & (F.col("rgt") > F.col("h_rgt")))
-    return a.join(h, cond, "left_semi").select("id", "title").distinct()
+    return a.join(h, cond, "left_semi").select("id", "title").distinct()  # A5: distinct ids
 
 
 # --------------------------------------------------------------------------
@@ -329,7 +333,8 @@ def get_node(tree: DataFrame, node_id: int):
 
 
 def children(tree: DataFrame, node_id: int) -> DataFrame:
-    """H2: children of a node ordered by position."""
+    """H2 + O5: children of a node ordered by position (structural orders: position,
+    left, level, id are plain ``orderBy``)."""
     return tree.where(F.col("parent_id") == F.lit(node_id)).orderBy("position", "id")
 
 
@@ -371,7 +376,11 @@ def _reseat(adj: DataFrame, node_id: int, ref_id: int, position: int,
 
 
 def remove_subtree(tree: DataFrame, node_id: int) -> DataFrame:
-    """H6: delete the node and its subtree, close the sibling gap, renumber."""
+    """H6: delete the node and its subtree, close the sibling gap, renumber.
+
+    The subtree is excluded by its interval (F13 / U3: rows outside a set of
+    ids; a range predicate here, a ``left_anti`` join for an id list).
+    """
     if node_id == ROOT_ID:
         raise RefusedEdit("the root cannot be removed")
     node = get_node(tree, node_id)
@@ -596,8 +605,24 @@ def localized_titles(tree: DataFrame, titles: DataFrame, lang: str) -> DataFrame
                 .select(*tree.columns))
 
 
+def subtree_size(tree: DataFrame) -> Column:
+    """Nodes in the subtree (itself included): ``(rgt - lft + 1) / 2``."""
+    return ((F.col("rgt") - F.col("lft") + 1) / 2).cast("long")
+
+
+def is_leaf() -> Column:
+    """a leaf has ``rgt - lft = 1``; ``rgt - lft > 1`` has children."""
+    return (F.col("rgt") - F.col("lft")) == 1
+
+
+def children_counts(tree: DataFrame) -> DataFrame:
+    """Adjacency children per node (``count(rchildren)``), zero for leaves."""
+    n = tree.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    return tree.select("id").join(n, "id", "left").fillna(0, ["n_children"])
+
+
 def node_json(tree: DataFrame) -> DataFrame:
-    """The widget's JSON view of a node."""
+    """The widget's JSON view of a node (state from F12: closed when not a leaf)."""
     state = F.when(F.col("rgt") - F.col("lft") > 1, F.lit("closed")).otherwise(F.lit(""))
     js = F.to_json(F.struct(
         F.struct(F.concat(F.lit("node_"), F.col("id").cast("string")).alias("id"),
@@ -607,7 +632,7 @@ def node_json(tree: DataFrame) -> DataFrame:
 
 
 def dump(tree: DataFrame) -> DataFrame:
-    """Rows in left order with an indented label."""
+    """S7 / H14 + X20: rows in left order with an indented label (``repeat`` + ``concat_ws``)."""
     label = F.concat(F.repeat(F.lit("  "), F.col("level").cast("int")), F.col("id").cast("string"),
                      F.lit(" ("), F.concat_ws(",", *[F.col(c).cast("string") for c in
                                                     ("lft", "rgt", "level", "parent_id", "position")]),

@@ -30,3 +30,10 @@ def project_fields(df: DataFrame, fields: str | None) -> DataFrame:
 def json_lines(df: DataFrame) -> DataFrame:
     """K4: one JSON document per row (``value`` column), ready for ``write.text``."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def apply_pipeline(df: DataFrame, steps) -> DataFrame:
+    """Ordered item pipelines as chained ``DataFrame.transform`` calls."""
+    for step in steps:
+        df = df.transform(step)
+    return df

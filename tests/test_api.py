@@ -111,3 +111,14 @@ def test_route_localized_present(spark):
     assert got[2] == "Disque C" and got[6] == "D:"
     df = spark.createDataFrame([(None,), ("",), ("x",)], "s string")
     assert [x[0] for x in df.select(X.present(F.col("s"))).collect()] == [False, False, True]
+
+
+def test_tree_helpers_and_pipeline(spark):
+    demo = H.demo_tree(spark)
+    got = {r.id: (r.s, r.leaf) for r in demo.select("id", H.subtree_size(demo).alias("s"),
+                                                    H.is_leaf().alias("leaf")).collect()}
+    assert got[1] == (7, False) and got[12] == (1, True) and got[5] == (2, False)
+    cc = {r.id: r.n_children for r in H.children_counts(demo).collect()}
+    assert cc[1] == 2 and cc[2] == 2 and cc[4] == 0
+    out = P.apply_pipeline(demo, [lambda d: d.where("level > 0"), lambda d: d.select("id")])
+    assert out.count() == 6
