@@ -565,3 +565,36 @@ ORACLE["random_pick"] = f"""
 SELECT uuid, name, party, jurisdiction, 'img/thumbs/' || uuid::VARCHAR || '.jpg' AS image
 FROM ({DEPUTIES_SQL}) d ORDER BY md5(uuid::VARCHAR || ':20'), uuid LIMIT 1
 """
+
+
+def _adj_of(tree: str) -> str:
+    return f"(SELECT id, parent_id, position, title, type FROM {tree})"
+
+
+# The edit log of queries.TREE_EDITS, step by step (each structural step renumbers).
+ORACLE["tree_edits"] = TREE_BASE + """,
+mx0 AS (SELECT max(id) AS m FROM tree0),
+adj_n AS (SELECT id, parent_id, position, title, type FROM tree0
+          UNION ALL SELECT m + 1, 3, 0, 'new node', 'nation' FROM mx0),
+adj1 AS (""" + _reseat_sql("adj_n", "(SELECT m + 1 FROM mx0)", 3, 0, "-1") + """),
+adj2 AS (SELECT id, parent_id, position, CASE WHEN id = 10 THEN 'Renamed' ELSE title END AS title, type
+         FROM adj1),
+adj3 AS (""" + _reseat_sql("adj2", 12, 2, 99, "(SELECT parent_id FROM adj2 WHERE id = 12)") + "),\n" + \
+    numbering_ctes("adj3", "tree3") + """,
+src AS (SELECT d.*, row_number() OVER (ORDER BY d.level, d.id) AS r
+        FROM tree3 n JOIN tree3 d ON n.id = 13 AND d.lft >= n.lft AND d.rgt <= n.rgt),
+mx3 AS (SELECT max(id) AS m FROM tree3),
+copies AS (SELECT (mx3.m + s.r)::BIGINT AS id,
+                  CASE WHEN s.id = 13 THEN 4::BIGINT ELSE (mx3.m + p.r)::BIGINT END AS parent_id,
+                  s.position, s.title, s.type
+           FROM src s CROSS JOIN mx3 LEFT JOIN src p ON p.id = s.parent_id),
+adj_c AS (SELECT id, parent_id, position, title, type FROM tree3 UNION ALL SELECT * FROM copies),
+adj4 AS (""" + _reseat_sql("adj_c", "(SELECT m + 1 FROM mx3)", 4, 1, "-1") + "),\n" + \
+    numbering_ctes("adj4", "tree4") + """,
+gone AS (SELECT d.id FROM tree4 n JOIN tree4 d ON n.id = 14 AND d.lft >= n.lft AND d.rgt <= n.rgt),
+kept AS (SELECT * FROM tree4 WHERE id NOT IN (SELECT id FROM gone)),
+adj5 AS (SELECT id, parent_id,
+                CASE WHEN parent_id = (SELECT parent_id FROM tree4 WHERE id = 14)
+                     THEN (row_number() OVER (PARTITION BY parent_id ORDER BY position, id) - 1)::BIGINT
+                     ELSE position END AS position, title, type FROM kept),
+""" + numbering_ctes("adj5", "tree5") + "SELECT * FROM tree5"
