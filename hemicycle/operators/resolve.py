@@ -164,7 +164,7 @@ def highlight(hits: DataFrame, prefix: str, qterms: DataFrame | None, analyzer:
         F.element_at(seps, i + 2)))
     out = hits.join(flags, "uuid", "left").withColumn("_fl", F.coalesce("_fl", F.array().cast(
         "array<struct<pos:int,_f:boolean>>")))
-    w = Window.orderBy(F.col("score").desc(), F.col("uuid"))
+    w = Window.orderBy(F.col("score").desc(), F.col("uuid"))  # over at most `cap` hits
     return out.select("uuid", "name",
                       F.concat(F.element_at(seps, 1), F.array_join(marked, "")).alias("name_highlight"),
                       "score", F.row_number().over(w).cast("bigint").alias("rank"))

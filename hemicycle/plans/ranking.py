@@ -35,6 +35,7 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") ->
           .withColumn("_local", F.monotonically_increasing_id()
                       - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition: a single-task window and a broadcast of a proven size
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (s.join(F.broadcast(offsets), "_pid")
