@@ -195,7 +195,15 @@ def containment_pairs(tree: DataFrame, strict: bool = False, bin_width: int = 16
 
 
 def descendants(tree: DataFrame, bin_width: int = 16) -> DataFrame:
-    """H3 for every node: (ancestor_id, id, distance), inclusive of the node itself."""
+    """H3 for every node: (ancestor_id, id, distance), inclusive of the node itself.
+
+    A tree numbered with ``keep_anc=True`` carries each node's ancestor ids
+    (root first), so the pairs are one ``posexplode`` with no join (the
+    path-prefix form); a tree given only as a nested set uses the bin join.
+    """
+    if "anc" in tree.columns:
+        return tree.select("id", "level", F.posexplode("anc").alias("_i", "ancestor_id")).select(
+            "ancestor_id", "id", (F.col("level") - F.col("_i")).alias("distance"))
     p = containment_pairs(tree, strict=False, bin_width=bin_width)
     return p.select(F.col("a_id").alias("ancestor_id"), F.col("d_id").alias("id"),
                     (F.col("d_level") - F.col("a_level")).alias("distance"))
@@ -207,7 +215,11 @@ def paths(tree: DataFrame, bin_width: int = 16, sep: str = "/") -> DataFrame:
     Output (id, level, path_ids, path_titles); the per-node list is bounded
     by the tree depth.
     """
-    p = containment_pairs(tree, strict=False, bin_width=bin_width)
+    if "anc" in tree.columns:
+        p = tree.select(F.col("id").alias("d_id"), F.col("level").alias("d_level"),
+                        F.posexplode("anc").alias("a_level", "a_id"))
+    else:
+        p = containment_pairs(tree, strict=False, bin_width=bin_width)
     t = tree.select(F.col("id").alias("a_id"), F.col("title").alias("a_title"))
     per = (p.join(t, "a_id")
             .groupBy(F.col("d_id").alias("id"), F.col("d_level").alias("level"))

@@ -598,3 +598,5 @@ adj5 AS (SELECT id, parent_id,
                      THEN (row_number() OVER (PARTITION BY parent_id ORDER BY position, id) - 1)::BIGINT
                      ELSE position END AS position, title, type FROM kept),
 """ + numbering_ctes("adj5", "tree5") + "SELECT * FROM tree5"
+
+ORACLE["tree_descendants_nested_set"] = ORACLE["tree_descendants"]

@@ -123,12 +123,18 @@ def tree_numbering(spark, sf_dir):
 
 @register("tree_descendants")
 def tree_descendants(spark, sf_dir):
+    return H.descendants(H.number_tree(H.tree_from_tables(spark, sf_dir), keep_anc=True))
+
+
+@register("tree_descendants_nested_set")
+def tree_descendants_nested_set(spark, sf_dir):
+    """J5 on the nested set alone (lft/rgt, no ancestor lists): the bin equi-join."""
     return H.descendants(_numbered(spark, sf_dir))
 
 
 @register("tree_path")
 def tree_path(spark, sf_dir):
-    return H.paths(_numbered(spark, sf_dir))
+    return H.paths(H.number_tree(H.tree_from_tables(spark, sf_dir), keep_anc=True))
 
 
 @register("tree_search")

@@ -131,3 +131,12 @@ def _inside(model, a, b):
     la, ra, _ = model[a]
     lb, rb, _ = model[b]
     return la <= lb and rb <= ra
+
+
+def test_descendants_path_form_equals_bin_join(spark):
+    rws = _random_forest(80, 5)
+    adj = spark.createDataFrame(rws, "id long, parent_id long, position long, title string, type string")
+    with_anc = H.number_tree(adj, keep_anc=True)
+    a = sorted(tuple(r) for r in H.descendants(with_anc).collect())
+    b = sorted(tuple(r) for r in H.descendants(with_anc.drop("anc"), bin_width=4).collect())
+    assert a == b and len(a) > 80
