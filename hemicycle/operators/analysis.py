@@ -92,3 +92,16 @@ def index_fields(df: DataFrame, id_col: str, fields: list[str], analyzer: str =
         t = analyze(df.where(F.col(f).isNotNull()), id_col, f, analyzer).withColumn("field", F.lit(f))
         out = t if out is None else out.unionByName(t)
     return out.select("doc_id", "field", "pos", "term", "kind")
+
+
+def scrutiny_keywords(scrutinies: DataFrame, k: int = 20, analyzer: str = "french") -> DataFrame:
+    """A9 on roll calls: keywords of ``title + summary + info + amendments`` (missing
+    fields empty), at most ``k`` per roll call, best first, as the document's
+    ``keywords`` array (bounded by k)."""
+    text = F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) if c in scrutinies.columns else F.lit("")
+                               for c in ("title", "summary", "info", "amendments")])
+    toks = normalized_tokens(scrutinies.select("uuid", text.alias("_text")), "uuid", "_text", analyzer)
+    top = keyword_topk(toks, k)
+    return (top.groupBy(F.col("doc_id").alias("uuid"))
+               .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_k"))
+               .select("uuid", F.transform("_k", lambda x: x["term"]).alias("keywords")))

@@ -122,3 +122,13 @@ def test_tree_helpers_and_pipeline(spark):
     assert cc[1] == 2 and cc[2] == 2 and cc[4] == 0
     out = P.apply_pipeline(demo, [lambda d: d.where("level > 0"), lambda d: d.select("id")])
     assert out.count() == 6
+
+
+def test_scrutiny_keywords(spark):
+    from hemicycle.operators.analysis import scrutiny_keywords
+    s = spark.createDataFrame([("13-1", "Budget de la défense", "Crédits militaires", None, "budget budget"),
+                               ("13-2", "Réforme des retraites", None, "âge légal", None)],
+                              "uuid string, title string, summary string, info string, amendments string")
+    kw = {r.uuid: r.keywords for r in scrutiny_keywords(s, k=3).collect()}
+    assert kw["13-1"][0] == "budget" and len(kw["13-1"]) == 3
+    assert set(kw["13-2"]) <= {"reforme", "retraites", "age", "legal"}
