@@ -535,20 +535,16 @@ def sort_siblings(tree: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def duplicate_siblings(tree: DataFrame, case_insensitive: bool = True) -> DataFrame:
-    """Sibling titles used more than once under one parent.
+    """Nodes whose title is used more than once under their parent.
 
-    Output (parent_id, title_key, n, ids) with ``ids`` the comma-joined sorted
-    node ids; one row per duplicated (parent, title) - bounded by the group.
+    One row per offending node: (parent_id, title_key, id, n) with n the size
+    of its (parent, title) group - a violations frame, never a collected list.
     """
     t = F.lower(F.col("title")) if case_insensitive else F.col("title")
-    g = (tree.groupBy("parent_id", t.alias("title_key"))
-             .agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") > 1))
-    ids = (tree.select("parent_id", t.alias("title_key"), "id")
-               .join(g.select("parent_id", "title_key"), ["parent_id", "title_key"], "left_semi"))
-    return ids.groupBy("parent_id", "title_key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(F.array_sort(F.collect_list(F.col("id"))).cast("array<string>"), ",").alias("ids"))
+    keyed = tree.select("parent_id", t.alias("title_key"), "id")
+    g = (keyed.groupBy("parent_id", "title_key").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") > 1))
+    return keyed.join(g, ["parent_id", "title_key"]).select("parent_id", "title_key", "id", "n")
 
 
 def rollup_checked(tree: DataFrame, leaf_flags: DataFrame, bin_width: int = 16) -> DataFrame:
@@ -610,6 +606,37 @@ def check_rules(tree: DataFrame, rules: DataFrame, bin_width: int = 16) -> DataF
     return too_many.unionByName(too_deep).unionByName(bad_child)
 
 
+def catalog_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second hierarchy from ``part``: root -> p_type -> p_brand -> item (p_name).
+
+    Ids: root 1, then types, then (type, brand) pairs by dense rank, then
+    items after them by p_partkey. Positions follow key order per parent
+    (skew-safe ranks); item titles repeat under a brand, which A10 reports.
+    """
+    from hemicycle.sources.tables import table
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_name")
+    types = global_rank(p.select("p_type").distinct(), [F.col("p_type")], "_t")
+    brands = global_rank(p.select("p_type", "p_brand").distinct(), [F.col("p_type"), F.col("p_brand")], "_b")
+    n_types = types.count()
+    n_brands = brands.count()
+    root = spark.range(1).select(F.lit(ROOT_ID).cast("long").alias("id"), F.lit(0).cast("long").alias("parent_id"),
+                                 F.lit(0).cast("long").alias("position"), F.lit("CATALOG").alias("title"),
+                                 F.lit("root").alias("type"))
+    type_rows = types.select((F.col("_t") + 1).alias("id"), F.lit(ROOT_ID).cast("long").alias("parent_id"),
+                             (F.col("_t") - 1).alias("position"), F.col("p_type").alias("title"),
+                             F.lit("type").alias("type"))
+    b = rank_in_groups(brands.join(types, "p_type"), ["p_type"], [F.col("p_brand")], "_pos")
+    brand_rows = b.select((F.col("_b") + 1 + n_types).alias("id"), (F.col("_t") + 1).alias("parent_id"),
+                          (F.col("_pos") - 1).alias("position"), F.col("p_brand").alias("title"),
+                          F.lit("brand").alias("type"))
+    it = rank_in_groups(p.join(brands, ["p_type", "p_brand"]), ["_b"], [F.col("p_partkey")], "_pos")
+    item_rows = it.select((F.col("p_partkey") + 2 + n_types + n_brands).alias("id"),
+                          (F.col("_b") + 1 + n_types).alias("parent_id"), (F.col("_pos") - 1).alias("position"),
+                          F.col("p_name").alias("title"), F.lit("item").alias("type"))
+    return root.unionByName(type_rows).unionByName(brand_rows).unionByName(item_rows)
+
+
 def localized_titles(tree: DataFrame, titles: DataFrame, lang: str) -> DataFrame:
     """Show the title in ``lang`` when the (id, lang, title) table has one, else the node's own."""
     t = titles.where(F.col("lang") == F.lit(lang)).select("id", F.col("title").alias("_lt"))

@@ -242,11 +242,39 @@ WHERE NOT (r.valid_children IS NULL OR list_contains(r.valid_children, 'all')
 """
 
 ORACLE["tree_dupes"] = TREE_BASE + """
-SELECT parent_id, lower(title) AS title_key, count(*)::BIGINT AS n,
-       string_agg(id::VARCHAR, ',' ORDER BY id) AS ids
-FROM tree0 GROUP BY parent_id, lower(title) HAVING count(*) > 1
+SELECT parent_id, title_key, id, count(*) OVER (PARTITION BY parent_id, title_key)::BIGINT AS n
+FROM (SELECT parent_id, lower(title) AS title_key, id FROM tree0) t
+QUALIFY count(*) OVER (PARTITION BY parent_id, title_key) > 1
 """
 
+CATALOG_ADJ_SQL = """
+  WITH ty AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS t FROM (SELECT DISTINCT p_type FROM part)),
+  br AS (SELECT p_type, p_brand, row_number() OVER (ORDER BY p_type, p_brand) AS b
+         FROM (SELECT DISTINCT p_type, p_brand FROM part)),
+  nt AS (SELECT count(*) AS n FROM ty), nb AS (SELECT count(*) AS n FROM br)
+  SELECT 1::BIGINT AS id, 0::BIGINT AS parent_id, 0::BIGINT AS position, 'CATALOG' AS title, 'root' AS type
+  UNION ALL
+  SELECT (t + 1)::BIGINT, 1::BIGINT, (t - 1)::BIGINT, p_type, 'type' FROM ty
+  UNION ALL
+  SELECT (b + 1 + nt.n)::BIGINT, (t + 1)::BIGINT,
+         (row_number() OVER (PARTITION BY br.p_type ORDER BY p_brand) - 1)::BIGINT, p_brand, 'brand'
+  FROM br JOIN ty USING (p_type) CROSS JOIN nt
+  UNION ALL
+  SELECT (p_partkey + 2 + nt.n + nb.n)::BIGINT, (b + 1 + nt.n)::BIGINT,
+         (row_number() OVER (PARTITION BY b ORDER BY p_partkey) - 1)::BIGINT, p_name, 'item'
+  FROM part JOIN br USING (p_type, p_brand) CROSS JOIN nt CROSS JOIN nb
+"""
+
+ORACLE["catalog_dupes"] = f"""
+WITH c AS ({CATALOG_ADJ_SQL})
+SELECT parent_id, title_key, id, count(*) OVER (PARTITION BY parent_id, title_key)::BIGINT AS n
+FROM (SELECT parent_id, lower(title) AS title_key, id FROM c) t
+QUALIFY count(*) OVER (PARTITION BY parent_id, title_key) > 1
+"""
+
+ORACLE["catalog_numbering"] = (f"WITH RECURSIVE adjc AS ({CATALOG_ADJ_SQL}),"
+                               + numbering_ctes("adjc", "cat") + "SELECT * FROM cat")
+
 ORACLE["tree_rollup"] = TREE_BASE + """,
 leaves AS (SELECT t.id, coalesce(c.c_acctbal > 0, false) AS c FROM tree0 t
            LEFT JOIN customer c ON c.c_custkey + 100 = t.id WHERE t.rgt - t.lft = 1),

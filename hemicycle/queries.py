@@ -178,6 +178,18 @@ def tree_dupes(spark, sf_dir):
     return H.duplicate_siblings(_numbered(spark, sf_dir))
 
 
+@register("catalog_dupes")
+def catalog_dupes(spark, sf_dir):
+    """A10 / H16 on the part catalogue hierarchy, where item titles repeat under a brand."""
+    return H.duplicate_siblings(H.catalog_tree(spark, sf_dir))
+
+
+@register("catalog_numbering")
+def catalog_numbering(spark, sf_dir):
+    """H10 on the part catalogue hierarchy (root -> type -> brand -> item)."""
+    return H.number_tree(H.catalog_tree(spark, sf_dir))
+
+
 @register("tree_rollup")
 def tree_rollup(spark, sf_dir):
     flags = T.table(spark, sf_dir, "customer").select(
