@@ -7,6 +7,8 @@ same column names. Counts are cast to BIGINT, doubles rounded alike.
 
 from __future__ import annotations
 
+from hemicycle.functions import text as _X
+
 ORACLE: dict[str, str] = {}
 
 # ballots as SQL: lineitem with the flag mapping of hemicycle.sources.tables
@@ -303,8 +305,6 @@ FROM tree0
 
 # ---------------------------------------------------------------- text analysis
 
-from hemicycle.functions import text as _X  # noqa: E402
-
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
