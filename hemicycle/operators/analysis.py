@@ -29,36 +29,41 @@ ANALYZERS = {
 }
 
 
-def normalized_tokens(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french") -> DataFrame:
+def normalized_tokens(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french",
+                      keep: list[str] = ()) -> DataFrame:
     """Tokenizer .. ASCII folding: (id, pos, term) before stemming / phonetics.
 
     The ``standard`` token filter of the reference chains (T12) is a no-op.
     """
     tokenizer, elide, stops, _, _ = ANALYZERS[analyzer]
     toks = X.standard_tokens(F.col(text_col)) if tokenizer == "standard" else X.timestamp_tokens(F.col(text_col))
-    t = df.select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "tok"))
+    keep = list(keep)
+    t = df.select(*keep, F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "tok"))
     term = F.lower(F.col("tok"))
     if elide:
         term = X.elision(term)
-    t = t.select("doc_id", "pos", term.alias("term"))
+    t = t.select(*keep, "doc_id", "pos", term.alias("term"))
     if stops:
         t = t.where(~F.col("term").isin(*X.stop_words(stops)))
-    return t.select("doc_id", "pos", X.ascii_fold(F.col("term")).alias("term")).where(F.col("term") != "")
+    return (t.select(*keep, "doc_id", "pos", X.ascii_fold(F.col("term")).alias("term"))
+             .where(F.col("term") != ""))
 
 
 def analyze(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french",
-            stem: bool = True, phonetic: bool = True) -> DataFrame:
-    """Full analyzer: (doc_id, pos, term, kind); term and injected code in one pass."""
+            stem: bool = True, phonetic: bool = True, keep: list[str] = ()) -> DataFrame:
+    """Full analyzer: (doc_id, pos, term, kind) plus the ``keep`` columns; term and
+    injected code in one pass."""
     _, _, _, lang, phon = ANALYZERS[analyzer]
-    t = normalized_tokens(df, id_col, text_col, analyzer)
+    keep = list(keep)
+    t = normalized_tokens(df, id_col, text_col, analyzer, keep)
     if stem and lang:
         vocab = stem_vocabulary(t, "term", lang)
-        t = t.join(vocab, "term").select("doc_id", "pos", F.col("stem").alias("term"))
+        t = t.join(vocab, "term").select(*keep, "doc_id", "pos", F.col("stem").alias("term"))
     kinds = [F.struct(F.col("term").alias("term"), F.lit("term").alias("kind"))]
     if phonetic and phon:
         kinds.append(F.struct(X.refined_soundex(F.col("term")).alias("term"), F.lit("phon").alias("kind")))
-    return (t.select("doc_id", "pos", F.explode(F.array(*kinds)).alias("_t"))
-             .select("doc_id", "pos", "_t.term", "_t.kind")
+    return (t.select(*keep, "doc_id", "pos", F.explode(F.array(*kinds)).alias("_t"))
+             .select(*keep, "doc_id", "pos", "_t.term", "_t.kind")
              .where(F.col("term").isNotNull()))
 
 

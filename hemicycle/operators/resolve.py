@@ -29,21 +29,24 @@ SEARCH_CAP = 1000      # the reference's search result size
 TYPEAHEAD_ROWS = 8     # the widget's visible rows
 
 
-def directory_index(directory: DataFrame, analyzer: str = "french") -> tuple[DataFrame, DataFrame, DataFrame]:
+def directory_index(directory: DataFrame, analyzer: str = "french",
+                    toks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tokens(uuid, pos, term, kind), term stats(term, df, idf), entry stats(uuid, len)).
 
     The token table is materialized once (checkpoint): it is the index that
     candidates, verification, statistics and highlighting all read.
     """
-    toks = checkpointed(analyze(directory, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid"))
+    if toks is None:
+        toks = checkpointed(analyze(directory, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid"))
     n = directory.select("uuid").distinct().agg(F.count(F.lit(1)).alias("_N"))
     k = F.lit(1).alias("_k")
     dfs = (toks.select("term", "uuid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("*", k).join(n.select("*", k), "_k")
                .withColumn("idf", 1 + F.log(F.col("_N") / (F.col("df") + 1)))
                .select("term", "df", "idf"))
+    # one 'term' token per position: the entry length is a plain count
     lens = (toks.where(F.col("kind") == "term").groupBy("uuid")
-                .agg(F.count_distinct("pos").alias("len")))
+                .agg(F.count(F.lit(1)).alias("len")))
     return toks, dfs, lens
 
 
@@ -53,10 +56,21 @@ def resolve_names(mentions: DataFrame, directory: DataFrame, analyzer: str = "fr
     An empty mention, or one made only of stop words, resolves to null.
     """
     m = mentions.select(F.col("mention")).where(F.col("mention").isNotNull()).distinct()
-    toks, dfs, lens = directory_index(directory, analyzer)
-    mq = checkpointed(analyze(m.withColumn("_id", F.col("mention")), "_id", "mention", analyzer)
-                      .select(F.col("doc_id").alias("mention"), "pos", "term").distinct())
-    npos = mq.groupBy("mention").agg(F.count_distinct("pos").alias("_npos"))
+    # one analyzer pass (one stemming vocabulary, one materialization) over
+    # directory names and mentions together
+    uuid_type = directory.schema["uuid"].dataType
+    both = (directory.select(F.lit("d").alias("_side"), F.col("uuid").cast("string").alias("_key"),
+                             F.col("name").alias("_text"))
+            .unionByName(m.select(F.lit("m").alias("_side"), F.col("mention").alias("_key"),
+                                  F.col("mention").alias("_text"))))
+    all_toks = checkpointed(analyze(both, "_key", "_text", analyzer, keep=["_side"]))
+    toks = all_toks.where(F.col("_side") == "d").select(
+        F.col("doc_id").cast(uuid_type).alias("uuid"), "pos", "term", "kind")
+    toks, dfs, lens = directory_index(directory, analyzer, toks)
+    mq_k = (all_toks.where(F.col("_side") == "m")
+                    .select(F.col("doc_id").alias("mention"), "pos", "term", "kind"))
+    npos = mq_k.where(F.col("kind") == "term").groupBy("mention").agg(F.count(F.lit(1)).alias("_npos"))
+    mq = mq_k.select("mention", "pos", "term").distinct()
     # anchor: the position whose terms are rarest in the directory
     weights = (mq.join(dfs.select("term", "df"), "term", "left")
                  .groupBy("mention", "pos").agg(F.sum(F.coalesce("df", F.lit(0))).alias("_w")))
@@ -68,10 +82,11 @@ def resolve_names(mentions: DataFrame, directory: DataFrame, analyzer: str = "fr
     # verify every position on (uuid, term)
     checks = cand.join(mq, "mention")
     matched = checks.join(toks.select("uuid", "term").distinct(), ["uuid", "term"], "left_semi")
-    scored = (matched.join(dfs.select("term", "idf"), "term").join(lens, "uuid")
-                     .groupBy("mention", "uuid")
-                     .agg(F.count_distinct("pos").alias("_hit"),
-                          F.sum(F.col("idf") * F.col("idf") / F.sqrt(F.col("len"))).alias("_s"))
+    per_pos = (matched.join(dfs.select("term", "idf"), "term").join(lens, "uuid")
+                      .groupBy("mention", "uuid", "pos")
+                      .agg(F.sum(F.col("idf") * F.col("idf") / F.sqrt(F.col("len"))).alias("_ps")))
+    scored = (per_pos.groupBy("mention", "uuid")
+                     .agg(F.count(F.lit(1)).alias("_hit"), F.sum("_ps").alias("_s"))
                      .join(npos, "mention")
                      .where(F.col("_hit") == F.col("_npos"))
                      .withColumn("score", F.round(F.col("_s"), 9)))
