@@ -111,14 +111,15 @@ def voter_history(ballots: DataFrame, scrutinies: DataFrame, k: int = HISTORY_CA
     """
     docs = (ballots.where(F.col("voter_uuid").isNotNull())
                    .select("voter_uuid", "vote", "scrutiny_uuid").distinct())
-    t = tallies(ballots)
-    s = scrutinies.select("scrutiny_uuid", "date")
+    # per-roll-call facts (tallies, date) are joined before ranking: one
+    # shuffle of the history by roll call, then one by deputy for the window
+    info = tallies(ballots).join(scrutinies.select("scrutiny_uuid", "date"), "scrutiny_uuid", "left")
     w = Window.partitionBy("voter_uuid", "vote").orderBy(F.col("date").desc_nulls_last(),
                                                           F.col("scrutiny_uuid"))
-    ranked = (docs.join(s, "scrutiny_uuid", "left")
+    ranked = (docs.join(info, "scrutiny_uuid")
                   .withColumn("rn", F.row_number().over(w))
                   .where(F.col("rn") <= k))
-    return (ranked.join(t, "scrutiny_uuid", "left")
+    return (ranked
                   .select("voter_uuid", "vote", "scrutiny_uuid",
                           display_date(F.col("date")).alias("date_display"),
                           F.col("rn").cast("bigint").alias("rn"),
