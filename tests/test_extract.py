@@ -245,3 +245,13 @@ def test_layout1_windows_match_model(spark):
     assert got_rej == rejected
     got = {(r.page_id, r.group_name, r.vote): r.names_txt for r in lists.collect() if r.page_id not in got_rej}
     assert got == {k: v for k, v in model.items() if k[0] not in rejected}
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<html><body>" + "<font>" * 5000 + "<p>Groupe Alpha (3)</p>" + "</body></html>"
+    root = Hh.parse(deep)
+    assert sum(1 for _ in Hh.iter_elements(root)) > 5000
+    facts = Hh.page_facts(1, deep)
+    assert facts["paragraphs"][0]["txt"] == "Groupe Alpha (3)"
+    out = Hh._safe(lambda pid, h: 1 / 0, 7, "x")
+    assert out["page_id"] == 7 and out["parse_error"].startswith("ZeroDivisionError")
