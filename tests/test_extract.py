@@ -82,6 +82,7 @@ def test_scrutinies_and_ballots(spark, pages):
     assert sc["13-0848"].summary == "Compte rendu"
     assert sc["13-0848"].law_href == "http://law.example/1"
     assert sc["13-0848"].file_href == f"{BASE}/dossiers/x.asp"
+    assert {r.group_key for r in b.collect()} == {"alpha", "beta", "ecologie", "indep"}
     got = sorted((r.scrutiny_uuid, r.group_name, r.vote, r.ord, r.voter_name) for r in b.collect())
     assert got == sorted([
         ("13-0848", "alpha", "yea", 0, "Jean Dupont"), ("13-0848", "alpha", "yea", 1, "Paul Durand"),
@@ -92,6 +93,16 @@ def test_scrutinies_and_ballots(spark, pages):
     assert rej.count() == 0
 
 
+def test_save_rollcalls_partitioned(spark, pages):
+    import os
+    import tempfile
+    s, b, _ = E.scrutinies_from_pages(pages)
+    out = tempfile.mkdtemp(prefix="rollcalls-")
+    E.save_rollcalls(s, b, out)
+    assert os.path.isdir(f"{out}/ballots/leg=13") and os.path.isdir(f"{out}/scrutinies/leg=13")
+    assert spark.read.parquet(f"{out}/ballots").where("leg = '13'").count() == 8
+
+
 def test_strict_quirks(spark, pages):
     s, _, _ = E.scrutinies_from_pages(pages, strict=True)
     assert "summary" not in s.columns
