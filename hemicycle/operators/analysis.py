@@ -31,22 +31,27 @@ ANALYZERS = {
 
 def normalized_tokens(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french",
                       keep: list[str] = ()) -> DataFrame:
-    """Tokenizer .. ASCII folding: (id, pos, term) before stemming / phonetics.
+    """Tokenizer .. ASCII folding: (doc_id, pos, term) before stemming / phonetics.
 
     The ``standard`` token filter of the reference chains (T12) is a no-op.
     """
     tokenizer, elide, stops, _, _ = ANALYZERS[analyzer]
     toks = X.standard_tokens(F.col(text_col)) if tokenizer == "standard" else X.timestamp_tokens(F.col(text_col))
     keep = list(keep)
-    t = df.select(*keep, F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "tok"))
-    term = F.lower(F.col("tok"))
-    if elide:
-        term = X.elision(term)
-    t = t.select(*keep, "doc_id", "pos", term.alias("term"))
+
+    def norm(t: Column) -> Column:
+        t = F.lower(t)
+        return X.elision(t) if elide else t
+
+    # normalize inside the token array (each step evaluated once per token),
+    # keeping each token's original position, then explode the survivors
+    arr = F.transform(toks, lambda t, i: F.struct(i.alias("pos"), norm(t).alias("term")))
     if stops:
-        t = t.where(~F.col("term").isin(*X.stop_words(stops)))
-    return (t.select(*keep, "doc_id", "pos", X.ascii_fold(F.col("term")).alias("term"))
-             .where(F.col("term") != ""))
+        stop_list = X.stop_words(stops)
+        arr = F.filter(arr, lambda x: ~x["term"].isin(*stop_list))
+    arr = F.transform(arr, lambda x: F.struct(x["pos"].alias("pos"), X.ascii_fold(x["term"]).alias("term")))
+    arr = F.filter(arr, lambda x: x["term"] != "")
+    return df.select(*keep, F.col(id_col).alias("doc_id"), F.inline(arr))
 
 
 def analyze(df: DataFrame, id_col: str, text_col: str, analyzer: str = "french",
