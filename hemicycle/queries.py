@@ -317,9 +317,9 @@ def _name_lists(spark, sf_dir):
 def clean_names(spark, sf_dir):
     """X7 + X2: split each list and clean each name; empty entries dropped."""
     lists = _name_lists(spark, sf_dir)
-    ex = lists.select("p_partkey", F.posexplode(X.split_names(F.col("names_text"))).alias("i", "raw"))
-    return (ex.select("p_partkey", (F.col("i") + 1).alias("ord"), X.clean_name(F.col("raw")).alias("name"))
-              .where(F.col("name") != ""))
+    names = F.transform(X.split_names(F.col("names_text")),
+                        lambda raw, i: F.struct((i + 1).alias("ord"), X.clean_name(raw).alias("name")))
+    return lists.select("p_partkey", F.inline(F.filter(names, lambda n: n["name"] != "")))
 
 
 @register("name_resolution")
