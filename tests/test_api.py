@@ -132,3 +132,18 @@ def test_scrutiny_keywords(spark):
     kw = {r.uuid: r.keywords for r in scrutiny_keywords(s, k=3).collect()}
     assert kw["13-1"][0] == "budget" and len(kw["13-1"]) == 3
     assert set(kw["13-2"]) <= {"reforme", "retraites", "age", "legal"}
+
+
+def test_ranking_with_a_hot_group(spark):
+    from pyspark.sql import Window
+    n = 3000
+    # group 0 holds a third of all rows
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50 + 1).alias("g"),
+                               (F.col("id") * 7919 % 10007).alias("v"), "id")
+    got = {r.id: r.rn for r in rank_in_groups(df, ["g"], [F.col("v"), F.col("id")]).collect()}
+    w = Window.partitionBy("g").orderBy("v", "id")
+    want = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
+    # the hot group is spread over several sort partitions, not one task
+    s = df.orderBy("g", "v", "id").withColumn("p", F.spark_partition_id())
+    assert s.where("g = 0").select("p").distinct().count() > 1
