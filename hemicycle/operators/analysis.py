@@ -84,12 +84,10 @@ def keyword_topk(tokens: DataFrame, k: int = 20) -> DataFrame:
     before the shuffle, so a long document sends at most k rows per partition.
     """
     tf = term_frequencies(tokens)
-    n_docs = tokens.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("_N"))
+    n_docs = tokens.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("_N")).scalar()
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    k1 = F.lit(1).alias("_k")
     scored = (tf.join(df_, "term")
-                .select("*", k1).join(n_docs.select("*", k1), "_k")
-                .withColumn("score", F.round(F.col("tf") * F.log(F.col("_N") / F.col("_df")), 6)))
+                .withColumn("score", F.round(F.col("tf") * F.log(n_docs / F.col("_df")), 6)))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("term"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                   .select("doc_id", F.col("rank").cast("bigint").alias("rank"), "term", "tf", "score"))

@@ -38,11 +38,9 @@ def directory_index(directory: DataFrame, analyzer: str = "french",
     """
     if toks is None:
         toks = checkpointed(analyze(directory, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid"))
-    n = directory.select("uuid").distinct().agg(F.count(F.lit(1)).alias("_N"))
-    k = F.lit(1).alias("_k")
+    n = directory.select("uuid").distinct().agg(F.count(F.lit(1)).alias("_N")).scalar()
     dfs = (toks.select("term", "uuid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-               .select("*", k).join(n.select("*", k), "_k")
-               .withColumn("idf", 1 + F.log(F.col("_N") / (F.col("df") + 1)))
+               .withColumn("idf", 1 + F.log(n / (F.col("df") + 1)))
                .select("term", "df", "idf"))
     # one 'term' token per position: the entry length is a plain count
     lens = (toks.where(F.col("kind") == "term").groupBy("uuid")
