@@ -47,3 +47,14 @@ def test_no_nested_loop_or_cartesian_join(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "BroadcastNestedLoopJoin" not in p
     assert "CartesianProduct" not in p
+
+
+PYTHON_BACKED = {"stem_vocab", "french_analyzer_tokens", "name_resolution", "prefix_search_highlight",
+                 "page_blocks", "page_join_chain", "rollcall_extract", "deputy_profiles"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON_BACKED))
+def test_native_queries_run_no_python(spark, name):
+    p = plan(QUERIES[name](spark, SF))
+    for op in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonUDF"):
+        assert op not in p, op
