@@ -126,12 +126,12 @@ def search(directory: DataFrame, q: str, cap: int = SEARCH_CAP, analyzer: str =
                  "_id", "mention", analyzer).select("pos", "term").distinct() if head else None
     score = F.lit(1.0) / F.sqrt(F.col("len"))
     if hq is not None:
-        npos = hq.select("pos").distinct().count()
+        npos = hq.select("pos").distinct().agg(F.count(F.lit(1))).scalar()
         matched = toks.select("uuid", "term").distinct().join(hq, "term").join(cand, "uuid", "left_semi")
         hs = (matched.join(dfs.select("term", "idf"), "term")
                      .groupBy("uuid").agg(F.count_distinct("pos").alias("_hit"),
                                           F.sum(F.col("idf") * F.col("idf")).alias("_w"))
-                     .where(F.col("_hit") == F.lit(npos)))
+                     .where(F.col("_hit") == npos))
         cand = cand.join(hs.select("uuid", "_w"), "uuid")
         score = (F.col("_w") + F.lit(1.0)) / F.sqrt(F.col("len"))
         qterms = matched.select("uuid", "term")

@@ -616,8 +616,8 @@ def catalog_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     types = global_rank(p.select("p_type").distinct(), [F.col("p_type")], "_t")
     brands = global_rank(p.select("p_type", "p_brand").distinct(), [F.col("p_type"), F.col("p_brand")], "_b")
-    n_types = types.count()
-    n_brands = brands.count()
+    n_types = types.agg(F.count(F.lit(1))).scalar()
+    n_brands = brands.agg(F.count(F.lit(1))).scalar()
     root = spark.range(1).select(F.lit(ROOT_ID).cast("long").alias("id"), F.lit(0).cast("long").alias("parent_id"),
                                  F.lit(0).cast("long").alias("position"), F.lit("CATALOG").alias("title"),
                                  F.lit("root").alias("type"))
