@@ -318,7 +318,8 @@ def clean_names(spark, sf_dir):
     """X7 + X2: split each list and clean each name; empty entries dropped."""
     lists = _name_lists(spark, sf_dir)
     names = F.transform(X.split_names(F.col("names_text")),
-                        lambda raw, i: F.struct((i + 1).alias("ord"), X.clean_name(raw).alias("name")))
+                        lambda raw, i: F.struct((i + 1).cast("long").alias("ord"),
+                                                X.clean_name(raw).alias("name")))
     return lists.select("p_partkey", F.inline(F.filter(names, lambda n: n["name"] != "")))
 
 
