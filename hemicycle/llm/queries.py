@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import exact_dedup, secrets
+from hemicycle.llm import exact_dedup, pii, secrets
 from hemicycle.sources.tables import table
 
 
@@ -14,11 +14,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op6_exact_dedup)}
+    f.__name__: f for f in (op1_secrets, op3_pii, op6_exact_dedup)}
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
