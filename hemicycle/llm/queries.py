@@ -6,23 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import exact_dedup, pii, secrets
+from hemicycle.llm import exact_dedup, minmax_dedup, pii, secret_scan
 from hemicycle.sources.tables import table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.report(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op3_pii, op6_exact_dedup)}
+    f.__name__: f for f in (op1_secrets, op3_pii, op5_minmax_dedup, op6_exact_dedup)}
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
