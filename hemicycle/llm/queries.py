@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import exact_dedup, minmax_dedup, pii, secret_scan
+from hemicycle.llm import exact_dedup, langid, minmax_dedup, pii, quality, secret_scan
 from hemicycle.sources.tables import table
 
 
@@ -26,7 +26,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op3_pii, op5_minmax_dedup, op6_exact_dedup)}
+    f.__name__: f for f in (op1_secrets, op3_pii, op5_minmax_dedup, op6_exact_dedup,
+                              op9_quality, op10_langid)}
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
