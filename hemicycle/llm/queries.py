@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import exact_dedup, langid, minmax_dedup, pii, quality, secret_scan
+from hemicycle.llm import exact_dedup, html_blocks, langid, minmax_dedup, pii, quality, secret_scan
 from hemicycle.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.report(table(spark, sf_dir, "pages"))
+
+
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.report(table(spark, sf_dir, "documents"), width=2)
 
@@ -35,7 +39,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op3_pii, op5_minmax_dedup, op6_exact_dedup,
+    f.__name__: f for f in (op1_secrets, op3_pii, op4_html, op5_minmax_dedup, op6_exact_dedup,
                               op9_quality, op10_langid)}
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
