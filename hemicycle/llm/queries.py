@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import exact_dedup, html_blocks, langid, minmax_dedup, pii, quality, secret_scan
+from hemicycle.llm import exact_dedup, html_blocks, langid, minmax_dedup, packing, pii, quality, secret_scan
 from hemicycle.sources.tables import table
 
 
@@ -14,6 +14,16 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -39,7 +49,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op3_pii, op4_html, op5_minmax_dedup, op6_exact_dedup,
+    f.__name__: f for f in (op1_secrets, op2_packing, op3_pii, op4_html, op5_minmax_dedup, op6_exact_dedup,
                               op9_quality, op10_langid)}
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
