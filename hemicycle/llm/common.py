@@ -104,17 +104,19 @@ def _pow_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray,
+          inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first) of the words of the texts ``data[off[i]:off[i+1]]``.
 
-    ``first[i]:first[i+1]`` are the words of text i. Words end at white space
-    and at the end of their text.
+    ``first[i]:first[i+1]`` are the words of text i. Words are runs of bytes
+    marked in ``inside`` (without it: other than white space) within one text.
     """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    inside = ~_SPACE[data]
+    if inside is None:
+        inside = ~_SPACE[data]
     prev = np.empty(n, bool)
     prev[0] = False
     prev[1:] = inside[:-1]
