@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import decontaminate, exact_dedup, html_blocks, langid, minmax_dedup, packing, pii, quality, secret_scan
+from hemicycle.llm import decontaminate, exact_dedup, html_blocks, langid, minmax_dedup, packing, pii, quality, secret_scan, substring_dedup
 from hemicycle.sources.tables import table
 
 
@@ -40,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secrets, op2_packing, op3_pii, op4_html, op5_minmax_dedup, op6_exact_dedup,
-                              op8_decontaminate, op9_quality, op10_langid)}
+                              op7_substring_dedup, op8_decontaminate, op9_quality, op10_langid)}
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
