@@ -34,6 +34,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """Two 64-bit hashes of (id, text), ``rk1`` and ``rk2``: name a row alike in every scan.
+
+    Row numbers of a scan would not do: how files are split may change when executors are lost.
+    Rows equal in id and text share their keys.
+    """
+    d, t = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [F.xxhash64(d, t).alias("rk1"), F.xxhash64(t, d.isNull(), d).alias("rk2")]
+
+
+def keep_rows(df: DataFrame, decided: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``df`` by ``decided`` (rk1, rk2, kept: one row per decided row); of rows equal in id and text one stays."""
+    by_key = stored(decided.groupBy("rk1", "rk2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+                    .filter("not kept or times > 1"), "keys")
+    body = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("body")
+    rows = df.select(body, *row_keys(doc_id, text))
+    out = rows.join(by_key.select("rk1", "rk2"), ["rk1", "rk2"], "left_anti").select("body")
+    repeated = by_key.filter("kept").select("rk1", "rk2")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, ["rk1", "rk2"], "left_semi").dropDuplicates(["rk1", "rk2"]).select("body"))
+    return out.select("body.*")
+
+
 def fold_of(doc_id: Column | str, mod: int) -> Column:
     """``crc32(doc_id as text) mod n``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import stored
+from hemicycle.llm.common import row_keys, stored
 from hemicycle.plans.ranking import checkpointed
 
 BLOCK_BITS = 32768
@@ -36,11 +36,11 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, n, sha): one narrow row per input row."""
+    """(row, doc_id, n, sha, rk1, rk2): one narrow row per input row."""
     t = F.coalesce(F.col(text), F.lit(""))
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
                      F.length(t).cast("long").alias("n"),
-                     _row_key(t).alias("sha"))
+                     _text_key(t).alias("sha"), *row_keys(doc_id, text))
 
 
 def _positions(blocks: int) -> tuple[Column, list[Column]]:
@@ -72,7 +72,7 @@ def possibly_repeated(fp: DataFrame, filt: DataFrame, blocks: int) -> Column | D
             .drop("block", "bits"))
 
 
-def _row_key(text: Column) -> Column:
+def _text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, WHITE_SPACE, "").cast("binary"), 256))
 
 
@@ -86,7 +86,7 @@ class Decisions:
         self.blocks = (bits + BLOCK_BITS - 1) // BLOCK_BITS
         self.filter = checkpointed(repeat_filter(fp, self.blocks))
         self.marked = possibly_repeated(fp, self.filter, self.blocks)
-        self.again = self.marked.filter("maybe").select("row", "doc_id", "n", "sha")
+        self.again = self.marked.filter("maybe").select("row", "doc_id", "n", "sha", "rk1", "rk2")
         best = F.min(F.struct((-F.col("n")).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", "row"))
         # written before the join, so that a hot group meets it in a join whose large side can be split
         self.groups = checkpointed(self.again.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"),
@@ -108,8 +108,7 @@ class Decisions:
 def decide(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits: int) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, sha): the decision for every input row.
 
-    ``row`` numbers the rows of ``df`` in scan order, so ``df`` should be a
-    table read. Of equal texts the longest original stays, then the smallest doc_id.
+    Of equal texts the longest original stays, then the smallest doc_id.
     """
     return Decisions(df, text, doc_id, **limits).rows()
 
@@ -117,17 +116,17 @@ def decide(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits:
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits: int) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Rows whose fingerprint cannot be repeated pass through the second scan
-    with their text; only possibly repeated rows are joined with the kept row numbers.
+    Rows whose fingerprint cannot be repeated pass straight through the second scan
+    with their text; only possibly repeated rows are joined with the keys of the kept ones.
     """
     done = Decisions(df, text, doc_id, **limits)
     body = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("body")
-    rows = df.select(F.monotonically_increasing_id().alias("row"), body,
-                     _row_key(F.coalesce(F.col(text), F.lit(""))).alias("sha"))
+    rows = df.select(body, _text_key(F.coalesce(F.col(text), F.lit(""))).alias("sha"), *row_keys(doc_id, text))
     marked = possibly_repeated(rows, done.filter, done.blocks)
     once = marked.filter(~F.col("maybe")).select("body")
-    keep = checkpointed(done.groups.select(F.col("keep_row").alias("row")))
-    again = marked.filter("maybe").join(keep, "row", "left_semi").select("body")
+    keep = checkpointed(done.again.join(done.groups.select(F.col("keep_row").alias("row")), "row").select("rk1", "rk2"))
+    again = (marked.filter("maybe").join(keep, ["rk1", "rk2"], "left_semi")
+             .dropDuplicates(["rk1", "rk2"]).select("body"))  # rows equal in id and text share their keys
     return once.unionByName(again).select("body.*")
 
 
