@@ -8,7 +8,8 @@
    Y's range; the SVD of the small B gives the term vectors. One pass, and
    sums of fixed size (``FEATURES`` x ``RANK``) whatever the input.
 3. *Cosine candidate search*: all windows of all texts (half overlapping, in
-   widths matched to the item lengths) against the items, in the whitened latent space.
+   widths matched to the item lengths) against the items, in the whitened latent space. Windows that hold too few
+   rare words of any item to pass step 4 are not projected.
 4. *Verification* of candidates in the same task, on the words themselves: the
    longest common subsequence of the item with the best span near the window
    must reach ``LCS`` of the item, and its rarest words (the answer words, where the
@@ -211,6 +212,10 @@ class Items:
         """(first word, end word, LCS share) of the best span of ``text`` near ``lo:hi``, if it holds the item."""
         n = len(self.words[item])
         lo, hi = max(0, lo - n), min(len(text), hi + n)
+        region = np.sort(text[lo:hi])
+        at = np.minimum(np.searchsorted(region, self.rare[item]), len(region) - 1)
+        if (region[at] == self.rare[item]).mean() < ANSWER:
+            return None
         hit = np.isin(text[lo:hi], self.words[item])
         need = LCS * n
         if hit.sum() < need:
@@ -233,24 +238,30 @@ def find(h: np.ndarray, first: np.ndarray, code: np.ndarray, items: Items) -> li
     starts, text = _cut(first, STEP)
     if not len(starts) or not items.groups:
         return []
-    sums = np.zeros((len(starts) + 1, RANK))
-    for i in range(0, len(starts), 4096):
-        part = starts[i:i + 4096]
-        end = starts[i + 4096] if i + 4096 < len(starts) else len(h)
-        sums[i + 1:i + 1 + len(part)] = np.add.reduceat(code[_feature(h[part[0]:end])], part - part[0], axis=0)
-    sums = np.cumsum(sums, axis=0)
-    block_first = np.searchsorted(text, np.arange(len(first)))
-    place = np.arange(len(starts)) - block_first[text]
-    # a window without enough rare words of any item needs no look at its words
+    feature = _feature(h)
+    code = np.concatenate([code, np.zeros((1, RANK), np.float32)])
+    # a window without enough rare words of any item cannot be verified: it is not even projected
     slot = np.minimum(np.searchsorted(items.all_rare, h), len(items.all_rare) - 1)
     rare = np.concatenate([[0], np.cumsum(items.all_rare[slot] == h)])
     size = np.array([len(w) for w in items.words])
+    place = starts - first[text]
     found: dict[tuple[int, int], list] = {}
     for width, index, latent in items.groups:
-        blocks = width // STEP
-        at = np.flatnonzero(place % (blocks // 2) == 0)
-        stop = np.minimum(at + blocks, block_first[text[at] + 1])
-        x = (sums[stop] - sums[at]).astype(np.float32)
+        at = np.flatnonzero(place % (width // 2) == 0)
+        near = size[index].max()
+        lo = np.maximum(starts[at] - near, first[text[at]])
+        hi = np.minimum(starts[at] + width + near, first[text[at] + 1])
+        at = at[rare[hi] - rare[lo] >= items.need[index].min()]
+        if not len(at):
+            continue
+        stop = np.minimum(starts[at] + width, first[text[at] + 1])
+        n = stop - starts[at]
+        # places past the end of a text read a zero row, so all windows have one shape
+        x = np.empty((len(at), RANK), np.float32)
+        for i in range(0, len(at), 128):
+            step = np.arange(width)
+            word = np.minimum(starts[at[i:i + 128], None] + step, len(h) - 1)
+            x[i:i + 128] = code[np.where(step < n[i:i + 128, None], feature[word], FEATURES)].sum(1)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         cosine = x @ latent.T
         a, j = np.nonzero(cosine >= COSINE)
