@@ -38,7 +38,7 @@ FEATURES, RANK = 2048, 64
 PASSAGE = 48
 STEP = 12
 WIDTHS = (24, 48, 96)
-COSINE, LCS, ANSWER = 0.35, 0.7, 0.6
+COSINE, LCS, ANSWER = 0.2, 0.7, 0.6
 RARE_SHARE = 0.25
 MIN_WORDS = 5
 BLOCK_ITEMS = 2000
@@ -188,7 +188,11 @@ class Items:
             self.masks.append(mask)
             latent.append(code[_feature(h)].sum(0))
         self.all_rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.rare]))
-        self.need = np.array([int(np.ceil(ANSWER * len(r))) for r in self.rare], int)
+        self.need = np.array([int(np.ceil(ANSWER * len(np.unique(r)))) for r in self.rare], int)
+        # rare word -> items that hold it
+        pairs = sorted({(int(np.searchsorted(self.all_rare, w)), i) for i, r in enumerate(self.rare) for w in r})
+        self.holder = np.array([i for _, i in pairs], np.int64)
+        self.held = np.searchsorted(np.array([s for s, _ in pairs]), np.arange(len(self.all_rare) + 1))
         latent = np.array(latent, np.float32).reshape(-1, RANK)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         size = np.array([len(w) for w in self.words], int)
@@ -242,7 +246,15 @@ def find(h: np.ndarray, first: np.ndarray, code: np.ndarray, items: Items) -> li
     code = np.concatenate([code, np.zeros((1, RANK), np.float32)])
     # a window without enough rare words of any item cannot be verified: it is not even projected
     slot = np.minimum(np.searchsorted(items.all_rare, h), len(items.all_rare) - 1)
-    rare = np.concatenate([[0], np.cumsum(items.all_rare[slot] == h)])
+    hit = np.flatnonzero(items.all_rare[slot] == h)
+    rare = np.zeros(len(h) + 1, np.int64)
+    rare[hit + 1] = 1
+    rare = np.cumsum(rare)
+    # places of every item's own rare words, as one sorted key (item, place)
+    n = np.diff(items.held)[slot[hit]]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    base = len(h) + 1
+    own = np.sort(items.holder[np.repeat(items.held[slot[hit]], n) + nth] * base + np.repeat(hit, n))
     size = np.array([len(w) for w in items.words])
     place = starts - first[text]
     found: dict[tuple[int, int], list] = {}
@@ -268,7 +280,7 @@ def find(h: np.ndarray, first: np.ndarray, code: np.ndarray, items: Items) -> li
         item = index[j]
         lo = np.maximum(starts[at[a]] - size[item], first[text[at[a]]])
         hi = np.minimum(starts[at[a]] + width + size[item], first[text[at[a]] + 1])
-        ok = rare[hi] - rare[lo] >= items.need[item]
+        ok = np.searchsorted(own, item * base + hi) - np.searchsorted(own, item * base + lo) >= items.need[item]
         for a, j in zip(a[ok], j[ok], strict=True):  # noqa: PLW2901,B020
             t, item = int(text[at[a]]), int(index[j])
             body = h[first[t]:first[t + 1]]

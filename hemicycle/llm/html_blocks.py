@@ -37,7 +37,7 @@ SAMPLE_PAGES = 300
 PATH_DIM, WORD_DIM, MEASURES = 48, 24, 6
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 16
-EPOCHS = 8
+EPOCHS = 10
 _BATCH = 64
 
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
@@ -305,13 +305,17 @@ def variants(pages: list[list], seed: int = 2) -> tuple[list[list], list[np.ndar
 
     out, labels = list(pages), [np.array([weak_label(b[0]) for b in p], np.float32) for p in pages]
     for p, y in zip(list(out), list(labels), strict=True):
-        for _ in range(2):
+        for _ in range(4):
             wrap = one((("article",), ("main",), ("main", "article"), ("article", "div content"),
                         ("section", "article"), *(("div", f"div {w}") for w in GOOD_WORDS),
                         *((f"div {w}",) for w in GOOD_WORDS)))
             rename = rng.random() < 0.7
+            thin = rng.random() < 0.4  # short pages: a few blocks of the text, little around it
+            keep = min(1.0, float(rng.integers(1, 8)) / max(y.sum(), 1))
             seq, lab = [], []
             for b, v in zip(p, y, strict=True):
+                if thin and rng.random() > (keep if v else 0.3):
+                    continue
                 path = tuple(s for step in b[0] for s in (wrap if rename and v and step.split()[0] in GOOD_TAGS else (step,)))
                 while rng.random() < 0.18:
                     seq.append(boilerplate(path[:-1] if v else ("html", "body")))
@@ -323,7 +327,7 @@ def variants(pages: list[list], seed: int = 2) -> tuple[list[list], list[np.ndar
                 lab.append(int(v))
             if rng.random() < 0.5:  # a run of reader comments or notices after the text, inside or outside its wrapper
                 inner = wrap if rng.random() < 0.5 else ()
-                step = one(("section", "div", "ul", "ol")) + " " + one(BAD_WORDS)
+                step = one(("section", "div", "ul", "ol")) + " " + one((*BAD_WORDS, *["comments"] * 6, *["comment"] * 3))
                 for _ in range(int(rng.integers(1, 5))):
                     seq.append((("html", "body", *inner, step, *one((("p",), ("li",), ("div", "p"), ()))), one(pool), 0.0))
                     lab.append(0)

@@ -110,6 +110,7 @@ class FactorisationMachine:
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray) -> FactorisationMachine:
         """AdaGrad on the logistic loss; ``rows`` holds (bucket, value, stats) per sample row."""
         if not len(y):
+            self.v[:] = 0  # nothing learned: every score is 0.5
             return self
         stats = np.stack([r[2] for r in rows])
         self.mean, self.std = stats.mean(0), np.maximum(stats.std(0), 1e-6)

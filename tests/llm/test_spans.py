@@ -1,0 +1,92 @@
+"""Secret scan and personal data."""
+
+import random
+import re
+
+from hemicycle.llm import pii, secret_scan
+
+
+def plain_secrets(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(
+        r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text)
+        if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def plain_pii(text):
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+            if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((2, *m.span()))
+    out += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+            if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return out
+
+
+def test_base_patterns_on_random_texts():
+    rnd = random.Random(4)
+    bits = ["a", "@", "b.c", ".", "1", "23", "255.", " ", "-", "+", "(", "4012888888881881", "%", "token", ": ", "=", "AKIA",
+            "ABCDEFGHIJKLMNOP01", "deadbeef0123456789abcdef", "'", '"', "api_key", "PassWord", "é"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25)))
+        assert pii.base_spans(text) == plain_pii(text)
+        assert [s[:3] for s in secret_scan.base_spans(text)] == plain_secrets(text)
+
+
+def test_long_runs_take_linear_time():
+    for s in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 50_000):
+        pii.base_spans(s + " x@y.zz")
+
+
+def test_secret_report(spark, docs):
+    rows = {r.doc_id: r for r in secret_scan.report(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        assert rows[i].base_sha256 == secret_scan.base_digest(text)
+        assert rows[i].n_hex == sum(k == 2 for _, k, _ in plain_secrets(text))
+        assert all(f"{secret_scan.KINDS[k]}:{s}:{e}" in rows[i].spans for s, k, e in plain_secrets(text))
+
+
+def test_markov_adds_random_strings_only(docs):
+    model = secret_scan.train(docs)
+    for s in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEX9MPLEKEY", "sk-proj-8fJ2kQ9xLm4Tz7Vb1Nc6Rd3W"):
+        (found,) = secret_scan.find(f"the key {s} here", model)
+        assert found[1] == 3 and found[3] == s and found[0] == 8
+    for s in ("get_user_name_from_table2", "thhetionsandmanythings12", "/path/to/some/file/name2024"):
+        assert not secret_scan.find(f"call {s} here", model)
+
+
+def test_secret_odd_rows(odd, none):
+    rows = secret_scan.report(odd).collect()
+    assert len(rows) == odd.count() and all(r.spans == "" and r.n_assign == 0 for r in rows)
+    assert secret_scan.report(none).collect() == []
+
+
+def test_pii_report(docs):
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    for r in docs.collect():
+        assert rows[r.doc_id].base_sha256 == pii.base_digest(r.text)
+        assert rows[r.doc_id].n_card == sum(k == 2 for k, _, _ in plain_pii(r.text))
+
+
+def test_pii_additions(docs):
+    model = pii.train(docs.select("doc_id", "text"))
+    kinds = lambda t: [(pii.KINDS[k], t[s:e], b) for k, s, e, _, b in pii.find(t, model)]
+    assert kinds("please call (523) 555-1055 today") == [("phone", "(523) 555-1055", False)]
+    assert kinds("card 4111.1111.1111.1111 ok") == [("card", "4111.1111.1111.1111", False)]
+    assert kinds("mail jane (at) example (dot) com now") == [("email", "jane (at) example (dot) com", False)]
+    for text in ("on 2024-05-06 we met", "id 1234567890123456 here", "he looked at example. Then he left", "room 12, 13 and 14"):
+        assert kinds(text) == []
+    assert pii.redact("a@b.cd and x", [(0, 6)]) == "[REDACTED] and x"
+
+
+def test_pii_odd_rows(odd, none):
+    rows = pii.report(odd).collect()
+    assert len(rows) == odd.count() and sum(len(r.spans) > 0 for r in rows) == 0
+    assert pii.report(none).collect() == []
