@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hemicycle.llm import bloom
 from hemicycle.session import scratch_path
 
 U64 = np.uint64
@@ -57,6 +58,17 @@ def keep_rows(df: DataFrame, decided: DataFrame, doc_id: str, text: str) -> Data
     return out.select("body.*")
 
 
+def rows_named(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` joined with the table ``wanted`` on (rk1, rk2).
+
+    A Bloom filter of the wanted keys, broadcast in a bounded size, holds back nearly all other rows before the shuffle.
+    """
+    blocks = bloom.blocks_for(wanted.count())
+    filt = stored(bloom.build(wanted, F.col("rk1"), blocks), "filter")
+    return bloom.test(df, F.col("rk1"), filt, blocks, "_maybe").filter("_maybe").drop("_maybe").join(
+        wanted.hint("merge"), ["rk1", "rk2"])
+
+
 def fold_of(doc_id: Column | str, mod: int) -> Column:
     """``crc32(doc_id as text) mod n``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,12 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hemicycle.llm import bloom
 from hemicycle.llm.common import row_keys, stored
 from hemicycle.plans.ranking import checkpointed
 
-BLOCK_BITS = 32768
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -43,35 +41,6 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                      _text_key(t).alias("sha"), *row_keys(doc_id, text))
 
 
-def _positions(blocks: int) -> tuple[Column, list[Column]]:
-    h = F.xxhash64("sha")
-    pos = [F.pmod(F.shiftrightunsigned(h, s), F.lit(BLOCK_BITS)).cast("int") for s in (3, 31)]
-    return F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(blocks)).cast("int"), pos
-
-
-def repeat_filter(fp: DataFrame, blocks: int) -> DataFrame:
-    """(block, bits): Bloom filter of the positions set by two rows or more."""
-    block, pos = _positions(blocks)
-    hits = (fp.select(block.alias("block"), F.explode(F.array_distinct(F.array(*pos))).alias("bit"))
-            .groupBy("block", "bit").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1"))
-    return hits.groupBy("block").agg(F.expr("bitmap_construct_agg(cast(bit as bigint))").alias("bits"))
-
-
-def _is_set(bits: Column, pos: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, pos % 8) == 1
-
-
-def possibly_repeated(fp: DataFrame, filt: DataFrame, blocks: int) -> Column | DataFrame:
-    """``fp`` with a boolean ``maybe``: false only for fingerprints that occur once."""
-    block, pos = _positions(blocks)
-    # at most MAX_BITS / 8 bytes: bounded whatever the number of rows
-    return (fp.withColumn("block", block).join(F.broadcast(filt), "block", "left")
-            .withColumn("maybe", F.coalesce(_is_set(F.col("bits"), pos[0]) & _is_set(F.col("bits"), pos[1]),
-                                            F.lit(False)))
-            .drop("block", "bits"))
-
-
 def _text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, WHITE_SPACE, "").cast("binary"), 256))
 
@@ -80,12 +49,11 @@ class Decisions:
     """The stored first pass over one table: fingerprints, repeat filter and decided groups."""
 
     def __init__(self, df: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                 bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS):
+                 bits_per_row: int = bloom.BITS_PER_KEY, max_bits: int = bloom.MAX_BITS):
         fp = stored(fingerprints(df, text, doc_id), "fingerprints")
-        bits = min(max(fp.count() * bits_per_row, BLOCK_BITS), max_bits)
-        self.blocks = (bits + BLOCK_BITS - 1) // BLOCK_BITS
-        self.filter = checkpointed(repeat_filter(fp, self.blocks))
-        self.marked = possibly_repeated(fp, self.filter, self.blocks)
+        self.blocks = bloom.blocks_for(fp.count(), bits_per_row, max_bits)
+        self.filter = checkpointed(bloom.build(fp, F.col("sha"), self.blocks, least=2))
+        self.marked = bloom.test(fp, F.col("sha"), self.filter, self.blocks)
         self.again = self.marked.filter("maybe").select("row", "doc_id", "n", "sha", "rk1", "rk2")
         best = F.min(F.struct((-F.col("n")).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", "row"))
         # written before the join, so that a hot group meets it in a join whose large side can be split
@@ -122,7 +90,7 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **lim
     done = Decisions(df, text, doc_id, **limits)
     body = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("body")
     rows = df.select(body, _text_key(F.coalesce(F.col(text), F.lit(""))).alias("sha"), *row_keys(doc_id, text))
-    marked = possibly_repeated(rows, done.filter, done.blocks)
+    marked = bloom.test(rows, F.col("sha"), done.filter, done.blocks)
     once = marked.filter(~F.col("maybe")).select("body")
     keep = checkpointed(done.again.join(done.groups.select(F.col("keep_row").alias("row")), "row").select("rk1", "rk2"))
     again = (marked.filter("maybe").join(keep, ["rk1", "rk2"], "left_semi")
