@@ -16,10 +16,12 @@ helpers below rank over a total order with a range-partitioned sort instead:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemicycle.session import ensure_checkpoint_dir
+from hemicycle.session import ensure_checkpoint_dir, scratch_path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -28,6 +30,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again.
+
+    For loops that join a frame with itself: a checkpoint keeps the size *estimates* of its plan, which such a loop
+    squares every round; a table has the size of its files.
+    """
+    path = scratch_path(df.sparkSession, f"saved-{uuid.uuid4().hex}")
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") -> DataFrame:
     """1-based rank over ``order``; ``order`` must be a total order (unique keys)."""
     s = checkpointed(df.orderBy(*order))
@@ -43,16 +57,37 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") ->
              .drop("_pid", "_local", "_off"))
 
 
+def global_prefix(df: DataFrame, order: list[Column | str], value: str, out: str = "prefix") -> DataFrame:
+    """Running sum of ``value`` over ``order`` (a total order), the row itself included, without a single-task window.
+
+    Like ``global_rank``: sorted ranges are summed each in its own task, and one
+    row per partition carries the sums of the earlier ones.
+    """
+    s = checkpointed(df.orderBy(*order)).withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_at", F.monotonically_increasing_id())
+    within = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_in", F.sum(value).over(within))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (s.groupBy("_pid").agg(F.sum(value).alias("_n"))
+               .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return (s.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_in") + F.col("_off"))
+            .drop("_pid", "_at", "_in", "_off"))
+
+
 def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column | str],
                    out: str = "rn") -> DataFrame:
     """1-based ``row_number`` within ``groups`` over ``order`` without a per-group sort task.
 
     Equal to ``row_number().over(Window.partitionBy(groups).orderBy(order))``
-    when ``groups + order`` is a total order. The group start is a hash
-    aggregate (map-side partial), joined back on the group key.
+    when ``groups + order`` is a total order. A group's first rank is found from one row
+    per (partition, group) and joined back on both, so a hot group stays spread over its partitions.
     """
-    g = global_rank(df, [*groups, *order], "_g")
-    starts = g.groupBy(*groups).agg(F.min("_g").alias("_start"))
-    return (g.join(starts, groups)
+    g = checkpointed(global_rank(df, [*groups, *order], "_g").withColumn("_p", F.spark_partition_id()))
+    firsts = g.groupBy("_p", *groups).agg(F.min("_g").alias("_first"))
+    # one row per partition of a group
+    firsts = firsts.withColumn("_start", F.min("_first").over(Window.partitionBy(*groups))).drop("_first")
+    keys = [F.col("_p") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in groups]]
+    firsts = firsts.select(F.col("_p").alias("_q"), "_start", *[F.col(c).alias(f"_k_{c}") for c in groups])
+    return (g.join(firsts, keys)
              .withColumn(out, (F.col("_g") - F.col("_start") + 1).cast("long"))
-             .drop("_g", "_start"))
+             .drop("_g", "_start", "_p", "_q", *[f"_k_{c}" for c in groups]))
