@@ -4,13 +4,13 @@ The reference keeps both encodings in one MySQL table and edits them row by
 row (one SQL round trip per step). Here every operation is set-based:
 
 * ``number_tree`` (H10/W8) derives lft/rgt/level for the whole forest from the
-  adjacency columns: a level-by-level walk builds each node's sort path, a
-  skew-safe global rank gives the preorder rank r, an ``explode`` of the
-  ancestor list gives subtree sizes n, and with depth d
-  ``lft = 2r - 1 - d``, ``rgt = lft + 2n - 1``.
-* containment (J5/J6/J7) is a binned equi-join on the nested set: each bin
-  holds at most ``bin_width`` descendant rows and the intervals covering it,
-  so no task's work grows with the tree, and no nested-loop join is planned.
+  adjacency columns by pointer doubling: in log2(depth) rounds every node learns its
+  level, its root and its subtree size n; one skew-safe sort gives the sizes of its earlier
+  siblings; log2(depth) more rounds add them up along its path. Rows have a fixed width at any depth.
+* containment (J5/J6) covers each interval by at most 2 log2 n dyadic blocks
+  and joins on the block: an exact equi-join whose output is the answer.
+* where only a count inside an interval is asked (J7, J9, A11), it is the
+  difference of two prefix sums over the sorted positions: no pairs at all.
 * edits (H5-H8, H13, H18) rewrite parent_id / position and renumber once.
 
 Unreachable nodes (missing parent, cycles) vanish from a renumbered tree, as
@@ -19,13 +19,11 @@ they do in the reference; ``analyze`` reports them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hemicycle.plans.ranking import checkpointed, global_rank, rank_in_groups
+from hemicycle.plans.ranking import checkpointed, global_prefix, global_rank, rank_in_groups, saved
 
 ADJ_COLS = ["id", "parent_id", "position", "title", "type"]
 TREE_COLS = ["id", "parent_id", "position", "lft", "rgt", "level", "title", "type"]
@@ -107,126 +105,170 @@ def demo_tree(spark: SparkSession) -> DataFrame:
 # numbering
 # --------------------------------------------------------------------------
 
-def walk(adj: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """Level-by-level walk from the roots (parent_id = 0).
-
-    This replaces the reference's stack machine that joins the stack top with
-    its next child one SQL step at a time (J10, O11): one join per level
-    covers every node of that level.
+def _double(state: DataFrame, sums: dict[str, str], up: dict[str, str]) -> DataFrame:
+    """Pointer doubling over ``state(id, anc, ...)`` until every pointer is null.
 
-    Returns (id, depth, path, anc): ``path`` is the array of (position, id)
-    from the root, whose lexicographic order is preorder; ``anc`` the ids from
-    the root down to the node. Each level is checkpointed (lineage stays flat,
-    a lost executor recomputes one level at most).
+    Each round, ``up[c]`` combines a node's own ``c`` with that of its pointer (towards the root), ``sums[c]``
+    combines it with those of the nodes pointing at it (from below); both are SQL expressions over ``c`` and ``other``.
+    Nodes that reach a cycle never finish: after log2(nodes) + 1 rounds they are dropped.
     """
-    nodes = adj.select("id", "parent_id", "position")
-    step = F.struct(F.col("position").alias("p"), F.col("id").alias("i"))
-    frontier = checkpointed(nodes.where(F.col("parent_id") == 0).select(
-        "id", F.lit(0).cast("long").alias("depth"),
-        F.array(step).alias("path"), F.array(F.col("id")).alias("anc")))
-    levels = [frontier]
-    for _ in range(max_depth):
-        parents = frontier.select(F.col("id").alias("parent_id"), F.col("depth").alias("_d"),
-                                  F.col("path").alias("_p"), F.col("anc").alias("_a"))
-        nxt = nodes.join(parents, "parent_id").select(
-            "id", (F.col("_d") + 1).alias("depth"),
-            F.concat(F.col("_p"), F.array(step)).alias("path"),
-            F.concat(F.col("_a"), F.array(F.col("id"))).alias("anc"))
-        nxt = checkpointed(nxt)
-        if nxt.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(nxt)
-        frontier = nxt
-    raise ValueError(f"tree deeper than {max_depth} levels")
-
-
-def number_tree(adj: DataFrame, keep_anc: bool = False) -> DataFrame:
+    state = saved(state)
+    rounds = max(state.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        live = state.where(F.col("anc").isNotNull())
+        if live.isEmpty():
+            return state
+        above = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), *[F.col(c).alias(f"_{c}") for c in up])
+        nxt = state.join(above, "anc", "left")
+        if sums:
+            below = saved(live.groupBy(F.col("anc").alias("id")).agg(
+                *[F.expr(e.split("|")[0]).alias(f"s_{c}") for c, e in sums.items()]))
+            nxt = nxt.join(below, "id", "left")
+        keep = [c for c in state.columns if c not in ("id", "anc", *up, *sums)]
+        new = {**{c: F.expr(e.replace("other", f"_{c}")) for c, e in up.items()},
+               **{c: F.expr(e.split("|")[1].replace("other", f"s_{c}")) for c, e in sums.items()}}
+        state = saved(nxt.select("id", F.col("_anc").alias("anc"), *keep, *[
+            F.coalesce(v, F.col(c)).alias(c) for c, v in new.items()]))
+    return saved(state.where(F.col("anc").isNull()))
+
+
+def _pointers(adj: DataFrame) -> DataFrame:
+    """(id, anc): the parent where it exists, null for roots and for nodes whose parent is missing."""
+    ids = adj.select(F.col("id").alias("parent_id"), F.col("id").alias("anc"))
+    return adj.select("id", "parent_id").join(ids, "parent_id", "left").select("id", "parent_id", "anc")
+
+
+def number_tree(adj: DataFrame) -> DataFrame:
     """(id, parent_id, position, title, type) -> TREE_COLS with lft/rgt/level.
 
-    A forest is numbered consecutively, roots in (position, id) order. The
-    adjacency is materialized once, since every level of the walk reads it.
+    A forest is numbered consecutively, roots in (position, id) order; unreachable nodes vanish. It replaces the
+    stack machine that joins the stack top with its next child one step at a time (J10, O11).
+
+    The interval of a node starts one after that of its parent, plus twice the sizes of its earlier siblings; both
+    are sums along paths, so any depth takes log2(depth) rounds over rows of fixed width.
     """
-    adj = checkpointed(adj.select(*ADJ_COLS))
-    w = walk(adj)
-    ranked = global_rank(w, [F.col("path")], "_r")
-    sizes = w.select(F.explode("anc").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    lft = 2 * F.col("_r") - 1 - F.col("depth")
-    out = (ranked.join(sizes, "id")
-                 .join(adj.select(*ADJ_COLS), "id")
-                 .select("id", "parent_id", "position",
-                         lft.cast("long").alias("lft"),
-                         (lft + 2 * F.col("_n") - 1).cast("long").alias("rgt"),
-                         F.col("depth").cast("long").alias("level"),
-                         "title", "type", *(["anc"] if keep_anc else [])))
-    return out
+    adj = saved(adj.select(*ADJ_COLS))
+    start = (_pointers(adj).withColumn("level", F.when(F.col("anc").isNull(), 0).otherwise(1).cast("long"))
+             .withColumn("root", F.coalesce("anc", "id")).withColumn("size", F.lit(1).cast("long")))
+    done = _double(start, sums={"size": "sum(size)|size + other"}, up={"level": "level + other", "root": "other"})
+    # a node is reachable when the top of its path is a root
+    roots = adj.where(F.col("parent_id") == 0).select(F.col("id").alias("root"))
+    sized = saved(done.join(roots, "root", "left_semi").select("id", "parent_id", "level", "size")
+                         .join(adj.select("id", "position", "title", "type"), "id"))
+    # sizes of all earlier siblings: a running sum over (parent, position), less its value where the parent starts
+    running = saved(global_prefix(sized.select("id", "parent_id", "position", "size"),
+                                         ["parent_id", "position", "id"], "size", "upto")
+                           .withColumn("before", F.col("upto") - F.col("size")).select("id", "parent_id", "before"))
+    first = saved(running.groupBy("parent_id").agg(F.min("before").alias("first")))
+    offsets = (running.join(first, "parent_id").withColumn("off", 1 + 2 * (F.col("before") - F.col("first")))
+               .withColumn("anc", F.when(F.col("parent_id") != 0, F.col("parent_id"))).select("id", "anc", "off"))
+    placed = _double(offsets, sums={}, up={"off": "off + other"})
+    return (sized.join(placed.select("id", F.col("off").alias("lft")), "id")
+            .select("id", "parent_id", "position", "lft", (F.col("lft") + 2 * F.col("size") - 1).alias("rgt"),
+                    "level", "title", "type"))
+
+
+def ancestor_pairs(tree: DataFrame) -> DataFrame:
+    """(ancestor_id, id, distance) of every node and itself, from the parent pointers in log2(depth) rounds.
+
+    After round k all pairs up to distance 2^k are known; a node's further ancestors are those of its pointer.
+    The rows are the answer itself: one per pair.
+    """
+    jump = saved(_pointers(tree).select("id", "anc"))
+    pairs = saved(jump.select(F.col("id").alias("ancestor_id"), "id", F.lit(0).cast("long").alias("distance")))
+    step = 1
+    while not jump.where(F.col("anc").isNotNull()).isEmpty():
+        if step > 2 * max(jump.count(), 1):
+            raise ValueError("the parent pointers hold a cycle")
+        far = (jump.where(F.col("anc").isNotNull()).select(F.col("id").alias("_low"), "anc")
+               .join(pairs.select("ancestor_id", F.col("id").alias("anc"), "distance"), "anc")
+               .select("ancestor_id", F.col("_low").alias("id"), (F.col("distance") + step).alias("distance")))
+        pairs = saved(pairs.unionByName(far))
+        jump = saved(jump.join(jump.select(F.col("id").alias("anc"), F.col("anc").alias("_a")), "anc", "left")
+                            .select("id", F.col("_a").alias("anc")))
+        step *= 2
+    return pairs
 
 
 # --------------------------------------------------------------------------
 # containment (J5, J6, J7) on the nested set
 # --------------------------------------------------------------------------
 
-def containment_pairs(tree: DataFrame, strict: bool = False, bin_width: int = 16,
-                      outer: DataFrame | None = None) -> DataFrame:
+def _blocks(lo: Column, hi: Column, bits: int) -> Column:
+    """The dyadic blocks (level k, index) that cover ``lo..hi`` exactly: at most two a level."""
+    def level(k: Column) -> Column:
+        shift = lambda name, c: F.call_function(name, c, k)
+        left, right = shift("shiftright", lo + shift("shiftleft", F.lit(1).cast("long")) - 1), shift("shiftright", hi + 1)
+        use = left < right
+        return F.filter(F.array(F.struct(k.alias("k"), F.when(use & (left % 2 == 1), left).alias("b")),
+                                F.struct(k.alias("k"), F.when(use & (right % 2 == 1), right - 1).alias("b"))),
+                        lambda x: x["b"].isNotNull())
+    return F.flatten(F.transform(F.array(*[F.lit(k) for k in range(bits)]), level))
+
+
+def containment_pairs(tree: DataFrame, strict: bool = False, outer: DataFrame | None = None) -> DataFrame:
     """All (a, d) with d's interval inside a's: ``a.lft <= d.lft and d.rgt <= a.rgt``.
 
-    ``strict`` excludes a = d. ``outer`` restricts the containing side (e.g. to
-    search hits' ancestors); default is the whole tree. Columns: a_id, a_lft,
-    a_rgt, a_level, d_id, d_lft, d_rgt, d_level.
+    ``strict`` excludes a = d. ``outer`` restricts the containing side to the asked nodes; default is the whole
+    tree. Columns: a_id, a_lft, a_rgt, a_level, d_id, d_lft, d_rgt, d_level.
 
-    Bin join: each containing interval is exploded over the bins
-    ``lft div B .. rgt div B``; each node sits in bin ``lft div B``. Distinct
-    nodes have distinct lft, so a bin holds at most B nodes; the intervals
-    covering it are its ancestors plus nodes starting in it.
+    Each containing interval is cut into dyadic blocks, each node lies in one block of every level that occurs; the
+    equi-join on the block meets every pair once, however wide an interval is.
     """
-    B = F.lit(bin_width)
     a = (outer if outer is not None else tree).select(
         F.col("id").alias("a_id"), F.col("lft").alias("a_lft"),
         F.col("rgt").alias("a_rgt"), F.col("level").alias("a_level"))
-    a = a.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a_lft") / B),
-                                                  F.floor(F.col("a_rgt") / B))))
-    d = tree.select(F.col("id").alias("d_id"), F.col("lft").alias("d_lft"),
-                    F.col("rgt").alias("d_rgt"), F.col("level").alias("d_level"),
-                    F.floor(F.col("lft") / B).alias("_bin"))
-    if strict:
-        cond = (F.col("d_lft") > F.col("a_lft")) & (F.col("d_rgt") < F.col("a_rgt"))
-    else:
-        cond = (F.col("d_lft") >= F.col("a_lft")) & (F.col("d_rgt") <= F.col("a_rgt"))
-    return a.join(d, "_bin").where(cond).drop("_bin")
-
-
-def descendants(tree: DataFrame, bin_width: int = 16) -> DataFrame:
-    """H3 for every node: (ancestor_id, id, distance), inclusive of the node itself.
-
-    A tree numbered with ``keep_anc=True`` carries each node's ancestor ids
-    (root first), so the pairs are one ``posexplode`` with no join (the
-    path-prefix form); a tree given only as a nested set uses the bin join.
+    bits = max(int(tree.agg(F.max("rgt")).first()[0] or 0).bit_length(), 1) + 1
+    cover = checkpointed(a.withColumn("_c", F.explode(_blocks(F.col("a_lft"), F.col("a_rgt"), bits)))
+                         .select("a_id", "a_lft", "a_rgt", "a_level", "_c.k", "_c.b"))
+    levels = sorted(r.k for r in cover.select("k").distinct().collect())  # at most one per bit of a position
+    d = (tree.select(F.col("id").alias("d_id"), F.col("lft").alias("d_lft"), F.col("rgt").alias("d_rgt"),
+                     F.col("level").alias("d_level"), F.explode(F.array(*[F.lit(k) for k in levels])
+                                                                if levels else F.array().cast("array<int>")).alias("k"))
+         .withColumn("b", F.call_function("shiftright", F.col("d_lft"), F.col("k"))))
+    inside = ((F.col("d_lft") > F.col("a_lft")) & (F.col("d_rgt") < F.col("a_rgt"))) if strict else (
+        F.col("d_rgt") <= F.col("a_rgt"))
+    return cover.join(d, ["k", "b"]).where(inside).drop("k", "b")
+
+
+def counts_inside(tree: DataFrame, marks: DataFrame, key: Column | None = None, mark_key: Column | None = None) -> DataFrame:
+    """(id, n): sum of ``marks(lft, value)`` strictly inside each node's interval, without pairs.
+
+    One sort of marks and interval ends, a running sum, and the difference at the two ends. With ``key`` (of a
+    node) and ``mark_key`` only marks of the node's key count.
     """
-    if "anc" in tree.columns:
-        return tree.select("id", "level", F.posexplode("anc").alias("_i", "ancestor_id")).select(
-            "ancestor_id", "id", (F.col("level") - F.col("_i")).alias("distance"))
-    p = containment_pairs(tree, strict=False, bin_width=bin_width)
+    k, mk = (key if key is not None else F.lit(0)).cast("long"), (mark_key if mark_key is not None else F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    ends = tree.select("id", k.alias("k"), F.explode(F.array(
+        F.struct(F.col("lft").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("rgt").alias("at"), F.lit(1).alias("sign")))).alias("e"))
+    rows = (ends.select("id", "k", "e.at", "e.sign", zero.alias("value"))
+            .unionByName(marks.select(F.lit(None).cast("long").alias("id"), mk.alias("k"), F.col("lft").alias("at"),
+                                      zero.cast("int").alias("sign"), F.col("value").cast("long").alias("value"))))
+    # a mark at the position of a left end is the node itself: it sorts before, so it cancels out
+    run = global_prefix(rows.withColumn("o", F.when(F.col("sign") == 0, 0).otherwise(1)),
+                        ["k", "at", "o", "id", "sign"], "value", "upto")
+    return (run.where(F.col("sign") != 0).groupBy("id")
+            .agg(F.sum(F.col("upto") * F.col("sign")).cast("long").alias("n")))
+
+
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """H3: (ancestor_id, id, distance) of the asked nodes ``of`` (default: every node), inclusive of the node itself."""
+    p = containment_pairs(tree, outer=of)
     return p.select(F.col("a_id").alias("ancestor_id"), F.col("d_id").alias("id"),
                     (F.col("d_level") - F.col("a_level")).alias("distance"))
 
 
-def paths(tree: DataFrame, bin_width: int = 16, sep: str = "/") -> DataFrame:
+def paths(tree: DataFrame, sep: str = "/") -> DataFrame:
     """H4 for every node: path to the root as ids and titles, root first.
 
-    Output (id, level, path_ids, path_titles); the per-node list is bounded
-    by the tree depth.
+    Output (id, level, path_ids, path_titles); the per-node list is the path itself.
     """
-    if "anc" in tree.columns:
-        p = tree.select(F.col("id").alias("d_id"), F.col("level").alias("d_level"),
-                        F.posexplode("anc").alias("a_level", "a_id"))
-    else:
-        p = containment_pairs(tree, strict=False, bin_width=bin_width)
-    t = tree.select(F.col("id").alias("a_id"), F.col("title").alias("a_title"))
-    per = (p.join(t, "a_id")
-            .groupBy(F.col("d_id").alias("id"), F.col("d_level").alias("level"))
-            .agg(F.array_sort(F.collect_list(F.struct("a_level", "a_id", "a_title"))).alias("_p")))
-    return per.select("id", "level",
-                      F.array_join(F.transform("_p", lambda x: x["a_id"].cast("string")), sep).alias("path_ids"),
-                      F.array_join(F.transform("_p", lambda x: x["a_title"]), sep).alias("path_titles"))
+    t = tree.select(F.col("id").alias("ancestor_id"), F.col("title").alias("a_title"))
+    per = (ancestor_pairs(tree).join(t, "ancestor_id").groupBy("id")
+           .agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("o"), "ancestor_id", "a_title"))).alias("_p")))
+    return per.join(tree.select("id", "level"), "id").select(
+        "id", "level", F.array_join(F.transform("_p", lambda x: x["ancestor_id"].cast("string")), sep).alias("path_ids"),
+        F.array_join(F.transform("_p", lambda x: x["a_title"]), sep).alias("path_titles"))
 
 
 def title_matches(title: Column, needle: str) -> Column:
@@ -234,30 +276,18 @@ def title_matches(title: Column, needle: str) -> Column:
     return F.contains(F.collate(title, "UNICODE_CI_AI"), F.lit(needle))
 
 
-def search_ancestors(tree: DataFrame, needle: str, bin_width: int = 16) -> DataFrame:
-    """Distinct strict ancestors of the nodes whose title contains ``needle``.
-
-    Written as a strict containment semi-join of the tree against the hits.
-    """
-    hits = tree.where(title_matches(F.col("title"), needle))
-    return _strict_ancestors_of(tree, hits, bin_width)
+def search_ancestors(tree: DataFrame, needle: str) -> DataFrame:
+    """Distinct strict ancestors of the nodes whose title contains ``needle``: the nodes with a hit
+    strictly inside their interval (a difference of prefix sums, no pairs)."""
+    hits = tree.where(title_matches(F.col("title"), needle)).select("lft", F.lit(1).alias("value"))
+    inside = counts_inside(tree, hits).where("n > 0").select("id")
+    return tree.join(inside, "id", "left_semi").select("id", "title").distinct()  # A5: distinct ids
 
 
-def search_with_ancestors(tree: DataFrame, needle: str, bin_width: int = 16) -> DataFrame:
+def search_with_ancestors(tree: DataFrame, needle: str) -> DataFrame:
     """F10 + U2 (``show_only_matches``): the matching nodes and all their ancestors, distinct."""
     hits = tree.where(title_matches(F.col("title"), needle)).select("id", "title")
-    return hits.unionByName(search_ancestors(tree, needle, bin_width)).distinct()
-
-
-def _strict_ancestors_of(tree: DataFrame, hits: DataFrame, bin_width: int) -> DataFrame:
-    B = F.lit(bin_width)
-    a = tree.select("id", "title", "lft", "rgt",
-                    F.explode(F.sequence(F.floor(F.col("lft") / B), F.floor(F.col("rgt") / B))).alias("_bin"))
-    h = hits.select(F.col("lft").alias("h_lft"), F.col("rgt").alias("h_rgt"),
-                    F.floor(F.col("lft") / B).alias("_hbin"))
-    cond = ((F.col("_bin") == F.col("_hbin")) & (F.col("lft") < F.col("h_lft"))
-            & (F.col("rgt") > F.col("h_rgt")))
-    return a.join(h, cond, "left_semi").select("id", "title").distinct()  # A5: distinct ids
+    return hits.unionByName(search_ancestors(tree, needle)).distinct()
 
 
 # --------------------------------------------------------------------------
@@ -280,12 +310,12 @@ ANALYZE_MESSAGES = {
 }
 
 
-def analyze(tree: DataFrame, bin_width: int = 16) -> DataFrame:
+def analyze(tree: DataFrame) -> DataFrame:
     """Five (check_no, status, message) rows, as the reference's analyze().
 
     One aggregate pass (A6) for roots / root left / max(rgt) / count; an anti
-    join for missing parents (J8); nested-set children (strict containment at
-    level + 1, a bin join) against adjacency children counts (J9).
+    join for missing parents (J8); nested-set children (nodes of level + 1 strictly
+    inside, by prefix sums per level) against adjacency children counts (J9).
     """
     M = ANALYZE_MESSAGES
     stats = tree.agg(
@@ -297,9 +327,8 @@ def analyze(tree: DataFrame, bin_width: int = 16) -> DataFrame:
     missing = (tree.where(F.col("parent_id") != 0).select("parent_id")
                    .join(ids, "parent_id", "left_anti")
                    .agg(F.count(F.lit(1)).alias("missing")))
-    ns_children = (containment_pairs(tree, strict=True, bin_width=bin_width)
-                   .where(F.col("d_level") == F.col("a_level") + 1)
-                   .groupBy(F.col("a_id").alias("id")).agg(F.count(F.lit(1)).alias("ns")))
+    ns_children = counts_inside(tree, tree.select("lft", "level", F.lit(1).alias("value")), F.col("level") + 1,
+                                F.col("level")).withColumnRenamed("n", "ns")
     aj_children = tree.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("aj"))
     mismatch = (tree.select("id")
                     .join(ns_children, "id", "left").join(aj_children, "id", "left")
@@ -545,7 +574,7 @@ def duplicate_siblings(tree: DataFrame, case_insensitive: bool = True) -> DataFr
     return keyed.join(g, ["parent_id", "title_key"]).select("parent_id", "title_key", "id", "n")
 
 
-def rollup_checked(tree: DataFrame, leaf_flags: DataFrame, bin_width: int = 16) -> DataFrame:
+def rollup_checked(tree: DataFrame, leaf_flags: DataFrame) -> DataFrame:
     """Tri-state per node from its leaves' (id, checked) flags.
 
     ``state`` is checked (all leaves below checked), unchecked (none) or
@@ -553,14 +582,17 @@ def rollup_checked(tree: DataFrame, leaf_flags: DataFrame, bin_width: int = 16)
     checked (the reference widget's default selection). A leaf without a flag
     counts as unchecked.
     """
-    leaves = (tree.where(F.col("rgt") - F.col("lft") == 1).select(F.col("id").alias("d_id"))
-                  .join(leaf_flags.select(F.col("id").alias("d_id"), F.col("checked").alias("_c")),
-                        "d_id", "left")
-                  .withColumn("_c", F.coalesce("_c", F.lit(False))))
-    pairs = containment_pairs(tree, strict=False, bin_width=bin_width).select("a_id", "d_id")
-    agg = (pairs.join(leaves, "d_id")
-                .groupBy(F.col("a_id").alias("id"))
-                .agg(F.bool_and("_c").alias("_all"), F.bool_or("_c").alias("_any")))
+    leaves = (tree.where(is_leaf()).select("id", "lft")
+                  .join(leaf_flags.select("id", F.col("checked").alias("_c")), "id", "left")
+                  .withColumn("_c", F.coalesce("_c", F.lit(False)).cast("int")))
+    leaves = checkpointed(leaves)
+    # leaves and checked leaves inside each node, both in one running sum: checked in the low half
+    marks = leaves.select("lft", (F.shiftleft(F.lit(1).cast("long"), 31) + F.col("_c")).alias("value"))
+    own = leaves.select("id", F.col("_c").alias("_own"))
+    agg = (counts_inside(tree, marks).join(own, "id", "left")
+           .withColumn("_leaves", F.when(F.col("_own").isNotNull(), 1).otherwise(F.shiftright("n", 31)))
+           .withColumn("_on", F.coalesce(F.col("_own"), F.col("n") % (1 << 31)))
+           .select("id", (F.col("_leaves") == F.col("_on")).alias("_all"), (F.col("_on") > 0).alias("_any")))
     state = (F.when(F.col("_all"), F.lit("checked"))
               .when(F.col("_any"), F.lit("undetermined")).otherwise(F.lit("unchecked")))
     st = tree.select("id", "parent_id").join(agg, "id", "left").withColumn("state", state)
@@ -574,7 +606,7 @@ def rollup_checked(tree: DataFrame, leaf_flags: DataFrame, bin_width: int = 16)
 RULES_SCHEMA = "type string, max_children long, max_depth long, valid_children array<string>"
 
 
-def check_rules(tree: DataFrame, rules: DataFrame, bin_width: int = 16) -> DataFrame:
+def check_rules(tree: DataFrame, rules: DataFrame) -> DataFrame:
     """Violations of per-type rules: (id, rule, value, limit).
 
     ``max_children`` / ``max_depth``: -1 unlimited, -2 unchecked. ``max_depth``
@@ -583,9 +615,10 @@ def check_rules(tree: DataFrame, rules: DataFrame, bin_width: int = 16) -> DataF
     """
     r = rules.select("type", "max_children", "max_depth", "valid_children")
     nchild = tree.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("_nc"))
-    height = (containment_pairs(tree, strict=False, bin_width=bin_width)
-              .groupBy(F.col("a_id").alias("id"))
-              .agg(F.max(F.col("d_level") - F.col("a_level")).alias("_h")))
+    # the deepest level below each node, child to parent in log2(depth) rounds
+    deepest = _double(_pointers(tree).join(tree.select("id", F.col("level").alias("deep")), "id"),
+                      sums={"deep": "max(deep)|greatest(deep, other)"}, up={})
+    height = deepest.join(tree.select("id", "level"), "id").select("id", (F.col("deep") - F.col("level")).alias("_h"))
     base = (tree.select("id", "type").join(r, "type")
                 .join(nchild, "id", "left").join(height, "id", "left")
                 .fillna(0, ["_nc", "_h"]))
