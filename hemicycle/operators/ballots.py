@@ -11,7 +11,7 @@ job over all roll calls or all deputies at once:
 * per-deputy history (W6/O1) is ``row_number() <= k``, which Spark plans as a
   partial WindowGroupLimit before the exchange and a final one after it, so a
   hot deputy ships at most k rows per map partition;
-* the nested document (P17) is a sink shape only, built from bounded lists.
+* the nested document (P17) is a sink shape only, built from bounded lists in page order.
 """
 
 from __future__ import annotations
@@ -19,6 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hemicycle.functions.text import capitalize
+from hemicycle.plans.ranking import rank_in_groups
+from hemicycle.streaming.upsert import keyed_replace
+
+__all__ = ["capitalize"]
+
 # Labels shown by the reference's templates.
 STANCE_FOR, STANCE_AGAINST, STANCE_ABSTAINED = "Pour", "Contre", "Abstenu"
 OUTCOME_ADOPTED, OUTCOME_REJECTED = "Adopté", "Rejeté"
@@ -54,11 +60,6 @@ def display_date(ts: Column) -> Column:
     return F.date_format(ts, "dd/MM/yyyy")
 
 
-def capitalize(s: Column) -> Column:
-    """First character upper, the rest lower (Jinja ``capitalize``)."""
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
-
-
 def list_length(arr: Column) -> Column:
     """Length of a possibly missing list, missing -> 0."""
     return F.coalesce(F.size(arr), F.lit(0))
@@ -130,50 +131,43 @@ def voter_history(ballots: DataFrame, scrutinies: DataFrame, k: int = HISTORY_CA
 # nested document form
 # --------------------------------------------------------------------------
 
-MAX_LIST = 10_000  # voters per nested list; larger groups are spread over document parts
+LIST_CHUNK = 10_000  # voters per list of a document part: the parts of a roll call hold its lists in page order
 
 
-def nest_votes(ballots_g: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """Flat ballots -> nested documents
+def nest_votes(ballots_g: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
+    """Flat ballots -> nested document parts
     ``(scrutiny_uuid, part, votes: array<struct<name, votes: struct<yea, nay, abs: array<voter>>>>)``.
 
-    Lists keep page order (``ord``, A4: ``array_sort(collect_list(struct(ord, voter)))``)
-    and keep unresolved (null) voters. A
-    (roll call, group, vote) with n ballots is spread over ceil(n / max_list)
-    hash buckets; bucket i of every group of a roll call goes to document part
-    i. So no list and no document row grows with the data: a hot roll call
-    becomes more parts. Readers that sum or search over parts and entries
-    (tallies, term filters, flattening) see the same result as with one
-    document per roll call (part 0 only, when every group is small).
+    Every (roll call, group, vote) list is cut into chunks of ``chunk`` voters in page order (A4: ``ord``,
+    then voter), nulls (unresolved voters) included; chunk i of every list goes to part i. Shape and meaning are the
+    same at any size: joining the parts of a roll call in order gives its lists. The position comes from a
+    skew-safe rank, so a roll call holding a third of all ballots is never sorted or collected in one task.
     """
     keys = ["scrutiny_uuid", "group_name", "vote"]
-    sizes = ballots_g.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_list)))
-    b = (ballots_g.join(sizes, keys)
-                  .withColumn("part", F.when(nb == 1, F.lit(0).cast("long")).otherwise(
-                      F.pmod(F.xxhash64("voter_uuid", "ord"), nb.cast("long")))))
-    lists = (b.groupBy("scrutiny_uuid", "part", "group_name", "vote")
-              .agg(F.array_sort(F.collect_list(F.struct("ord", "voter_uuid"))).alias("_l"))
-              .withColumn("_l", F.transform("_l", lambda x: x["voter_uuid"])))
-    per_group = (lists.groupBy("scrutiny_uuid", "part", "group_name")
-                      .agg(*[F.max(F.when(F.col("vote") == v, F.col("_l"))).alias(v)
-                             for v in ("yea", "nay", "abs")]))
-    entry = F.struct(F.col("group_name").alias("name"),
-                     F.struct("yea", "nay", "abs").alias("votes"))
+    ranked = rank_in_groups(ballots_g.select(*keys, "ord", "voter_uuid"), keys,
+                            [F.col("ord").asc_nulls_last(), F.col("voter_uuid").asc_nulls_last()], "rn")
+    parts = ranked.withColumn("part", F.floor((F.col("rn") - 1) / F.lit(chunk)).cast("long"))
+    voter = F.struct("rn", "voter_uuid")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("vote") == v, voter))).alias(v) for v in ("yea", "nay", "abs")]
+    per_group = parts.groupBy("scrutiny_uuid", "part", "group_name").agg(*lists)
+    votes = F.struct(*[F.when(F.size(v) > 0, F.transform(v, lambda x: x["voter_uuid"])).alias(v) for v in ("yea", "nay", "abs")])
+    entry = F.struct(F.col("group_name").alias("name"), votes.alias("votes"))
     return (per_group.groupBy("scrutiny_uuid", "part")
-                     .agg(F.array_sort(F.collect_list(
-                         F.struct(F.col("group_name").alias("_k"), entry.alias("_e")))).alias("_v"))
+                     .agg(F.array_sort(F.collect_list(F.struct(F.col("group_name").alias("_k"), entry.alias("_e")))).alias("_v"))
                      .select("scrutiny_uuid", "part", F.transform("_v", lambda x: x["_e"]).alias("votes")))
 
 
-def flatten_votes(nested: DataFrame) -> DataFrame:
-    """P18 + F6: nested votes -> one row per ballot (empty / missing lists vanish)."""
-    groups = nested.select("scrutiny_uuid", F.inline("votes"))
+def flatten_votes(nested: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
+    """P18 + F6: nested votes -> one row per ballot (empty / missing lists vanish).
+
+    ``list_pos`` is the position in the whole list, across parts.
+    """
+    groups = nested.select("scrutiny_uuid", "part", F.inline("votes"))
     by_type = groups.select(
-        "scrutiny_uuid", F.col("name").alias("group_name"),
+        "scrutiny_uuid", "part", F.col("name").alias("group_name"),
         F.expr("stack(3, 'yea', votes.yea, 'nay', votes.nay, 'abs', votes.abs) as (vote, voters)"))
-    return by_type.select("scrutiny_uuid", "group_name", "vote",
-                          F.posexplode("voters").alias("list_pos", "voter_uuid"))
+    return (by_type.select("scrutiny_uuid", "part", "group_name", "vote", F.posexplode("voters").alias("pos", "voter_uuid"))
+            .select("scrutiny_uuid", "group_name", "vote", (F.col("part") * chunk + F.col("pos")).alias("list_pos"), "voter_uuid"))
 
 
 def nested_tallies(nested: DataFrame) -> DataFrame:
@@ -197,10 +191,14 @@ def filter_voted(nested: DataFrame, voter_uuid, vote: str) -> DataFrame:
 
 def voted_pairs(nested: DataFrame, deputies: DataFrame) -> DataFrame:
     """F1 for every deputy at once: distinct (deputy, vote type, roll call) found in the lists."""
-    flat = flatten_votes(nested).where(F.col("voter_uuid").isNotNull())
+    found = None
+    for v in ("yea", "nay", "abs"):
+        ids = F.array_distinct(F.flatten(F.transform("votes", lambda g: F.coalesce(
+            g["votes"][v], F.array().cast("array<bigint>")))))
+        part = nested.select("scrutiny_uuid", F.lit(v).alias("vote"), F.explode(ids).alias("voter_uuid"))
+        found = part if found is None else found.unionByName(part)
     d = deputies.select(F.col("uuid").alias("voter_uuid"))
-    return (flat.select("voter_uuid", "vote", "scrutiny_uuid").distinct()
-                .join(d, "voter_uuid", "left_semi"))
+    return found.select("voter_uuid", "vote", "scrutiny_uuid").distinct().join(d, "voter_uuid", "left_semi")
 
 
 # --------------------------------------------------------------------------
@@ -238,8 +236,11 @@ SCRUTINY_FIELDS = ("uuid", "title", "date", "url", "leg", "num", "keywords", "fi
 
 
 def scrutiny_documents(scrutinies: DataFrame, ballots_g: DataFrame, strict: bool = False,
-                       max_list: int = MAX_LIST) -> DataFrame:
-    """K2: whitelisted roll-call fields plus the nested ``votes`` array.
+                       chunk: int = LIST_CHUNK) -> DataFrame:
+    """K2: whitelisted roll-call fields plus the nested ``votes`` array, one row per (uuid, part).
+
+    A roll call without ballots has part 0 with null votes. ``replace_documents`` stores them: the parts
+    of a uuid are replaced together.
 
     ``strict`` keeps only the reference's 10 fields (``summary`` dropped, P15);
     otherwise ``summary`` and ``law_href`` are kept too. Missing fields are null.
@@ -247,8 +248,13 @@ def scrutiny_documents(scrutinies: DataFrame, ballots_g: DataFrame, strict: bool
     keep = list(SCRUTINY_FIELDS) + ([] if strict else ["summary", "law_href"])
     cols = [F.col(c) if c in scrutinies.columns else F.lit(None).alias(c) for c in keep]
     docs = scrutinies.select(*cols)
-    nested = nest_votes(ballots_g, max_list).withColumnRenamed("scrutiny_uuid", "uuid")
-    return docs.join(nested, "uuid", "left")
+    nested = nest_votes(ballots_g, chunk).withColumnRenamed("scrutiny_uuid", "uuid")
+    return docs.join(nested, "uuid", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+
+
+def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """K1 + U4 on document parts: a uuid in ``new`` replaces all parts it had in ``old``."""
+    return keyed_replace(old, new, ["uuid"])
 
 
 def get_deputy(deputies: DataFrame, uuid) -> DataFrame:

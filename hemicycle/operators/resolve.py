@@ -29,58 +29,62 @@ SEARCH_CAP = 1000      # the reference's search result size
 TYPEAHEAD_ROWS = 8     # the widget's visible rows
 
 
-def directory_index(directory: DataFrame, analyzer: str = "french",
-                    toks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tokens(uuid, pos, term, kind), term stats(term, df, idf), entry stats(uuid, len)).
-
-    The token table is materialized once (checkpoint): it is the index that
-    candidates, verification, statistics and highlighting all read.
-    """
-    if toks is None:
-        toks = checkpointed(analyze(directory, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid"))
-    n = directory.select("uuid").distinct().agg(F.count(F.lit(1)).alias("_N")).scalar()
-    dfs = (toks.select("term", "uuid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-               .withColumn("idf", 1 + F.log(n / (F.col("df") + 1)))
-               .select("term", "df", "idf"))
-    # one 'term' token per position: the entry length is a plain count
-    lens = (toks.where(F.col("kind") == "term").groupBy("uuid")
-                .agg(F.count(F.lit(1)).alias("len")))
-    return toks, dfs, lens
+def distinct_names(directory: DataFrame) -> DataFrame:
+    """(uuid, name, n): entries of one name share tokens and scores, so only the smallest uuid can win a tie.
+    ``n`` keeps the number of entries for the document frequencies."""
+    return (directory.where(F.col("name").isNotNull()).groupBy("name")
+            .agg(F.min("uuid").alias("uuid"), F.count_distinct("uuid").alias("n")).select("uuid", "name", "n"))
+
+
+class DirectoryIndex:
+    """The analyzed directory: token rows by distinct name, document frequencies over all entries. Built once
+    (checkpointed), then read by any number of searches and resolutions."""
+
+    def __init__(self, directory: DataFrame, analyzer: str = "french", toks: DataFrame | None = None):
+        self.directory, self.analyzer = directory, analyzer
+        self.names = checkpointed(distinct_names(directory))
+        if toks is None:
+            toks = analyze(self.names, "uuid", "name", analyzer).withColumnRenamed("doc_id", "uuid")
+        self.toks = checkpointed(toks)
+        n = directory.select("uuid").distinct().agg(F.count(F.lit(1)).alias("_N")).scalar()
+        self.terms = checkpointed(self.toks.select("term", "uuid").distinct())
+        self.dfs = checkpointed(self.terms.join(self.names.select("uuid", "n"), "uuid").groupBy("term").agg(F.sum("n").alias("df"))
+                                .withColumn("idf", 1 + F.log(n / (F.col("df") + 1))).select("term", "df", "idf"))
+        # one 'term' token per position: the entry length is a plain count
+        self.lens = self.toks.where(F.col("kind") == "term").groupBy("uuid").agg(F.count(F.lit(1)).alias("len"))
 
 
 def resolve_names(mentions: DataFrame, directory: DataFrame, analyzer: str = "french") -> DataFrame:
     """J1 + W5: (mention) -> (mention, uuid, score); unresolved mentions keep a null uuid.
 
-    An empty mention, or one made only of stop words, resolves to null.
+    An empty mention, or one made only of stop words, resolves to null. A mention meets each distinct
+    name at most once, however many entries bear it.
     """
     m = mentions.select(F.col("mention")).where(F.col("mention").isNotNull()).distinct()
-    # one analyzer pass (one stemming vocabulary, one materialization) over
-    # directory names and mentions together
+    # one analyzer pass (one stemming vocabulary) over distinct names and mentions together
     uuid_type = directory.schema["uuid"].dataType
-    both = (directory.select(F.lit("d").alias("_side"), F.col("uuid").cast("string").alias("_key"),
-                             F.col("name").alias("_text"))
+    names = distinct_names(directory)
+    both = (names.select(F.lit("d").alias("_side"), F.col("uuid").cast("string").alias("_key"), F.col("name").alias("_text"))
             .unionByName(m.select(F.lit("m").alias("_side"), F.col("mention").alias("_key"),
                                   F.col("mention").alias("_text"))))
     all_toks = checkpointed(analyze(both, "_key", "_text", analyzer, keep=["_side"]))
-    toks = all_toks.where(F.col("_side") == "d").select(
-        F.col("doc_id").cast(uuid_type).alias("uuid"), "pos", "term", "kind")
-    toks, dfs, lens = directory_index(directory, analyzer, toks)
+    index = DirectoryIndex(directory, analyzer, all_toks.where(F.col("_side") == "d").select(
+        F.col("doc_id").cast(uuid_type).alias("uuid"), "pos", "term", "kind"))
     mq_k = (all_toks.where(F.col("_side") == "m")
                     .select(F.col("doc_id").alias("mention"), "pos", "term", "kind"))
     npos = mq_k.where(F.col("kind") == "term").groupBy("mention").agg(F.count(F.lit(1)).alias("_npos"))
-    mq = mq_k.select("mention", "pos", "term").distinct()
+    mq = checkpointed(mq_k.select("mention", "pos", "term").distinct())
     # anchor: the position whose terms are rarest in the directory
-    weights = (mq.join(dfs.select("term", "df"), "term", "left")
+    weights = (mq.join(index.dfs.select("term", "df"), "term", "left")
                  .groupBy("mention", "pos").agg(F.sum(F.coalesce("df", F.lit(0))).alias("_w")))
     anchor = weights.groupBy("mention").agg(
         F.min_by("pos", F.struct("_w", "pos")).alias("pos"))
     anchor_terms = mq.join(anchor, ["mention", "pos"], "left_semi")
-    cand = (anchor_terms.join(toks.select("term", "uuid"), "term")
-                        .select("mention", "uuid").distinct())
+    cand = anchor_terms.join(index.terms, "term").select("mention", "uuid").distinct()
     # verify every position on (uuid, term)
     checks = cand.join(mq, "mention")
-    matched = checks.join(toks.select("uuid", "term").distinct(), ["uuid", "term"], "left_semi")
-    per_pos = (matched.join(dfs.select("term", "idf"), "term").join(lens, "uuid")
+    matched = checks.join(index.terms, ["uuid", "term"], "left_semi")
+    per_pos = (matched.join(index.dfs.select("term", "idf"), "term").join(index.lens, "uuid")
                       .groupBy("mention", "uuid", "pos")
                       .agg(F.sum(F.col("idf") * F.col("idf") / F.sqrt(F.col("len"))).alias("_ps")))
     scored = (per_pos.groupBy("mention", "uuid")
@@ -112,38 +116,42 @@ def _split_query(q: str) -> tuple[str, str]:
     return " ".join(parts[:-1]), parts[-1].lower()
 
 
-def search(directory: DataFrame, q: str, cap: int = SEARCH_CAP, analyzer: str = "french") -> DataFrame:
+def search(directory: DataFrame | DirectoryIndex, q: str, cap: int = SEARCH_CAP, analyzer: str = "french") -> DataFrame:
     """``q*`` with AND: every analyzed position of the text before the last word
     must match, and some token must start with the (lower-cased, unanalyzed)
-    last word. Output (uuid, name, name_highlight, score, rank), best first."""
-    spark = directory.sparkSession
+    last word. A text before it without any analyzed position (stop words only) asks for nothing.
+    Output (uuid, name, name_highlight, score, rank), best first.
+
+    Pass a ``DirectoryIndex`` to search an index that is built once.
+    """
+    index = directory if isinstance(directory, DirectoryIndex) else DirectoryIndex(directory, analyzer)
+    spark = index.directory.sparkSession
     head, prefix = _split_query(q)
-    toks, dfs, lens = directory_index(directory, analyzer)
-    pre_hits = (toks.where(F.col("term").startswith(prefix))
-                    .select("uuid", F.col("term").alias("_pt")).distinct())
-    cand = pre_hits.select("uuid").distinct()
     hq = analyze(spark.createDataFrame([(head,)], "mention string").withColumn("_id", F.lit(0)),
-                 "_id", "mention", analyzer).select("pos", "term").distinct() if head else None
-    score = F.lit(1.0) / F.sqrt(F.col("len"))
-    if hq is not None:
-        npos = hq.select("pos").distinct().agg(F.count(F.lit(1))).scalar()
-        matched = toks.select("uuid", "term").distinct().join(hq, "term").join(cand, "uuid", "left_semi")
-        hs = (matched.join(dfs.select("term", "idf"), "term")
+                 "_id", "mention", index.analyzer).select("pos", "term").distinct()
+    asked = [(r.pos, r.term) for r in hq.collect()] if head else []  # the words of one query
+    cand = index.toks.where(F.col("term").startswith(prefix)).select("uuid").distinct()
+    score, qterms = F.lit(1.0) / F.sqrt(F.col("len")), None
+    if asked:
+        hq = spark.createDataFrame(asked, "pos int, term string")
+        matched = (index.terms.where(F.col("term").isin(*{t for _, t in asked})).join(hq, "term")
+                   .join(cand, "uuid", "left_semi"))
+        hs = (matched.join(index.dfs.select("term", "idf"), "term")
                      .groupBy("uuid").agg(F.count_distinct("pos").alias("_hit"),
                                           F.sum(F.col("idf") * F.col("idf")).alias("_w"))
-                     .where(F.col("_hit") == npos))
+                     .where(F.col("_hit") == len({p for p, _ in asked})))
         cand = cand.join(hs.select("uuid", "_w"), "uuid")
         score = (F.col("_w") + F.lit(1.0)) / F.sqrt(F.col("len"))
-        qterms = matched.select("uuid", "term")
-    else:
-        qterms = None
-    hits = (cand.join(lens, "uuid").withColumn("score", F.round(score, 6))
-                .join(directory.select("uuid", "name"), "uuid")
-                .orderBy(F.col("score").desc(), F.col("uuid")).limit(cap))
-    return highlight(hits, prefix, qterms, analyzer)
+        qterms = sorted({t for _, t in asked})
+    # hits by distinct name, then every entry that bears it
+    by_name = (cand.join(index.lens, "uuid").withColumn("score", F.round(score, 6))
+               .join(index.names.select("uuid", "name"), "uuid").select("name", "score"))
+    hits = (index.directory.select("uuid", "name").distinct().join(by_name, "name").select("uuid", "name", "score")
+            .orderBy(F.col("score").desc(), F.col("uuid")).limit(cap))
+    return highlight(hits, prefix, qterms, index.analyzer)
 
 
-def highlight(hits: DataFrame, prefix: str, qterms: DataFrame | None, analyzer: str) -> DataFrame:
+def highlight(hits: DataFrame, prefix: str, qterms: list[str] | None, analyzer: str) -> DataFrame:
     """X18 + J13: wrap each name token whose analyzed term (stem or code) matched in
     <strong>, attached to the same hit row. O4: the whole field is one fragment,
     so the highlight never reorders hits.
@@ -159,13 +167,8 @@ def highlight(hits: DataFrame, prefix: str, qterms: DataFrame | None, analyzer:
         nt = nt.join(vocab, "term").select("doc_id", "pos", F.col("stem").alias("term"))
     nt = nt.withColumn("code", X.refined_soundex(F.col("term")))
     flag = F.col("term").startswith(prefix) | F.coalesce(F.col("code").startswith(prefix), F.lit(False))
-    if qterms is not None:
-        q = qterms.select(F.col("uuid").alias("doc_id"), F.col("term").alias("_q")).distinct()
-        nt = (nt.join(q.withColumnRenamed("_q", "term").withColumn("_m1", F.lit(True)),
-                      ["doc_id", "term"], "left")
-                .join(q.withColumnRenamed("_q", "code").withColumn("_m2", F.lit(True)),
-                      ["doc_id", "code"], "left"))
-        flag = flag | F.coalesce(F.col("_m1"), F.lit(False)) | F.coalesce(F.col("_m2"), F.lit(False))
+    if qterms:  # a hit holds all its query terms, so a term or code among them has matched
+        flag = flag | F.col("term").isin(*qterms) | F.coalesce(F.col("code").isin(*qterms), F.lit(False))
     flags = (nt.select("doc_id", "pos", flag.alias("_f"))
                .groupBy(F.col("doc_id").alias("uuid"))
                .agg(F.collect_list(F.struct("pos", "_f")).alias("_fl")))

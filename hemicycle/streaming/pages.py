@@ -56,7 +56,7 @@ def stream_extract(spark: SparkSession, pages_stream: DataFrame, base: str, chec
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         pages = batch.select("page_id", "url", "html")
-        new_facts = (page_facts_df(pages).join(pages.select("page_id", "url"), "page_id")
+        new_facts = (E.latest_pages(page_facts_df(pages))
                      .withColumn("_batch", F.lit(batch_id).cast("long")))
         facts_t.append_batch(new_facts, batch_id)
         f = facts_t.current()
