@@ -7,7 +7,24 @@ same column names. Counts are cast to BIGINT, doubles rounded alike.
 
 from __future__ import annotations
 
-from hemicycle.functions import text as _X
+import unicodedata as _u
+
+from hemicycle.functions.text import (ENGLISH_STOP_WORDS, FRENCH_STOP_WORDS, LATIN1_TO_ASCII,
+                                       REFINED_SOUNDEX_CODES)
+
+# The oracle's own patterns, written for RE2 and kept apart from the engine's. Only the published
+# fixed tables (stop words, Latin-1 table, Soundex codes) are shared.
+WORD = r"[\p{L}\p{M}\p{N}]+(?:['’._][\p{L}\p{M}\p{N}]+)*"
+SPLIT_AT = r"\{[0-9]+\}|[\s\x21-\x2F\x3A-\x40\x5B-\x60\x7C\x7E]+"
+HONORIFIC_NAME = r"(?:MM\.|M\.|Mme[s]*)?\s*([^(]+)\s*(?:\(.*\))?"
+ANCHOR_HREF = r"""(?i)<a\s(?:[^>]*?)href\s*=\s*["']?([^"'\s>]*)"""
+META_TAG, HEAD_PART = r"(?i)<meta\s[^>]*>", r"(?is)<head[^>]*>(.*?)</head>"
+STOPS = {"french": FRENCH_STOP_WORDS, "english": ENGLISH_STOP_WORDS}
+# folding by canonical and compatibility decomposition, with the letters that have none named one by one
+_STROKED = dict(zip("øØđĐłŁħĦŧŦıſðÐ", "oOdDlLhHtTisdD"))
+_WIDE = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ẞ": "SS", "þ": "th", "Þ": "TH", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
+_NARROW = {chr(c): d[0] for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F)) for c in range(lo, hi)
+           if (d := _u.normalize("NFKD", chr(c)))[0].isascii() and all(_u.combining(x) for x in d[1:])} | _STROKED
 
 ORACLE: dict[str, str] = {}
 
@@ -43,7 +60,7 @@ t AS (SELECT scrutiny_uuid, {TALLY_COLS} FROM b GROUP BY scrutiny_uuid)
 SELECT t.scrutiny_uuid, strftime(o_orderdate, '%d/%m/%Y') AS date_display, yea, nay, abs,
        CASE WHEN yea >= nay THEN 'Adopté' ELSE 'Rejeté' END AS outcome
 FROM t JOIN orders ON o_orderkey = t.scrutiny_uuid
-ORDER BY o_orderdate DESC NULLS LAST, t.scrutiny_uuid LIMIT 20
+ORDER BY o_orderdate DESC NULLS LAST, t.scrutiny_uuid LIMIT 1000
 """
 
 ORACLE["rollcall_group_stance"] = f"""
@@ -311,30 +328,30 @@ def _q(s: str) -> str:
 
 
 def fold_sql(e: str) -> str:
-    for k, v in _X.FOLD_MANY.items():
+    for k, v in _WIDE.items():
         e = f"replace({e}, {_q(k)}, {_q(v)})"
-    return f"translate({e}, {_q(''.join(_X.FOLD_ONE))}, {_q(''.join(_X.FOLD_ONE.values()))})"
+    return f"translate({e}, {_q(''.join(_NARROW))}, {_q(''.join(_NARROW.values()))})"
 
 
 def latin1_sql(e: str) -> str:
-    one = {k: v for k, v in _X.LATIN1_TO_ASCII.items() if len(v) == 1}
-    many = {k: v for k, v in _X.LATIN1_TO_ASCII.items() if len(v) > 1}
-    for k, v in many.items():
-        e = f"replace({e}, {_q(chr(k))}, {_q(v)})"
-    e = f"translate({e}, {_q(''.join(chr(k) for k in one))}, {_q(''.join(one.values()))})"
+    one = {chr(k): v for k, v in LATIN1_TO_ASCII.items() if len(v) == 1}
+    for k, v in LATIN1_TO_ASCII.items():
+        if len(v) > 1:
+            e = f"replace({e}, {_q(chr(k))}, {_q(v)})"
+    e = f"translate({e}, {_q(''.join(one))}, {_q(''.join(one.values()))})"
     return f"regexp_replace({e}, '[^\\x00-\\x7F]', '', 'g')"
 
 
 def soundex_sql(e: str) -> str:
     u = f"upper(regexp_replace({e}, '[^A-Za-z]', '', 'g'))"
-    c = f"translate({u}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_X.REFINED_SOUNDEX_CODES}')"
+    c = f"translate({u}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{REFINED_SOUNDEX_CODES}')"
     for d in "0123456789":
         c = f"regexp_replace({c}, '{d}+', '{d}', 'g')"
     return f"CASE WHEN length({u}) > 0 THEN left({u}, 1) || {c} END"
 
 
 def _stops(name: str) -> str:
-    return ", ".join(_q(w) for w in _X.stop_words(name))
+    return ", ".join(_q(w) for w in STOPS.get(name, ()))
 
 
 def norm_tokens_sql(source: str, analyzer: str) -> str:
@@ -344,11 +361,12 @@ def norm_tokens_sql(source: str, analyzer: str) -> str:
         "english": ("standard", False, "english", None, None),
         "general": ("standard", False, None, None, None),
         "timestamped_french": ("timestamp", True, "french", None, None),
+        "timestamped_english": ("timestamp", False, "english", None, None),
     }[analyzer]
     if tok == "standard":
-        toks = f"regexp_extract_all(text, {_q(_X.WORD_PATTERN)})"
+        toks = f"regexp_extract_all(text, {_q(WORD)})"
     else:
-        toks = f"list_filter(string_split_regex(text, {_q(_X.timestamp_split_pattern())}), lambda t: t <> '')"
+        toks = f"list_filter(string_split_regex(text, {_q(SPLIT_AT)}), lambda t: t <> '')"
     term = "lower(tok)"
     if elide:
         term = f"regexp_replace({term}, '^(l|m|t|qu|n|s|j)[''’]', '')"
@@ -382,7 +400,7 @@ SELECT doc_id, term, kind, count(*)::BIGINT AS tf FROM k WHERE term IS NOT NULL
 """
 
 ORACLE["keyword_topk"] = f"""
-WITH t AS ({norm_tokens_sql("(SELECT doc_id, text FROM documents WHERE lang = 'fr')", "french")}),
+WITH t AS ({norm_tokens_sql("(SELECT doc_id, text FROM documents)", "french")}),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY doc_id, term),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM t WHERE term <> ''),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -418,7 +436,7 @@ def norm_pos_sql(source: str, analyzer: str) -> str:
   SELECT doc_id, pos, {fold_sql('term')} AS term FROM (
     SELECT doc_id, pos, {term} AS term FROM (
       SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos
-      FROM (SELECT doc_id, regexp_extract_all(text, {_q(_X.WORD_PATTERN)}) AS toks FROM {source}) s) x) y
+      FROM (SELECT doc_id, regexp_extract_all(text, {_q(WORD)}) AS toks FROM {source}) s) x) y
   WHERE term NOT IN ({_stops(analyzer)})
 """
 
@@ -443,7 +461,7 @@ NAME_LISTS_SQL = """
 CLEAN_NAMES_SQL = f"""
   SELECT p_partkey, ord, name FROM (
     SELECT p_partkey, ord,
-           regexp_replace(regexp_replace(regexp_extract(raw, {_q(_X.NAME_PATTERN)}, 2),
+           regexp_replace(regexp_replace(regexp_extract(raw, {_q(HONORIFIC_NAME)}, 1),
                                          '^\\s+|\\s+$', '', 'g'), '\\.$', '') AS name
     FROM (SELECT p_partkey, unnest(l) AS raw, generate_subscripts(l, 1) AS ord
           FROM (SELECT p_partkey, string_split_regex(replace(replace(names_text, chr(160), ' '), ' et ', ', '),
@@ -455,8 +473,10 @@ ORACLE["clean_names"] = CLEAN_NAMES_SQL
 
 DIRECTORY_SQL = "(SELECT p_partkey AS doc_id, p_name AS text FROM part)"
 
-ORACLE["name_resolution"] = f"""
-WITH m AS (SELECT DISTINCT name AS mention FROM ({CLEAN_NAMES_SQL}) c),
+def resolution_sql(mentions: str) -> str:
+    """CTEs and result of J1 for a query of distinct mentions."""
+    return f"""
+WITH m AS ({mentions}),
 mq AS (SELECT DISTINCT doc_id AS mention, pos, term FROM ({analyzed_sql('(SELECT mention AS doc_id, mention AS text FROM m)')}) a),
 npos AS (SELECT mention, count(DISTINCT pos) AS npos FROM mq GROUP BY mention),
 dt AS (SELECT DISTINCT doc_id AS uuid, pos, term FROM ({analyzed_sql(DIRECTORY_SQL)}) b),
@@ -473,20 +493,27 @@ b AS (SELECT s.mention, uuid, round(s, 9) AS score,
 SELECT m.mention, b.uuid, round(b.score, 6) AS score FROM m LEFT JOIN b ON b.mention = m.mention AND b.rn = 1
 """
 
-ORACLE["prefix_search_highlight"] = f"""
+
+ORACLE["name_resolution"] = resolution_sql(f"SELECT DISTINCT name AS mention FROM ({CLEAN_NAMES_SQL}) c")
+
+def search_sql(head: str) -> str:
+    """Search for ``head`` (may be empty after analysis) and the prefix ``wi``."""
+    score = "(w + 1.0) / sqrt(len)" if head else "1.0 / sqrt(len)"
+    hits = "hs" if head else "(SELECT uuid, 0 AS w FROM pre)"
+    return f"""
 WITH dt AS (SELECT DISTINCT doc_id AS uuid, pos, term FROM ({analyzed_sql(DIRECTORY_SQL)}) b),
 n AS (SELECT count(DISTINCT p_partkey) AS n FROM part),
 df AS (SELECT term, 1 + ln(n.n / (count(DISTINCT uuid) + 1)) AS idf FROM dt CROSS JOIN n GROUP BY term, n.n),
 len AS (SELECT doc_id AS uuid, count(DISTINCT pos) AS len FROM ({norm_pos_sql(DIRECTORY_SQL, 'french')}) c
         WHERE term <> '' GROUP BY doc_id),
-hq AS (SELECT DISTINCT pos, term FROM ({analyzed_sql("(SELECT 0 AS doc_id, 'red' AS text)")}) q),
+hq AS (SELECT DISTINCT pos, term FROM ({analyzed_sql(f"(SELECT 0 AS doc_id, '{head}' AS text)")}) q),
 pre AS (SELECT DISTINCT uuid FROM dt WHERE starts_with(term, 'wi')),
 mt AS (SELECT DISTINCT dt.uuid, dt.term, hq.pos FROM dt JOIN hq ON dt.term = hq.term
        WHERE dt.uuid IN (SELECT uuid FROM pre)),
 hs AS (SELECT mt.uuid, sum(idf * idf) AS w FROM (SELECT DISTINCT uuid, term, pos FROM mt) mt JOIN df USING (term)
        GROUP BY mt.uuid HAVING count(DISTINCT pos) = (SELECT count(DISTINCT pos) FROM hq)),
-hits AS (SELECT hs.uuid, p.p_name AS name, round((w + 1.0) / sqrt(len), 6) AS score
-         FROM hs JOIN len USING (uuid) JOIN part p ON p.p_partkey = hs.uuid
+hits AS (SELECT hs.uuid, p.p_name AS name, round({score}, 6) AS score
+         FROM {hits} hs JOIN len USING (uuid) JOIN part p ON p.p_partkey = hs.uuid
          ORDER BY score DESC, uuid LIMIT 1000),
 nt AS (SELECT doc_id AS uuid, pos, term, {soundex_sql('term')} AS code
        FROM ({norm_pos_sql('(SELECT uuid AS doc_id, name AS text FROM hits)', 'french')}) x WHERE term <> ''),
@@ -494,8 +521,8 @@ fl AS (SELECT nt.uuid, nt.pos,
               starts_with(nt.term, 'wi') OR coalesce(starts_with(nt.code, 'wi'), false)
               OR EXISTS (SELECT 1 FROM mt WHERE mt.uuid = nt.uuid AND (mt.term = nt.term OR mt.term = nt.code)) AS f
        FROM nt),
-tk AS (SELECT h.uuid, h.name, h.score, regexp_extract_all(h.name, {_q(_X.WORD_PATTERN)}) AS toks,
-              string_split_regex(h.name, {_q(_X.WORD_PATTERN)}) AS seps FROM hits h),
+tk AS (SELECT h.uuid, h.name, h.score, regexp_extract_all(h.name, {_q(WORD)}) AS toks,
+              string_split_regex(h.name, {_q(WORD)}) AS seps FROM hits h),
 parts AS (SELECT z.uuid, z.i, CASE WHEN coalesce(fl.f, false) THEN '<strong>' || toks[i] || '</strong>'
                                ELSE toks[i] END || seps[i + 1] AS piece
           FROM (SELECT uuid, toks, seps, unnest(range(1, len(toks) + 1)) AS i FROM tk) z
@@ -506,6 +533,11 @@ SELECT tk.uuid, tk.name, tk.seps[1] || coalesce((SELECT string_agg(piece, '' ORD
 FROM tk
 """
 
+
+ORACLE["prefix_search_highlight"] = search_sql("red")
+ORACLE["search_stop_word_head"] = (f"SELECT *, 'stop word' AS q FROM ({search_sql('')}) x "
+                                   f"UNION ALL SELECT *, 'stop word and term' AS q FROM ({search_sql('red')}) y")
+
 ORACLE["typeahead_rank"] = """
 WITH items AS (SELECT p_name AS item, min(p_partkey) AS input_order FROM part GROUP BY p_name),
 f AS (SELECT *, CASE WHEN starts_with(lower(item), 'ld') THEN 0 WHEN contains(item, 'ld') THEN 1 ELSE 2 END AS bucket
@@ -538,32 +570,30 @@ FROM ({DEPUTIES_SQL}) d
 
 
 def _url_join_sql(base: str, href: str) -> str:
-    scheme_re = "^[A-Za-z][A-Za-z0-9+.-]*:"
-    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
-    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
-    nofrag = f"regexp_replace({base}, '#.*$', '')"
-    pathonly = f"regexp_replace({nofrag}, '\\?.*$', '')"
-    path = f"regexp_extract({pathonly}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)"
-    pdir = f"regexp_extract({path}, '^(.*/)', 1)"
-    bdir = f"{origin} || CASE WHEN {pdir} = '' THEN '/' ELSE {pdir} END"
-    j = (f"CASE WHEN regexp_matches({href}, '{scheme_re}') THEN {href} "
-         f"WHEN starts_with({href}, '//') THEN {scheme} || ':' || {href} "
-         f"WHEN starts_with({href}, '/') THEN {origin} || {href} "
-         f"WHEN {href} = '' THEN {nofrag} "
-         f"WHEN starts_with({href}, '?') THEN {pathonly} || {href} "
-         f"WHEN starts_with({href}, '#') THEN {nofrag} || {href} "
-         f"ELSE {bdir} || {href} END")
-    j = f"regexp_replace(regexp_replace({j}, '/\\./', '/', 'g'), '/\\.$', '')"
-    j = f"regexp_replace({j}, '/\\.$', '/')"
-    for _ in range(4):
-        j = f"regexp_replace({j}, {_q(_X.DOT_DOT_SEGMENT)}, '/')"
-    return f"regexp_replace({j}, '(://[^/?#]*)/\\.\\./', '\\1/')"
+    """RFC 3986 5.2 over lists: the merged path's segments, each ``..`` taking the last one kept with it."""
+    absolute = "'^[A-Za-z][A-Za-z0-9+.-]*:'"
+    origin = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+    whole = f"string_split({base}, '#')[1]"
+    path = f"regexp_extract(substr({whole}, length({origin}) + 1), '^[^?]*')"
+    folder = f"coalesce(nullif(regexp_extract({path}, '^.*/'), ''), '/')"
+    own = f"regexp_extract({href}, '^[^?#]*')"
+    merged = f"CASE WHEN starts_with({href}, '/') THEN {own} ELSE {folder} || {own} END"
+    segments = f"string_split({merged}, '/')[2:]"
+    kept = (f"list_reduce(list_prepend([]::VARCHAR[], list_transform({segments}, lambda x: [x])), "
+            "lambda acc, x: CASE x[1] WHEN '.' THEN acc WHEN '..' THEN acc[:-2] ELSE list_concat(acc, x) END)")
+    end = f"CASE WHEN {segments}[-1] IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END"
+    return (f"CASE WHEN regexp_matches({href}, {absolute}) THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN regexp_extract({base}, {absolute}) || {href} "
+            f"WHEN {href} = '' THEN {whole} "
+            f"WHEN starts_with({href}, '?') THEN {origin} || {path} || {href} "
+            f"WHEN starts_with({href}, '#') THEN {whole} || {href} "
+            f"ELSE {origin} || '/' || array_to_string({kept}, '/') || {end} || substr({href}, length({own}) + 1) END")
 
 
 ORACLE["page_links"] = f"""
 WITH ex AS (
   SELECT page_id, url, replace(unnest(l), '&amp;', '&') AS href, generate_subscripts(l, 1) - 1 AS pos
-  FROM (SELECT page_id, url, regexp_extract_all(html, {_q(_X.LINK_PATTERN)}, 1) AS l FROM pages) p),
+  FROM (SELECT page_id, url, regexp_extract_all(html, {_q(ANCHOR_HREF)}, 1) AS l FROM pages) p),
 j AS (SELECT page_id, pos, href, {_url_join_sql('url', 'href')} AS abs_url FROM ex),
 k AS (SELECT *, lower(regexp_extract(abs_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)) AS host,
              string_split(regexp_extract(abs_url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '/') AS segs
@@ -575,9 +605,9 @@ FROM k
 """
 
 ORACLE["page_meta"] = f"""
-WITH h AS (SELECT page_id, regexp_extract(html, {_q(_X.HEAD_PATTERN)}, 1) AS head FROM pages),
+WITH h AS (SELECT page_id, regexp_extract(html, {_q(HEAD_PART)}, 1) AS head FROM pages),
 ex AS (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS pos
-       FROM (SELECT page_id, regexp_extract_all(head, {_q(_X.META_PATTERN)}) AS l FROM h) x),
+       FROM (SELECT page_id, regexp_extract_all(head, {_q(META_TAG)}) AS l FROM h) x),
 kv AS (SELECT page_id, pos, regexp_extract(tag, '(?i)\\bname\\s*=\\s*"([^"]*)"', 1) AS name,
               regexp_extract(tag, '(?i)\\bcontent\\s*=\\s*"([^"]*)"', 1) AS content FROM ex),
 last AS (SELECT page_id, name, arg_max(content, pos) AS content FROM kv WHERE name <> '' GROUP BY page_id, name),
@@ -628,3 +658,103 @@ adj5 AS (SELECT id, parent_id,
 """ + numbering_ctes("adj5", "tree5") + "SELECT * FROM tree5"
 
 ORACLE["tree_descendants_nested_set"] = ORACLE["tree_descendants"]
+
+
+# ---------------------------------------------------------------- further reads and sinks
+
+ORACLE["voter_history_top5"] = ORACLE["voter_history_topk"].replace("rn <= 1000", "rn <= 5")
+
+ORACLE["deputy_page"] = f"""
+SELECT h.*, d.name, d.party, d.jurisdiction, 'img/thumbs/' || d.uuid::VARCHAR || '.jpg' AS image
+FROM ({ORACLE["voter_history_topk"]}) h JOIN ({DEPUTIES_SQL}) d ON d.uuid = h.voter_uuid WHERE d.uuid = 7
+"""
+
+ORACLE["term_filter_one"] = f"SELECT DISTINCT scrutiny_uuid FROM ({BALLOTS_SQL}) b WHERE voter_uuid = 7 AND vote = 'nay'"
+
+ORACLE["scrutiny_documents"] = f"""
+SELECT scrutiny_uuid, d.party AS group_name, vote,
+       (row_number() OVER (PARTITION BY scrutiny_uuid, d.party, vote ORDER BY ord, voter_uuid NULLS LAST) - 1)::BIGINT AS list_pos,
+       voter_uuid, strftime(o_orderdate, '%d/%m/%Y') AS date_display
+FROM ({BALLOTS_SQL}) b LEFT JOIN ({DEPUTIES_SQL}) d ON d.uuid = b.voter_uuid JOIN orders ON o_orderkey = scrutiny_uuid
+WHERE vote = 'yea' OR scrutiny_uuid % 2 = 0
+"""
+
+ORACLE["rollcall_pages_roundtrip"] = f"""
+SELECT '13-' || scrutiny_uuid::VARCHAR AS scrutiny_uuid, 'Vote sur le texte ' || scrutiny_uuid::VARCHAR || ' - finances' AS title,
+       strftime(o_orderdate, '%d/%m/%Y') AS date_display, 'Texte ' || scrutiny_uuid::VARCHAR AS info, lower(d.party) AS group_key, vote,
+       (row_number() OVER (PARTITION BY scrutiny_uuid, d.party, vote ORDER BY ord, d.name) - 1)::BIGINT AS ord, d.name AS voter_name
+FROM ({BALLOTS_SQL}) b JOIN ({DEPUTIES_SQL}) d ON d.uuid = b.voter_uuid JOIN orders ON o_orderkey = scrutiny_uuid
+"""
+
+ORACLE["rollcall_resolved"] = f"""
+WITH named AS (
+  SELECT l_orderkey AS scrutiny_uuid, CASE l_returnflag WHEN 'A' THEN 'yea' WHEN 'R' THEN 'nay' ELSE 'abs' END AS vote,
+         CASE WHEN l_linenumber % 5 = 0 THEN 'Nobody Zzyzx' ELSE p_name END AS voter_name
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R', 'N')),
+r AS ({resolution_sql("SELECT DISTINCT p_name AS mention FROM part UNION SELECT 'Nobody Zzyzx'")})
+SELECT r.uuid AS voter_uuid, vote, count(*)::BIGINT AS n_ballots, count(DISTINCT scrutiny_uuid)::BIGINT AS n_scrutinies
+FROM named LEFT JOIN r ON r.mention = named.voter_name GROUP BY r.uuid, vote
+"""
+
+ORACLE["tree_children"] = TREE_BASE + """
+SELECT t.id, t.position, t.title, (SELECT count(*) FROM tree0 k WHERE k.parent_id = t.id)::BIGINT AS n_children
+FROM tree0 t WHERE t.parent_id = 3
+"""
+
+ORACLE["tree_subtree_sizes"] = TREE_BASE + """
+SELECT a.id, count(*)::BIGINT AS n_nodes, count(*) = 1 AS leaf
+FROM tree0 a JOIN tree0 d ON d.lft >= a.lft AND d.rgt <= a.rgt GROUP BY a.id
+"""
+
+ORACLE["tree_dump"] = TREE_BASE + """
+SELECT lft, id, repeat('  ', level::INTEGER) || id::VARCHAR || ' (' || concat_ws(',', lft, rgt, level, parent_id, position) || ')' AS line
+FROM tree0
+"""
+
+ORACLE["tree_search_with_parents"] = TREE_BASE + """
+, hits AS (SELECT * FROM tree0 WHERE contains(lower(title), 'customer#00000012'))
+SELECT DISTINCT t.id, t.title FROM tree0 t JOIN hits h ON t.lft <= h.lft AND t.rgt >= h.rgt
+"""
+
+ORACLE["tree_subtree"] = f"SELECT * FROM ({ORACLE['tree_descendants']}) p WHERE ancestor_id IN (2, 11)"
+
+ORACLE["tree_localized"] = f"SELECT id, CASE WHEN id % 3 = 0 THEN 'Le ' || lower(title) ELSE title END AS title FROM ({TREE_ADJ_SQL}) a"
+
+ORACLE["tree_edits_checked"] = TREE_BASE + """,
+mx0 AS (SELECT max(id) AS m FROM tree0),
+adj_n AS (SELECT id, parent_id, position, title, type FROM tree0
+          UNION ALL SELECT m + 1, 3, 0, 'new node', 'nation' FROM mx0),
+adj1 AS (""" + _reseat_sql("adj_n", "(SELECT m + 1 FROM mx0)", 3, 0, "-1") + """),
+adj2 AS (SELECT id, parent_id, position, CASE WHEN id = 10 THEN 'Renamed' ELSE title END AS title, type FROM adj1),
+adj3 AS (""" + _reseat_sql("adj2", 12, 2, 99, "(SELECT parent_id FROM adj2 WHERE id = 12)") + "),\n" + \
+    numbering_ctes("adj3", "tree3") + "SELECT * FROM tree3"
+
+ORACLE["tokens_timestamped_en"] = _tf_sql("(SELECT doc_id, text FROM documents)", "timestamped_english")
+
+ORACLE["index_fields"] = f"""
+WITH t AS (SELECT 'text' AS field, * FROM ({norm_tokens_sql("(SELECT doc_id, text FROM documents)", "general")}) a
+           UNION ALL SELECT 'source' AS field, * FROM ({norm_tokens_sql("(SELECT doc_id, source AS text FROM documents)", "general")}) b),
+k AS (SELECT field, doc_id, term, 'term' AS kind FROM t WHERE term <> ''
+      UNION ALL SELECT field, doc_id, {soundex_sql('term')} AS term, 'phon' AS kind FROM t WHERE term <> '')
+SELECT doc_id, field, term, kind, count(*)::BIGINT AS tf FROM k WHERE term IS NOT NULL GROUP BY ALL
+"""
+
+ORACLE["keyed_replace"] = """
+WITH latest AS (SELECT *, event_type = 'purchase' AS late,
+                       row_number() OVER (PARTITION BY user_id, event_type = 'purchase'
+                                          ORDER BY ts DESC, event_id DESC, event_type DESC, value DESC, props DESC) AS rn
+                FROM events WHERE event_type IN ('view', 'click', 'purchase'))
+SELECT event_id, ts, user_id, event_type, value, props FROM latest l
+WHERE rn = 1 AND (late OR NOT EXISTS (SELECT 1 FROM latest m WHERE m.late AND m.user_id = l.user_id))
+"""
+
+ORACLE["record_routing"] = """
+SELECT CASE record_type WHEN 'page' THEN 'other' ELSE record_type END AS branch, record_type, count(*)::BIGINT AS n, sum(key)::BIGINT AS key_sum
+FROM (SELECT 'deputy' AS record_type, s_suppkey AS key FROM supplier UNION ALL SELECT 'scrutiny', o_orderkey FROM orders
+      UNION ALL SELECT 'page', p_partkey FROM part) r GROUP BY ALL
+"""
+
+ORACLE["result_page_json"] = f"""
+SELECT to_json({{'uuid': uuid, 'name': name, 'party': party}})::VARCHAR AS value
+FROM (SELECT * FROM ({DEPUTIES_SQL}) d ORDER BY name DESC, uuid LIMIT 15 OFFSET 20) p
+"""

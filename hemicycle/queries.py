@@ -19,7 +19,9 @@ from hemicycle.operators import ballots as B
 from hemicycle.operators import extract as E
 from hemicycle.operators import resolve as R
 from hemicycle.operators import tree as H
+from hemicycle.plans import paging as P
 from hemicycle.session import scratch_path
+from hemicycle.sources import rollcall_pages as RP
 from hemicycle.sources import tables as T
 from hemicycle.sources import tree_files as TF
 from hemicycle.streaming import upsert as U
@@ -42,8 +44,8 @@ def rollcall_tallies(spark, sf_dir):
 
 
 @register("rollcall_latest")
-def rollcall_latest(spark, sf_dir, k: int = 20):
-    """Flagship: latest roll calls with tallies and outcome (top-k report)."""
+def rollcall_latest(spark, sf_dir, k: int = B.HISTORY_CAP):
+    """Flagship: latest roll calls with tallies and outcome (top-k report, the reference's result size)."""
     t = B.tallies(T.ballots(spark, sf_dir))
     s = T.scrutinies(spark, sf_dir)
     return (t.join(s, "scrutiny_uuid")
@@ -91,6 +93,67 @@ def term_filter_nested(spark, sf_dir):
     return B.voted_pairs(nested, d)
 
 
+@register("voter_history_top5")
+def voter_history_top5(spark, sf_dir):
+    """W6 + O1 with a cap that binds."""
+    return B.voter_history(T.ballots(spark, sf_dir), T.scrutinies(spark, sf_dir), 5)
+
+
+DEPUTY_UUID = 7
+
+
+@register("deputy_page")
+def deputy_page(spark, sf_dir):
+    """S6 + J3 + J4 + P19: one deputy's profile with the history of each vote type."""
+    profile, history = B.deputy_page(T.deputies(spark, sf_dir), T.ballots(spark, sf_dir), T.scrutinies(spark, sf_dir), DEPUTY_UUID)
+    return history.join(profile.withColumnRenamed("uuid", "voter_uuid"), "voter_uuid")
+
+
+@register("term_filter_one")
+def term_filter_one(spark, sf_dir):
+    """F1 on the nested form: roll calls in whose ``nay`` lists one deputy occurs."""
+    nested = B.nest_votes(B.with_group(T.ballots(spark, sf_dir), T.deputies(spark, sf_dir)), DOCUMENT_CHUNK)
+    return B.filter_voted(nested, DEPUTY_UUID, "nay").select("scrutiny_uuid").distinct()
+
+
+DOCUMENT_CHUNK = 4  # short lists, so that documents have several parts here
+
+
+@register("scrutiny_documents")
+def scrutiny_documents(spark, sf_dir):
+    """K2 + P15 + A4 + K1/U4: documents of the ``yea`` ballots, then complete ones replacing those of even keys;
+    read back as ordered lists."""
+    bg = B.with_group(T.ballots(spark, sf_dir), T.deputies(spark, sf_dir))
+    s = T.scrutinies(spark, sf_dir).withColumnRenamed("scrutiny_uuid", "uuid")
+    old = B.scrutiny_documents(s, bg.where("vote = 'yea'"), strict=True, chunk=DOCUMENT_CHUNK)
+    new = B.scrutiny_documents(s.where("uuid % 2 = 0"), bg.where("scrutiny_uuid % 2 = 0"), strict=True, chunk=DOCUMENT_CHUNK)
+    docs = B.replace_documents(old, new).select(F.col("uuid").alias("scrutiny_uuid"), "date", "part", "votes")
+    flat = B.flatten_votes(docs, DOCUMENT_CHUNK)
+    dates = docs.select("scrutiny_uuid", B.display_date(F.col("date")).alias("date_display")).distinct()
+    return flat.join(dates, "scrutiny_uuid")
+
+
+@register("rollcall_pages_roundtrip")
+def rollcall_pages_roundtrip(spark, sf_dir):
+    """The roll calls written as legislature pages (both layouts, repeated
+    index and vote pages), extracted again."""
+    s, b, _ = E.scrutinies_from_pages(RP.rollcall_pages(spark, sf_dir))
+    return (b.join(s.select(F.col("uuid").alias("scrutiny_uuid"), "title", B.display_date(F.col("date")).alias("date_display"), "info"),
+                   "scrutiny_uuid")
+            .select("scrutiny_uuid", "title", "date_display", "info", "group_key", "vote", F.col("ord").cast("long").alias("ord"), "voter_name"))
+
+
+@register("rollcall_resolved")
+def rollcall_resolved(spark, sf_dir):
+    """J1 on named ballots (``resolve_ballots``): names become uuids, unresolved voters stay null and count."""
+    li, p = T.table(spark, sf_dir, "lineitem"), T.table(spark, sf_dir, "part")
+    name = F.when(F.col("l_linenumber") % 5 == 0, F.lit("Nobody Zzyzx")).otherwise(F.col("p_name"))
+    named = (li.where(F.col("l_returnflag").isin(*T.VOTE_OF_FLAG)).join(p, F.col("l_partkey") == F.col("p_partkey"))
+             .select(F.col("l_orderkey").alias("scrutiny_uuid"), T.vote_of_flag(F.col("l_returnflag")).alias("vote"), name.alias("voter_name")))
+    return (R.resolve_ballots(named, T.name_directory(spark, sf_dir)).groupBy("voter_uuid", "vote")
+            .agg(F.count(F.lit(1)).alias("n_ballots"), F.count_distinct("scrutiny_uuid").alias("n_scrutinies")))
+
+
 @register("random_pick")
 def random_pick(spark, sf_dir):
     return B.random_pick(T.deputies(spark, sf_dir), seed=20)
@@ -131,18 +194,19 @@ def tree_numbering(spark, sf_dir):
 
 @register("tree_descendants")
 def tree_descendants(spark, sf_dir):
-    return H.descendants(H.number_tree(H.tree_from_tables(spark, sf_dir), keep_anc=True))
+    """H3 for every node, from the parent pointers."""
+    return H.ancestor_pairs(H.tree_from_tables(spark, sf_dir))
 
 
 @register("tree_descendants_nested_set")
 def tree_descendants_nested_set(spark, sf_dir):
-    """J5 on the nested set alone (lft/rgt, no ancestor lists): the bin equi-join."""
+    """J5 on the nested set alone (lft/rgt): the equi-join on dyadic blocks."""
     return H.descendants(_numbered(spark, sf_dir))
 
 
 @register("tree_path")
 def tree_path(spark, sf_dir):
-    return H.paths(H.number_tree(H.tree_from_tables(spark, sf_dir), keep_anc=True))
+    return H.paths(_numbered(spark, sf_dir))
 
 
 @register("tree_search")
@@ -210,6 +274,56 @@ def tree_sorted(spark, sf_dir):
     return H.sort_siblings(_numbered(spark, sf_dir))
 
 
+TREE_NODE = 11
+
+
+@register("tree_children")
+def tree_children(spark, sf_dir):
+    """H2 + O5 + A8: the children of a node in order, with their own number of children."""
+    t = _numbered(spark, sf_dir)
+    return H.children(t, 3).select("id", "position", "title").join(H.children_counts(t), "id")
+
+
+@register("tree_subtree_sizes")
+def tree_subtree_sizes(spark, sf_dir):
+    """A7 + F12: nodes below each node, and whether it is a leaf."""
+    t = _numbered(spark, sf_dir)
+    return t.select("id", H.subtree_size(t).alias("n_nodes"), H.is_leaf().alias("leaf"))
+
+
+@register("tree_dump")
+def tree_dump(spark, sf_dir):
+    """S7 + H14 + X20: the indented lines of the tree in left order."""
+    return H.dump(_numbered(spark, sf_dir))
+
+
+@register("tree_search_with_parents")
+def tree_search_with_parents(spark, sf_dir):
+    """F10 + U2: the hits and their ancestors."""
+    return H.search_with_ancestors(_numbered(spark, sf_dir), TREE_SEARCH)
+
+
+@register("tree_subtree")
+def tree_subtree(spark, sf_dir):
+    """H3 for asked nodes only."""
+    t = _numbered(spark, sf_dir)
+    return H.descendants(t, t.where(F.col("id").isin(2, TREE_NODE)))
+
+
+@register("tree_localized")
+def tree_localized(spark, sf_dir):
+    """Titles in one language where a node has one."""
+    t = H.tree_from_tables(spark, sf_dir)
+    titles = t.where("id % 3 = 0").select("id", F.lit("fr").alias("lang"), F.concat(F.lit("Le "), F.lower("title")).alias("title"))
+    return H.localized_titles(t, titles, "fr").select("id", "title")
+
+
+@register("tree_edits_checked")
+def tree_edits_checked(spark, sf_dir):
+    """G7 + H18: the edit log with a check that refuses to move customers and to copy."""
+    return H.apply_edits(_numbered(spark, sf_dir), TREE_EDITS, check=lambda e, t: e["op"] not in ("copy", "remove"))
+
+
 @register("tree_json")
 def tree_json(spark, sf_dir):
     return H.node_json(_numbered(spark, sf_dir))
@@ -270,9 +384,30 @@ def french_analyzer_tokens(spark, sf_dir):
     return t.groupBy("doc_id", "term", "kind").agg(F.count(F.lit(1)).alias("tf"))
 
 
+@register("english_analyzer_tokens")
+def english_analyzer_tokens(spark, sf_dir):
+    """The English analyzer over English documents."""
+    t = A.analyze(_docs(spark, sf_dir, "en"), "doc_id", "text", "english")
+    return t.groupBy("doc_id", "term", "kind").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@register("tokens_timestamped_en")
+def tokens_timestamped_en(spark, sf_dir):
+    """T3 + English filters (no stemmer) over all documents."""
+    return A.term_frequencies(A.normalized_tokens(_docs(spark, sf_dir), "doc_id", "text", "timestamped_english"))
+
+
+@register("index_fields")
+def index_fields(spark, sf_dir):
+    """One inverted index over two text fields."""
+    t = A.index_fields(_docs(spark, sf_dir), "doc_id", ["text", "source"], "general")
+    return t.groupBy("doc_id", "field", "term", "kind").agg(F.count(F.lit(1)).alias("tf"))
+
+
 @register("keyword_topk")
 def keyword_topk(spark, sf_dir):
-    t = A.normalized_tokens(_docs(spark, sf_dir, "fr"), "doc_id", "text", "french")
+    """A9 over all documents, at most 20 a document."""
+    t = A.normalized_tokens(_docs(spark, sf_dir), "doc_id", "text", "french")
     return A.keyword_topk(t, 20)
 
 
@@ -335,6 +470,14 @@ def prefix_search_highlight(spark, sf_dir):
     return R.search(T.name_directory(spark, sf_dir), SEARCH_QUERY, R.SEARCH_CAP)
 
 
+@register("search_stop_word_head")
+def search_stop_word_head(spark, sf_dir):
+    """F3 + F4: a head that the analyzer empties asks for nothing; one index serves several searches."""
+    index = R.DirectoryIndex(T.name_directory(spark, sf_dir))
+    first = R.search(index, "le " + SEARCH_QUERY.split()[1]).withColumn("q", F.lit("stop word"))
+    return first.unionByName(R.search(index, "le " + SEARCH_QUERY).withColumn("q", F.lit("stop word and term")))
+
+
 @register("typeahead_rank")
 def typeahead_rank(spark, sf_dir):
     items = (T.name_directory(spark, sf_dir).groupBy(F.col("name").alias("item"))
@@ -357,6 +500,37 @@ def upsert_latest(spark, sf_dir):
     return U.upsert(U.latest_per_key(first, EVENT_KEY, EVENT_ORDER), rest, EVENT_KEY, EVENT_ORDER)
 
 
+@register("keyed_replace")
+def keyed_replace(spark, sf_dir):
+    """U4: the latest rows of one part of the feed replace those of another with the same key."""
+    ev = T.table(spark, sf_dir, "events")
+    first = U.latest_per_key(ev.where(F.col("event_type").isin("view", "click")), EVENT_KEY, EVENT_ORDER)
+    rest = U.latest_per_key(ev.where(F.col("event_type") == "purchase"), EVENT_KEY, EVENT_ORDER)
+    return U.keyed_replace(first, rest, EVENT_KEY)
+
+
+@register("record_routing")
+def record_routing(spark, sf_dir):
+    """K3 + F8: mixed records routed by type; what is neither passes through."""
+    kinds = (("supplier", "s_suppkey", "deputy"), ("orders", "o_orderkey", "scrutiny"), ("part", "p_partkey", "page"))
+    records = None
+    for table, key, kind in kinds:
+        part = T.table(spark, sf_dir, table).select(F.lit(kind).alias("record_type"), F.col(key).cast("long").alias("key"))
+        records = part if records is None else records.unionByName(part)
+    out = None
+    for branch, rows in U.route_by_type(records).items():
+        part = rows.select(F.lit(branch).alias("branch"), "record_type", "key")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("branch", "record_type").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("key_sum"))
+
+
+@register("result_page_json")
+def result_page_json(spark, sf_dir):
+    """O9 + P21 + K4 + G3: one page of deputies, asked fields only, as JSON lines, through a pipeline of steps."""
+    steps = [lambda d: P.page(d, [F.col("name").desc(), "uuid"], 20, 15), lambda d: P.project_fields(d, "uuid,name, party"), P.json_lines]
+    return P.apply_pipeline(T.deputies(spark, sf_dir), steps)
+
+
 @register("upsert_stream")
 def upsert_stream(spark, sf_dir):
     """R1 + R2: the change feed read as a stream, applied per micro-batch with foreachBatch."""
