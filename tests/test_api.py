@@ -93,7 +93,7 @@ def test_nested_parts_are_bounded(spark):
     longest = nested.select(F.max(F.aggregate("votes", F.lit(0), lambda a, g: F.greatest(
         a, F.coalesce(F.size(g["votes"]["yea"]), F.lit(0)), F.coalesce(F.size(g["votes"]["nay"]), F.lit(0)),
         F.coalesce(F.size(g["votes"]["abs"]), F.lit(0)))))).first()[0]
-    assert longest <= 6  # hash buckets of ceil(n/2): small, not the whole group
+    assert longest == 2
     assert B.flatten_votes(nested, 2).count() == bg.count()
     a = {r.scrutiny_uuid: (r.yea, r.nay, r.abs) for r in B.nested_tallies(nested).collect()}
     b = {r.scrutiny_uuid: (r.yea, r.nay, r.abs) for r in B.tallies(T.ballots(spark, sf)).collect()}

@@ -45,3 +45,14 @@ def test_prefix_search_highlight(spark, directory):
     # itself: "marie" is indexed as "mar", so "marie*" finds nothing, "mar*" both
     assert R.search(directory, "marie").count() == 0
     assert {h.uuid for h in R.search(directory, "mar").collect()} == {3, 5}
+
+
+def test_stop_word_before_the_prefix(spark, directory):
+    """A head of stop words only asks for nothing, and an index serves many searches."""
+    index = R.DirectoryIndex(directory)
+    assert {h.uuid for h in R.search(index, "le dur").collect()} == {h.uuid for h in R.search(index, "dur").collect()} == {2}
+    assert [h.uuid for h in R.search(index, "le jean dur").collect()] == [2]
+
+
+def test_every_entry_of_a_name_is_found(spark, directory):
+    assert {h.uuid for h in R.search(directory, "jean dup").collect()} == {1, 4}

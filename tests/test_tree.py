@@ -133,10 +133,34 @@ def _inside(model, a, b):
     return la <= lb and rb <= ra
 
 
-def test_descendants_path_form_equals_bin_join(spark):
+def test_descendants_by_pointers_equal_dyadic_join(spark):
     rws = _random_forest(80, 5)
     adj = spark.createDataFrame(rws, "id long, parent_id long, position long, title string, type string")
-    with_anc = H.number_tree(adj, keep_anc=True)
-    a = sorted(tuple(r) for r in H.descendants(with_anc).collect())
-    b = sorted(tuple(r) for r in H.descendants(with_anc.drop("anc"), bin_width=4).collect())
-    assert a == b and len(a) > 80
+    tree = H.number_tree(adj)
+    a = {(r.ancestor_id, r.id, r.distance) for r in H.ancestor_pairs(adj).collect()}
+    assert a == {(r.ancestor_id, r.id, r.distance) for r in H.descendants(tree).collect()}
+
+
+def test_chain_of_ten_thousand(spark):
+    """Depth costs log2(depth) rounds."""
+    n = 10_000
+    chain = spark.range(1, n + 1).selectExpr("id", "id - 1 as parent_id", "0L as position", "'t' as title", "'x' as type")
+    t = H.number_tree(chain)
+    assert t.where(f"lft <> id or rgt <> {2 * n} + 1 - id or level <> id - 1").count() == 0 and t.count() == n
+
+
+def test_cycles_and_orphans_vanish(spark):
+    rows = [(1, 0, 0, "r", ""), (2, 1, 0, "a", ""), (3, 4, 0, "c", ""), (4, 3, 0, "c", ""), (5, 4, 0, "c", ""), (6, 99, 0, "o", ""), (7, 6, 0, "o", "")]
+    t = H.number_tree(spark.createDataFrame(rows, "id long, parent_id long, position long, title string, type string"))
+    assert sorted((r.id, r.lft, r.rgt) for r in t.collect()) == [(1, 1, 4), (2, 2, 3)]
+
+
+def test_wide_intervals(spark):
+    """A root over four billion positions: containment cost does not follow the width."""
+    rows = [(1, 0, 0, 1, 4_000_000_000, 0, "R", ""), (2, 1, 0, 1_999_999_999, 2_000_000_000, 1, "a", ""),
+            (3, 1, 1, 3_000_000_001, 3_000_000_002, 1, "b", "")]
+    t = spark.createDataFrame(rows, H.TREE_SCHEMA)
+    got = sorted((r.ancestor_id, r.id, r.distance) for r in H.descendants(t).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 2, 0), (3, 3, 0)]
+    assert [r.id for r in H.search_ancestors(t, "b").collect()] == [1]
+
