@@ -9,7 +9,8 @@ analyzer: stems plus injected refined-Soundex codes):
   or code) is among the entry's terms; every position must match (AND);
 * candidates come from the mention's *rarest* position only (smallest
   document frequency), then every position is verified with an exact
-  semi-join on (uuid, term) - no cap, no fan-out on a common first name;
+  semi-join on (uuid, term). Nothing is capped; the directory is reduced to distinct
+  names first, so a mention of one common word meets each name with it once;
 * score = sum over matched terms of idf^2 / sqrt(entry length) with
   idf = 1 + ln(N / (df + 1)); ties break on uuid; top-1 per mention is
   ``row_number() = 1`` (partial WindowGroupLimit before the shuffle).

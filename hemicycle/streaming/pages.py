@@ -11,7 +11,8 @@ batches, so each batch:
 3. re-runs the page chain and ballot windows for those rows only, over the
    merged facts;
 4. appends the roll calls (keyed by uuid) and their ballots as deltas; the
-   ballots of a roll call are the rows of the newest batch that produced it.
+   ballots of a roll call are the rows of the newest batch that touched it, so a
+   re-crawl that yields none (or is rejected) leaves none.
 
 Every write is a delta named by the batch id, so a batch costs its own size
 (plus the merged read), a replayed batch rewrites the same deltas, and
@@ -29,23 +30,39 @@ from hemicycle.streaming.upsert import DeltaKeyedTable
 
 
 class BallotDeltas:
-    """Ballot rows per roll call; the newest batch that wrote a roll call owns its ballots."""
+    """Ballot rows per roll call; the newest batch that touched a roll call owns its ballots.
+
+    A batch writes one marker row for every roll call it touched, besides the ballots it found.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._t = DeltaKeyedTable(spark, self.path, ["scrutiny_uuid"], ["_batch"])
 
-    def append_batch(self, ballots: DataFrame, batch_id: int) -> None:
-        ballots.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{self.path}/d{batch_id:08d}")
+    def append_batch(self, ballots: DataFrame, touched: DataFrame, batch_id: int) -> None:
+        marks = touched.select(F.col("uuid").alias("scrutiny_uuid")).distinct().withColumn("_mark", F.lit(True))
+        rows = ballots.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        rows.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{self.path}/d{batch_id:08d}")
 
-    def current(self) -> DataFrame | None:
-        ds = self._t._list("d")
-        if not ds:
+    def _rows(self) -> DataFrame | None:
+        base, ds = self._t._versions(), self._t._list("d")
+        paths = ([f"{self.path}/v{base[-1]:08d}"] if base else []) + [
+            f"{self.path}/d{d:08d}" for d in ds if not base or d > base[-1]]
+        if not paths:
             return None
-        rows = self.spark.read.parquet(*[f"{self.path}/d{d:08d}" for d in ds])
-        newest = rows.groupBy("scrutiny_uuid").agg(F.max("_batch").alias("_batch"))
-        return rows.join(newest, ["scrutiny_uuid", "_batch"]).drop("_batch")
+        rows = self.spark.read.parquet(*paths)
+        newest = rows.where("_mark").groupBy("scrutiny_uuid").agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, ["scrutiny_uuid", "_batch"])
+
+    def current(self) -> DataFrame | None:
+        rows = self._rows()
+        return None if rows is None else rows.where(~F.col("_mark")).drop("_batch", "_mark")
+
+    def compact(self) -> None:
+        """Fold the deltas into a base; markers stay, as they date a roll call without ballots."""
+        rows, ds = self._rows(), self._t._list("d")
+        if rows is not None and ds:
+            self._t.write(rows, ds[-1])
 
 
 def stream_extract(spark: SparkSession, pages_stream: DataFrame, base: str, checkpoint: str,
@@ -70,7 +87,7 @@ def stream_extract(spark: SparkSession, pages_stream: DataFrame, base: str, chec
                    .distinct())
         s, b, _ = E.scrutinies_from_facts(f.drop("_batch"), touched)
         scr_t.append_batch(s.withColumn("_batch", F.lit(batch_id).cast("long")), batch_id)
-        bal_t.append_batch(b, batch_id)
+        bal_t.append_batch(b, touched, batch_id)
 
     w = pages_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
