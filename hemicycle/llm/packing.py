@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import stored
+from hemicycle.llm.common import stored, text_batches
 
 SEQUENCE = 2048
 END = b"\0\0\0\0"
@@ -87,18 +87,22 @@ class WordIds:
             self.words.clear()
         if len(self.stems) > STEMS_CACHED:
             self.stems.clear()
-        split = [[w if b"<|" in w else w.lower() for w in t.replace(b"\n", b" ").split(b" ")] if b"<|" in t
-                 else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        new = set().union(*split) - self.words.keys()
-        parts = {w: self._split(w) for w in new}
-        fresh = {p for two in parts.values() for p in two if p} - self.stems.keys()
+        one: dict[bytes, list[bytes]] = {}  # copies within a batch are split once
+        for t in texts:
+            if t not in one:
+                flat = t.replace(b"\n", b" ")
+                one[t] = ([w if b"<|" in w else w.lower() for w in flat.split(b" ")] if b"<|" in t
+                          else flat.lower().split(b" "))
+        split = list(one.values())
+        words, stems = self.words, self.stems
+        parts = {w: self._split(w) for w in set().union(*split) if w not in words}
+        fresh = {p for two in parts.values() for p in two if p and p not in stems}
         if fresh:
             self._encode(sorted(fresh))
-        stems = self.stems
         for w, (stem, tail) in parts.items():
-            self.words[w] = (stems[stem] if stem else b"") + (stems[tail] if tail else b"")
-        words = self.words
-        return [b"".join([words[w] for w in s]) for s in split]
+            words[w] = (stems[stem] if stem else b"") + (stems[tail] if tail else b"")
+        done = {t: b"".join([words[w] for w in s]) for t, s in one.items()}
+        return [done[t] for t in texts]
 
 
 def _word_ids(path: str) -> WordIds:
@@ -117,8 +121,8 @@ def _pieces(path: str, sequence: int):
         seen = np.zeros(sequence + 1, np.int64)
         names = ["key", "piece", "start", "length", "ids_crc32", "chunk", "local"]
         for batch in batches:
-            for lo in range(0, len(batch), 32):
-                part = batch.slice(lo, 32)
+            for lo, hi in text_batches(batch, "text", 1 << 19):
+                part = batch.slice(lo, hi - lo)
                 rows, cols = [], [[] for _ in names[1:]]
                 for i, raw in enumerate(ids.encode([x.as_py() for x in part.column("text")])):
                     raw = memoryview(raw + END)
