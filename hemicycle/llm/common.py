@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemicycle.llm import bloom
@@ -23,18 +24,37 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads the table) and pins the result
-    of passes that must not run twice.
+    of passes that must not run twice. Within ``scratch`` the table goes when the
+    scope ends, unless it is to ``keep``.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end; only what is kept may be read after it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def row_keys(doc_id: str, text: str) -> list[Column]:
     """Two 64-bit hashes of (id, text), ``rk1`` and ``rk2``: name a row alike in every scan.
 
@@ -48,7 +68,7 @@ def row_keys(doc_id: str, text: str) -> list[Column]:
 def keep_rows(df: DataFrame, decided: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows of ``df`` by ``decided`` (rk1, rk2, kept: one row per decided row); of rows equal in id and text one stays."""
     by_key = stored(decided.groupBy("rk1", "rk2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-                    .filter("not kept or times > 1"), "keys")
+                    .filter("not kept or times > 1"), "keys", keep=True)
     body = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("body")
     rows = df.select(body, *row_keys(doc_id, text))
     out = rows.join(by_key.select("rk1", "rk2"), ["rk1", "rk2"], "left_anti").select("body")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import U64, byte_view, keep_rows, mix, row_keys, rows_named, seeded, shingles, stored, text_batches, word_hashes, words
+from hemicycle.llm.common import U64, byte_view, keep_rows, mix, row_keys, rows_named, scratch, seeded, shingles, stored, text_batches, word_hashes, words
 from hemicycle.llm.components import components
 from hemicycle.plans.ranking import checkpointed
 
@@ -314,9 +314,10 @@ class NearDuplicates:
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5,
                 percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one of each group of near duplicates."""
-    found = NearDuplicates(df, text, doc_id, width, percent)
-    decided = found.rows().select("row", (F.col("row") == F.col("first_row")).alias("kept"))
-    return keep_rows(df, decided.join(found.sketch.select("row", "rk1", "rk2"), "row"), doc_id, text)
+    with scratch(df.sparkSession):  # the kept rows need the decisions only
+        found = NearDuplicates(df, text, doc_id, width, percent)
+        decided = found.rows().select("row", (F.col("row") == F.col("first_row")).alias("kept"))
+        return keep_rows(df, decided.join(found.sketch.select("row", "rk1", "rk2"), "row"), doc_id, text)
 
 
 def report(df: DataFrame, width: int = 2) -> DataFrame:
