@@ -22,9 +22,12 @@ gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,39 +40,46 @@ from hemicycle.llm.common import stored, text_batches
 
 SEQUENCE = 2048
 END = b"\0\0\0\0"
-WORDS_CACHED, STEMS_CACHED = 300_000, 400_000
-SEPARATOR = "<|endoftext|>"
+WORDS_CACHED, STEMS_CACHED = 500_000, 600_000
 PUNCTUATION = b".,!?;:#$%&*|"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for U+0100 and on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Little-endian 32-bit ids of a text, by words; caches are dropped when full."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _encode(self, new: list[bytes]) -> None:
-        """Ids of many words in one call: a special token stands between them."""
-        odd = [w for w in new if b"<" in w or not w or self.separator is None]
-        new = [w for w in new if not (b"<" in w or not w or self.separator is None)]
-        if new:
-            text = f" {SEPARATOR} ".join([w.decode("utf-8", "replace") for w in new]) + f" {SEPARATOR}"
-            raw = self._plain(text)
-            cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.separator).tolist()
-            at = 0
-            for w, c in zip(new, cut, strict=True):
-                self.stems[w] = raw[at:4 * c]
-                at = 4 * c + 4
-        for w in odd:
-            self.stems[w] = self._plain(w.decode("utf-8", "replace"))
+        """Ids of new words. One that is lower-case letters throughout goes to the merges at once: normalising
+        and splitting would leave it as it is."""
+        other, model = [], self.tokenizer.model
+        for w in new:
+            if w.isalpha():  # ASCII letters
+                s = w.decode()
+            else:
+                s = w.decode("utf-8", "replace")
+                if not (s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s)):
+                    other.append(w)
+                    continue
+                s = "".join([self.letters[b] for b in w])
+            self.stems[w] = array("I", [t.id for t in model.tokenize(s)]).tobytes()
+        texts = [w.decode("utf-8", "replace") for w in other]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.stems[w] = np.array(e.ids, "<u4").tobytes()
 
     @staticmethod
     def _split(word: bytes) -> tuple[bytes, bytes]:
