@@ -8,9 +8,8 @@ cue words). Scores are Platt-calibrated on held-out rows and a threshold per kin
 added spans precise; of overlapping additions the best score wins. Spans of
 the base patterns always stay; an addition may not overlap one.
 
-Training rows are labelled samples, bounded by ``SAMPLE_ROWS``: candidates of
-the corpus with the smallest hash of (doc_id, position), labelled by the base
-patterns, and seeded examples of further formats and of look-alikes (dates,
+Training rows are labelled samples: of about ``SAMPLE_DOCS`` documents chosen by a hash of
+their id, at most ``SAMPLE_ROWS`` candidates, labelled by the base patterns, and seeded examples of further formats and of look-alikes (dates,
 versions, prices, failing checksums). The scan reads every row and whole text.
 Null and empty texts have no span; any table may be empty; extra columns are
 not read; repeated rows are scanned each.
@@ -39,7 +38,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-SAMPLE_ROWS = 20_000
+SAMPLE_DOCS, SAMPLE_ROWS = 20_000, 20_000
 SEEDED_ROWS = 400
 PRECISION, FLOOR = 0.995, 0.9
 #: candidate generators of the kinds, in the order of KINDS
@@ -209,7 +208,9 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[BoostedTrees, np.ndarray]:
     """Boosted trees and a threshold per kind; ``df`` has doc_id and text."""
-    rows = (df.mapInArrow(_sample, "id string, pos long, x array<double>, y int")
+    share = min(1.0, SAMPLE_DOCS / max(df.count(), 1))
+    chosen = df.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = (chosen.mapInArrow(_sample, "id string, pos long, x array<double>, y int")
             .orderBy(F.xxhash64("id", "pos"), "id", "pos").limit(sample_rows).collect())
     seeded = seeded_examples()
     x = np.array([r.x for r in rows] + [features(t, k, s, e) for t, k, s, e, _ in seeded])
