@@ -174,3 +174,45 @@ def test_passages_odd_rows(odd, none):
     assert substring_dedup.report(none).collect() == []
     twice = substring_dedup.report(odd.filter("doc_id = 7").unionByName(odd.filter("doc_id = 7"))).collect()
     assert [(r.kind, r.start_word, r.end_word) for r in twice] == [("copy", 0, 60_000)] * 2
+
+
+def test_cells_are_cut_by_compact_windows():
+    """The cells of a table are the Cartesian-tree windows of its functions, cut against each other."""
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+    least = 12
+    lo, c, hi = substring_dedup.compact_windows(h, np.array([0]), np.array([89]), least)
+    at = substring_dedup.window_minima(h, least)
+    for s in range(90 - least + 1):
+        (k,) = [k for k in range(len(lo)) if lo[k] <= s <= c[k] <= s + least - 1 <= hi[k]]
+        assert at[s] == c[k]
+    owner, i, j, _, sig = substring_dedup.cells(h, np.array([0, 5, 50, 90]), least, tables=2, hashes=2)
+    for t in range(2):
+        mine = (sig & np.uint64(15)) == t
+        covered = sorted((o, s) for o, a, b in zip(owner[mine], i[mine], j[mine], strict=True) for s in range(a, b + 1))
+        assert covered == [(1, s) for s in range(45 - least + 1)] + [(2, s) for s in range(40 - least + 1)]
+
+
+def planted(spark, rnd, sizes, changed):
+    """Pairs of documents that share a passage with ``changed`` words replaced; (table, passages by document)."""
+    word = lambda n: [f"v{rnd.randrange(20_000)}" for _ in range(n)]
+    rows, at = [], {}
+    for k, n in enumerate(sizes):
+        passage = word(n)
+        for d in (2 * k, 2 * k + 1):
+            before = rnd.randrange(20, 80)
+            body = list(passage)
+            if d % 2:
+                for place in rnd.sample(range(n), changed):
+                    body[place] = "edited" + str(place)
+            rows.append((d, " ".join([*word(before), *body, *word(rnd.randrange(20, 80))])))
+            at[d] = (before, before + n)
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), at
+
+
+def test_passages_of_two_documents_are_always_found(spark):
+    df, at = planted(spark, random.Random(11), [50 + k % 7 for k in range(300)], 0)
+    marked = {d: set() for d in at}
+    for r in substring_dedup.report(df).collect():
+        marked[r.doc_id].update(range(r.start_word, r.end_word))
+    assert all(set(range(*at[d])) <= marked[d] for d in at)
