@@ -216,3 +216,20 @@ def test_passages_of_two_documents_are_always_found(spark):
     for r in substring_dedup.report(df).collect():
         marked[r.doc_id].update(range(r.start_word, r.end_word))
     assert all(set(range(*at[d])) <= marked[d] for d in at)
+
+
+def similar_pair(x, y):
+    """Brute force: whether an aligned pair of 50-word windows of two word lists has similarity 0.8 or more."""
+    sets = [[{tuple(w[s + q:s + q + 5]) for q in range(46)} for s in range(len(w) - 49)] for w in (x, y)]
+    return any(100 * len(u & v) >= 80 * len(u | v) for u, v in zip(*sets, strict=True))
+
+
+def test_near_passages_recall(spark):
+    """Of the pairs that hold a window pair at 0.8 or more by brute force, 97% or more are found."""
+    for n, changed in ((50, 1), (60, 1), (60, 2), (80, 4), (120, 4)):
+        df, at = planted(spark, random.Random(n + changed), [n] * 150, changed)
+        text = {r.doc_id: r.text.split() for r in df.collect()}
+        want = {d for d in at if d % 2 and similar_pair(text[d - 1][slice(*at[d - 1])], text[d][slice(*at[d])])}
+        found = {r.doc_id for r in substring_dedup.report(df).collect() if r.kind in ("near", "exact")}
+        found |= {d ^ 1 for d in found}
+        assert len(want) >= 20 and len(want & found) >= 0.97 * len(want), (n, changed, len(want), len(want & found))
