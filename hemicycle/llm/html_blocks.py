@@ -15,7 +15,7 @@ class words and neighbourhood count where semantic tags are missing. Every page
 its whole html is scored.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags
-are tolerated; a page without semantic tags is labelled by the model alone; an empty
+are tolerated (without an end tag only script and style hide the rest of the page); a page without semantic tags is labelled by the model alone; an empty
 table gives no rows; repeated pages are labelled each; extra columns are not read.
 """
 
@@ -40,14 +40,21 @@ HIDDEN = 16
 EPOCHS = 10
 _BATCH = 64
 
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav "
                      "ol p pre section table ul".split())
+RAW = frozenset(("script", "style"))
+SKIPPED = RAW | frozenset("noscript template svg textarea select iframe head".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+IN_SELECT = frozenset("option optgroup hr script template".split())
+#: HTML start tags that end an svg element outside of its foreignObject
+BREAKOUT = CLOSES_P | frozenset("b big body br center code dd dt em embed head i img li listing meta nobr ruby s small span strong "
+                                "strike sub sup tt u var".split())
+FOREIGN = frozenset("svg math mspace mglyph malignmark maligngroup mprescripts none".split())
 GOOD_TAGS = frozenset(("article", "main"))
 BAD_TAGS = frozenset("nav header footer aside form dialog menu button".split())
 BAD_WORDS = ("ad", "ads", "advert", "banner", "cookie", "notice", "comment", "comments", "sidebar", "menu", "navbar",
@@ -57,12 +64,72 @@ GOOD_WORDS = ("content", "post", "entry", "story", "text", "body", "articlebody"
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
+def _closed(page: str, tag: str, at: int) -> int | None:
+    """End of the next end tag of ``tag``."""
+    m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return m.end() if m else None
+
+
+def _skipped(page: str, tag: str, rest: str, at: int, missing: dict[str, int]) -> int:
+    """Where an element without text for the reader ends, whose start tag ends at ``at``.
+
+    Without an end tag only script and style reach to the end of the page; head, select and svg end
+    before the first tag that cannot be inside, the others are their start tag alone. ``missing`` notes tags
+    that were sought to the end of the page, so that no page is read again for each of them.
+    """
+    if tag in RAW:
+        return _closed(page, tag, at) or len(page)
+    if tag == "svg" and rest.rstrip().endswith("/"):
+        return at
+    if tag not in ("head", "select", "svg", "template") or missing.get(tag):
+        end = None if missing.get(tag) == 2 else _closed(page, tag, at)
+        if end is None:
+            missing[tag] = 2
+        return end or at
+    opened = [tag]
+    pos = at
+    while pos < len(page):
+        m = TOKENS.match(page, pos)
+        pos = m.end()
+        if m.group(4) is not None:
+            if tag == "head" and m.group(4).strip():
+                return m.start()
+            continue
+        name = (m.group(2) or "").lower()
+        if not name:
+            continue
+        if m.group(1):
+            if name in opened:
+                while opened.pop() != name:
+                    pass
+                if not opened:
+                    return pos
+            elif tag == "svg" or tag == "select" or tag == "head" and name in ("body", "html", "br"):
+                return m.start()
+        elif name in RAW:
+            pos = _closed(page, name, pos) or len(page)
+        elif tag == "head":
+            if name not in IN_HEAD:
+                return m.start()
+            if name in ("title", "noscript", "template", "noframes"):
+                pos = _closed(page, name, pos) or pos
+        elif tag == "select" and name not in IN_SELECT:
+            return m.start()
+        elif tag == "svg" and name in BREAKOUT and "foreignobject" not in opened:
+            return m.start()
+        elif name not in VOID and not m.group(3).rstrip().endswith("/"):
+            opened.append(name)
+    missing[tag] = 1
+    return at
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path, text, share of the text inside links) of the leaf blocks, in page order."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     path: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = total = in_link = 0
+    missing: dict[str, int] = {}
 
     def close() -> None:
         nonlocal linked, total
@@ -73,24 +140,27 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             parts.clear()
         linked = total = 0
 
-    for m in TOKENS.finditer(page):
-        if m.group(5) is not None:
-            t = m.group(5)
+    pos = 0
+    while pos < len(page):
+        m = TOKENS.match(page, pos)
+        pos = m.end()
+        if m.group(4) is not None:
+            t = m.group(4)
             if "&" in t:
                 t = entities.unescape(t)
             parts.append(t)
             total += len(t)
             linked += len(t) if in_link else 0
             continue
-        if m.group(1) is not None:
-            close()
-            continue
-        tag = (m.group(3) or "").lower()
+        tag = (m.group(2) or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             close()
-        if m.group(2):
+        if tag in SKIPPED and not m.group(1):
+            pos = _skipped(page, tag, m.group(3), pos, missing)
+            continue
+        if m.group(1):
             if tag == "a":
                 in_link = 0
             for i in range(len(path) - 1, -1, -1):
@@ -105,13 +175,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     break
                 if path[i][0] not in INLINE:
                     break
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and m.group(3).rstrip().endswith("/"):
             continue
         if tag == "a":
             in_link = 1
         label = tag
-        if m.group(4) and "=" in m.group(4):
-            label += "".join(" " + a.group(2).strip("\"'").lower() for a in ATTRIBUTE.finditer(m.group(4)))
+        if m.group(3) and "=" in m.group(3):
+            label += "".join(" " + a.group(2).strip("\"'").lower() for a in ATTRIBUTE.finditer(m.group(3)))
         path.append((tag, label))
     close()
     return out

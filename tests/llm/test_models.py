@@ -104,6 +104,24 @@ def test_html_blocks_and_labels(spark):
     assert kept == ["Title here", "First para of the story & more.", "Second para that is long enough to count.", "Third one ends it."]
 
 
+def test_html_elements_without_end_tag_hide_no_text():
+    texts = lambda page: [b[1] for b in html_blocks.blocks(page)]
+    assert texts("<html><head><title>T</title><meta charset=x><script>a<b</script><body><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>T</title><link rel=x><p>One</p>") == ["One"]
+    assert texts("<head><title>T</title></head><body><p>One</p>") == ["One"]
+    assert texts("<header>H</header><p>One</p>") == ["H", "One"]
+    assert texts('<p>One</p><svg class="i"/><p>Two</p><svg><text>no</text></svg><p>Three</p>') == ["One", "Two", "Three"]
+    assert texts("<div><svg><path d='x'></div><p>One</p><svg><g><svg></svg></g></svg><p>Two</p>") == ["One", "Two"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg><p>One</p>") == ["One"]
+    assert texts("<select-x><p>One</p></select-x><template-y>Two</template-y>") == ["One", "Two"]
+    assert texts("<p>One</p><select><option>no</option></select><p>Two</p>") == ["One", "Two"]
+    assert texts("<form><select><option>no</form><p>One</p><select><option>no</select><p>Two</p>") == ["One", "Two"]
+    for tag in ("noscript", "template", "iframe", "textarea", "svg", "select"):
+        assert texts(f"<p>One</p><{tag} id=x><p>Two</p>") == ["One", "Two"]
+        assert texts(f"<p>One</p><{tag} id=x>no</{tag}><p>Two</p>") == ["One", "Two"]
+    assert texts("<p>One</p><script>var a = 1; <p>no</p>") == ["One"]
+
+
 def test_html_gradients():
     net = html_blocks.BlockLabeller()
     rng = np.random.default_rng(3)
