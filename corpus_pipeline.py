@@ -18,9 +18,10 @@ from hemicycle.sources.tables import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language (null text, no letter)."""
+    """Drops documents without a recognised language (null text, no letter, far from all labelled rows)."""
     ensure_checkpoint_dir(spark)
-    return langid.accept(docs, langid.train(docs))
+    model = langid.train(docs)
+    return langid.accept(docs, model, limit=langid.limits(docs, model))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ Training sums at most (languages x ``BUCKETS``) counts in Spark, over every
 row of the fold. ``lang``, ``source`` and ``doc_id`` never enter a prediction.
 
 Defined cases: null text, or text without any letter: ``und`` with score 0; no
-labelled row to learn from: ``und`` everywhere; null ids belong to the fold of the empty text;
+labelled row to learn from: ``und`` everywhere, and ``accept`` keeps every text with a letter; null ids belong to the fold of the empty text;
 whole texts are read in bounded chunks of rows; extra columns are not read.
 """
 
@@ -32,6 +32,10 @@ MAX_SET = 3
 ITERATIONS = 12
 #: nats per additional language and log(trigram): trigrams overlap, so more than the 0.5 of independent draws
 PENALTY = 3.0
+#: a text is rejected when its fit is so many deviations below the labelled rows of its language
+DEVIATIONS = 9.0
+#: spread of the fit (nats) assumed with the weight of so many rows, for few labelled rows
+PRIOR_SPREAD, PRIOR_ROWS = 0.5, 10
 _ROWS = 64
 
 _FOLD = np.full(256, 32, np.uint32)
@@ -105,20 +109,64 @@ def _expectation_maximisation(c: np.ndarray, p: np.ndarray, allowed: np.ndarray,
 
 def infer(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language, its share, size of the language set) per row of trigram counts."""
+    return _chosen(c, p)[:3]
+
+
+def _chosen(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``infer``, and the fit: log-likelihood per trigram of the chosen set, without what mixing languages costs."""
     c = c.astype(np.float32)
     full, _ = _expectation_maximisation(c, p, np.ones((len(c), len(p)), np.float32), ITERATIONS)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     n = np.maximum(c.sum(1), 2)
     best = np.full(len(c), -np.inf)
-    out, share, size = np.zeros(len(c), int), np.zeros(len(c)), np.ones(len(c), int)
+    out, share, size, fit = np.zeros(len(c), int), np.zeros(len(c)), np.ones(len(c), int), np.zeros(len(c))
     for k in range(1, min(MAX_SET, len(p)) + 1):
         pi, ll = _expectation_maximisation(c, p, (rank < k).astype(np.float32), 1 if k == 1 else ITERATIONS // 2)
         score = ll - PENALTY * (k - 1) * np.log(n)
         better = score > best
         best[better], size[better] = score[better], k
         out[better] = pi.argmax(1)[better]
+        mixing = -(pi * np.log(np.maximum(pi, 1e-20))).sum(1)
+        fit[better] = (ll / np.maximum(c.sum(1), 1) + mixing)[better]
     share = full[np.arange(len(c)), out]
-    return out, np.clip(share, 0, 1), size
+    return out, np.clip(share, 0, 1), size, fit
+
+
+def _fits(model: tuple[list[str], np.ndarray]):
+    langs, p = model
+    log_p = np.log(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(langs), 4))
+        for batch in batches:
+            names = batch.column("lang").to_pylist()
+            for a, b, data, off in _pieces(batch):
+                c = trigram_counts(data, off)
+                n = c.sum(1)
+                at = np.array([langs.index(x) if x in langs else -1 for x in names[a:b]])
+                use = (n > 0) & (at >= 0)
+                c, n, at = c[use], n[use], at[use]
+                fit = (c * log_p[at]).sum(1) / n
+                inner = (c * (log_p[at] - fit[:, None]) ** 2).sum(1) / n
+                np.add.at(total, at, np.stack([np.ones(len(n)), fit, fit * fit, inner], 1))
+        yield pa.record_batch([pa.array(range(len(langs)), pa.int32()), *[pa.array(v) for v in total.T]],
+                              names=["at", "rows", "fit", "square", "inner"])
+    return run
+
+
+def limits(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", lang: str = "lang") -> np.ndarray:
+    """(languages x 3) mean fit of the labelled rows, its variance between rows, variance of a trigram within rows."""
+    langs = model[0]
+    if not langs:
+        return np.zeros((0, 3))
+    rows = (df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+            .select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+            .mapInArrow(_fits(model), "at int, rows double, fit double, square double, inner double")
+            .groupBy("at").sum("rows", "fit", "square", "inner").collect())
+    n, fit, square, inner = np.array([r[1:] for r in sorted(rows)]).reshape(-1, 4).T  # one sum per language
+    mean = fit / np.maximum(n, 1)
+    spread = (np.maximum(square - n * mean * mean, 0) + PRIOR_ROWS * PRIOR_SPREAD ** 2) / (n + PRIOR_ROWS)
+    return np.stack([mean, spread, inner / np.maximum(n, 1)], 1)
 
 
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -162,13 +210,34 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], key: Column, tex
     return narrow.mapInArrow(_predict(model), f"key {kind}, lang_pred string, score double, languages int")
 
 
-def accept(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of ``df`` in a recognised language, with all their columns; ``und`` rows go."""
+def _accepted(model: tuple[list[str], np.ndarray], limit: np.ndarray | None):
+    langs, p = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for a, b, data, off in _pieces(batch):
+                keep[a:b] = has_letter(data, off)
+                if langs and limit is not None:
+                    c = trigram_counts(data, off)
+                    n = c.sum(1)
+                    best, _, _, fit = _chosen(c, p)
+                    mean, spread, inner = limit[best].T
+                    # trigrams overlap: their sum varies like that of a third as many
+                    keep[a:b] &= (n == 0) | (fit >= mean - DEVIATIONS * np.sqrt(spread + 3 * inner / np.maximum(n, 1)))
+            yield batch.filter(pa.array(keep))
+    return run
+
+
+def accept(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", limit: np.ndarray | None = None) -> DataFrame:
+    """The rows of ``df`` in a recognised language, with all their columns.
+
+    Rows without a letter go, and with ``limits`` those that fit no learned language. Without a learned
+    language every row with a letter stays.
+    """
     body = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     found = df.select(body.alias("body"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = dict(found.dtypes)["body"]
-    return (found.mapInArrow(_predict(model), f"body {kind}, lang_pred string, score double, languages int")
-            .filter(F.col("lang_pred") != UNKNOWN).select("body.*"))
+    return found.mapInArrow(_accepted(model, limit), found.schema).select("body.*")
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hemicycle.llm import decontaminate, html_blocks, langid, packing, quality
 from hemicycle.llm.queries import tokenizer_path
 
@@ -83,6 +84,28 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.report(none, labels).collect() == []
 
 
+def test_pipeline_language_stage_without_labels_keeps_texts(spark, odd):
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, bare, "")
+    assert kept.columns == odd.columns
+    letters = [r.doc_id for r in odd.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i in letters)
+
+
+def test_pipeline_language_stage_rejects_by_likelihood(spark):
+    """Noise goes, clean documents stay: labelled or not, short, mixed."""
+    df = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang")
+    rnd = random.Random(3)
+    noise = [(-i, " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxzQXZ", k=9)) for _ in range(200)), None) for i in range(1, 21)]
+    rows = df.collect()
+    clean = [(r.doc_id, r.text, r.lang if crc(r.doc_id) % 4 else None) for r in rows]
+    short = [(10 ** 9 + r.doc_id, " ".join(r.text.split()[:8]), None) for r in rows[:100]]
+    mixed = [(2 * 10 ** 9 + a.doc_id, a.text + " " + b.text, None) for a, b in zip(rows[:60], rows[60:120], strict=True)]
+    both = spark.createDataFrame([*clean, *noise, *short, *mixed], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, "").collect()}
+    assert kept == {r[0] for r in [*clean, *short, *mixed]}
+
+
 def test_html_extracts_articles(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     rows = {r.page_id: r for r in html_blocks.report(pages).collect()}
