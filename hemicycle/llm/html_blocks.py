@@ -11,8 +11,9 @@ It is trained here on a bounded sample: the ``SAMPLE_PAGES`` pages with the smal
 of their id, whose blocks are labelled by their semantic ancestors (article or main:
 text; nav, header, footer, aside, form, advert, notice, comment: boilerplate), and
 seeded variants of them with other wrappers and inserted boilerplate blocks, so that
-class words and neighbourhood count where semantic tags are missing. Every page and
-its whole html is scored.
+class words and neighbourhood count where semantic tags are missing. Sampled pages without
+article or main lend only their texts; seeded pages with article, main, content-class and plain wrappers
+are always in the training set, more of them where few pages are labelled. Every page and its whole html is scored.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags
 are tolerated (without an end tag only script and style hide the rest of the page); a page without semantic tags is labelled by the model alone; an empty
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from hemicycle.llm.common import U64, word_hashes, words
 
 SAMPLE_PAGES = 300
+#: seeded pages in every training set, and labelled sequences to reach with them where few pages have semantic tags
+SEEDED_PAGES, LEAST_SEQUENCES = 120, 1200
 PATH_DIM, WORD_DIM, MEASURES = 48, 24, 6
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 16
@@ -410,6 +413,55 @@ def variants(pages: list[list], seed: int = 2) -> tuple[list[list], list[np.ndar
     return [out[i] for i in keep], [labels[i] for i in keep]
 
 
+def seeded_pages(pages: list[list], n: int, seed: int = 7) -> tuple[list[list], list[np.ndarray]]:
+    """Labelled block sequences of ``n`` made-up pages with article, main, content-class and plain wrappers.
+
+    The texts are blocks of ``pages`` (long ones as text, first words as boilerplate) and runs of their words.
+    """
+    rng = np.random.Generator(np.random.PCG64(seed))
+    one = lambda seq: seq[int(rng.integers(len(seq)))]
+    pool = [b[1] for p in pages for b in p]
+    stock = sorted({w.strip(".,;:!?") for t in pool for w in t.split()} - {""}) or ["text"]
+    long = [b[1] for p in pages for b in p if b[2] < 0.5 and len(b[1].split()) >= 8]
+
+    def run(least: int, most: int) -> str:
+        return " ".join(one(stock) for _ in range(int(rng.integers(least, most))))
+
+    def body() -> str:
+        return one(long) if long and rng.random() < 0.6 else ". ".join(run(6, 16).capitalize() for _ in range(int(rng.integers(1, 5)))) + "."
+
+    out, labels = [], []
+    for _ in range(n):
+        wrap = one((("article",), ("main",), ("main", "article"), ("div main",), ("div",), ("div", "div"),
+                    *((f"div {w}",) for w in GOOD_WORDS), *(("div", f"div {w}") for w in GOOD_WORDS)))
+        top = ("html", "body", *one(((), ("div",), ("div wrapper",), ("div page", "div"))))
+        seq, lab = [], []
+
+        def add(path: tuple[str, ...], text: str, link: float, label: int) -> None:
+            seq.append((path, text, link))  # noqa: B023
+            lab.append(label)  # noqa: B023
+
+        head, foot = one(("header", "nav", "div header", "div menu", "div navbar")), one(("footer", "div footer", "div disclaimer"))
+        for _ in range(int(rng.integers(0, 6))):
+            add((*top, head, *one(((), ("ul", "li"), ("div",)))), run(1, 4), float(rng.random() < 0.8), 0)
+        if rng.random() < 0.7:
+            add((*top, *wrap, one(("h1", "h2"))), run(2, 9), 0.0, 1)
+        for _ in range(int(rng.integers(1, 9))):
+            inner = one((("p",),) * 8 + (("blockquote", "p"), ("ul", "li"), ("div",), ("section", "p"), ("pre",), ()))
+            add((*top, *wrap, *inner), body(), 0.0, 1)
+            if rng.random() < 0.15:
+                name = one(BAD_WORDS)
+                add((*top, *wrap, f"div {name}", *one(((), ("p",)))), run(2, 9) if rng.random() < 0.7 else body(), float(rng.random() < 0.3), 0)
+        for _ in range(int(rng.integers(0, 5))):
+            side = one(("aside", "div sidebar", "div related", "section comments", "div comment", f"div {one(BAD_WORDS)}"))
+            add((*top, side, *one(((), ("p",), ("ul", "li")))), run(2, 9) if rng.random() < 0.6 else body(), float(rng.random() < 0.4), 0)
+        for _ in range(int(rng.integers(0, 3))):
+            add((*top, foot, *one(((), ("p",), ("div",)))), run(2, 8), float(rng.random() < 0.4), 0)
+        out.append(seq)
+        labels.append(np.array(lab, np.float32))
+    return out, labels
+
+
 def train(df: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> BlockLabeller:
     """Fit on at most ``sample_pages`` pages and their seeded variants."""
     ids = df.select(F.col(page_id).alias("p")).filter("p is not null").distinct().orderBy(F.xxhash64("p"), "p").limit(sample_pages)
@@ -419,7 +471,11 @@ def train(df: DataFrame, html: str = "html", page_id: str = "page_id", sample_pa
             .collect())
     rows = sorted(rows, key=lambda r: (r.h, r.text))[:sample_pages]
     pages = [[(tuple(p), t, x) for p, t, x in zip(r.path, r.text, r.link, strict=True)] for r in rows]
-    seqs, labels = variants(pages)
+    # blocks of a page without article or main are not known to be boilerplate
+    seqs, labels = variants([p for p in pages if any(weak_label(b[0]) for b in p)])
+    if any(pages):
+        more, known = seeded_pages(pages, max(SEEDED_PAGES, LEAST_SEQUENCES - len(seqs)))
+        seqs, labels = seqs + more, labels + known
     return BlockLabeller().fit([vectors(s) for s in seqs], labels)
 
 

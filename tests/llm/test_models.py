@@ -145,6 +145,24 @@ def test_html_elements_without_end_tag_hide_no_text():
     assert texts("<p>One</p><script>var a = 1; <p>no</p>") == ["One"]
 
 
+def test_html_pages_without_semantic_tags(spark):
+    """A table of div-only pages: the model learns from seeded pages and keeps the texts."""
+    rnd = random.Random(4)
+    stock = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ten", "sur") for b in ("ra", "vel", "do", "nis") for c in ("", "ton", "es", "ia")]
+    sentence = lambda n: " ".join(rnd.choices(stock, k=n)).capitalize() + "."
+    rows, want = [], []
+    for i in range(60):
+        body = [" ".join(sentence(rnd.randrange(6, 14)) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(3, 8))]
+        menu = "".join(f"<li><a href=/{k}>{rnd.choice(stock)}</a></li>" for k in range(4))
+        wrap = ("content", "post", "entry", "story")[i % 4]
+        rows.append((i, "u", f'<html><body><div class="menu"><ul>{menu}</ul></div><div class="{wrap}">'
+                     + "".join(f"<p>{t}</p>" for t in body)
+                     + f'</div><div class="sidebar"><p>{sentence(4)}</p></div><div class="footer">Imprint {rnd.choice(stock)}</div></body></html>'))
+        want.append(" ".join(body))
+    found = {r.page_id: r.text for r in html_blocks.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(found[i] == w for i, w in enumerate(want)) >= 54
+
+
 def test_html_gradients():
     net = html_blocks.BlockLabeller()
     rng = np.random.default_rng(3)
