@@ -16,15 +16,18 @@
    benchmark has an ``answer`` column) must be there to ``ANSWER``.
 
 The benchmark is read in blocks of at most ``BLOCK_ITEMS`` items, each one
-scan of the corpus. Words are runs of letters and digits, case folded.
+scan of the corpus. Words are runs of letters and digits, case folded by Unicode; each letter of a
+script without spaces is a word.
 
 Defined cases: null or empty texts match nothing; items of fewer than
-``MIN_WORDS`` words are not judged; repeated items and rows match each; empty
+``MIN_WORDS`` words match where they stand word for word, unless all their words are common; items without a word match nothing; repeated items and rows match each; empty
 tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import U64, byte_view, stored, text_batches, word_hashes, words
+from hemicycle.llm.common import U64, byte_view, mix, seeded, stored, text_batches, word_hashes, words
 
 FEATURES, RANK = 2048, 64
 PASSAGE = 48
@@ -41,6 +44,8 @@ WIDTHS = (24, 48, 96)
 COSINE, LCS, ANSWER = 0.2, 0.7, 0.6
 RARE_SHARE = 0.25
 MIN_WORDS = 5
+#: a word in this share of the passages or more is common: short items of common words alone are no evidence
+COMMON = 0.1
 BLOCK_ITEMS = 2000
 _ROWS = 512
 _CHUNKS = 32
@@ -51,14 +56,42 @@ for _r in ((48, 58), (65, 91), (97, 123)):
     _INSIDE[slice(*_r)] = True
 
 
+#: letters of scripts written without spaces: each is a word
+_ALONE = re.compile("([\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                    "\uff66-\uff9d\U0001b000-\U0001b16f\U00020000-\U0003ffff])")
+_BREAK = re.compile("[" + "".join(re.escape(chr(c)) for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "PSZ"
+                                  and chr(c) not in "\u30fb") + "\u30fb]+")
+
+
+def _plain(raw: bytes) -> bytes:
+    """UTF-8 with case folded by Unicode, spaces for punctuation beyond ASCII, and letters without spaces set apart."""
+    return _ALONE.sub(r" \1 ", _BREAK.sub(" ", raw.decode("utf-8", "replace").casefold())).encode("utf-8", "replace")
+
+
 def folded_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of every text)."""
+    inside = None
     if len(data):
+        # beyond Latin-1, and for its letters that do not fold to one of the same block, whole texts are rewritten
+        odd = data >= 0xC4
+        odd[:-1] |= (data[:-1] == 0xC3) & (data[1:] == 0x9F) | (data[:-1] == 0xC2) & (data[1:] == 0xB5)
+        total = np.concatenate([[0], np.cumsum(odd)])
+        change = total[off[1:]] > total[off[:-1]]
+        if change.any():
+            parts = [data[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+            parts = [_plain(x) if c else x for x, c in zip(parts, change, strict=True)]
+            data = np.frombuffer(b"".join(parts), np.uint8)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         data = data.copy()
         lead = np.flatnonzero(data[:-1] == 0xC3) + 1  # capitals of Latin-1: U+00C0..U+00DE
         up = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
+        inside = _INSIDE[data]
+        sign = lead[(data[lead] == 0x97) | (data[lead] == 0xB7)]
         data[up] += 0x20
-    start, end, first = words(data, off, _INSIDE[data] if len(data) else None)
+        lead = np.flatnonzero(data[:-1] == 0xC2) + 1  # signs of Latin-1: U+0080..U+00BF but three letters
+        sign = np.concatenate([sign, lead[(data[lead] != 0xAA) & (data[lead] != 0xB5) & (data[lead] != 0xBA)]])
+        inside[sign] = inside[sign - 1] = False
+    start, end, first = words(data, off, inside)
     return word_hashes(data, start, end), first
 
 
@@ -161,16 +194,29 @@ def term_vectors(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     return out
 
 
+def _phrase_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` words."""
+    weight = seeded(MIN_WORDS, 31) | U64(1)
+    size = max(len(h) - n + 1, 0)
+    key = np.zeros(size, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            key += h[j:j + size] * weight[j]
+    return mix(key)
+
+
 class Items:
     """A block of benchmark items, coded for search and verification."""
 
     def __init__(self, rows: list[tuple], code: np.ndarray, idf: np.ndarray):
         self.ids, self.words, self.rare, self.masks = [], [], [], []
-        latent = []
+        latent, short = [], []
         for item_id, text, answer in rows:
             raw = (text or "").encode("utf-8", "replace")
             h, _ = folded_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             if len(h) < MIN_WORDS:
+                if len(h) and idf[_feature(h)].max() >= -np.log(COMMON):
+                    short.append((item_id, h))
                 continue
             if answer:
                 raw = answer.encode("utf-8", "replace")
@@ -187,6 +233,13 @@ class Items:
             self.rare.append(rare)
             self.masks.append(mask)
             latent.append(code[_feature(h)].sum(0))
+        # phrases by their number of words: (sorted keys, items)
+        self.phrases = []
+        for n in sorted({len(h) for _, h in short}):
+            mine = [(int(_phrase_keys(h, n)[0]), len(self.ids) + k) for k, (_, h) in enumerate(short) if len(h) == n]
+            keys, items = zip(*sorted(mine), strict=True)
+            self.phrases.append((n, np.array(keys, np.uint64), items))
+        self.ids += [i for i, _ in short]
         self.all_rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.rare]))
         self.need = np.array([int(np.ceil(ANSWER * len(np.unique(r)))) for r in self.rare], int)
         # rare word -> items that hold it
@@ -237,11 +290,30 @@ class Items:
         return lo + best + int(at[0]), lo + best + int(at[-1]) + 1, share
 
 
+def _find_phrases(h: np.ndarray, first: np.ndarray, items: Items) -> list[tuple[int, int, int, int, float, float]]:
+    """Verbatim matches of the items of fewer than ``MIN_WORDS`` words, in the form of ``find``."""
+    out = []
+    for n, keys, owner in items.phrases:
+        key = _phrase_keys(h, n)
+        lo, hi = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+        after: dict[tuple[int, int], int] = {}
+        for at in np.flatnonzero(hi > lo).tolist():
+            t = int(np.searchsorted(first, at, side="right")) - 1
+            if at + n > first[t + 1]:
+                continue
+            for item in owner[lo[at]:hi[at]]:
+                if at >= after.get((t, item), 0):
+                    after[t, item] = at + n
+                    out.append((t, item, int(at - first[t]), int(at - first[t]) + n, 1.0, 1.0))
+    return out
+
+
 def find(h: np.ndarray, first: np.ndarray, code: np.ndarray, items: Items) -> list[tuple[int, int, int, int, float, float]]:
     """(text, item, first word, end word, LCS share, cosine) of the verified matches, one per item and disjoint span."""
     starts, text = _cut(first, STEP)
+    phrases = _find_phrases(h, first, items)
     if not len(starts) or not items.groups:
-        return []
+        return phrases
     feature = _feature(h)
     code = np.concatenate([code, np.zeros((1, RANK), np.float32)])
     # a window without enough rare words of any item cannot be verified: it is not even projected
@@ -289,7 +361,7 @@ def find(h: np.ndarray, first: np.ndarray, code: np.ndarray, items: Items) -> li
             match = items.verify(item, body, lo, lo + width)
             if match and not any(match[0] < d[1] and d[0] < match[1] for d in done):
                 done.append((*match, float(cosine[a, j])))
-    return [(t, item, *d) for (t, item), spans in found.items() for d in spans]
+    return phrases + [(t, item, *d) for (t, item), spans in found.items() for d in spans]
 
 
 def _search(code: np.ndarray, items: Items, item_type: pa.DataType):

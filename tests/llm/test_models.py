@@ -266,6 +266,20 @@ def check_packing(df, rows):
     return len(bins), -(-sum(r.length for r in rows) // 2048)
 
 
+def test_leaks_of_short_items_and_other_scripts(spark, docs):
+    items = [(1, "\u4eba\u5de5\u667a\u80fd\u7684\u5386\u53f2\u53ef\u4ee5\u8ffd\u6eaf\u5230\u54ea\u4e00\u5e74\uff1f"),
+             (2, "\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22"), (3, "Quokka zeppelin xylem"), (4, "\u65e5\u672c"),
+             (5, "Какой город был столицей империи до начала войны"), (6, "straße über größe"), (7, "?!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    said = {1: "\u6211\u4eec\u95ee\u4e86" + items[0][1] + "\u7b54\u6848\u662f\u8fd9\u4e2a", 2: "\u0e04\u0e37\u0e2d" + items[1][1] + "\u0e04\u0e23\u0e31\u0e1a",
+            3: "a (quokka ZEPPELIN, xylem) b", 4: "\u6771\u4eac\u306f\u65e5\u672c\u3067\u3059", 5: "вот: «" + items[4][1].upper() + "» да", 6: "die STRASSE “ÜBER” GRÖSSE, ja"}
+    near = [(101, "quokka zeppelin and xylem"), (102, "\u672c\u65e5"), (103, "quokka zeppelin"), (104, "xylem ?! b")]
+    plain = [(1000 + r.doc_id, r.text) for r in docs.limit(50).collect()]
+    df = spark.createDataFrame([*said.items(), *near, *plain], "doc_id long, text string").repartition(2)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(df, bench).collect()} == {(i, i) for i in said}
+    assert {r.doc_id for r in decontaminate.Retrieval(df, bench).clean(df).collect()} == {i for i, _ in [*near, *plain]}
+
+
 def test_packing(docs):
     bins, bound = check_packing(docs, packing.pack(docs, tokenizer_path()).collect())
     assert bins <= 1.02 * bound + 1
