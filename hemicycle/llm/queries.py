@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemicycle.llm import decontaminate, exact_dedup, html_blocks, langid, minmax_dedup, packing, pii, quality, secret_scan, substring_dedup
+from hemicycle.llm import (chat_format, decontaminate, exact_dedup, fill_middle, hard_negatives, html_blocks, langid, minmax_dedup,
+                           packing, pii, quality, secret_scan, substring_dedup)
 from hemicycle.sources.tables import table
 
 
@@ -56,8 +57,22 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(chat_format.with_control(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secrets, op2_packing, op3_pii, op4_html, op5_minmax_dedup, op6_exact_dedup,
-                              op7_substring_dedup, op8_decontaminate, op9_quality, op10_langid)}
+                              op7_substring_dedup, op8_decontaminate, op9_quality, op10_langid, op11_hard_negatives,
+                              op12_fill_middle, op13_chat_format)}
 
-ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
+ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL,
+                          "op12_fill_middle": fill_middle.SQL}
