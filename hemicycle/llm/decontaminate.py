@@ -26,7 +26,6 @@ tables give no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -57,15 +56,31 @@ for _r in ((48, 58), (65, 91), (97, 123)):
 
 
 #: letters of scripts written without spaces: each is a word
-_ALONE = re.compile("([\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-                    "\uff66-\uff9d\U0001b000-\U0001b16f\U00020000-\U0003ffff])")
-_BREAK = re.compile("[" + "".join(re.escape(chr(c)) for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "PSZ"
-                                  and chr(c) not in "\u30fb") + "\u30fb]+")
+_ALONE = ((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+          (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+def _kinds() -> np.ndarray:
+    """By code point: 1 parts words (punctuation, symbols, spaces beyond ASCII), 2 is a word of its own, 0 is inside a word."""
+    kind = np.zeros(0x40001, np.uint8)
+    for a, b in _ALONE:
+        kind[a:b + 1] = 2
+    kind[128:0x20000][[unicodedata.category(chr(c))[0] in "PSZ" for c in range(128, 0x20000)]] = 1
+    return kind
+
+
+_KIND = _kinds()
 
 
 def _plain(raw: bytes) -> bytes:
     """UTF-8 with case folded by Unicode, spaces for punctuation beyond ASCII, and letters without spaces set apart."""
-    return _ALONE.sub(r" \1 ", _BREAK.sub(" ", raw.decode("utf-8", "replace").casefold())).encode("utf-8", "replace")
+    text = raw.decode("utf-8", "replace").casefold()
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kind = _KIND[np.minimum(code, len(_KIND) - 1)]
+    alone = kind == 2
+    out = np.full(len(code) + 2 * int(alone.sum()), 32, np.uint32)
+    out[np.arange(len(code)) + 2 * np.cumsum(alone) - alone] = np.where(kind == 1, 32, code)
+    return out.tobytes().decode("utf-32-le").encode()
 
 
 def folded_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
