@@ -681,11 +681,43 @@ WHERE vote = 'yea' OR scrutiny_uuid % 2 = 0
 
 ORACLE["rollcall_pages_roundtrip"] = f"""
 SELECT '13-' || scrutiny_uuid::VARCHAR AS scrutiny_uuid, 'Vote sur le texte ' || scrutiny_uuid::VARCHAR || ' - finances' AS title,
-       strftime(o_orderdate, '%d/%m/%Y') AS date_display, 'Texte ' || scrutiny_uuid::VARCHAR AS info, lower(d.party) AS group_key, vote,
+       strftime(o_orderdate, '%d/%m/%Y') AS date_display, 'Texte ' || scrutiny_uuid::VARCHAR AS info, CASE WHEN d.party = 'FRANCE' AND scrutiny_uuid % 2 = 1 THEN 'indep' ELSE lower(d.party) END AS group_key, vote,
        (row_number() OVER (PARTITION BY scrutiny_uuid, d.party, vote ORDER BY ord, d.name) - 1)::BIGINT AS ord, d.name AS voter_name
 FROM ({BALLOTS_SQL}) b JOIN ({DEPUTIES_SQL}) d ON d.uuid = b.voter_uuid JOIN orders ON o_orderkey = scrutiny_uuid
 """
 
+ORACLE["rollcall_pages_streamed"] = ORACLE["rollcall_pages_roundtrip"]
+
+ORACLE["rollcall_scrutinies"] = f"""
+WITH s AS (SELECT DISTINCT scrutiny_uuid AS k, scrutiny_uuid::VARCHAR AS n FROM ({BALLOTS_SQL}) b JOIN ({DEPUTIES_SQL}) d ON d.uuid = b.voter_uuid)
+SELECT '13-' || n AS uuid, '13' AS leg, n AS num, 'Vote sur le texte ' || n || ' - finances' AS title,
+       strftime(o_orderdate, '%d/%m/%Y') AS date_display, 'http://www.example.org/13/scrutins/jo' || n || '.asp' AS url,
+       'Texte ' || n AS info, 'Compte rendu' AS summary,
+       CASE WHEN k % 4 = 0 THEN 'Loi ' || n ELSE '' END AS law_title,
+       CASE WHEN k % 4 = 0 THEN 'http://law.example/' || n ELSE '' END AS law_href,
+       CASE WHEN k % 8 = 0 THEN 'http://www.example.org/13/textes/t' || n || '.asp'
+            ELSE 'http://www.example.org/13/dossiers/f' || n || '.asp' END AS file_href,
+       CASE WHEN k % 8 = 0 THEN 'http://www.example.org/13/textes/t' || n || '.asp' END AS strict_file_href
+FROM s JOIN orders ON o_orderkey = k
+"""
+
+ORACLE["rollcall_rejects"] = f"""
+WITH s AS (SELECT DISTINCT scrutiny_uuid AS k FROM ({BALLOTS_SQL}) b JOIN ({DEPUTIES_SQL}) d ON d.uuid = b.voter_uuid
+           JOIN orders ON o_orderkey = scrutiny_uuid),
+v AS (SELECT k, k * 10 + 2 + CASE WHEN (k * 10 + 2) % 7 = 0 THEN 1 ELSE 0 END AS page_id FROM s),
+i AS (SELECT k // 40 AS part, count(*) FILTER (k % 17 = 0) AS n FROM s GROUP BY k // 40 HAVING n > 0)
+SELECT page_id, 'http://www.example.org/13/scrutins/jo' || k::VARCHAR || '.asp' AS url, 'no valid date' AS reason, 1::BIGINT AS n
+FROM v WHERE k % 9 = 0
+UNION ALL
+SELECT page_id, 'http://www.example.org/13/scrutins/jo' || k::VARCHAR || '.asp', 'heading without a group', 1
+FROM v WHERE k % 13 = 0 AND k % 2 = 0
+UNION ALL
+SELECT part * 10, 'http://www.example.org/13/documents/index' || part::VARCHAR || '.asp', 'index row without title or link', n FROM i
+UNION ALL
+SELECT part * 10 + 1, 'http://www.example.org/13/documents/index' || part::VARCHAR || '.asp?copie', 'index row without title or link', n
+FROM i WHERE (part * 10) % 3 = 0
+"""
+
 ORACLE["rollcall_resolved"] = f"""
 WITH named AS (
   SELECT l_orderkey AS scrutiny_uuid, CASE l_returnflag WHEN 'A' THEN 'yea' WHEN 'R' THEN 'nay' ELSE 'abs' END AS vote,

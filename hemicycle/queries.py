@@ -25,6 +25,7 @@ from hemicycle.sources import rollcall_pages as RP
 from hemicycle.sources import tables as T
 from hemicycle.sources import tree_files as TF
 from hemicycle.streaming import upsert as U
+from hemicycle.streaming.pages import stream_extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -138,11 +139,48 @@ def rollcall_pages_roundtrip(spark, sf_dir):
     """The roll calls written as legislature pages (both layouts, repeated
     index and vote pages), extracted again."""
     s, b, _ = E.scrutinies_from_pages(RP.rollcall_pages(spark, sf_dir))
+    return _ballot_rows(s, b)
+
+
+def _ballot_rows(s, b):
     return (b.join(s.select(F.col("uuid").alias("scrutiny_uuid"), "title", B.display_date(F.col("date")).alias("date_display"), "info"),
                    "scrutiny_uuid")
             .select("scrutiny_uuid", "title", "date_display", "info", "group_key", "vote", F.col("ord").cast("long").alias("ord"), "voter_name"))
 
 
+@register("rollcall_scrutinies")
+def rollcall_scrutinies(spark, sf_dir):
+    """One row per roll call written as pages and extracted again, with the law its info
+    page names. ``strict_file_href`` is the file link as the reference's overwriting leaves it."""
+    f = E.latest_pages(E.facts(RP.rollcall_pages(spark, sf_dir)))
+    s, _, _ = E.scrutinies_from_facts(f, E.index_rows(f))
+    strict = E.scrutinies_from_facts(f, E.index_rows(f), strict=True)[0].select("uuid", F.col("file_href").alias("strict_file_href"))
+    return s.join(strict, "uuid").select("uuid", "leg", "num", "title", B.display_date(F.col("date")).alias("date_display"), "url", "info",
+                                         "summary", "law_title", "law_href", "file_href", "strict_file_href")
+
+
+STREAM_FILES = 6  # files the pages land in, one per micro-batch
+
+
+@register("rollcall_pages_streamed")
+def rollcall_pages_streamed(spark, sf_dir):
+    """R1 + R2: the pages of ``rollcall_pages_roundtrip`` landing as files in no order, extracted batch by batch through
+    keyed state; the same rows as the batch extraction."""
+    base = scratch_path(spark, f"stream/{_uuid.uuid4().hex}")
+    pages = RP.rollcall_pages(spark, sf_dir)
+    pages.repartition(STREAM_FILES, F.xxhash64("page_id")).write.parquet(f"{base}/land")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/land")
+    tables = stream_extract(spark, arriving, f"{base}/out", f"{base}/checkpoint", files_per_batch=2 * STREAM_FILES)
+    s = tables.scrutinies()
+    return _ballot_rows(s, tables.ballots(s))
+
+
+@register("rollcall_rejects")
+def rollcall_rejects(spark, sf_dir):
+    """D3 + O10: pages and rows the extraction drops, with the reason, on pages some of which are broken."""
+    return E.rejected(RP.rollcall_pages(spark, sf_dir, broken=True))
+
+
 @register("rollcall_resolved")
 def rollcall_resolved(spark, sf_dir):
     """J1 on named ballots (``resolve_ballots``): names become uuids, unresolved voters stay null and count."""
