@@ -11,7 +11,8 @@ row (one SQL round trip per step). Here every operation is set-based:
   and joins on the block: an exact equi-join whose output is the answer.
 * where only a count inside an interval is asked (J7, J9, A11), it is the
   difference of two prefix sums over the sorted positions: no pairs at all.
-* edits (H5-H8, H13, H18) rewrite parent_id / position and renumber once.
+* single edits (H5-H8, H13) shift lft/rgt/level by constants and rank the siblings they touch; an edit log (H18,
+  ``edit_log.py``) rewrites parent_id / position and renumbers once.
 
 Unreachable nodes (missing parent, cycles) vanish from a renumbered tree, as
 they do in the reference; ``analyze`` reports them.
@@ -19,11 +20,11 @@ they do in the reference; ``analyze`` reports them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hemicycle.plans.ranking import checkpointed, global_prefix, global_rank, rank_in_groups, saved
+from hemicycle.plans.ranking import checkpointed, global_prefix, global_prefixes, global_rank, rank_in_groups, saved
 
 ADJ_COLS = ["id", "parent_id", "position", "title", "type"]
 TREE_COLS = ["id", "parent_id", "position", "lft", "rgt", "level", "title", "type"]
@@ -105,37 +106,47 @@ def demo_tree(spark: SparkSession) -> DataFrame:
 # numbering
 # --------------------------------------------------------------------------
 
-def _double(state: DataFrame, sums: dict[str, str], up: dict[str, str]) -> DataFrame:
+def _written(df: DataFrame, live: Column) -> tuple[DataFrame, int]:
+    """``df`` saved, and the number of its rows that are ``live``, counted while it is written."""
+    seen = Observation()
+    df = saved(df.observe(seen, F.count(F.when(live, 1)).alias("live")))
+    return df, seen.get["live"]
+
+
+def _double(state: DataFrame, sums: dict[str, str], up: dict[str, str], live: int | None = None) -> DataFrame:
     """Pointer doubling over ``state(id, anc, ...)`` until every pointer is null.
 
     Each round, ``up[c]`` combines a node's own ``c`` with that of its pointer (towards the root), ``sums[c]``
     combines it with those of the nodes pointing at it (from below); both are SQL expressions over ``c`` and ``other``.
+    A round is one job, which writes the next state and counts its open pointers. ``live`` is that count for a
+    ``state`` that is a written table itself.
     Nodes that reach a cycle never finish: after log2(nodes) + 1 rounds they are dropped.
     """
-    state = saved(state)
-    rounds = max(state.count(), 1).bit_length() + 1
+    open_ = F.col("anc").isNotNull()
+    if live is None:
+        state, live = _written(state, open_)
+    rounds = max(live, 1).bit_length() + 1
     for _ in range(rounds):
-        live = state.where(F.col("anc").isNotNull())
-        if live.isEmpty():
+        if not live:
             return state
         above = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), *[F.col(c).alias(f"_{c}") for c in up])
         nxt = state.join(above, "anc", "left")
         if sums:
-            below = saved(live.groupBy(F.col("anc").alias("id")).agg(
-                *[F.expr(e.split("|")[0]).alias(f"s_{c}") for c, e in sums.items()]))
-            nxt = nxt.join(below, "id", "left")
+            nxt = nxt.join(state.where(open_).groupBy(F.col("anc").alias("id")).agg(
+                *[F.expr(e.split("|")[0]).alias(f"s_{c}") for c, e in sums.items()]), "id", "left")
         keep = [c for c in state.columns if c not in ("id", "anc", *up, *sums)]
         new = {**{c: F.expr(e.replace("other", f"_{c}")) for c, e in up.items()},
                **{c: F.expr(e.split("|")[1].replace("other", f"s_{c}")) for c, e in sums.items()}}
-        state = saved(nxt.select("id", F.col("_anc").alias("anc"), *keep, *[
-            F.coalesce(v, F.col(c)).alias(c) for c, v in new.items()]))
-    return saved(state.where(F.col("anc").isNull()))
+        state, live = _written(nxt.select("id", F.col("_anc").alias("anc"), *keep, *[
+            F.coalesce(v, F.col(c)).alias(c) for c, v in new.items()]), open_)
+    return saved(state.where(~open_))
 
 
-def _pointers(adj: DataFrame) -> DataFrame:
-    """(id, anc): the parent where it exists, null for roots and for nodes whose parent is missing."""
+def _pointers(adj: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(id, parent_id, anc, *more): the parent where it exists, null for roots and for nodes whose parent is missing."""
     ids = adj.select(F.col("id").alias("parent_id"), F.col("id").alias("anc"))
-    return adj.select("id", "parent_id").join(ids, "parent_id", "left").select("id", "parent_id", "anc")
+    keep = ["id", "parent_id", *(more or [])]
+    return adj.select(*keep).join(ids, "parent_id", "left").select("id", "parent_id", "anc", *keep[2:])
 
 
 def number_tree(adj: DataFrame) -> DataFrame:
@@ -147,19 +158,19 @@ def number_tree(adj: DataFrame) -> DataFrame:
     The interval of a node starts one after that of its parent, plus twice the sizes of its earlier siblings; both
     are sums along paths, so any depth takes log2(depth) rounds over rows of fixed width.
     """
-    adj = saved(adj.select(*ADJ_COLS))
-    start = (_pointers(adj).withColumn("level", F.when(F.col("anc").isNull(), 0).otherwise(1).cast("long"))
-             .withColumn("root", F.coalesce("anc", "id")).withColumn("size", F.lit(1).cast("long")))
-    done = _double(start, sums={"size": "sum(size)|size + other"}, up={"level": "level + other", "root": "other"})
+    adj = adj.select(*ADJ_COLS)
+    adj, live = _written(_pointers(adj, ["position", "title", "type"]), F.col("anc").isNotNull())
+    start = (adj.select("id", "parent_id", "anc", F.when(F.col("anc").isNull(), 0).otherwise(1).cast("long").alias("level"),
+                        F.coalesce("anc", "id").alias("root"), F.lit(1).cast("long").alias("size")))
+    done = _double(start, sums={"size": "sum(size)|size + other"}, up={"level": "level + other", "root": "other"}, live=live)
     # a node is reachable when the top of its path is a root
     roots = adj.where(F.col("parent_id") == 0).select(F.col("id").alias("root"))
     sized = saved(done.join(roots, "root", "left_semi").select("id", "parent_id", "level", "size")
-                         .join(adj.select("id", "position", "title", "type"), "id"))
+                  .join(adj.select("id", "position", "title", "type"), "id"))
     # sizes of all earlier siblings: a running sum over (parent, position), less its value where the parent starts
-    running = saved(global_prefix(sized.select("id", "parent_id", "position", "size"),
-                                         ["parent_id", "position", "id"], "size", "upto")
-                           .withColumn("before", F.col("upto") - F.col("size")).select("id", "parent_id", "before"))
-    first = saved(running.groupBy("parent_id").agg(F.min("before").alias("first")))
+    running = (global_prefix(sized.select("id", "parent_id", "position", "size"), ["parent_id", "position", "id"], "size", "upto")
+               .withColumn("before", F.col("upto") - F.col("size")).select("id", "parent_id", "before"))
+    first = running.groupBy("parent_id").agg(F.min("before").alias("first"))
     offsets = (running.join(first, "parent_id").withColumn("off", 1 + 2 * (F.col("before") - F.col("first")))
                .withColumn("anc", F.when(F.col("parent_id") != 0, F.col("parent_id"))).select("id", "anc", "off"))
     placed = _double(offsets, sums={}, up={"off": "off + other"})
@@ -232,23 +243,24 @@ def containment_pairs(tree: DataFrame, strict: bool = False, outer: DataFrame |
 
 
 def counts_inside(tree: DataFrame, marks: DataFrame, key: Column | None = None, mark_key: Column | None = None) -> DataFrame:
-    """(id, n): sum of ``marks(lft, value)`` strictly inside each node's interval, without pairs.
+    """(id, n): sum of ``marks(lft, value)`` strictly inside each node's interval, without pairs; n2 for ``value2``, ...
 
     One sort of marks and interval ends, a running sum, and the difference at the two ends. With ``key`` (of a
     node) and ``mark_key`` only marks of the node's key count.
     """
     k, mk = (key if key is not None else F.lit(0)).cast("long"), (mark_key if mark_key is not None else F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
+    values = {c: "n" + c.removeprefix("value") for c in marks.columns if c.startswith("value")}
     ends = tree.select("id", k.alias("k"), F.explode(F.array(
         F.struct(F.col("lft").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("rgt").alias("at"), F.lit(1).alias("sign")))).alias("e"))
-    rows = (ends.select("id", "k", "e.at", "e.sign", zero.alias("value"))
+    rows = (ends.select("id", "k", "e.at", "e.sign", *[zero.alias(c) for c in values])
             .unionByName(marks.select(F.lit(None).cast("long").alias("id"), mk.alias("k"), F.col("lft").alias("at"),
-                                      zero.cast("int").alias("sign"), F.col("value").cast("long").alias("value"))))
+                                      zero.cast("int").alias("sign"), *[F.col(c).cast("long").alias(c) for c in values])))
     # a mark at the position of a left end is the node itself: it sorts before, so it cancels out
-    run = global_prefix(rows.withColumn("o", F.when(F.col("sign") == 0, 0).otherwise(1)),
-                        ["k", "at", "o", "id", "sign"], "value", "upto")
+    run = global_prefixes(rows.withColumn("o", F.when(F.col("sign") == 0, 0).otherwise(1)),
+                          ["k", "at", "o", "id", "sign"], {f"upto_{c}": c for c in values})
     return (run.where(F.col("sign") != 0).groupBy("id")
-            .agg(F.sum(F.col("upto") * F.col("sign")).cast("long").alias("n")))
+            .agg(*[F.sum(F.col(f"upto_{c}") * F.col("sign")).cast("long").alias(n) for c, n in values.items()]))
 
 
 def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -381,57 +393,92 @@ def _adj(tree: DataFrame) -> DataFrame:
     return tree.select(*ADJ_COLS)
 
 
-def _compact(adj: DataFrame, parent_id: int) -> DataFrame:
-    """Dense positions 0..k-1 for one parent's children, same order (skew-safe rank)."""
-    touched = F.col("parent_id") == F.lit(parent_id)
-    ranked = rank_in_groups(adj.where(touched), ["parent_id"], [F.col("position"), F.col("id")], "_rn")
-    ranked = ranked.withColumn("position", (F.col("_rn") - 1).cast("long")).select(*ADJ_COLS)
-    return adj.where(~touched).unionByName(ranked)
+def _others(tree: DataFrame, parents: list[int], node_id: int | None) -> DataFrame:
+    """Children of ``parents`` except the node, with their place ``_at`` from 0 in their order (skew-safe rank)."""
+    kept = F.col("parent_id").isin(*[F.lit(p) for p in parents])
+    if node_id is not None:
+        kept &= F.col("id") != F.lit(node_id)
+    ranked = rank_in_groups(tree.where(kept), ["parent_id"], [F.col("position"), F.col("id")], "_at")
+    return checkpointed(ranked.withColumn("_at", F.col("_at") - 1))
 
 
-def _reseat(adj: DataFrame, node_id: int, ref_id: int, position: int,
-            old_parent: int | None) -> DataFrame:
-    """Make ``node_id`` (already a row of ``adj``) the ``position``-th child of ``ref_id``.
+def _seat(tree: DataFrame, ref, position: int, node_id: int | None = None, old_parent: int | None = None):
+    """Room for a node as the ``position``-th child of ``ref``.
 
-    The other children of ``ref_id`` (and of ``old_parent``) keep their order
-    and are renumbered densely; the position is clamped to the number of other
-    children, which is the reference's clamp followed by W7 compaction.
+    Returns (rows other than the node, siblings renumbered densely with a free place; the place; the bracket position
+    before which the node goes). The place is clamped to the number of other children.
     """
-    parents = sorted({ref_id} | ({old_parent} if old_parent is not None else set()))
-    not_node = F.col("id") != F.lit(node_id)
-    touched = F.col("parent_id").isin(*[F.lit(p) for p in parents]) & not_node
-    others = adj.where(touched)
-    m = others.where(F.col("parent_id") == F.lit(ref_id)).count()
-    p = min(max(position, 0), m)
-    ranked = rank_in_groups(others, ["parent_id"], [F.col("position"), F.col("id")], "_rn")
-    idx = F.col("_rn") - 1
-    shift = F.when((F.col("parent_id") == F.lit(ref_id)) & (idx >= p), F.lit(1)).otherwise(F.lit(0))
-    ranked = ranked.withColumn("position", (idx + shift).cast("long")).select(*ADJ_COLS)
-    node = (adj.where(~not_node)
-               .withColumn("parent_id", F.lit(ref_id).cast("long"))
-               .withColumn("position", F.lit(p).cast("long")).select(*ADJ_COLS))
-    rest = adj.where(~touched & not_node)
-    return rest.unionByName(ranked).unionByName(node)
+    parents = sorted({ref["id"]} | ({old_parent} if old_parent is not None else set()))
+    others = _others(tree, parents, node_id)
+    here = F.col("parent_id") == F.lit(ref["id"])
+    place = min(max(position, 0), others.where(here).count())
+    follower = others.where(here & (F.col("_at") == place)).select("lft").first()
+    seated = others.withColumn("position", F.col("_at") + F.when(here & (F.col("_at") >= place), 1).otherwise(0)).select(*TREE_COLS)
+    apart = ~F.col("parent_id").isin(*[F.lit(p) for p in parents])
+    if node_id is not None:
+        apart &= F.col("id") != F.lit(node_id)
+    return tree.where(apart).select(*TREE_COLS).unionByName(seated), place, follower["lft"] if follower else ref["rgt"]
+
+
+def _shift(df: DataFrame, by) -> DataFrame:
+    """lft and rgt each moved by ``by(position)``: the sum of the widths opened and closed before it."""
+    return df.withColumns({c: (F.col(c) + by(F.col(c))).cast("long") for c in ("lft", "rgt")}).select(*TREE_COLS)
+
+
+def _step(at: Column, width: int) -> Column:
+    return F.when(at, F.lit(width)).otherwise(F.lit(0))
 
 
 def remove_subtree(tree: DataFrame, node_id: int) -> DataFrame:
-    """H6: delete the node and its subtree, close the sibling gap, renumber.
+    """H6: delete the node and its subtree, close the sibling gap, shift the intervals behind it.
 
-    The subtree is excluded by its interval (F13 / U3: rows outside a set of
-    ids; a range predicate here, a ``left_anti`` join for an id list).
+    The tree is not derived again: lft and rgt change by constants, positions by the rank of the siblings.
     """
     if node_id == ROOT_ID:
         raise RefusedEdit("the root cannot be removed")
     node = get_node(tree, node_id)
     if node is None:
         return tree
-    inside = (F.col("lft") >= node["lft"]) & (F.col("rgt") <= node["rgt"])
-    kept = _compact(_adj(tree.where(~inside)), node["parent_id"])
-    return number_tree(kept)
+    rest = tree.where(~((F.col("lft") >= node["lft"]) & (F.col("rgt") <= node["rgt"])))
+    siblings = _others(rest, [node["parent_id"]], None).withColumn("position", F.col("_at")).select(*TREE_COLS)
+    rest = rest.where(F.col("parent_id") != F.lit(node["parent_id"])).select(*TREE_COLS).unionByName(siblings)
+    return _shift(rest, lambda at: _step(at > node["rgt"], node["lft"] - node["rgt"] - 1))
 
 
-def _subtree_ids(tree: DataFrame, node) -> DataFrame:
-    return tree.where((F.col("lft") >= node["lft"]) & (F.col("rgt") <= node["rgt"]))
+def remove_subtrees(tree: DataFrame, ids: DataFrame) -> DataFrame:
+    """H6 for a frame of ids (column ``id``): every listed subtree goes, at any number of them.
+
+    Nodes under a listed one are found by a running sum over the sorted brackets and taken out by a ``left_anti``
+    join; the intervals behind shift by the running sum of what was taken out. Unknown and null ids name nothing,
+    a subtree listed within another goes with it; the root is refused.
+    """
+    listed = saved(tree.select("id", "lft", "rgt").join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_semi"))
+    if not listed.where(F.col("id") == ROOT_ID).isEmpty():
+        raise RefusedEdit("the root cannot be removed")
+    one = F.lit(1).cast("long")
+    marks = (tree.select("lft", F.col("id").alias("node"), (one * 0).alias("open"))
+             .unionByName(listed.select("lft", (one * 0).alias("node"), one.alias("open")).withColumn("node", F.lit(None).cast("long")))
+             .unionByName(listed.select(F.col("rgt").alias("lft"), F.lit(None).cast("long").alias("node"), (-one).alias("open"))))
+    # a listed node's own mark opens before the node is met
+    depth = global_prefix(marks, ["lft", F.col("node").asc_nulls_first(), "open"], "open", "depth")
+    gone = saved(depth.where("node is not null and depth > 0").select(F.col("node").alias("id")))
+    rest = saved(tree.join(gone, "id", "left_anti").select(*TREE_COLS))
+    cut = tree.join(gone, "id", "left_semi").select(F.col("lft").alias("at"), F.lit(None).cast("long").alias("node"), F.lit("").alias("end"),
+                                                   (one * 2).alias("width"))
+    ends = [rest.select(F.col(c).alias("at"), F.col("id").alias("node"), F.lit(c).alias("end"), (one * 0).alias("width")) for c in ("lft", "rgt")]
+    moved = global_prefix(cut.unionByName(ends[0]).unionByName(ends[1]), ["at"], "width", "less").where("node is not null")
+    moved = saved(moved.select(F.col("node").alias("id"), "end", (F.col("at") - F.col("less")).alias("to")))
+    for c in ("lft", "rgt"):
+        rest = rest.drop(c).join(moved.where(F.col("end") == c).select("id", F.col("to").alias(c)), "id")
+    parents = saved(tree.join(gone, "id", "left_semi").select("parent_id").distinct()
+                    .join(gone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti"))
+    ranked = rank_in_groups(rest.join(parents, "parent_id", "left_semi"), ["parent_id"], ["position", "id"], "_at")
+    return (rest.join(parents, "parent_id", "left_anti").select(*TREE_COLS)
+            .unionByName(ranked.withColumn("position", F.col("_at") - 1).select(*TREE_COLS)))
+
+
+def _subtree_rows(tree: DataFrame, node) -> DataFrame:
+    return tree.where((F.col("lft") >= node["lft"]) & (F.col("rgt") <= node["rgt"])).select(*TREE_COLS)
 
 
 def _check_target(tree: DataFrame, node_id: int, ref_id: int):
@@ -445,7 +492,7 @@ def _check_target(tree: DataFrame, node_id: int, ref_id: int):
 
 
 def move_subtree(tree: DataFrame, node_id: int, ref_id: int, position: int) -> DataFrame:
-    """H7: make ``node_id`` the ``position``-th child of ``ref_id``, renumber.
+    """H7: make ``node_id`` the ``position``-th child of ``ref_id`` by shifting intervals.
 
     Refused like the reference: moving node 1, ref 0, or a ref inside the
     node's own subtree. The position is clamped to the ref's child count;
@@ -453,9 +500,18 @@ def move_subtree(tree: DataFrame, node_id: int, ref_id: int, position: int) -> D
     """
     if ref_id == 0 or node_id == ROOT_ID:
         raise RefusedEdit("moving the root or under ref 0 is refused")
-    node, _ = _check_target(tree, node_id, ref_id)
-    adj = _reseat(_adj(tree), node_id, ref_id, position, node["parent_id"])
-    return number_tree(adj)
+    node, ref = _check_target(tree, node_id, ref_id)
+    others, place, at = _seat(tree, ref, position, node_id, node["parent_id"])
+    width = node["rgt"] - node["lft"] + 1
+    own = (F.col("lft") >= node["lft"]) & (F.col("rgt") <= node["rgt"])
+    rest = _shift(others.where(~own), lambda x: _step(x >= at, width) - _step(x > node["rgt"], width))
+    by = at - node["lft"] - (width if at > node["rgt"] else 0)
+    is_node = F.col("id") == F.lit(node_id)
+    moved = _shift(_subtree_rows(others, node).unionByName(tree.where(is_node).select(*TREE_COLS)), lambda x: F.lit(by))
+    moved = moved.withColumns({"level": F.col("level") + (ref["level"] + 1 - node["level"]),
+                               "parent_id": F.when(is_node, F.lit(ref_id)).otherwise(F.col("parent_id")).cast("long"),
+                               "position": F.when(is_node, F.lit(place)).otherwise(F.col("position")).cast("long")})
+    return rest.unionByName(moved)
 
 
 def copy_subtree(tree: DataFrame, node_id: int, ref_id: int, position: int) -> DataFrame:
@@ -468,19 +524,18 @@ def copy_subtree(tree: DataFrame, node_id: int, ref_id: int, position: int) -> D
     """
     if ref_id == 0:
         raise RefusedEdit("copy under ref 0 is refused")
-    node, _ = _check_target(tree, node_id, ref_id)
+    node, ref = _check_target(tree, node_id, ref_id)
     max_id = tree.agg(F.max("id")).first()[0]
-    src = _subtree_ids(tree, node).select(*ADJ_COLS, "level")
-    src = global_rank(src, [F.col("level"), F.col("id")], "_r")
-    new_id = F.lit(max_id) + F.col("_r")
-    idmap = src.select(F.col("id").alias("parent_id"), new_id.alias("_newp"))
-    copies = (src.join(idmap, "parent_id", "left")
-                 .select(new_id.alias("id"),
-                         F.when(F.col("id") == F.lit(node_id), F.lit(ref_id).cast("long"))
-                          .otherwise(F.col("_newp")).alias("parent_id"),
-                         "position", "title", "type"))
-    adj = _adj(tree).unionByName(copies)
-    return number_tree(_reseat(adj, max_id + 1, ref_id, position, None))
+    others, place, at = _seat(tree, ref, position)
+    width = node["rgt"] - node["lft"] + 1
+    src = global_rank(_subtree_rows(tree, node), [F.col("level"), F.col("id")], "_r").withColumn("_new", F.lit(max_id) + F.col("_r"))
+    idmap = src.select(F.col("id").alias("parent_id"), F.col("_new").alias("_newp"))
+    is_root = F.col("id") == F.lit(node_id)
+    copies = src.join(idmap, "parent_id", "left").select(
+        F.col("_new").alias("id"), F.when(is_root, F.lit(ref_id)).otherwise(F.col("_newp")).cast("long").alias("parent_id"),
+        F.when(is_root, F.lit(place)).otherwise(F.col("position")).cast("long").alias("position"), "lft", "rgt",
+        (F.col("level") + (ref["level"] + 1 - node["level"])).alias("level"), "title", "type")
+    return _shift(others, lambda x: _step(x >= at, width)).unionByName(_shift(copies, lambda x: F.lit(at - node["lft"])))
 
 
 def create_node(tree: DataFrame, ref_id: int, position: int, title: str | None = None,
@@ -488,14 +543,13 @@ def create_node(tree: DataFrame, ref_id: int, position: int, title: str | None =
     """H5: a new node under ``ref_id`` at ``position`` (clamped), id = max(id) + 1."""
     if ref_id == 0:
         raise RefusedEdit("create under ref 0 is refused")
-    if get_node(tree, ref_id) is None:
+    ref = get_node(tree, ref_id)
+    if ref is None:
         raise RefusedEdit("unknown ref")
-    spark = tree.sparkSession
     max_id = tree.agg(F.max("id")).first()[0]
-    new = spark.createDataFrame([(max_id + 1, ref_id, 0, title, type_)],
-                                "id long, parent_id long, position long, title string, type string")
-    adj = _adj(tree).unionByName(new)
-    return number_tree(_reseat(adj, max_id + 1, ref_id, position, None))
+    others, place, at = _seat(tree, ref, position)
+    new = tree.sparkSession.createDataFrame([(max_id + 1, ref_id, place, at, at + 1, ref["level"] + 1, title, type_)], TREE_SCHEMA)
+    return _shift(others, lambda x: _step(x >= at, 2)).unionByName(new)
 
 
 def set_data(tree: DataFrame, updates: DataFrame) -> DataFrame:
@@ -507,43 +561,6 @@ def set_data(tree: DataFrame, updates: DataFrame) -> DataFrame:
                 .select(*tree.columns))
 
 
-def apply_edits(tree: DataFrame, edits: list[dict], check=None) -> DataFrame:
-    """Apply an ordered edit log (create / rename / move / copy / remove).
-
-    Each edit is a dict with ``op`` and its arguments; refused edits are
-    skipped and recorded in the returned frame's ``_refused`` attribute.
-    ``check`` (G7) is an optional predicate ``(edit, tree) -> bool`` that can
-    refuse an edit before it is applied. The log itself is a short list of
-    user operations; each edit is a set-based job over the whole tree.
-    """
-    refused = []
-    spark = tree.sparkSession
-    for e in edits:
-        op = e["op"]
-        try:
-            if check is not None and not check(e, tree):
-                raise RefusedEdit("refused by check")
-            if op == "create":
-                tree = create_node(tree, e["ref_id"], e.get("position", 0), e.get("title"), e.get("type"))
-            elif op == "rename":
-                upd = spark.createDataFrame([(e["id"], e.get("title"), e.get("type"))],
-                                            "id long, title string, type string")
-                tree = set_data(tree, upd)
-            elif op == "move":
-                tree = move_subtree(tree, e["id"], e["ref_id"], e.get("position", 0))
-            elif op == "copy":
-                tree = copy_subtree(tree, e["id"], e["ref_id"], e.get("position", 0))
-            elif op == "remove":
-                tree = remove_subtree(tree, e["id"])
-            else:
-                raise RefusedEdit(f"unknown op {op}")
-            tree = checkpointed(tree)
-        except RefusedEdit as err:
-            refused.append((e, str(err)))
-    tree._refused = refused  # type: ignore[attr-defined]
-    return tree
-
-
 # --------------------------------------------------------------------------
 # rule checks and roll-ups
 # --------------------------------------------------------------------------
@@ -586,12 +603,11 @@ def rollup_checked(tree: DataFrame, leaf_flags: DataFrame) -> DataFrame:
                   .join(leaf_flags.select("id", F.col("checked").alias("_c")), "id", "left")
                   .withColumn("_c", F.coalesce("_c", F.lit(False)).cast("int")))
     leaves = checkpointed(leaves)
-    # leaves and checked leaves inside each node, both in one running sum: checked in the low half
-    marks = leaves.select("lft", (F.shiftleft(F.lit(1).cast("long"), 31) + F.col("_c")).alias("value"))
+    marks = leaves.select("lft", F.lit(1).cast("long").alias("value"), F.col("_c").cast("long").alias("value2"))
     own = leaves.select("id", F.col("_c").alias("_own"))
     agg = (counts_inside(tree, marks).join(own, "id", "left")
-           .withColumn("_leaves", F.when(F.col("_own").isNotNull(), 1).otherwise(F.shiftright("n", 31)))
-           .withColumn("_on", F.coalesce(F.col("_own"), F.col("n") % (1 << 31)))
+           .withColumn("_leaves", F.when(F.col("_own").isNotNull(), 1).otherwise(F.col("n")))
+           .withColumn("_on", F.coalesce(F.col("_own"), F.col("n2")))
            .select("id", (F.col("_leaves") == F.col("_on")).alias("_all"), (F.col("_on") > 0).alias("_any")))
     state = (F.when(F.col("_all"), F.lit("checked"))
               .when(F.col("_any"), F.lit("undetermined")).otherwise(F.lit("unchecked")))

@@ -6,9 +6,9 @@ helpers below rank over a total order with a range-partitioned sort instead:
 
 1. ``orderBy`` range-partitions and sorts the rows (balanced by sampling, so a
    hot group is split over many tasks);
-2. the sorted frame is checkpointed into the shared checkpoint folder, fixing
-   partition contents and order (and cutting lineage, so a lost executor only
-   recomputes from the checkpoint);
+2. the sorted frame is checkpointed into the shared checkpoint folder with each
+   row's partition and place, fixing both (and cutting lineage, so a lost executor
+   only recomputes from the checkpoint);
 3. each partition counts its rows; the tiny per-partition table (one row per
    partition, a proven bound) is prefix-summed and broadcast back;
 4. rank = partition offset + position inside the partition.
@@ -42,17 +42,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def _sorted(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` sorted over ranges and checkpointed, each row with its partition ``_pid`` and place ``_local`` in it.
+
+    Both are part of the checkpoint: later plans (unions, joins) cannot change them.
+    """
+    at = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    return checkpointed(df.orderBy(*order).select("*", F.spark_partition_id().alias("_pid"), at.alias("_local")))
+
+
+def _offsets(counts: DataFrame) -> DataFrame:
+    """(_pid, _off): the sum of ``_n`` over earlier partitions; one row per partition, a single-task window of proven size."""
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+
+
 def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") -> DataFrame:
     """1-based rank over ``order``; ``order`` must be a total order (unique keys)."""
-    s = checkpointed(df.orderBy(*order))
-    s = (s.withColumn("_pid", F.spark_partition_id())
-          .withColumn("_local", F.monotonically_increasing_id()
-                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    s = _sorted(df, order)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a single-task window and a broadcast of a proven size
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (s.join(F.broadcast(offsets), "_pid")
+    return (s.join(_offsets(counts), "_pid")
              .withColumn(out, (F.col("_off") + F.col("_local") + 1).cast("long"))
              .drop("_pid", "_local", "_off"))
 
@@ -63,15 +72,19 @@ def global_prefix(df: DataFrame, order: list[Column | str], value: str, out: str
     Like ``global_rank``: sorted ranges are summed each in its own task, and one
     row per partition carries the sums of the earlier ones.
     """
-    s = checkpointed(df.orderBy(*order)).withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_at", F.monotonically_increasing_id())
-    within = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_in", F.sum(value).over(within))
+    return global_prefixes(df, order, {out: value})
+
+
+def global_prefixes(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """Several running sums ``{out: value}`` over one sort."""
+    s = _sorted(df, order)
+    within = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (s.groupBy("_pid").agg(F.sum(value).alias("_n"))
-               .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    return (s.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_in") + F.col("_off"))
-            .drop("_pid", "_at", "_in", "_off"))
+    parts = s.groupBy("_pid").agg(*[F.sum(v).alias(f"_n_{out}") for out, v in sums.items()])
+    offsets = parts.select("_pid", *[F.coalesce(F.sum(f"_n_{out}").over(before), F.lit(0)).alias(f"_off_{out}") for out in sums])
+    s = s.withColumns({f"_in_{out}": F.sum(v).over(within) for out, v in sums.items()})
+    s = s.join(F.broadcast(offsets), "_pid").withColumns({out: F.col(f"_in_{out}") + F.col(f"_off_{out}") for out in sums})
+    return s.drop("_pid", "_local", *[f"{x}_{out}" for out in sums for x in ("_in", "_off")])
 
 
 def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column | str],
@@ -82,12 +95,13 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column | str],
     when ``groups + order`` is a total order. A group's first rank is found from one row
     per (partition, group) and joined back on both, so a hot group stays spread over its partitions.
     """
-    g = checkpointed(global_rank(df, [*groups, *order], "_g").withColumn("_p", F.spark_partition_id()))
-    firsts = g.groupBy("_p", *groups).agg(F.min("_g").alias("_first"))
-    # one row per partition of a group
-    firsts = firsts.withColumn("_start", F.min("_first").over(Window.partitionBy(*groups))).drop("_first")
-    keys = [F.col("_p") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in groups]]
-    firsts = firsts.select(F.col("_p").alias("_q"), "_start", *[F.col(c).alias(f"_k_{c}") for c in groups])
-    return (g.join(firsts, keys)
-             .withColumn(out, (F.col("_g") - F.col("_start") + 1).cast("long"))
-             .drop("_g", "_start", "_p", "_q", *[f"_k_{c}" for c in groups]))
+    s = _sorted(df, [*groups, *order])
+    # one row per partition of a group: where it starts there, and how many rows it has in earlier partitions
+    firsts = s.groupBy("_pid", *groups).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    keys = [F.col("_pid") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in groups]]
+    firsts = firsts.select(F.col("_pid").alias("_q"), "_first", "_before", *[F.col(c).alias(f"_k_{c}") for c in groups])
+    return (s.join(firsts, keys)
+             .withColumn(out, (F.col("_local") - F.col("_first") + F.col("_before") + 1).cast("long"))
+             .drop("_pid", "_local", "_first", "_before", "_q", *[f"_k_{c}" for c in groups]))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hemicycle.functions import text as X
 from hemicycle.operators import analysis as A
 from hemicycle.operators import ballots as B
+from hemicycle.operators import edit_log as EL
 from hemicycle.operators import extract as E
 from hemicycle.operators import resolve as R
 from hemicycle.operators import tree as H
@@ -274,7 +275,7 @@ def tree_copy(spark, sf_dir):
 
 @register("tree_edits")
 def tree_edits(spark, sf_dir):
-    return H.apply_edits(_numbered(spark, sf_dir), TREE_EDITS)
+    return EL.apply_edits(_numbered(spark, sf_dir), TREE_EDITS)
 
 
 @register("tree_rules")
@@ -358,8 +359,8 @@ def tree_localized(spark, sf_dir):
 
 @register("tree_edits_checked")
 def tree_edits_checked(spark, sf_dir):
-    """G7 + H18: the edit log with a check that refuses to move customers and to copy."""
-    return H.apply_edits(_numbered(spark, sf_dir), TREE_EDITS, check=lambda e, t: e["op"] not in ("copy", "remove"))
+    """G7 + H18: the edit log with a check, a Column over the log, that refuses to copy and to remove."""
+    return EL.apply_edits(_numbered(spark, sf_dir), TREE_EDITS, check=~F.col("op").isin("copy", "remove"))
 
 
 @register("tree_json")

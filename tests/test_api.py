@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hemicycle.functions import text as X
 from hemicycle.operators import resolve as R
 from hemicycle.operators import tree as H
+from hemicycle.operators.edit_log import apply_edits
 from hemicycle.plans import paging as P
 from hemicycle.plans.ranking import global_rank, rank_in_groups
 
@@ -44,9 +45,11 @@ def test_typeahead_hooks(spark):
 
 def test_move_check(spark):
     demo = H.demo_tree(spark)
-    t = H.apply_edits(demo, [{"op": "move", "id": 5, "ref_id": 6, "position": 0}],
-                      check=lambda e, tree: e["ref_id"] != 6)
-    assert len(t._refused) == 1
+    log = [{"op": "move", "id": 5, "ref_id": 6, "position": 0}, {"op": "move", "id": 4, "ref_id": 6, "position": 0}]
+    t = apply_edits(demo, log, check=F.col("ref.title") != "D:")
+    assert [tuple(r)[1:] for r in t._refused.orderBy("seq").collect()] == [("move", 5, 6, "refused by check"), ("move", 4, 6, "refused by check")]
+    t = apply_edits(demo, log, check=F.col("node.type") != "folder")
+    assert [r.id for r in t._refused.collect()] == [5] and t.where("parent_id = 6").first()["id"] == 4
 
 
 def test_ranking_matches_window(spark):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hemicycle.operators import edit_log
 from hemicycle.operators import tree as H
 
 
@@ -164,3 +165,150 @@ def test_wide_intervals(spark):
     assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 2, 0), (3, 3, 0)]
     assert [r.id for r in H.search_ancestors(t, "b").collect()] == [1]
 
+
+
+# ---------------------------------------------------------------- edits
+
+
+def _edited(rows, log):
+    """Edits one after another on plain lists: (rows of the numbered tree, sequence numbers refused)."""
+    nodes = {i: [t, y] for i, _, _, t, y in rows}
+    parent = {i: p for i, p, *_ in rows}
+    kids = {}
+    for i, p, pos, *_ in sorted(rows, key=lambda r: (r[2], r[0])):
+        kids.setdefault(p, []).append(i)
+    refused = []
+
+    def under(i):
+        return [i] + [d for k in kids.get(i, []) for d in under(k)]
+
+    def put(i, ref, pos):
+        mine = kids.setdefault(ref, [])
+        mine.insert(min(max(pos or 0, 0), len(mine)), i)
+        parent[i] = ref
+
+    def level(i):
+        return 0 if parent[i] not in nodes else 1 + level(parent[i])
+
+    for n, e in enumerate(log):
+        op, i, ref = e["op"], e.get("id"), e.get("ref_id")
+        if op == "rename":
+            if i in nodes:
+                nodes[i] = [new if new is not None else old for new, old in zip((e.get("title"), e.get("type")), nodes[i])]
+        elif op == "remove":
+            if i == 1:
+                refused.append(n)
+            elif i in nodes:
+                kids[parent[i]].remove(i)
+                for d in under(i):
+                    del nodes[d], parent[d]
+                    kids.pop(d, None)
+        elif op not in ("create", "move", "copy") or ref == 0 or ref not in nodes or (op != "create" and (
+                i not in nodes or ref in under(i))) or (op == "move" and i == 1):
+            refused.append(n)
+        elif op == "create":
+            new = max(nodes) + 1
+            nodes[new] = [e.get("title"), e.get("type")]
+            put(new, ref, e.get("position"))
+        elif op == "move":
+            kids[parent[i]].remove(i)
+            put(i, ref, e.get("position"))
+        else:
+            base = max(nodes)
+            new = {d: base + 1 + r for r, d in enumerate(sorted(under(i), key=lambda d: (level(d), d)))}
+            for d, c in new.items():
+                nodes[c] = list(nodes[d])
+                if d != i:
+                    parent[c] = new[parent[d]]
+                kids[c] = [new[k] for k in kids.get(d, [])]
+            put(new[i], ref, e.get("position"))
+    out = [(i, p, k, *nodes[i]) for p, mine in kids.items() for k, i in enumerate(mine)]
+    at = _model_numbering(out)
+    return {(i, p, k, *at[i], t, y) for i, p, k, t, y in out}, refused
+
+
+def _log(rng, n, ops, ids):
+    return [{"op": rng.choice(ops), "id": rng.randrange(0, ids), "ref_id": rng.randrange(0, ids) if rng.random() < 0.95 else None,
+             "position": rng.choice([None, -1, 0, 1, 2, 5, 99]), "title": rng.choice([None, f"t{i}"]), "type": rng.choice([None, "y"])}
+            for i, _ in enumerate(range(n))]
+
+
+SCHEMA = "id long, parent_id long, position long, title string, type string"
+
+
+def _dense(rows):
+    """The forest with positions 0, 1, ... under each parent."""
+    place, out = {}, []
+    for i, p, pos, t, y in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        out.append((i, p, place.setdefault(p, 0), t, y))
+        place[p] += 1
+    return out
+
+
+def test_edit_log_equals_edits_one_by_one(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        rows = _dense(_random_forest(30, seed))
+        log = _log(rng, 40, ["create", "move", "move", "copy", "remove", "rename", "drop"], 45)
+        want, refused = _edited(rows, log)
+        t = edit_log.apply_edits(H.number_tree(spark.createDataFrame(rows, SCHEMA)), log)
+        assert {tuple(r) for r in t.select(H.TREE_COLS).collect()} == want
+        assert sorted(r.seq for r in t._refused.collect()) == refused
+
+
+def test_ten_thousand_edits_in_one_renumbering(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = _dense(_random_forest(200, 9))
+    log = _log(rng, 10_000, ["create", "move", "move", "move", "rename"], 2500)
+    tree = H.number_tree(spark.createDataFrame(rows, SCHEMA)).cache()
+    calls = []
+    monkeypatch.setattr(edit_log, "number_tree", lambda adj: (calls.append(1), H.number_tree(adj))[1])
+    t = edit_log.apply_edits(tree, log)
+    want, refused = _edited(rows, log)
+    assert {tuple(r) for r in t.select(H.TREE_COLS).collect()} == want
+    assert t._refused.count() == len(refused) > 100 and calls == [1]
+
+
+def test_edit_log_in_blocks_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(edit_log, "BLOCK", 7)
+    rng = random.Random(3)
+    rows = _dense(_random_forest(25, 3))
+    tree = H.number_tree(spark.createDataFrame(rows, SCHEMA))
+    log = _log(rng, 20, ["create", "move", "copy", "remove"], 30)
+    want, _ = _edited(rows, log)
+    assert {tuple(r) for r in edit_log.apply_edits(tree, log).select(H.TREE_COLS).collect()} == want
+    none = edit_log.apply_edits(tree, spark.createDataFrame([], edit_log.EDITS))
+    assert none.count() == 25 and none._refused.count() == 0
+
+
+def test_single_edits_shift_like_renumbering(spark, monkeypatch):
+    """Remove, move, copy and create shift intervals; the result is the renumbered tree, without deriving it again."""
+    rows = _dense(_random_forest(40, 11))
+    tree = H.number_tree(spark.createDataFrame(rows, SCHEMA)).cache()
+    tree.count()
+    monkeypatch.setattr(H, "_double", None)
+    jobs = [{"op": "move", "id": 7, "ref_id": 3, "position": 1}, {"op": "move", "id": 12, "ref_id": 1, "position": 0},
+            {"op": "move", "id": 30, "ref_id": 1, "position": 99}, {"op": "copy", "id": 5, "ref_id": 40, "position": 0},
+            {"op": "create", "ref_id": 2, "position": 1, "title": "n", "type": "x"}, {"op": "remove", "id": 9}, {"op": "remove", "id": 77}]
+    run = {"move": lambda e: H.move_subtree(tree, e["id"], e["ref_id"], e["position"]),
+           "copy": lambda e: H.copy_subtree(tree, e["id"], e["ref_id"], e["position"]),
+           "create": lambda e: H.create_node(tree, e["ref_id"], e["position"], e["title"], e["type"]),
+           "remove": lambda e: H.remove_subtree(tree, e["id"])}
+    for e in jobs:
+        want, refused = _edited(rows, [e])
+        if refused:
+            with pytest.raises(H.RefusedEdit):
+                run[e["op"]](e)
+        else:
+            assert {tuple(r) for r in run[e["op"]](e).select(H.TREE_COLS).collect()} == want, e
+
+
+def test_remove_many_subtrees(spark):
+    rows = _dense(_random_forest(60, 4))
+    tree = H.number_tree(spark.createDataFrame(rows, SCHEMA)).cache()
+    for ids in ([5, 9, None, 9, 400], [2, 3, 4, 20, 21, 22, 59], [], [None]):
+        want, _ = _edited(rows, [{"op": "remove", "id": i} for i in ids if i])
+        got = H.remove_subtrees(tree, spark.createDataFrame([(i,) for i in ids], "id long"))
+        assert {tuple(r) for r in got.select(H.TREE_COLS).collect()} == want, ids
+    with pytest.raises(H.RefusedEdit):
+        H.remove_subtrees(tree, spark.createDataFrame([(1,), (5,)], "id long"))
