@@ -235,9 +235,10 @@ def accept(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text
     Rows without a letter go, and with ``limits`` those that fit no learned language. Without a learned
     language every row with a letter stays.
     """
-    body = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    found = df.select(body.alias("body"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return found.mapInArrow(_accepted(model, limit), found.schema).select("body.*")
+    # each column passes once; a name of its own keeps clashing names apart from the text's
+    own = [F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(df.columns)]
+    found = df.select(*own)
+    return found.mapInArrow(_accepted(model, limit), found.schema).toDF(*df.columns)
 
 
 def report(df: DataFrame) -> DataFrame:
