@@ -223,6 +223,16 @@ adj1 AS (SELECT id, parent_id,
                      ELSE position END AS position, title, type FROM kept),
 """ + numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
 
+ORACLE["tree_remove_many"] = TREE_BASE + """,
+listed AS (SELECT * FROM tree0 WHERE id IN (3, 12, 17)),
+gone AS (SELECT DISTINCT d.id FROM listed n JOIN tree0 d ON d.lft >= n.lft AND d.rgt <= n.rgt),
+kept AS (SELECT * FROM tree0 WHERE id NOT IN (SELECT id FROM gone)),
+adj1 AS (SELECT id, parent_id,
+                CASE WHEN parent_id IN (SELECT parent_id FROM listed)
+                     THEN (row_number() OVER (PARTITION BY parent_id ORDER BY position, id) - 1)::BIGINT
+                     ELSE position END AS position, title, type FROM kept),
+""" + numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
+
 ORACLE["tree_move"] = TREE_BASE + """,
 adj1 AS (""" + _reseat_sql("(SELECT id, parent_id, position, title, type FROM tree0)", 10, 5, 1,
                            "(SELECT parent_id FROM tree0 WHERE id = 10)") + "),\n" + \
@@ -604,6 +614,28 @@ SELECT page_id, pos::BIGINT AS pos, href, abs_url, host,
 FROM k
 """
 
+ORACLE["page_frontier"] = f"""
+WITH RECURSIVE p AS (SELECT DISTINCT regexp_replace(url, '#.*$', '', 's') AS url, html FROM pages WHERE url IS NOT NULL),
+ex AS (SELECT url, replace(unnest(regexp_extract_all(html, {_q(ANCHOR_HREF)}, 1)), '&amp;', '&') AS href FROM p),
+raw AS (SELECT DISTINCT url AS src, regexp_replace({_url_join_sql('url', 'href')}, '#.*$', '', 's') AS url FROM ex),
+host AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1)) AS h FROM raw),
+e AS (SELECT src, url FROM host WHERE h = 'example.com' OR ends_with(h, '.example.com')),
+s AS (SELECT DISTINCT url FROM p
+      WHERE regexp_matches(url, '^[a-z]+://([^/?#]*[.])?example[.]com/(de|en)($|[/?])')),
+r(url, depth) AS (SELECT url, 0::BIGINT FROM s UNION SELECT e.url, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 30)
+SELECT r.url, min(depth) AS depth, bool_or(p.url IS NOT NULL) AS stored FROM r LEFT JOIN (SELECT DISTINCT url FROM p) p ON p.url = r.url GROUP BY r.url
+"""
+
+ORACLE["rollcall_frontier"] = f"""
+WITH s AS (SELECT DISTINCT scrutiny_uuid AS k FROM ({BALLOTS_SQL}) b JOIN ({DEPUTIES_SQL}) d ON d.uuid = b.voter_uuid
+           JOIN orders ON o_orderkey = scrutiny_uuid),
+i AS (SELECT DISTINCT k // 40 AS part FROM s)
+SELECT 'http://www.example.org/13/documents/index' || part::VARCHAR || '.asp' AS url, 0::BIGINT AS depth, true AS stored FROM i
+UNION ALL SELECT 'http://www.example.org/13/documents/index' || part::VARCHAR || '.asp?copie', 0, true FROM i WHERE (part * 10) % 3 = 0
+UNION ALL SELECT 'http://www.example.org/13/scrutins/jo' || k::VARCHAR || '.asp', 1, true FROM s
+UNION ALL SELECT 'http://www.example.org/13/dossiers/f' || k::VARCHAR || '.asp', 1, true FROM s
+"""
+
 ORACLE["page_meta"] = f"""
 WITH h AS (SELECT page_id, regexp_extract(html, {_q(HEAD_PART)}, 1) AS head FROM pages),
 ex AS (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS pos
@@ -718,6 +750,14 @@ SELECT part * 10 + 1, 'http://www.example.org/13/documents/index' || part::VARCH
 FROM i WHERE (part * 10) % 3 = 0
 """
 
+ORACLE["rollcall_legislatures"] = f"""
+WITH s AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS leg, o_orderdate FROM orders),
+l AS (SELECT leg, min(o_orderdate) AS first_day, count(*)::BIGINT AS n_scrutinies FROM s GROUP BY leg)
+SELECT leg, n_scrutinies, vote, count(*)::BIGINT AS n_ballots
+FROM ({BALLOTS_SQL}) b JOIN s ON o_orderkey = scrutiny_uuid JOIN l USING (leg)
+WHERE first_day < TIMESTAMP '1993-06-01' GROUP BY leg, n_scrutinies, vote
+"""
+
 ORACLE["rollcall_resolved"] = f"""
 WITH named AS (
   SELECT l_orderkey AS scrutiny_uuid, CASE l_returnflag WHEN 'A' THEN 'yea' WHEN 'R' THEN 'nay' ELSE 'abs' END AS vote,
@@ -790,3 +830,28 @@ ORACLE["result_page_json"] = f"""
 SELECT to_json({{'uuid': uuid, 'name': name, 'party': party}})::VARCHAR AS value
 FROM (SELECT * FROM ({DEPUTIES_SQL}) d ORDER BY name DESC, uuid LIMIT 15 OFFSET 20) p
 """
+
+
+def _positions_sql(field: str, where: str) -> str:
+    """(doc_id, pos, term) of the general analyzer, positions counted over all tokens."""
+    return f"""SELECT doc_id, pos, {fold_sql('lower(tok)')} AS term FROM (
+      SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM (
+        SELECT doc_id, regexp_extract_all({field}, {_q(WORD)}) AS l FROM documents WHERE {where}) x) y"""
+
+
+ORACLE["index_upserts"] = f"""
+WITH t AS (SELECT 'text' AS field, * FROM ({_positions_sql('text', 'doc_id % 10 <> 1')}) a
+           UNION ALL SELECT 'source', * FROM ({_positions_sql('source', 'doc_id % 10 <> 1')}) b)
+SELECT field, term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS occurrences FROM t WHERE term <> '' GROUP BY field, term
+"""
+
+ORACLE["index_phrase"] = f"""
+WITH t AS (SELECT * FROM ({_positions_sql('text', 'doc_id % 10 <> 1')}) a WHERE term IN ('de', 'la')),
+n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 <> 1),
+hits AS (SELECT a.doc_id, count(*)::BIGINT AS hits FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+         WHERE a.term = 'de' AND b.term = 'la' GROUP BY a.doc_id),
+dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term)
+SELECT doc_id AS uuid, hits, round(sum(tf * ln(n.n / df)), 6) AS score
+FROM hits JOIN tf USING (doc_id) JOIN dfs USING (term), n GROUP BY doc_id, hits
+"""

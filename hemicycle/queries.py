@@ -18,7 +18,9 @@ from hemicycle.operators import analysis as A
 from hemicycle.operators import ballots as B
 from hemicycle.operators import edit_log as EL
 from hemicycle.operators import extract as E
+from hemicycle.operators import frontier as FR
 from hemicycle.operators import resolve as R
+from hemicycle.operators.text_index import TextIndex
 from hemicycle.operators import tree as H
 from hemicycle.plans import paging as P
 from hemicycle.session import scratch_path
@@ -182,6 +184,26 @@ def rollcall_rejects(spark, sf_dir):
     return E.rejected(RP.rollcall_pages(spark, sf_dir, broken=True))
 
 
+EARLY = "1993-06-01"  # legislatures whose first roll call is before this day
+
+
+@register("rollcall_legislatures")
+def rollcall_legislatures(spark, sf_dir):
+    """Roll calls stored in folders by legislature (here the year); the tallies of the legislatures that a filter on
+    their table leaves read only the folders of those (dynamic partition pruning)."""
+    base = scratch_path(spark, f"rollcalls/{_uuid.uuid4().hex}")
+    s = T.scrutinies(spark, sf_dir).withColumn("leg", F.year("date").cast("string"))
+    s = s.select(X.composite_key(F.col("leg"), F.col("scrutiny_uuid").cast("string")).alias("uuid"), "scrutiny_uuid", "leg", "date")
+    b = T.ballots(spark, sf_dir).join(s.select("scrutiny_uuid", "uuid"), "scrutiny_uuid").select(F.col("uuid").alias("scrutiny_uuid"), "vote")
+    E.save_rollcalls(s.drop("scrutiny_uuid"), b, base)
+    stored = spark.read.schema("uuid string, date timestamp_ntz, leg string").parquet(f"{base}/scrutinies")
+    stored.groupBy("leg").agg(F.min("date").alias("first_day"), F.count(F.lit(1)).alias("n_scrutinies")).write.parquet(f"{base}/legislatures")
+    legs = spark.read.schema("leg string, first_day timestamp_ntz, n_scrutinies long").parquet(f"{base}/legislatures")
+    ballots = spark.read.schema("scrutiny_uuid string, vote string, leg string").parquet(f"{base}/ballots")
+    early = legs.where(F.col("first_day") < F.lit(EARLY).cast("timestamp_ntz"))
+    return (ballots.join(early, "leg").groupBy("leg", "n_scrutinies", "vote").agg(F.count(F.lit(1)).alias("n_ballots")))
+
+
 @register("rollcall_resolved")
 def rollcall_resolved(spark, sf_dir):
     """J1 on named ballots (``resolve_ballots``): names become uuids, unresolved voters stay null and count."""
@@ -263,6 +285,15 @@ def tree_remove(spark, sf_dir):
     return H.remove_subtree(_numbered(spark, sf_dir), TREE_REMOVE_ID)
 
 
+TREE_REMOVE_IDS = [3, 12, 17, 17, None, 999_999_999]  # region 1, two nations (one listed twice), a null and an unknown id
+
+
+@register("tree_remove_many")
+def tree_remove_many(spark, sf_dir):
+    """F13 + U3 + H6 for a frame of ids: several subtrees excluded at once, null-safe, intervals shifted by running sums."""
+    return H.remove_subtrees(_numbered(spark, sf_dir), spark.createDataFrame([(i,) for i in TREE_REMOVE_IDS], "id long"))
+
+
 @register("tree_move")
 def tree_move(spark, sf_dir):
     return H.move_subtree(_numbered(spark, sf_dir), *TREE_MOVE)
@@ -443,6 +474,37 @@ def index_fields(spark, sf_dir):
     return t.groupBy("doc_id", "field", "term", "kind").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def upserted_index(spark, sf_dir) -> TextIndex:
+    """The documents indexed in three batches: all of them, a third in an older state; the true state of that third; some
+    taken out and some sent again unchanged."""
+    d = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uuid"), "text", "source")
+    index = TextIndex(spark, scratch_path(spark, f"index/{_uuid.uuid4().hex}"), ["text", "source"])
+    third = F.col("uuid") % 3 == 0
+    index.upsert(d.withColumn("text", F.when(third, F.concat_ws(" ", "source", "source")).otherwise(F.col("text"))), 0)
+    index.upsert(d.where(third), 1)
+    index.upsert(d.where(F.col("uuid") % 10 < 2), 2, delete=F.col("uuid") % 10 == 1)
+    return index
+
+
+@register("index_upserts")
+def index_upserts(spark, sf_dir):
+    """T14 with maintenance: document frequencies kept as differences, and occurrences, after the upserts."""
+    index = upserted_index(spark, sf_dir)
+    places = index.postings().groupBy("field", "term").agg(F.sum(F.size("positions")).alias("occurrences"))
+    return index.frequencies().join(places, ["field", "term"])
+
+
+PHRASE = "de la"
+
+
+@register("index_phrase")
+def index_phrase(spark, sf_dir):
+    """T14 positions: documents that hold a phrase, found in the index after the upserts and a compaction."""
+    index = upserted_index(spark, sf_dir)
+    index.compact()
+    return index.phrase("text", PHRASE)
+
+
 @register("keyword_topk")
 def keyword_topk(spark, sf_dir):
     """A9 over all documents, at most 20 a document."""
@@ -621,6 +683,23 @@ def page_links(spark, sf_dir):
                      X.file_stem(absu).alias("stem"))
 
 
+START_SECTIONS = ("de", "en")  # first path segment of the start pages
+
+
+@register("page_frontier")
+def page_frontier(spark, sf_dir):
+    """S1 + S2: URLs reached from the start pages of two sections by links that stay on the allowed domain."""
+    on_site = X.on_domain(F.col("url"), F.lit(ALLOWED_DOMAIN))
+    return FR.reachable(_pages(spark, sf_dir), on_site & X.path_segment(F.col("url"), 1).isin(*START_SECTIONS), on_site)
+
+
+@register("rollcall_frontier")
+def rollcall_frontier(spark, sf_dir):
+    """S1 + S2 on the legislature's pages: from the index pages to vote and info pages, every URL with its depth."""
+    pages = RP.rollcall_pages(spark, sf_dir)
+    return FR.reachable(pages, X.path_segment(F.col("url"), 2) == "documents")
+
+
 @register("page_meta")
 def page_meta(spark, sf_dir):
     """<meta name content> of the head as a JSON map per page, last duplicate wins."""
