@@ -22,6 +22,8 @@ uuid are not indexed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +57,11 @@ class TextIndex:
         base = [v for v in t._versions() if before is None or v < before]
         paths = [f"{t.path}/v{base[-1]:08d}"] if base else []
         paths += [f"{t.path}/d{d:08d}" for d in done if not base or d > base[-1]]
-        out = [self.spark.read.schema(SCHEMAS[name]).parquet(p) for p in paths]
-        df = self.spark.createDataFrame([], SCHEMAS[name])
-        for part in out:
-            df = df.unionByName(part)
-        return df
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        # tables with folders of their own cannot be read together from several places
+        parts = [[p] for p in paths] if FOLDERS[name] else [paths]
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(SCHEMAS[name]).parquet(*p) for p in parts])
 
     def _write(self, name: str, df: DataFrame, folder: str) -> None:
         df = df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])

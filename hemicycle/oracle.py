@@ -755,7 +755,7 @@ WITH s AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS leg, o_orderdate FR
 l AS (SELECT leg, min(o_orderdate) AS first_day, count(*)::BIGINT AS n_scrutinies FROM s GROUP BY leg)
 SELECT leg, n_scrutinies, vote, count(*)::BIGINT AS n_ballots
 FROM ({BALLOTS_SQL}) b JOIN s ON o_orderkey = scrutiny_uuid JOIN l USING (leg)
-WHERE first_day < TIMESTAMP '1993-06-01' GROUP BY leg, n_scrutinies, vote
+WHERE first_day < TIMESTAMP '1997-06-01' GROUP BY leg, n_scrutinies, vote
 """
 
 ORACLE["rollcall_resolved"] = f"""

@@ -184,7 +184,7 @@ def rollcall_rejects(spark, sf_dir):
     return E.rejected(RP.rollcall_pages(spark, sf_dir, broken=True))
 
 
-EARLY = "1993-06-01"  # legislatures whose first roll call is before this day
+EARLY = "1997-06-01"  # legislatures whose first roll call is before this day
 
 
 @register("rollcall_legislatures")

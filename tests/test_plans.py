@@ -36,6 +36,11 @@ def test_latest_wins_is_a_partial_aggregate(spark):
     assert "Window" not in p
 
 
+def test_legislature_folders_are_pruned_at_run_time(spark):
+    p = plan(QUERIES["rollcall_legislatures"](spark, SF))
+    assert "dynamicpruning" in p
+
+
 def test_text_scan_pushdown(spark):
     p = plan(QUERIES["tokens_fr"](spark, SF))
     assert "EqualTo(lang,fr)" in p
@@ -43,7 +48,7 @@ def test_text_scan_pushdown(spark):
 
 
 PYTHON_BACKED = {"stem_vocab", "french_analyzer_tokens", "english_analyzer_tokens", "name_resolution", "prefix_search_highlight",
-                 "search_stop_word_head", "rollcall_resolved", "rollcall_pages_roundtrip",
+                 "search_stop_word_head", "rollcall_resolved", "rollcall_pages_roundtrip", "rollcall_scrutinies", "rollcall_rejects",
                  "page_blocks", "page_join_chain", "rollcall_extract", "deputy_profiles"}
 
 
