@@ -25,6 +25,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,13 @@ HIDDEN = 16
 EPOCHS = 10
 _BATCH = 64
 
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>|([^<]+|<)", re.S)
+#: text alone, in the group that it has in TOKENS
+_TEXT = re.compile(r"(\b\B)?(\b\B)?(\b\B)?([^<]+|<)")
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
+_QUOTED = re.compile(r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
+#: nearest ancestors that a block's path holds
+DEPTH = 64
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
@@ -67,13 +75,70 @@ GOOD_WORDS = ("content", "post", "entry", "story", "text", "body", "articlebody"
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
-def _closed(page: str, tag: str, at: int) -> int | None:
-    """End of the next end tag of ``tag``."""
-    m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-    return m.end() if m else None
+class _Page:
+    """Tokens of a page, in time in proportion to its length however broken it is.
 
+    A tag that does not end is text. To find that, it is read to the end of the page, and its quotes are noted: a later
+    tag whose name ends outside of them would be read the same way, so it is text at once. Three such notes
+    cover every state a tag can be in.
+    """
 
-def _skipped(page: str, tag: str, rest: str, at: int, missing: dict[str, int]) -> int:
+    def __init__(self, html: str):
+        self.html = html
+        self.open_from = len(html) + 1  # no ">" from here on
+        self.name = (0, 0)              # of the last tag that does not end
+        self.notes: list[tuple[int, list[int], list[int]]] = []  # from where, starts and ends of quotes
+        self.unclosed: dict[str, int] = {}  # no end tag from here on
+        self.broken = False             # whether a tag without end was met
+
+    def token(self, at: int) -> re.Match:
+        html = self.html
+        if not self.broken:
+            m = TOKENS.match(html, at)
+            if m.group(4) == "<":
+                self._note(at, None)
+            return m
+        if html[at] != "<" or html.startswith("<!--", at):
+            return TOKENS.match(html, at)
+        if at >= self.open_from or self.name[0] < at < self.name[1]:
+            return _TEXT.match(html, at)
+        name = _NAME.match(html, at) if self.notes else None
+        if name:
+            for begin, starts, ends in self.notes:
+                i = bisect_left(starts, name.end()) - 1
+                if begin <= at and (i < 0 or name.end() >= ends[i]):
+                    self.name = name.span()
+                    return _TEXT.match(html, at)
+        m = TOKENS.match(html, at)
+        if m.group(4) is not None:
+            self._note(at, name)
+        return m
+
+    def _note(self, at: int, name: re.Match | None) -> None:
+        html = self.html
+        if html.find(">", at) < 0:
+            self.open_from = at
+        elif name := name or _NAME.match(html, at):
+            spans = [q.span() for q in _QUOTED.finditer(html, name.end())]
+            if spans and (html[spans[-1][1] - 1] != html[spans[-1][0]] or spans[-1][1] - spans[-1][0] == 1):
+                spans[-1] = (spans[-1][0], len(html) + 1)
+            self.notes.append((at, [x for x, _ in spans], [y for _, y in spans]))
+            self.name = name.span()
+        else:
+            return
+        self.broken = True
+
+    def closed(self, tag: str, at: int) -> int | None:
+        """End of the next end tag of ``tag``; None is remembered."""
+        if at >= min(self.unclosed.get(tag, at + 1), self.open_from):
+            return None
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(self.html, at) if self.html.find(">", at) >= 0 else None
+        if m is None:
+            self.unclosed[tag] = at
+        return m.end() if m else None
+
+
+def _skipped(page: _Page, tag: str, rest: str, at: int, missing: dict[str, int]) -> int:
     """Where an element without text for the reader ends, whose start tag ends at ``at``.
 
     Without an end tag only script and style reach to the end of the page; head, select and svg end
@@ -81,18 +146,18 @@ def _skipped(page: str, tag: str, rest: str, at: int, missing: dict[str, int]) -
     that were sought to the end of the page, so that no page is read again for each of them.
     """
     if tag in RAW:
-        return _closed(page, tag, at) or len(page)
+        return page.closed(tag, at) or len(page.html)
     if tag == "svg" and rest.rstrip().endswith("/"):
         return at
     if tag not in ("head", "select", "svg", "template") or missing.get(tag):
-        end = None if missing.get(tag) == 2 else _closed(page, tag, at)
+        end = None if missing.get(tag) == 2 else page.closed(tag, at)
         if end is None:
             missing[tag] = 2
         return end or at
     opened = [tag]
     pos = at
-    while pos < len(page):
-        m = TOKENS.match(page, pos)
+    while pos < len(page.html):
+        m = page.token(pos)
         pos = m.end()
         if m.group(4) is not None:
             if tag == "head" and m.group(4).strip():
@@ -110,12 +175,12 @@ def _skipped(page: str, tag: str, rest: str, at: int, missing: dict[str, int]) -
             elif tag == "svg" or tag == "select" or tag == "head" and name in ("body", "html", "br"):
                 return m.start()
         elif name in RAW:
-            pos = _closed(page, name, pos) or len(page)
+            pos = page.closed(name, pos) or len(page.html)
         elif tag == "head":
             if name not in IN_HEAD:
                 return m.start()
             if name in ("title", "noscript", "template", "noframes"):
-                pos = _closed(page, name, pos) or pos
+                pos = page.closed(name, pos) or pos
         elif tag == "select" and name not in IN_SELECT:
             return m.start()
         elif tag == "svg" and name in BREAKOUT and "foreignobject" not in opened:
@@ -127,57 +192,66 @@ def _skipped(page: str, tag: str, rest: str, at: int, missing: dict[str, int]) -
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text inside links) of the leaf blocks, in page order."""
+    """(path, text, share of the text inside links) of the leaf blocks, in page order.
+
+    A path holds the ``DEPTH`` nearest ancestors that are not inline.
+    """
     out: list[tuple[tuple[str, ...], str, float]] = []
     path: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = total = in_link = 0
     missing: dict[str, int] = {}
+    reader, match = _Page(page), TOKENS.match
+    opened: Counter = Counter()  # tags on the path
+    outer: list[int] = []        # places on the path that are not inline
+
+    def cut(i: int) -> None:
+        for name, _ in path[i:]:
+            opened[name] -= 1
+        del path[i:]
+        while outer and outer[-1] >= i:
+            outer.pop()
 
     def close() -> None:
         nonlocal linked, total
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(p[1] for p in path if p[0] not in INLINE), text, linked / max(total, 1)))
+                out.append((tuple(path[i][1] for i in outer[-DEPTH:]), text, linked / max(total, 1)))
             parts.clear()
         linked = total = 0
 
     pos = 0
     while pos < len(page):
-        m = TOKENS.match(page, pos)
-        pos = m.end()
-        if m.group(4) is not None:
-            t = m.group(4)
+        m = match(page, pos) if not reader.broken else reader.token(pos)
+        t = m.group(4)
+        if t is not None:
+            if t == "<" and not reader.broken:
+                reader.token(pos)
+            pos = m.end()
             if "&" in t:
                 t = entities.unescape(t)
             parts.append(t)
             total += len(t)
             linked += len(t) if in_link else 0
             continue
+        pos = m.end()
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             close()
         if tag in SKIPPED and not m.group(1):
-            pos = _skipped(page, tag, m.group(3), pos, missing)
+            pos = _skipped(reader, tag, m.group(3), pos, missing)
             continue
         if m.group(1):
             if tag == "a":
                 in_link = 0
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == tag:
-                    del path[i:]
-                    break
+            if opened[tag]:
+                cut(next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag))
             continue
-        if tag in CLOSES_P:
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == "p":
-                    del path[i:]
-                    break
-                if path[i][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and outer and path[outer[-1]][0] == "p":
+            cut(outer[-1])
         if tag in VOID or tag in FOREIGN and m.group(3).rstrip().endswith("/"):
             continue
         if tag == "a":
@@ -186,6 +260,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if m.group(3) and "=" in m.group(3):
             label += "".join(" " + a.group(2).strip("\"'").lower() for a in ATTRIBUTE.finditer(m.group(3)))
         path.append((tag, label))
+        opened[tag] += 1
+        if tag not in INLINE:
+            outer.append(len(path) - 1)
     close()
     return out
 

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -356,3 +357,20 @@ def test_pipeline_odd_rows(spark, odd, none, tmp_path):
         spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         rows = corpus_pipeline.run(spark, d).collect()
         assert {str(r.doc_id) for r in rows} == ({"1", "6", "7", "10"} if i == 0 else set())
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<!x ", "<a' \"", "<aa", "<title>", "<div>x", "</x>", "<p><span>x", "<svg><g>"])
+@pytest.mark.parametrize("end", ["", '">'])
+def test_broken_pages_take_time_in_proportion(unit, end):
+    """A quarter of a megabyte of tags without end; a quadratic reader would take minutes."""
+    page = unit * ((1 << 18) // len(unit)) + end
+    began = time.process_time()
+    html_blocks.blocks(page)
+    assert time.process_time() - began < 4
+
+
+def test_tags_without_end_are_text():
+    assert [b[1] for b in html_blocks.blocks('<p>one</p><a "<p>two</p>')] == ["one", '<a "', "two"]
+    assert [b[1] for b in html_blocks.blocks("<p>one</p><p>5 < 6 <b")] == ["one", "5 < 6 <b"]
+    deep = html_blocks.blocks("<article>" + "<div>" * 300 + "deep")
+    assert len(deep) == 1 and len(deep[0][0]) == html_blocks.DEPTH
