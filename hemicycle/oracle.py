@@ -322,6 +322,12 @@ adj1 AS (SELECT id, parent_id,
                 title, type FROM tree0),
 """ + numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
 
+ORACLE["tree_sorted_by"] = TREE_BASE + """,
+adj1 AS (SELECT id, parent_id,
+                (row_number() OVER (PARTITION BY parent_id ORDER BY length(title) DESC, id) - 1)::BIGINT AS position,
+                title, type FROM tree0),
+""" + numbering_ctes("adj1", "tree1") + "SELECT * FROM tree1"
+
 ORACLE["tree_json"] = TREE_BASE + """
 SELECT id, parent_id,
        to_json({'attr': {'id': 'node_' || id::VARCHAR, 'rel': type}, 'data': title,
@@ -559,6 +565,12 @@ FROM t
 """
 
 
+ORACLE["typeahead_hooks"] = """
+WITH items AS (SELECT p_name AS item, min(p_partkey) AS input_order FROM part GROUP BY p_name),
+t AS (SELECT *, length(item) AS bucket FROM items WHERE ends_with(item, 'e') ORDER BY length(item), input_order LIMIT 8)
+SELECT row_number() OVER (ORDER BY bucket, input_order)::BIGINT AS rank, item, item[1:-2] || '[e]' AS highlighted FROM t
+"""
+
 # ---------------------------------------------------------------- keyed tables
 
 ORACLE["upsert_latest"] = """

@@ -344,6 +344,12 @@ def tree_sorted(spark, sf_dir):
     return H.sort_siblings(_numbered(spark, sf_dir))
 
 
+@register("tree_sorted_by")
+def tree_sorted_by(spark, sf_dir):
+    """G5 + O8: siblings by a key of the caller's: longest title first."""
+    return H.sort_siblings(_numbered(spark, sf_dir), -F.char_length("title"))
+
+
 TREE_NODE = 11
 
 
@@ -579,6 +585,9 @@ def search_stop_word_head(spark, sf_dir):
     return first.unionByName(R.search(index, "le " + SEARCH_QUERY).withColumn("q", F.lit("stop word and term")))
 
 
+HOOK_QUERY = "e"
+
+
 @register("typeahead_rank")
 def typeahead_rank(spark, sf_dir):
     items = (T.name_directory(spark, sf_dir).groupBy(F.col("name").alias("item"))
@@ -586,6 +595,15 @@ def typeahead_rank(spark, sf_dir):
     return R.typeahead(items, TYPEAHEAD_QUERY, R.TYPEAHEAD_ROWS)
 
 
+@register("typeahead_hooks")
+def typeahead_hooks(spark, sf_dir):
+    """The typeahead with its three hooks replaced: items that end in the query, shortest first, the ending in brackets."""
+    items = (T.name_directory(spark, sf_dir).groupBy(F.col("name").alias("item"))
+             .agg(F.min("uuid").alias("input_order")))
+    return R.typeahead(items, HOOK_QUERY, R.TYPEAHEAD_ROWS, matcher=lambda item, q: item.endswith(q),
+                       sorter=lambda item, q: F.char_length(item), highlighter=lambda item, q: F.regexp_replace(item, f"({q})$", "[$1]"))
+
+
 # ---------------------------------------------------------------- keyed tables
 
 

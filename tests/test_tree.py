@@ -312,3 +312,11 @@ def test_remove_many_subtrees(spark):
         assert {tuple(r) for r in got.select(H.TREE_COLS).collect()} == want, ids
     with pytest.raises(H.RefusedEdit):
         H.remove_subtrees(tree, spark.createDataFrame([(1,), (5,)], "id long"))
+
+
+def test_counters_beyond_31_bits(spark):
+    rows = [(1, 0, 0, 1, 6, 0, "R", ""), (2, 1, 0, 2, 3, 1, "a", ""), (3, 1, 1, 4, 5, 1, "b", "")]
+    tree = spark.createDataFrame(rows, H.TREE_SCHEMA)
+    marks = spark.createDataFrame([(2, 1 << 33, 5), (4, 1 << 34, 1 << 40)], "lft long, value long, value2 long")
+    got = {tuple(r) for r in H.counts_inside(tree, marks).select("id", "n", "n2").collect()}
+    assert (1, (1 << 33) + (1 << 34), (1 << 40) + 5) in got
