@@ -18,7 +18,7 @@ from hemicycle.sources.tables import table
 
 
 #: rows of one Arrow batch: whole texts go to the Python workers, so a batch is bounded lower than Spark's default
-ARROW_ROWS = 250
+ARROW_ROWS = 2000
 
 
 def ready(spark: SparkSession) -> None:
