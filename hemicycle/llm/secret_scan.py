@@ -7,14 +7,15 @@ Two families of first-order Markov models over the 66 characters of tokens
   the base spans (label 0), extended by the joints of identifiers (words joined
   by ``_ - /``, camel case, upper case, trailing digits);
 * *random strings*, one model per alphabet (hex, base32, base62, base64): the
-  values of base spans found in the corpus (label 1) and seeded random samples.
+  values of base spans found in the corpus (label 1) and seeded random samples,
+  mixed in fixed shares (``CORPUS_SHARE``), so that a table twice as long gives the same model.
 
 A token of ``MIN_LENGTH`` characters or more, holding a letter and a digit and
 touching no base span, is reported as kind ``markov`` when the ratio of the
 mixture of random models to the ordinary model reaches ``MIN_RATIO`` nats and
 ``MIN_RATE`` nats per character. Base spans always stay.
 
-Training counts all rows: every task sends at most 67 x 67 x 5 transition
+Training counts all rows, each within its own text: every task sends at most 67 x 67 x 5 transition
 counts, summed by Spark; the model (bounded by the alphabet) goes into the
 scan. Only texts that can hold a span are decoded; the others are ruled out on
 their bytes. Null and empty texts have no span; any table may be empty; extra
@@ -51,6 +52,8 @@ RANDOM = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567
           "base62": ALPHABET[:62], "base64": ALPHABET}
 RANDOM_SAMPLES = 2000
 RANDOM_LENGTH = 32
+#: weight of the corpus's own secrets in the random models, whatever their number
+CORPUS_SHARE = 0.5
 
 _SYMBOL = np.zeros(256, np.int64)
 for _i, _c in enumerate(ALPHABET):
@@ -107,15 +110,27 @@ def _alphabet_of(value: str) -> int:
     return next((i for i, a in enumerate(RANDOM.values()) if chars <= set(a)), len(RANDOM) - 1)
 
 
+def text_transitions(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Transition counts of the texts ``data[off[i]:off[i+1]]``, none of them across two texts."""
+    sym = _SYMBOL[data]
+    if not len(sym):
+        return np.zeros(SIZE * SIZE, np.int64)
+    inner = np.ones(len(sym) - 1, bool)
+    cut = off[1:-1]
+    inner[cut[(cut > 0) & (cut < len(sym))] - 1] = False
+    filled = off[1:] > off[:-1]
+    first, last = sym[off[:-1][filled]], sym[off[1:][filled] - 1]
+    at = np.concatenate([(sym[:-1] * SIZE + sym[1:])[inner], first, last * SIZE])  # a text begins and ends at the boundary
+    return np.bincount(at, minlength=SIZE * SIZE)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Transition counts of one partition: label 0 ordinary, 1.. random by alphabet."""
     total = np.zeros((1 + len(RANDOM), SIZE * SIZE), np.int64)
     for batch in batches:
         for lo, hi in text_batches(batch, "text"):
             data, off = byte_view(batch.column("text"), lo, hi)
-            sym = _SYMBOL[data]
-            if len(sym):
-                total[0] += np.bincount(sym[:-1] * SIZE + sym[1:], minlength=SIZE * SIZE)
+            total[0] += text_transitions(data, off)
             for row in suspects(data, off, tokens=False):
                 text = data[off[row]:off[row + 1]].tobytes().decode("utf-8", "replace")
                 for _, kind, _, value in base_spans(text):
@@ -169,7 +184,10 @@ def train(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     samples = _random_samples()
     for i in range(len(RANDOM)):
         at = np.concatenate([_transitions(s) for s in samples[i * RANDOM_SAMPLES:(i + 1) * RANDOM_SAMPLES]])
-        counts[1 + i] = np.minimum(counts[1 + i], 10 * RANDOM_SAMPLES) + np.bincount(at, minlength=SIZE * SIZE)
+        seeded = np.bincount(at, minlength=SIZE * SIZE)
+        found = counts[1 + i].sum()
+        counts[1 + i] = seeded if not found else (
+            (1 - CORPUS_SHARE) * seeded + CORPUS_SHARE * seeded.sum() / found * counts[1 + i])
     ordinary = _ordinary(counts[0])
     return _log(ordinary, 1e-5 * max(ordinary.sum() / SIZE, 1.0) + 0.01), np.stack([_log(c, 0.05) for c in counts[1:]])
 
