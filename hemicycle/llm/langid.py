@@ -4,8 +4,8 @@ Each language is a distribution over hashed byte trigrams (letters folded,
 other ASCII as space), counted over all labelled documents of the training
 fold. For every document, expectation maximisation estimates its language
 proportions from the trigram likelihoods. The language set is then chosen by
-penalised likelihood among the nested sets of its most probable languages, and the
-largest language of the chosen set is the prediction.
+penalised likelihood among the nested sets of its most probable languages, which grow until
+``PATIENCE`` larger sets bring nothing more; the largest language of the chosen set is the prediction.
 
 Training sums at most (languages x ``BUCKETS``) counts in Spark, over every
 row of the fold. ``lang``, ``source`` and ``doc_id`` never enter a prediction.
@@ -28,7 +28,8 @@ from hemicycle.llm.common import byte_view, fold_of, text_batches
 
 UNKNOWN = "und"
 BUCKETS = 4096
-MAX_SET = 3
+#: a set grows on while one of so many next larger sets still raises the penalised likelihood
+PATIENCE = 2
 ITERATIONS = 12
 #: nats per additional language and log(trigram): trigrams overlap, so more than the 0.5 of independent draws
 PENALTY = 3.0
@@ -120,14 +121,19 @@ def _chosen(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     n = np.maximum(c.sum(1), 2)
     best = np.full(len(c), -np.inf)
     out, share, size, fit = np.zeros(len(c), int), np.zeros(len(c)), np.ones(len(c), int), np.zeros(len(c))
-    for k in range(1, min(MAX_SET, len(p)) + 1):
-        pi, ll = _expectation_maximisation(c, p, (rank < k).astype(np.float32), 1 if k == 1 else ITERATIONS // 2)
-        score = ll - PENALTY * (k - 1) * np.log(n)
-        better = score > best
-        best[better], size[better] = score[better], k
-        out[better] = pi.argmax(1)[better]
+    total = np.maximum(c.sum(1), 1)
+    for k in range(1, len(p) + 1):
+        rows = np.flatnonzero(k - size <= PATIENCE)
+        if not len(rows):
+            break
+        pi, ll = _expectation_maximisation(c[rows], p, (rank[rows] < k).astype(np.float32), 1 if k == 1 else ITERATIONS // 2)
+        score = ll - PENALTY * (k - 1) * np.log(n[rows])
+        better = score > best[rows]
+        rows, pi, ll = rows[better], pi[better], ll[better]
+        best[rows], size[rows] = score[better], k
+        out[rows] = pi.argmax(1)
         mixing = -(pi * np.log(np.maximum(pi, 1e-20))).sum(1)
-        fit[better] = (ll / np.maximum(c.sum(1), 1) + mixing)[better]
+        fit[rows] = ll / total[rows] + mixing
     share = full[np.arange(len(c)), out]
     return out, np.clip(share, 0, 1), size, fit
 

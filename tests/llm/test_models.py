@@ -41,6 +41,45 @@ def test_langid_mixture_shares(docs):
     assert langs[best[0]] == "en" and 0.5 < share[0] < 0.85 and size[0] == 2
 
 
+def plain_shares(c, p, allowed, rounds):
+    """Proportions and log-likelihood by expectation maximisation, one trigram at a time."""
+    share = {k: 1 / len(allowed) for k in allowed}
+    for _ in range(rounds):
+        mass = dict.fromkeys(allowed, 0.0)
+        for t, n in c.items():
+            whole = sum(share[k] * p[k][t] for k in allowed)
+            for k in allowed:
+                mass[k] += n * share[k] * p[k][t] / whole
+        share = {k: v / sum(c.values()) for k, v in mass.items()}
+    return share, sum(n * np.log(sum(share[k] * p[k][t] for k in allowed)) for t, n in c.items())
+
+
+def plain_set(c, p):
+    """(largest language, its share among all, size of the set) of the best penalised likelihood over all nested sets."""
+    full, _ = plain_shares(c, p, range(len(p)), langid.ITERATIONS)
+    ranked = sorted(full, key=lambda k: (-full[k], k))
+    scored = []
+    for k in range(1, len(p) + 1):
+        share, fit = plain_shares(c, p, ranked[:k], 1 if k == 1 else langid.ITERATIONS // 2)
+        scored.append((fit - langid.PENALTY * (k - 1) * np.log(max(sum(c.values()), 2)), -k, max(share, key=share.get)))
+    _, k, best = max(scored)
+    return best, full[best], -k
+
+
+def test_langid_equals_plain_expectation_maximisation():
+    rng = np.random.default_rng(5)
+    p = rng.gamma(0.3, size=(6, langid.BUCKETS)) + 1e-4
+    p = (p / p.sum(1, keepdims=True)).astype(np.float32)
+    shares = [[1, 0, 0, 0, 0, 0], [.6, .4, 0, 0, 0, 0], [.25, .25, .25, .25, 0, 0], [.3, .2, .2, .15, .15, 0],
+              [0, 0, .5, .2, .3, 0], [1 / 6] * 6]
+    counts = np.array([rng.multinomial(600, np.asarray(s) @ p / (np.asarray(s) @ p).sum()) for s in shares], np.float32)
+    best, share, size = langid.infer(counts, p)
+    assert size.tolist() == [1, 2, 4, 5, 3, 6]
+    for i, row in enumerate(counts):
+        b, s, k = plain_set({t: float(row[t]) for t in np.flatnonzero(row)}, p.astype(float))
+        assert (best[i], size[i]) == (b, k) and share[i] == pytest.approx(s, abs=1e-3)
+
+
 def test_langid_odd_rows(odd, none, docs):
     rows = langid.report(odd).collect()
     assert len(rows) == odd.count()
