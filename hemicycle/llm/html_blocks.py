@@ -544,6 +544,7 @@ def train(df: DataFrame, html: str = "html", page_id: str = "page_id", sample_pa
     ids = df.select(F.col(page_id).alias("p")).filter("p is not null").distinct().orderBy(F.xxhash64("p"), "p").limit(sample_pages)
     rows = (df.select(F.col(page_id).alias("p"), F.col(html).alias("html")).filter("html is not null")
             .join(F.broadcast(ids), "p")  # at most sample_pages ids
+            .groupBy("p").agg(F.min("html").alias("html"))  # one page an id, however often it is repeated
             .select(F.xxhash64("p").alias("h"), "html").mapInArrow(_sample, "h long, path array<array<string>>, text array<string>, link array<double>")
             .collect())
     rows = sorted(rows, key=lambda r: (r.h, r.text))[:sample_pages]

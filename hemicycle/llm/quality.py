@@ -160,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows rows of 16 bytes
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+            .groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id, however often it is repeated
             .select("y", "text").mapInArrow(_collect, "y double, bucket binary, value binary, stats binary").collect())
     rows = sorted(rows, key=lambda r: (r.stats, r.bucket))  # the fit must not hang on task order
     x = [(np.frombuffer(r.bucket, np.uint16), np.frombuffer(r.value, np.float32).astype(float),
