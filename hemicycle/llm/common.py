@@ -7,6 +7,7 @@ so no Python object is made per word. White space is the six ASCII characters
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -95,6 +96,14 @@ def fold_of(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the machine: workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_batches(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` holding about ``limit`` bytes of text each (one long text stands alone)."""
     arr = batch.column(column)
@@ -107,6 +116,7 @@ def text_batches(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -
         hi = min(max(hi, lo + 1), len(arr))
         yield lo, hi
         lo = hi
+    release()
 
 
 def offsets_of(arr: pa.Array) -> np.ndarray:
