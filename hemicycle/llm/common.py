@@ -8,8 +8,11 @@ so no Python object is made per word. White space is the six ASCII characters
 from __future__ import annotations
 
 import ctypes
+import sys
+import time
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -96,8 +99,31 @@ def fold_of(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: seconds without use after which a worker drops what it keeps between tasks
+IDLE_SECONDS = 10.0
+
+
+def _kept() -> dict[str, list]:
+    """name -> [last use, key, value]: beside the imported modules, as it outlives a task."""
+    state = sys.modules.setdefault("_hemicycle_worker", types.ModuleType("_hemicycle_worker"))
+    return state.__dict__.setdefault("kept", {})
+
+
+def kept(name: str, key: object, make: Callable[[], object]) -> object:
+    """The value kept in this worker under ``name``, made anew for another ``key`` or after ``IDLE_SECONDS`` without use."""
+    found = _kept().get(name)
+    if found is None or found[1] != key:
+        found = _kept()[name] = [0.0, key, make()]
+    found[0] = time.monotonic()
+    return found[2]
+
+
 def release() -> None:
-    """Give freed memory of this Python worker back to the machine: workers outlive their tasks and share an executor."""
+    """Give memory of this Python worker back to the machine (workers outlive their tasks and share an executor):
+    what was kept for tasks of another kind and has not been used lately, and what is free already."""
+    state, now = _kept(), time.monotonic()
+    for name in [n for n, entry in state.items() if now - entry[0] > IDLE_SECONDS]:
+        del state[name]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
@@ -155,15 +181,15 @@ _BYTE = seeded(256, 11)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _powers: list[np.ndarray] = []
+#: bytes hashed at once: the power tables keep this length, however long a text is
+HASH_BYTES = 1 << 16
 
 
-def _pow_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        up = np.full(size, _BASE, np.uint64)
-        up[0] = 1
-        down = np.full(size, _INV, np.uint64)
-        down[0] = 1
+def _pow_tables() -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        up = np.full(HASH_BYTES + 1, _BASE, np.uint64)
+        down = np.full(HASH_BYTES + 1, _INV, np.uint64)
+        up[0] = down[0] = 1
         with np.errstate(over="ignore"):
             _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
     return _powers[0], _powers[1]
@@ -198,15 +224,30 @@ def words(data: np.ndarray, off: np.ndarray,
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each byte range: a polynomial over random byte codes, mixed (A-Z folded if ``lower``)."""
-    if len(start) == 0:
-        return np.zeros(0, np.uint64)
-    up, down = _pow_tables(len(data) + 1)
+    """64-bit hash of each byte range: a polynomial over random byte codes, mixed (A-Z folded if ``lower``).
+
+    The ranges follow one another. They are hashed in blocks of ``HASH_BYTES``, a longer range piece by piece.
+    """
+    code = _LOWER if lower else _BYTE
+    up, down = _pow_tables()
+    h = np.zeros(len(start), np.uint64)
+    total = np.zeros(HASH_BYTES + 1, np.uint64)
+    a = 0
     with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((_LOWER if lower else _BYTE)[data] * up[:len(data)], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
+        while a < len(start):
+            lo = int(start[a])
+            b = max(int(np.searchsorted(end, lo + HASH_BYTES, side="right")), a + 1)
+            hi = int(end[b - 1])
+            if hi - lo <= HASH_BYTES:
+                np.cumsum(code[data[lo:hi]] * up[:hi - lo], out=total[1:hi - lo + 1])
+                h[a:b] = (total[end[a:b] - lo] - total[start[a:b] - lo]) * down[start[a:b] - lo]
+            else:
+                scale = up[:1].copy()
+                for i in range(lo, hi, HASH_BYTES):
+                    part = code[data[i:min(i + HASH_BYTES, hi)]]
+                    h[a:b] += (part * up[:len(part)]).sum(dtype=np.uint64) * scale
+                    scale *= up[HASH_BYTES]
+            a = b
         return mix(h + (end - start).astype(np.uint64))
 
 

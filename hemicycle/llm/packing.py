@@ -11,7 +11,7 @@
    frequent length is never gathered anywhere. Rank and length name the planned
    slot: sequence and offset.
 
-Tokenising keeps a cache of words in each worker, of fixed size. White space
+Tokenising keeps a cache of words in each worker, of fixed size, and drops it when other work runs there. White space
 never joins two tokens in the vocabularies meant here, and a run of ASCII
 punctuation after a letter always starts a token of its own; so the ids of a text
 are those of its words, in order. The tests compare with the tokenizer on whole texts.
@@ -23,8 +23,6 @@ gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import unicodedata
 import zlib
 from array import array
@@ -36,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hemicycle.llm.common import stored, text_batches
+from hemicycle.llm.common import kept, stored, text_batches
 
 SEQUENCE = 2048
 END = b"\0\0\0\0"
@@ -115,23 +113,14 @@ class WordIds:
         return [done[t] for t in texts]
 
 
-def _word_ids(path: str) -> WordIds:
-    """One cache per worker process: kept beside the imported modules, as it outlives a task."""
-    state = sys.modules.setdefault("_hemicycle_packing", types.ModuleType("_hemicycle_packing"))
-    found = getattr(state, "ids", None)
-    if found is None or found[0] != path:
-        found = state.ids = (path, WordIds(path))
-    return found[1]
-
-
 def _pieces(path: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _word_ids(path)
         chunk = TaskContext.get().partitionId()
         seen = np.zeros(sequence + 1, np.int64)
         names = ["key", "piece", "start", "length", "ids_crc32", "chunk", "local"]
         for batch in batches:
             for lo, hi in text_batches(batch, "text", 1 << 19):
+                ids = kept("word ids", path, lambda: WordIds(path))  # one cache per worker process
                 part = batch.slice(lo, hi - lo)
                 rows, cols = [], [[] for _ in names[1:]]
                 for i, raw in enumerate(ids.encode([x.as_py() for x in part.column("text")])):
