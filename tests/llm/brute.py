@@ -21,6 +21,11 @@ def shingle_set(text, width):
     return frozenset(zip(*(w[i:] for i in range(width)), strict=False))
 
 
+def window_minima(h, least):
+    """Place of the leftmost smallest value of every window of ``least``."""
+    return [min(range(s, s + least), key=lambda k: (h[k], k)) for s in range(len(h) - least + 1)]
+
+
 def components(sets, percent=80):
     """index -> smallest index of its component."""
     parent = list(range(len(sets)))

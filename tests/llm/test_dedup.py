@@ -182,10 +182,13 @@ def test_cells_are_cut_by_compact_windows():
     h = rng.integers(0, 1 << 63, 90).astype(np.uint64)
     least = 12
     lo, c, hi = substring_dedup.compact_windows(h, np.array([0]), np.array([89]), least)
-    at = substring_dedup.window_minima(h, least)
+    at = brute.window_minima(h.tolist(), least)
     for s in range(90 - least + 1):
         (k,) = [k for k in range(len(lo)) if lo[k] <= s <= c[k] <= s + least - 1 <= hi[k]]
         assert at[s] == c[k]
+    i, j, c = substring_dedup.windows_of_starts(h, np.array([0, 50]), np.array([49, 89]), least)
+    place = [(s, a) for first, last, a in zip(i, j, c, strict=True) for s in range(first, last + 1)]
+    assert place == [(s, at[s]) for s in range(90 - least + 1) if s + least <= 50 or s >= 50]
     owner, i, j, _, sig = substring_dedup.cells(h, np.array([0, 5, 50, 90]), least, tables=2, hashes=2)
     for t in range(2):
         mine = (sig & np.uint64(15)) == t
