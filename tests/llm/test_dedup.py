@@ -196,6 +196,37 @@ def test_cells_are_cut_by_compact_windows():
         assert covered == [(1, s) for s in range(45 - least + 1)] + [(2, s) for s in range(40 - least + 1)]
 
 
+def test_aligned_windows_match_sets():
+    """Similar aligned windows of sequences with and without repeated shingles, against sets."""
+    rng = np.random.default_rng(4)
+    n = substring_dedup.LENGTH
+    seen = set()
+    for values, changes in ((10 ** 9, 12), (10 ** 9, 2), (60, 12), (25, 6), (3, 40)):
+        x = rng.integers(0, values, 150).astype(np.uint64)
+        y = x.copy()
+        y[rng.integers(0, 150, changes)] = rng.integers(0, values, changes)
+        for a, b in ((x, y), (x, np.roll(y, 2)), (np.tile(x[:20], 8), np.tile(y[:20], 8))):
+            got = substring_dedup._similar(a, b)
+            for s in range(len(a) - n + 1):
+                u, v = set(a[s:s + n].tolist()), set(b[s:s + n].tolist())
+                assert got[s] == (100 * len(u & v) >= 80 * len(u | v))
+                seen.add(bool(got[s]))
+    assert seen == {True, False}
+
+
+def test_cells_of_texts_that_repeat_themselves():
+    """A long text of one repeated line: every start lies in one cell, whose signature is that of the line's minima."""
+    line = np.random.default_rng(2).integers(0, 1 << 63, 9).astype(np.uint64)
+    g = np.tile(line, 4000)
+    owner, i, j, c, sig = substring_dedup.cells(g, np.array([0, len(g)]), tables=2, hashes=2)
+    for t in range(2):
+        mine = (sig & np.uint64(15)) == t
+        assert len(set(sig[mine].tolist())) == 1
+        order = np.argsort(i[mine])
+        first, last = i[mine][order], j[mine][order]
+        assert first[0] == 0 and last[-1] == len(g) - substring_dedup.LENGTH and (first[1:] == last[:-1] + 1).all()
+
+
 def planted(spark, rnd, sizes, changed):
     """Pairs of documents that share a passage with ``changed`` words replaced; (table, passages by document)."""
     word = lambda n: [f"v{rnd.randrange(20_000)}" for _ in range(n)]
