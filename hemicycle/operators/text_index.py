@@ -27,7 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemicycle.operators.analysis import normalized_tokens
+from hemicycle.operators.analysis import normalized_tokens, with_positions
+from hemicycle.plans.ranking import saved
 from hemicycle.streaming.upsert import SnapshotTable, latest_per_key
 
 #: folders of a table; a bucket is the unit that a search or an upsert reads
@@ -74,17 +75,16 @@ class TextIndex:
             F.coalesce(delete, F.lit(False)).alias("_gone") if delete is not None else F.lit(False).alias("_gone"))
         rows = latest_per_key(rows, ["uuid"], order or [])
         version = F.lit(batch_id).cast("long").alias("version")
-        live = rows.where(~F.col("_gone"))
-        tokens = None
+        # one row per document from here on: its postings are found within the row and written once
         for f in self.fields:
-            t = normalized_tokens(live.where(F.col(f).isNotNull()), "uuid", f, self.analyzer).withColumn("field", F.lit(f))
-            tokens = t if tokens is None else tokens.unionByName(t)
-        postings = tokens.groupBy("field", "term", F.col("doc_id").alias("uuid")).agg(
-            F.array_sort(F.collect_list("pos")).alias("positions"))
+            rows = with_positions(rows.withColumn(f, F.when(~F.col("_gone"), F.col(f))), f, self.analyzer, f"_p_{f}").drop(f)
+        held = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_p_{f}").alias("held")) for f in self.fields])
+        rows = saved(rows.select("uuid", "_gone", F.filter(held, lambda x: F.size(x["held"]) > 0).alias("_fields")))
+        by_field = rows.select("uuid", F.inline("_fields"))
+        postings = by_field.select("uuid", "field", F.inline("held"))
         self._write("postings", postings.withColumn("version", version).withColumn("bucket", bucket_of("term")), f"d{batch_id:08d}")
-        new = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{self.path}/postings/d{batch_id:08d}")
         # one row per document and field, and one with field null that says the document is (or no longer is) there
-        forward = new.groupBy("uuid", "field").agg(F.collect_list("term").alias("terms"))
+        forward = by_field.select("uuid", "field", F.col("held.term").alias("terms"))
         marks = rows.select("uuid", F.lit(None).cast("string").alias("field"),
                             F.when(~F.col("_gone"), F.array().cast("array<string>")).alias("terms"))
         forward = forward.unionByName(marks).withColumn("version", version).withColumn("bucket", bucket_of("uuid"))
