@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -267,3 +268,36 @@ def test_near_passages_recall(spark):
         found = {r.doc_id for r in substring_dedup.report(df).collect() if r.kind in ("near", "exact")}
         found |= {d ^ 1 for d in found}
         assert len(want) >= 20 and len(want & found) >= 0.97 * len(want), (n, changed, len(want), len(want & found))
+
+
+def test_passages_near_one_that_is_near_the_first(spark):
+    """A ~ B ~ C where A and C are not similar: the link of B and C is found although B has met A."""
+    rnd = random.Random(3)
+    word = lambda n: [f"v{rnd.randrange(20_000)}" for _ in range(n)]
+    texts, n = [], 100
+    for _ in range(n):
+        first = word(50)
+        second = [*first[:15], "edited", *first[16:]]
+        third = [*second[:32], "again", *second[33:]]
+        assert similar_pair(first, second) and similar_pair(second, third) and not similar_pair(first, third)
+        texts += [" ".join([*word(40), *body, *word(40)]) for body in (first, second, third)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    links = {frozenset((r.doc_id, r.source_id)) for r in substring_dedup.report(df).collect()}
+    assert sum(frozenset((3 * k + 1, 3 * k + 2)) in links for k in range(n)) >= 0.97 * n
+
+
+def test_many_contents_under_one_signature(spark):
+    """Cells of one signature are compared whatever their number; a content that a document repeats is found at each place."""
+    rnd = random.Random(6)
+    word = lambda n: [f"v{rnd.randrange(20_000)}" for _ in range(n)]
+    texts = [word(50) for _ in range(30)]
+    near = [*texts[29][:20], "edited", *texts[29][21:]]
+    texts.append([*near, *near])
+    p = substring_dedup.Passages.__new__(substring_dedup.Passages)
+    p.spark = spark
+    codes = [np.array([zlib.crc32(w.encode()) for w in t], np.uint32).tobytes() for t in texts]
+    p.sequences = spark.createDataFrame([(i, 0, bytearray(c)) for i, c in enumerate(codes)], "row long, start long, words binary")
+    at = substring_dedup.packed(np.array([0, 50]), np.array([0, 50]), np.array([10, 60])).tolist()
+    cells = [(i, True, 5, at[0], i) for i in range(31)] + [(30, True, 5, at[1], 30)]
+    found = p._all_contents(spark.createDataFrame(cells, "row long, left boolean, sig long, at long, content long")).collect()
+    assert sorted(map(tuple, found)) == [(30, 29, 0, 0, 0), (30, 29, 50, 50, 50)]
