@@ -102,7 +102,8 @@ def resolve_names(mentions: DataFrame, directory: DataFrame, analyzer: str = "fr
 def resolve_ballots(ballots: DataFrame, directory: DataFrame, name_col: str = "voter_name") -> DataFrame:
     """J1 applied to named ballots: adds voter_uuid (null when unresolved), left join back."""
     res = resolve_names(ballots.select(F.col(name_col).alias("mention")), directory)
-    return (ballots.join(res.select(F.col("mention").alias(name_col), F.col("uuid").alias("voter_uuid")),
+    # a hash table of distinct names: the ballots of a name that most of them bear stream past it, unsorted
+    return (ballots.join(res.select(F.col("mention").alias(name_col), F.col("uuid").alias("voter_uuid")).hint("shuffle_hash"),
                          name_col, "left"))
 
 

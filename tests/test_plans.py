@@ -60,3 +60,13 @@ def test_no_nested_loop_and_no_python_in_native_queries(spark, name):
     if name not in PYTHON_BACKED:
         for op in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonUDF"):
             assert op not in p, op
+
+
+@pytest.mark.parametrize("name", ["rollcall_resolved", "scrutiny_documents"])
+def test_large_shuffles_follow_the_rows(spark, name, monkeypatch):
+    """The large joins and the distinct counts are dealt over more tasks where the ballots are more."""
+    from hemicycle.sources import tables as T
+    monkeypatch.setattr(T, "ROWS_A_TASK", 500)
+    n = T.parts(spark, SF, "lineitem")
+    assert n == -(-T.table(spark, SF, "lineitem").count() // 500) > 4
+    assert plan(QUERIES[name](spark, SF)).count(f", {n}), REPARTITION_BY_NUM") >= 2
