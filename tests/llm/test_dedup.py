@@ -215,6 +215,37 @@ def test_aligned_windows_match_sets():
     assert seen == {True, False}
 
 
+def test_stretches_are_compared_apart():
+    """Aligned stretches handled at once, with shingles that recur in them, against each one's sets."""
+    rng = np.random.default_rng(9)
+    n = substring_dedup.LENGTH
+    lengths = np.array([n, n + 7, n + 60, n + 1])
+    x = rng.integers(0, 100, lengths.sum()).astype(np.uint64)
+    y = np.where(rng.random(len(x)) < 0.87, x, rng.integers(0, 100, len(x)).astype(np.uint64))
+    y[:n] = x[:n]
+    want = []
+    for a, b in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
+        for s in range(a, b - n + 1):
+            u, v = set(x[s:s + n].tolist()), set(y[s:s + n].tolist())
+            want.append(100 * len(u & v) >= 80 * len(u | v))
+    assert substring_dedup.similar_starts(x, y, lengths).tolist() == want and 0 < sum(want) < len(want)
+    assert [v.tolist() for v in substring_dedup.joined(np.array([9, 1, 3, 20]), np.array([10, 2, 7, 21]))] == [[1, 9, 20], [7, 10, 21]]
+
+
+def test_only_windows_that_can_be_similar_are_searched(spark):
+    """The cells are those of the shared passages; the words around them and texts without any are left out."""
+    df, at = planted(spark, random.Random(2), [60] * 20, 1)
+    rnd = random.Random(4)
+    clean = [(100 + k, " ".join(f"c{rnd.randrange(20_000)}" for _ in range(300))) for k in range(30)]
+    found = substring_dedup.Passages(df.unionByName(spark.createDataFrame(clean, "doc_id long, text string")))
+    searched = found.sequences.join(found.names, "row").collect()
+    assert searched and {r.doc_id for r in searched} <= set(at)
+    for r in searched:
+        size = np.diff([*r["at"], len(r.words) // 4 + 1]) - 1
+        for start, n in zip(r.real, size.tolist(), strict=True):
+            assert n >= substring_dedup.WORDS and at[r.doc_id][0] - 10 <= start and start + n <= at[r.doc_id][1] + 10
+
+
 def test_cells_of_texts_that_repeat_themselves():
     """A long text of one repeated line: every start lies in one cell, whose signature is that of the line's minima."""
     line = np.random.default_rng(2).integers(0, 1 << 63, 9).astype(np.uint64)
