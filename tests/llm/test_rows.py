@@ -213,6 +213,31 @@ def test_chats_size_is_linear(spark):
     assert written(4000) < 2.2 * written(2000)
 
 
+def test_chats_report_reads_examples_in_full(spark, monkeypatch):
+    """What the report stores holds every example with all turns before it, also where a conversation has many parts and slices."""
+    rows = [(8, i, "assistant" if i % 2 else "user", f"turn {i} <|im_end|>") for i in range(150)]
+    rows += [(None, i, "assistant" if i % 3 else "user", f"lost {i}") for i in range(90)]
+    rows += [(k, i, "assistant" if i else "user", "short") for k in range(20, 60) for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want, examples = chats(ordered(rows))
+    kept, real = {}, chat_format.stored
+
+    def stored(df, name, *more, **named):
+        kept[name] = real(df, name, *more, **named)
+        return kept[name]
+
+    monkeypatch.setattr(chat_format, "stored", stored)
+    for size in (64, 2, 1):
+        monkeypatch.setattr(chat_format, "SLICE", size, raising=False)
+        assert {r[0]: tuple(r) for r in chat_format.report(df).collect()} == want
+        got = {}
+        for name in kept:
+            if "loss_start" in kept[name].columns:
+                for r in kept[name].filter("example is not null").select("conv_id", "text").collect():
+                    got.setdefault(r.conv_id, set()).add(r.text)
+        assert {c: {x for x, _ in e} - got.get(c, set()) for c, e in examples.items()} == {c: set() for c in examples}
+
+
 def test_chats_empty_and_control(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.report(none).collect() == []
